@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decantry.functions import exprs as X
-from decantry.session import cut_lineage
+from decantry.session import bounded_broadcast, cut_lineage
 
 ITEM_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("name", T.StringType()),
@@ -116,14 +116,15 @@ def list_orders(orders: DataFrame) -> DataFrame:
 def customer_order_history(orders: DataFrame, customer_ids: DataFrame, id_col: str = "customer_id") -> DataFrame:
     """Orders of the given customers (a semi-join: one id or millions), newest first per customer.
 
-    ``position`` is the order's place in its customer's history; the window is
-    partitioned by customer, so it parallelises across customers.
+    The order is a global sort on (customer, created_at desc, order_number): range
+    partitioning splits even a very large customer's history across tasks, which a
+    window partitioned by customer could not.
     """
     ids = customer_ids.select(F.col(id_col).alias("customer_id")).distinct()
     mine = orders.join(ids, "customer_id", "left_semi")
-    w = Window.partitionBy("customer_id").orderBy(F.col("created_at").desc(), F.col("order_number").asc())
     cols = [c for c in HISTORY_COLUMNS if c in orders.columns]
-    return mine.select("customer_id", *cols, F.row_number().over(w).alias("position"))
+    return (mine.select("customer_id", *cols)
+            .orderBy(F.col("customer_id"), F.col("created_at").desc(), F.col("order_number")))
 
 
 # ---------------------------------------------------------------- O-A5 profiles
@@ -172,7 +173,8 @@ def import_historic(orders: DataFrame, imports: DataFrame, customers: DataFrame)
     lens = fresh.select(F.length("prefix").alias("_len")).distinct()
     cust = customers.select(F.col("id").alias("_cid"), F.lower("customer_name").alias("_lname"),
                             F.col("created_at").alias("_c"))
-    keyed = (cust.join(F.broadcast(lens), F.length("_lname") >= F.col("_len"))
+    # Distinct prefix lengths are bounded by the longest prefix; prove it before broadcasting.
+    keyed = (cust.join(bounded_broadcast(lens, 4096), F.length("_lname") >= F.col("_len"))
              .select("_len", F.substring("_lname", 1, F.col("_len")).alias("_pfx"), "_cid", "_c")
              .groupBy("_len", "_pfx")
              .agg(F.min_by("_cid", F.struct("_c", "_cid")).alias("customer_id")))

@@ -32,7 +32,7 @@ STOCK_VIEWS = {"sold": SOLD_CTE, "stock": STOCK_CTE}
 
 
 def _stock(spark, d):
-    return C.catalog_with_stock(D.f_catalog(spark, d), D.f_orders(spark, d), D.f_items(spark, d))
+    return C.catalog_with_stock(D.f_catalog(spark, d), D.f_orders_core(spark, d), D.f_items(spark, d))
 
 
 @query("catalog_with_stock", "O-C2", oracle="SELECT * FROM stock", extra_views=STOCK_VIEWS)
