@@ -1,3 +1,234 @@
-"""Queries registered from this module (see registry)."""
+"""Lifecycle, loyalty and collection queries (O-B*) over the status-event model."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from decantry.operators import fold as FO
+from decantry.operators import lifecycle as L
+from decantry.operators import orders as O
+from decantry.plans.q_orders import CREDENTIALS_SQL, credentials
+from decantry.plans.registry import query
+from decantry.sources import driver as D
+
+# DuckDB: final status per order with the current delivered run start (window formulation).
+FINAL_SQL = """
+SELECT f.order_id, f.status,
+       CASE WHEN f.status = 'delivered' THEN s.run_start END AS delivered_at, f.updated_at
+FROM (SELECT order_id, new_status AS status, ts AS updated_at
+      FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, seq DESC) AS rn FROM f_status_events)
+      WHERE rn = 1) f
+LEFT JOIN (SELECT order_id, max(ts) AS run_start
+           FROM (SELECT *, lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq) AS prev FROM f_status_events)
+           WHERE new_status = 'delivered' AND coalesce(prev, 'pending') <> 'delivered'
+           GROUP BY order_id) s ON f.order_id = s.order_id"""
+
+MEMBERS_SQL = """
+SELECT DISTINCT o.customer_id, trim(i.name) AS perfume
+FROM final_status f JOIN f_lifecycle_orders o ON o.id = f.order_id
+JOIN f_lifecycle_items i ON i.order_id = o.id
+WHERE f.status = 'delivered' AND o.customer_id IS NOT NULL AND nullif(trim(i.name), '') IS NOT NULL"""
+
+LIFE_VIEWS = {"final_status": FINAL_SQL, "members": MEMBERS_SQL}
+
+
+def _events(spark, d):
+    valid, _ = L.validate_status_events(D.f_status_events(spark, d), D.f_orders_core(spark, d))
+    return valid
+
+
+def _final(spark, d):
+    return L.order_status_final(_events(spark, d))
+
+
+def _members(spark, d):
+    return L.collection_members(_final(spark, d), D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
+
+
+@query("validate_status_events", "O-B1", oracle="""
+SELECT e.order_id, e.seq, e.new_status,
+       CASE WHEN e.new_status IS NULL OR e.new_status NOT IN ('pending', 'preparing', 'ready', 'delivered', 'cancelled') THEN 'invalid_status'
+            WHEN e.order_id NOT IN (SELECT id FROM f_orders) THEN 'order_not_found' END AS reject_reason
+FROM f_status_events e""")
+def validate_status_events(spark, d):
+    valid, rej = L.validate_status_events(D.f_status_events(spark, d), D.f_orders_core(spark, d))
+    cols = ["order_id", "seq", "new_status"]
+    return valid.select(*cols, F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        rej.select(*cols, "reject_reason"))
+
+
+@query("order_status_final", "O-B2", oracle="SELECT * FROM final_status", extra_views=LIFE_VIEWS)
+def order_status_final(spark, d):
+    return _final(spark, d)
+
+
+@query("loyalty_balance", "O-B3", oracle="""
+SELECT o.customer_id, CAST(sum(o.order_total) AS DECIMAL(18,2)) AS total_spent,
+       CAST(sum(floor(o.order_total)) AS BIGINT) AS bookmarks, count(*) AS delivered_orders
+FROM final_status f JOIN f_lifecycle_orders o ON o.id = f.order_id
+WHERE f.status = 'delivered' AND o.customer_id IS NOT NULL
+GROUP BY o.customer_id""", extra_views=LIFE_VIEWS)
+def loyalty_balance(spark, d):
+    return L.loyalty_balance(_final(spark, d), D.f_lifecycle_orders(spark, d))
+
+
+def _resets(spark, d):
+    """Bookmark resets (O-F7) arrive as 'signup' events above 400: the balance restarts at 0."""
+    e = D.read(spark, d, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 400))
+    return e.select(F.col("user_id").alias("customer_id"), "ts", F.col("event_id").alias("seq"),
+                    F.lit(0).cast("bigint").alias("start_value"))
+
+
+@query("loyalty_with_resets", "O-B3+O-F7", oracle="""
+, deltas AS (
+  SELECT o.customer_id, t.ts, t.seq,
+         CASE WHEN t.entered THEN 1 ELSE -1 END * CAST(floor(o.order_total) AS BIGINT) AS delta
+  FROM (SELECT *, new_status = 'delivered' AND coalesce(prev, 'pending') <> 'delivered' AS entered,
+               new_status <> 'delivered' AND coalesce(prev, 'pending') = 'delivered' AS leaving
+        FROM (SELECT *, lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq) AS prev FROM f_status_events)) t
+  JOIN f_lifecycle_orders o ON o.id = t.order_id
+  WHERE t.entered OR t.leaving),
+resets AS (SELECT user_id AS customer_id, ts, event_id AS seq FROM events WHERE event_type = 'signup' AND value > 400),
+steps AS (
+  SELECT customer_id, ts, seq, delta, 0 AS is_reset FROM deltas
+  UNION ALL SELECT customer_id, ts, seq, 0 AS delta, 1 AS is_reset FROM resets),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ts, seq, is_reset) AS k FROM steps),
+walk AS (
+  SELECT customer_id, k, CASE WHEN is_reset = 1 THEN 0 ELSE greatest(0, delta) END AS bal FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT w.customer_id, o.k, CASE WHEN o.is_reset = 1 THEN 0 ELSE greatest(0, w.bal + o.delta) END
+  FROM walk w JOIN ordered o ON o.customer_id = w.customer_id AND o.k = w.k + 1)
+SELECT w.customer_id, w.bal AS balance
+FROM walk w JOIN (SELECT customer_id, max(k) AS mk FROM ordered GROUP BY customer_id) m
+  ON m.customer_id = w.customer_id AND w.k = m.mk""")
+def loyalty_with_resets(spark, d):
+    ev = _events(spark, d)
+    tr = L.transitions(ev).filter(F.col("entered") | F.col("left")).select("order_id", "customer_id", "ts", "seq", "entered")
+    orders = D.f_lifecycle_orders(spark, d)
+    deltas = (tr.join(orders.select(F.col("id").alias("order_id"), "customer_id", "order_total"), ["order_id", "customer_id"])
+              .select("customer_id", "ts", "seq",
+                      (F.when(F.col("entered"), 1).otherwise(-1) * F.floor("order_total")).cast("bigint").alias("delta")))
+    return L.clamped_balance(deltas, _resets(spark, d)).select("customer_id", F.col("balance").cast("bigint").alias("balance"))
+
+
+@query("collection_members", "O-B4", oracle="SELECT * FROM members", extra_views=LIFE_VIEWS)
+def collection_members(spark, d):
+    return _members(spark, d)
+
+
+@query("collection_sources", "O-B5")
+def collection_sources(spark, d):
+    return FO.collection_sources(_events(spark, d), D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
+
+
+@query("unlock_notifications", "O-B6")
+def unlock_notifications(spark, d):
+    return FO.unlock_notifications(_events(spark, d), D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
+
+
+def _library_snapshot(spark, d):
+    """Library snapshot for the manual-unlock batch: members sourced from their lowest
+    delivered order number (a fixture rule; the exact owner is O-B5's job)."""
+    fin = _final(spark, d).filter(F.col("status") == "delivered").select(F.col("order_id").alias("id"))
+    orders = D.f_lifecycle_orders(spark, d).join(fin, "id", "left_semi")
+    items = D.f_lifecycle_items(spark, d)
+    return (orders.join(items, orders.id == items.order_id)
+            .groupBy("customer_id", F.trim("name").alias("perfume"))
+            .agg(F.concat(F.lit("ORDER-"), F.min("order_number")).alias("source_code")))
+
+
+LIBRARY_SQL = """
+SELECT o.customer_id, trim(i.name) AS perfume, 'ORDER-' || min(o.order_number) AS source_code
+FROM final_status f JOIN f_lifecycle_orders o ON o.id = f.order_id JOIN f_lifecycle_items i ON i.order_id = o.id
+WHERE f.status = 'delivered' GROUP BY o.customer_id, trim(i.name)"""
+
+
+def manual_changes(spark, d):
+    """Studio unlock (click) / lock (error) requests; some name unknown customers or blank perfumes."""
+    e = D.read(spark, d, "events").filter(F.col("event_type").isin("click", "error"))
+    cat = D.f_catalog(spark, d).filter(F.col("id") < 50).select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
+    base = e.select(F.when(F.col("value") > 480, F.col("user_id") + 1000000).otherwise(F.col("user_id")).alias("customer_id"),
+                    (F.col("event_id") % 50).alias("_pk"), (F.col("event_id") % 97 == 0).alias("_blank"),
+                    (F.col("event_type") == "click").alias("unlocked"), "ts", F.col("event_id").alias("seq"))
+    return (base.join(cat, "_pk", "left")
+            .select("customer_id", F.when(F.col("_blank"), F.lit("  ")).otherwise(F.col("_name")).alias("perfume"),
+                    "unlocked", "ts", "seq"))
+
+
+CHANGES_SQL = """
+SELECT CASE WHEN e.value > 480 THEN e.user_id + 1000000 ELSE e.user_id END AS customer_id,
+       CASE WHEN e.event_id % 97 = 0 THEN '  ' ELSE c.name END AS perfume,
+       e.event_type = 'click' AS unlocked, e.ts, e.event_id AS seq
+FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % 50
+WHERE e.event_type IN ('click', 'error')"""
+
+
+@query("apply_manual_unlocks", "O-B7", oracle="""
+, ok AS (SELECT customer_id, trim(perfume) AS perfume, unlocked, seq FROM changes
+         WHERE customer_id IN (SELECT id FROM f_customers) AND coalesce(trim(perfume), '') <> ''),
+per_key AS (SELECT customer_id, perfume, arg_max(unlocked, seq) AS last_unlock, bool_or(NOT unlocked) AS any_lock
+            FROM ok GROUP BY customer_id, perfume)
+SELECT coalesce(l.customer_id, k.customer_id) AS customer_id, coalesce(l.perfume, k.perfume) AS perfume,
+       CASE WHEN k.last_unlock IS NULL THEN l.source_code WHEN k.any_lock THEN 'MANUAL-STUDIO'
+            ELSE coalesce(l.source_code, 'MANUAL-STUDIO') END AS source_code
+FROM library l FULL JOIN per_key k ON l.customer_id = k.customer_id AND l.perfume = k.perfume
+WHERE coalesce(k.last_unlock, l.customer_id IS NOT NULL)""",
+       extra_views={**LIFE_VIEWS, "library": LIBRARY_SQL, "changes": CHANGES_SQL})
+def apply_manual_unlocks(spark, d):
+    lib, _, _ = L.apply_manual_unlocks(_library_snapshot(spark, d), D.f_notifications(spark, d),
+                                      D.f_customers(spark, d), manual_changes(spark, d))
+    return lib
+
+
+def _login_credentials(spark, d):
+    """Logins: the profile requests of 'signup' events."""
+    e = D.read(spark, d, "events").filter(F.col("event_type") == "signup").select(F.col("event_id").alias("request_id"))
+    return credentials(spark, d).join(e, "request_id", "left_semi")
+
+
+@query("pending_notifications", "O-B8", oracle="""
+SELECT r.request_id, n.customer_id, n.id, n.perfume, n.order_number, n.created_at
+FROM resolved r JOIN f_notifications n ON n.customer_id = r.customer_id
+WHERE r.matched AND n.seen_at IS NULL
+  AND r.request_id IN (SELECT event_id FROM events WHERE event_type = 'signup')""",
+       extra_views={"credentials": CREDENTIALS_SQL, "resolved": """
+SELECT r.request_id, c.id AS customer_id, true AS matched
+FROM credentials r JOIN f_customers c
+  ON regexp_replace(r.phone, '[^0-9]', '', 'g') = regexp_replace(c.customer_phone, '[^0-9]', '', 'g')
+ AND r.token = c.access_token"""})
+def pending_notifications(spark, d):
+    prof = O.resolve_profiles(_login_credentials(spark, d), D.f_customers(spark, d))
+    return L.pending_notifications(prof, D.f_notifications(spark, d))
+
+
+def seen_requests(spark, d):
+    """'click' events mark five recent notification ids as seen (some belong to others)."""
+    e = D.read(spark, d, "events").filter(F.col("event_type") == "click")
+    ids = F.array(*[F.col("event_id") - k for k in (1, 2, 3, 5, 8)])
+    return e.select(F.col("event_id").alias("request_id"), "ts", F.col("event_id").alias("seq"), ids.alias("ids"))
+
+
+@query("mark_seen", "O-B9", oracle="""
+SELECT q.event_id AS request_id, count(n.id) AS updated
+FROM (SELECT e.event_id, e.user_id, x.id
+      FROM events e, unnest([e.event_id - 1, e.event_id - 2, e.event_id - 3, e.event_id - 5, e.event_id - 8]) AS x(id)
+      WHERE e.event_type = 'click') q
+LEFT JOIN f_notifications n ON n.id = q.id AND n.customer_id = q.user_id
+GROUP BY q.event_id""")
+def mark_seen(spark, d):
+    cred = credentials(spark, d)
+    reqs = seen_requests(spark, d)
+    prof = O.resolve_profiles(cred.join(reqs.select("request_id"), "request_id", "left_semi"), D.f_customers(spark, d))
+    counts, _ = L.mark_seen(prof, D.f_notifications(spark, d), reqs)
+    return counts
+
+
+@query("collection_completeness", "O-B10", oracle="""
+SELECT c.id AS customer_id, CAST(coalesce(m.n, 0) AS BIGINT) AS discovered, t.total AS total_works,
+       CAST(CAST((CAST(coalesce(m.n, 0) AS HUGEINT) * 10000 * 2 + t.total) // (t.total * 2) AS DECIMAL(38,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(18,4)) AS progress,
+       ['Initiate', 'Explorer', 'Connoisseur', 'Collector', 'Curator'][least(4, (coalesce(m.n, 0) * 4) // greatest(t.total, 1)) + 1] AS level
+FROM f_customers c
+LEFT JOIN (SELECT customer_id, count(*) AS n FROM members GROUP BY customer_id) m ON m.customer_id = c.id,
+(SELECT count(*) AS total FROM f_museum) t""", extra_views=LIFE_VIEWS)
+def collection_completeness(spark, d):
+    return L.collection_completeness(D.f_customers(spark, d), _members(spark, d), D.f_museum(spark, d))

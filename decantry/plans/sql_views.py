@@ -114,6 +114,23 @@ LEFT JOIN (SELECT order_id, list_sort(list(DISTINCT trim(name))) AS perfumes FRO
   ON o.id = n.order_id
 WHERE o.id % 5 = 0"""
 
+VIEWS["f_museum"] = """
+SELECT p_name || ' #' || CAST(p_partkey AS VARCHAR) AS perfume_name,
+       p_brand AS brand,
+       CASE WHEN p_size % 3 = 0 THEN '' ELSE 'assets/artworks/' || CAST(p_partkey AS VARCHAR) || '.webp' END AS artwork_path,
+       p_type || ' ' || p_name AS description,
+       p_size > 5 AS published,
+       string_split(p_name, ' ') AS accords
+FROM part"""
+
+VIEWS["f_notifications"] = """
+SELECT e.event_id AS id, e.user_id AS customer_id, e.user_id * 20 + e.event_id % 20 AS order_id,
+       c.name AS perfume,
+       'P-' || lpad(CAST(e.user_id * 20 + e.event_id % 20 AS VARCHAR), 8, '0') AS order_number,
+       CASE WHEN e.event_type IN ('view', 'click') THEN e.ts END AS seen_at,
+       e.ts AS created_at
+FROM events e LEFT JOIN f_catalog c ON c.id = (e.event_id * 3) % 50"""
+
 _ORDER = list(VIEWS)
 
 
@@ -122,4 +139,5 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     parts = [f"{name} AS ({VIEWS[name]}\n)" for name in _ORDER]
     for name, text in (extra or {}).items():
         parts.append(f"{name} AS ({text}\n)")
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    # RECURSIVE is harmless for plain CTEs and lets oracles simulate step-by-step folds.
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

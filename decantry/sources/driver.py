@@ -220,3 +220,32 @@ def f_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.floor("order_total").cast("int").alias("bookmarks_awarded"),
                     (F.col("id") % 10 == 0).alias("is_redeemed"),
                     F.col("created_at")))
+
+
+def f_museum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Museum works: every catalogue product gets a work (creation upserts one); accords are
+    the words of p_name. Empty artwork_path means the artwork is still missing."""
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(
+        catalog_name(F.col("p_name"), k).alias("perfume_name"),
+        F.col("p_brand").alias("brand"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("assets/artworks/"), k.cast("string"), F.lit(".webp"))).alias("artwork_path"),
+        F.concat(F.col("p_type"), F.lit(" "), F.col("p_name")).alias("description"),
+        (F.col("p_size") > 5).alias("published"),
+        F.split(F.col("p_name"), " ").alias("accords"),
+    )
+
+
+def f_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artwork notifications (one per event); 'view' and 'click' ones have been seen."""
+    e = read(spark, sf_dir, "events")
+    cat = f_catalog(spark, sf_dir).filter(F.col("id") < 50).select(F.col("id").alias("_pk"), F.col("name").alias("perfume"))
+    oid = F.col("user_id") * 20 + F.col("event_id") % 20
+    base = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("customer_id"), oid.alias("order_id"),
+                    ((F.col("event_id") * 3) % 50).alias("_pk"),
+                    F.concat(F.lit("P-"), F.lpad(oid.cast("string"), 8, "0")).alias("order_number"),
+                    F.when(F.col("event_type").isin("view", "click"), F.col("ts")).alias("seen_at"),
+                    F.col("ts").alias("created_at"))
+    return base.join(cat, "_pk", "left").select("id", "customer_id", "order_id", "perfume", "order_number",
+                                                "seen_at", "created_at")
