@@ -1,3 +1,133 @@
-"""Queries registered from this module (see registry)."""
+"""Customer and ranking queries (O-F*)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from decantry.operators import codes as E
+from decantry.operators import customers as U
+from decantry.operators import rewards as R
+from decantry.plans.q_lifecycle import LIFE_VIEWS, _members
+from decantry.plans.q_rewards import BALANCES_SQL, snapshot_balances
+from decantry.plans.registry import query
+from decantry.sources import driver as D
+
+_LEVEL_SQL = "['Initiate', 'Explorer', 'Connoisseur', 'Collector', 'Curator'][least(4, ({n} * 4) // greatest({t}, 1)) + 1]"
+
+
+@query("collection_ranking", "O-F1", oracle=f"""
+SELECT row_number() OVER (ORDER BY library_count DESC, created_at, customer_id) AS position, customer_id,
+       substr(customer_name, 1, 3) || '*** #' || CAST(customer_id AS VARCHAR) AS alias, library_count,
+       {_LEVEL_SQL.format(n='library_count', t='(SELECT count(*) FROM f_museum)')} AS level
+FROM (SELECT c.id AS customer_id, c.customer_name, c.created_at, count(*) AS library_count
+      FROM f_customers c JOIN members m ON m.customer_id = c.id WHERE c.ranking_opt_in
+      GROUP BY c.id, c.customer_name, c.created_at
+      ORDER BY library_count DESC, c.created_at, c.id LIMIT 10)""", extra_views=LIFE_VIEWS)
+def collection_ranking(spark, d):
+    return U.collection_ranking(_members(spark, d), D.f_customers(spark, d), D.f_museum(spark, d), top_k=10)
+
+
+@query("list_customers", "O-F2", oracle="""
+SELECT c.id AS customer_id, c.customer_name, c.customer_phone, CAST(coalesce(w.n, 0) AS BIGINT) AS works,
+       CAST(coalesce(b.bookmarks, 0) AS BIGINT) AS bookmarks, CAST(coalesce(b.total_spent, 0) AS DECIMAL(18,2)) AS total_spent
+FROM f_customers c LEFT JOIN (SELECT customer_id, count(*) AS n FROM members GROUP BY customer_id) w ON w.customer_id = c.id
+LEFT JOIN balances b ON b.customer_id = c.id""", extra_views={**LIFE_VIEWS, "balances": BALANCES_SQL})
+def list_customers(spark, d):
+    return U.list_customers(D.f_customers(spark, d), _members(spark, d), snapshot_balances(spark, d))
+
+
+SEARCH_Q = " #0000001 "
+
+
+@query("search_customers", "O-F3", oracle="""
+SELECT id, customer_name, customer_phone FROM f_customers
+WHERE contains(lower(customer_name), '#0000001') OR contains(customer_phone, '#0000001')""")
+def search_customers(spark, d):
+    return U.search_customers(D.f_customers(spark, d), SEARCH_Q).select("id", "customer_name", "customer_phone")
+
+
+def _codes_by_customer(spark, d):
+    return E.customer_codes(D.f_codes(spark, d), D.f_customers(spark, d))
+
+
+@query("customer_360", "O-F4", oracle="""
+SELECT c.id AS customer_id, c.customer_name, c.customer_phone,
+       CAST(coalesce(o.n_orders, 0) AS BIGINT) AS n_orders, CAST(coalesce(o.n_delivered, 0) AS BIGINT) AS n_delivered,
+       CAST(coalesce(b.total_spent, 0) AS DECIMAL(18,2)) AS total_spent, CAST(coalesce(b.bookmarks, 0) AS BIGINT) AS bookmarks,
+       CAST(coalesce(l.n, 0) AS BIGINT) AS n_library, CAST(coalesce(k.n, 0) AS BIGINT) AS n_codes,
+       CAST(coalesce(u.n_unlocked, 0) AS BIGINT) AS n_unlocked
+FROM f_customers c
+LEFT JOIN (SELECT customer_id, count(*) AS n_orders, count(*) FILTER (WHERE status = 'delivered') AS n_delivered
+           FROM f_orders WHERE customer_id IS NOT NULL GROUP BY customer_id) o ON o.customer_id = c.id
+LEFT JOIN balances b ON b.customer_id = c.id
+LEFT JOIN (SELECT customer_id, count(*) AS n FROM members GROUP BY customer_id) l ON l.customer_id = c.id
+LEFT JOIN (SELECT c2.id AS customer_id, count(*) AS n FROM f_codes k2 JOIN f_customers c2
+             ON regexp_replace(k2.customer_phone, '[^0-9]', '', 'g') = regexp_replace(c2.customer_phone, '[^0-9]', '', 'g')
+           GROUP BY c2.id) k ON k.customer_id = c.id
+LEFT JOIN (SELECT b2.customer_id, (SELECT count(*) FROM f_rewards r WHERE r.active AND r.threshold <= b2.bookmarks) AS n_unlocked
+           FROM balances b2) u ON u.customer_id = c.id""", extra_views={**LIFE_VIEWS, "balances": BALANCES_SQL})
+def customer_360(spark, d):
+    bal = snapshot_balances(spark, d)
+    return U.customer_360(D.f_customers(spark, d), D.f_orders_core(spark, d), _members(spark, d), bal,
+                          _codes_by_customer(spark, d), R.unlocked_rewards(bal, D.f_rewards(spark, d)))
+
+
+@query("apply_customer_edits", "O-F5", oracle="""
+SELECT c.id AS customer_id,
+       CASE WHEN e.customer_id IS NOT NULL THEN e.customer_name ELSE c.customer_name END AS customer_name,
+       CASE WHEN e.customer_id IS NOT NULL THEN e.customer_phone ELSE c.customer_phone END AS customer_phone,
+       CAST(CASE WHEN e.customer_id IS NOT NULL THEN e.bookmarks ELSE coalesce(b.bookmarks, 0) END AS BIGINT) AS bookmarks,
+       CAST(CASE WHEN e.customer_id IS NOT NULL THEN e.total_spent ELSE coalesce(b.total_spent, 0) END AS DECIMAL(18,2)) AS total_spent
+FROM f_customers c LEFT JOIN balances b ON b.customer_id = c.id
+LEFT JOIN (SELECT user_id AS customer_id, arg_max('Edited ' || CAST(event_id AS VARCHAR), event_id) AS customer_name,
+                  arg_max('+34 611 ' || lpad(CAST(user_id AS VARCHAR), 6, '0'), event_id) AS customer_phone,
+                  arg_max(CAST(floor(value) AS BIGINT), event_id) AS bookmarks,
+                  arg_max(CAST(value AS DECIMAL(18,2)), event_id) AS total_spent
+           FROM events WHERE event_type = 'view' AND value > 300 GROUP BY user_id) e ON e.customer_id = c.id""",
+       extra_views={"balances": BALANCES_SQL})
+def apply_customer_edits(spark, d):
+    e = D.read(spark, d, "events").filter((F.col("event_type") == "view") & (F.col("value") > 300))
+    edits = e.select(F.col("user_id").alias("customer_id"), F.col("event_id").alias("seq"),
+                     F.concat(F.lit("Edited "), F.col("event_id").cast("string")).alias("customer_name"),
+                     F.concat(F.lit("+34 611 "), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("customer_phone"),
+                     F.floor("value").cast("bigint").alias("bookmarks"),
+                     F.col("value").cast("decimal(18,2)").alias("total_spent"))
+    return U.apply_customer_edits(D.f_customers(spark, d), snapshot_balances(spark, d), edits)
+
+
+def _delete_requests(spark, d):
+    e = D.read(spark, d, "events").filter((F.col("event_type") == "error") & (F.col("value") > 400))
+    return e.select(F.col("user_id").alias("customer_id"))
+
+
+@query("delete_customers_orders", "O-F6", oracle="""
+SELECT id, CASE WHEN customer_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 400)
+                THEN NULL ELSE customer_id END AS customer_id
+FROM f_orders""")
+def delete_customers_orders(spark, d):
+    out = U.delete_customers(D.f_customers(spark, d), D.f_orders_core(spark, d), _members(spark, d),
+                             _codes_by_customer(spark, d), _delete_requests(spark, d))
+    return out["orders"].select("id", "customer_id")
+
+
+@query("delete_customers_remaining", "O-F6", oracle="""
+SELECT id, customer_name FROM f_customers
+WHERE id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 400)""")
+def delete_customers_remaining(spark, d):
+    out = U.delete_customers(D.f_customers(spark, d), D.f_orders_core(spark, d), _members(spark, d),
+                             _codes_by_customer(spark, d), _delete_requests(spark, d))
+    return out["customers"].select("id", "customer_name")
+
+
+@query("reset_customers", "O-F7", oracle="""
+SELECT c.id AS customer_id,
+       CAST(CASE WHEN r.id IS NOT NULL THEN 0 ELSE coalesce(b.bookmarks, 0) END AS BIGINT) AS bookmarks,
+       CAST(CASE WHEN r.id IS NOT NULL THEN 0 ELSE coalesce(b.total_spent, 0) END AS DECIMAL(18,2)) AS total_spent
+FROM f_customers c LEFT JOIN balances b ON b.customer_id = c.id
+LEFT JOIN (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup' AND value > 450) r ON r.id = c.id""",
+       extra_views={"balances": BALANCES_SQL})
+def reset_customers(spark, d):
+    e = D.read(spark, d, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 450))
+    out, _ = U.reset_customers(D.f_customers(spark, d), _members(spark, d), snapshot_balances(spark, d),
+                               e.select(F.col("user_id").alias("customer_id")))
+    return out
