@@ -248,3 +248,14 @@ def seed_if_absent(snapshot: DataFrame, seed: DataFrame, keys: list[str]) -> Dat
     """``insert ... on conflict do nothing``: seed rows whose key is absent, appended."""
     missing = seed.join(snapshot.select(*keys), keys, "left_anti")
     return snapshot.unionByName(missing, allowMissingColumns=True)
+
+
+def seed_fill_blank(snapshot: DataFrame, seed: DataFrame, key: str, col: str) -> DataFrame:
+    """Conditional seed: insert absent keys, and on conflict overwrite ``col`` only where the
+    snapshot holds '' (``on conflict do update ... where col = ''``)."""
+    s = seed.select(key, F.col(col).alias("_seed_val"))
+    merged = snapshot.join(s, key, "left")
+    updated = merged.select(*[F.when((F.col(c) == "") & F.col("_seed_val").isNotNull(), F.col("_seed_val"))
+                              .otherwise(F.col(c)).alias(c) if c == col else F.col(c) for c in snapshot.columns])
+    missing = seed.join(snapshot.select(key), key, "left_anti")
+    return updated.unionByName(missing, allowMissingColumns=True)
