@@ -32,23 +32,32 @@ def public_catalog(catalog: DataFrame) -> DataFrame:
         .orderBy("sort_group", "display_order", "created_at", "name"))
 
 
-def sold_ml_by_name(orders: DataFrame, items: DataFrame) -> DataFrame:
+def sold_ml_by_name(orders: DataFrame, items: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Millilitres sold per trimmed perfume name over **delivered** orders.
 
     The correlated per-product subquery of the reference, decorrelated: one pass over
-    delivered orders' items, a partial+final hash aggregate on the name. Orders are
-    reduced to their ids before the semi-join, and the status filter reaches the scan.
+    delivered orders' items and a partial+final hash aggregate. Orders are reduced to
+    their ids before the semi-join, and the status filter reaches the scan.
+
+    With ``names`` (item_key -> name) the items carry only ``item_key``: they are summed
+    per key *before* the name lookup (eager aggregation), so the big side is never
+    joined or shuffled for the name; the key-level partial sums are then re-summed by
+    name (several keys may share a trimmed name).
     """
     delivered = orders.filter(F.col("status") == "delivered").select(F.col("id").alias("order_id"))
-    its = typed_items(items.join(delivered, "order_id", "left_semi").select("order_id", "name", "size", "qty"))
-    return (its.filter(~F.col("quarantine"))
-            .groupBy("perfume")
-            .agg(F.sum(F.col("ml") * F.col("qty_n")).alias("sold_ml_raw")))
+    cols = ["order_id", "item_key" if names is not None else "name", "size", "qty"]
+    its = typed_items(items.join(delivered, "order_id", "left_semi").select(*cols)).filter(~F.col("quarantine"))
+    if names is None:
+        return its.groupBy("perfume").agg(F.sum(F.col("ml") * F.col("qty_n")).alias("sold_ml_raw"))
+    per_key = its.groupBy("item_key").agg(F.sum(F.col("ml") * F.col("qty_n")).alias("_k"))
+    return (per_key.join(names, "item_key").groupBy(F.trim("name").alias("perfume"))
+            .agg(F.sum("_k").alias("sold_ml_raw")))
 
 
-def catalog_with_stock(catalog: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
+def catalog_with_stock(catalog: DataFrame, orders: DataFrame, items: DataFrame,
+                       names: DataFrame | None = None) -> DataFrame:
     """Studio stock list: sold ml, available ml (clamped at 0, null when no stock set)."""
-    sold = sold_ml_by_name(orders, items)
+    sold = sold_ml_by_name(orders, items, names)
     live = catalog.filter(F.col("deleted_at").isNull())
     sold_ml = F.coalesce(F.col("sold_ml_raw"), F.lit(0))
     avail = F.when(F.col("stock_initial_ml").isNull(), F.lit(None)).otherwise(
@@ -154,10 +163,10 @@ def apply_status_changes(catalog: DataFrame, status_changes: DataFrame,
 
 
 def apply_stock_counts(catalog: DataFrame, changes: DataFrame, orders: DataFrame,
-                       items: DataFrame) -> tuple[DataFrame, DataFrame]:
+                       items: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """User gives *available* ml; store initial = round(available + sold to date, 2) and the
     threshold (rounded). Negatives rejected. Deleted products are still counted (no test)."""
-    sold = sold_ml_by_name(orders, items)
+    sold = sold_ml_by_name(orders, items, names)
     names = catalog.select(F.col("id").alias("catalog_id"), "name")
     ch = changes.join(names, "catalog_id", "left")
     reason = (F.when(F.col("name").isNull(), F.lit("not_found"))

@@ -85,19 +85,24 @@ def apply_customer_edits(customers: DataFrame, balances: DataFrame, edits: DataF
          .cast("decimal(18,2)").alias("total_spent"))
 
 
-def delete_customers(customers: DataFrame, orders: DataFrame, members: DataFrame, codes: DataFrame,
-                     requests: DataFrame) -> dict[str, DataFrame]:
+def delete_customers(requests: DataFrame, customers: DataFrame | None = None, orders: DataFrame | None = None,
+                     members: DataFrame | None = None, codes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Remove profiles with their collection and codes; orders stay but lose customer_id
-    (``on delete set null``). Notifications cascade with the profile."""
+    (``on delete set null``). Notifications cascade with the profile. Only the tables passed
+    in are rewritten (each is an independent plan)."""
     gone = requests.select("customer_id").distinct()
-    return {
-        "customers": customers.join(gone.select(F.col("customer_id").alias("id")), "id", "left_anti"),
-        "members": members.join(gone, "customer_id", "left_anti"),
-        "codes": codes.join(gone, "customer_id", "left_anti"),
-        "orders": (orders.join(gone.withColumn("_gone", F.lit(True)), "customer_id", "left")
-                   .withColumn("customer_id", F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("customer_id")))
-                   .drop("_gone")),
-    }
+    out: dict[str, DataFrame] = {}
+    if customers is not None:
+        out["customers"] = customers.join(gone.select(F.col("customer_id").alias("id")), "id", "left_anti")
+    if members is not None:
+        out["members"] = members.join(gone, "customer_id", "left_anti")
+    if codes is not None:
+        out["codes"] = codes.join(gone, "customer_id", "left_anti")
+    if orders is not None:
+        out["orders"] = (orders.join(gone.withColumn("_gone", F.lit(True)), "customer_id", "left")
+                         .withColumn("customer_id", F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("customer_id")))
+                         .drop("_gone"))
+    return out
 
 
 def reset_customers(customers: DataFrame, members: DataFrame, balances: DataFrame,

@@ -30,9 +30,9 @@ def typed_items(items: DataFrame, name: str = "name", size: str = "size", qty: s
     Unparseable sizes/quantities ('1.2.3', '.') make the whole reference call fail;
     here the item is flagged and excluded from sums instead.
     """
+    named = [F.trim(F.col(name)).alias("perfume")] if name in items.columns else []
     return items.select(
-        "*",
-        F.trim(F.col(name)).alias("perfume"),
+        "*", *named,
         X.size_ml(size).alias("ml"),
         X.qty_value(qty).alias("qty_n"),
         (X.size_is_bad(size) | X.qty_is_bad(qty)).alias("quarantine"),

@@ -50,9 +50,13 @@ def decants_served(orders: DataFrame, items: DataFrame) -> DataFrame:
                   F.sum(F.col("ml") * F.col("qty_n")).cast("decimal(18,2)").alias("ml_served"))
 
 
-def best_sellers(orders: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """Top-k perfumes by decants; ties by name. Partial aggregation absorbs hot names."""
+def best_sellers(orders: DataFrame, items: DataFrame, k: int = 10, names: DataFrame | None = None) -> DataFrame:
+    """Top-k perfumes by decants; ties by name. Partial aggregation absorbs hot names.
+    With ``names`` (item_key -> name) quantities are summed per key before the name lookup."""
     it = delivered_items(orders, items)
+    if names is not None:
+        per_key = it.groupBy("item_key").agg(F.sum("qty_n").alias("_q"))
+        it = per_key.join(names, "item_key").select(F.trim("name").alias("perfume"), F.col("_q").alias("qty_n"))
     agg = it.groupBy("perfume").agg(F.sum("qty_n").cast("decimal(18,2)").alias("decants"))
     return agg.orderBy(F.col("decants").desc(), F.col("perfume")).limit(k)
 

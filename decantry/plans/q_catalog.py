@@ -32,7 +32,8 @@ STOCK_VIEWS = {"sold": SOLD_CTE, "stock": STOCK_CTE}
 
 
 def _stock(spark, d):
-    return C.catalog_with_stock(D.f_catalog(spark, d), D.f_orders_core(spark, d), D.f_items(spark, d))
+    return C.catalog_with_stock(D.f_catalog(spark, d), D.f_orders_core(spark, d), D.f_items_core(spark, d),
+                                D.item_names(spark, d))
 
 
 @query("catalog_with_stock", "O-C2", oracle="SELECT * FROM stock", extra_views=STOCK_VIEWS)
@@ -193,7 +194,7 @@ LEFT JOIN (SELECT catalog_id, arg_max(available_ml, seq) AS a, arg_max(CAST(roun
 LEFT JOIN sold s ON s.perfume = c.name""", extra_views={**CH_VIEWS, **STOCK_VIEWS})
 def apply_stock_counts(spark, d):
     new, _ = C.apply_stock_counts(D.f_catalog(spark, d), _changes(spark, d, "stock"),
-                                  D.f_orders_core(spark, d), D.f_items(spark, d))
+                                  D.f_orders_core(spark, d), D.f_items_core(spark, d), D.item_names(spark, d))
     return new.select("id", "stock_initial_ml", "low_stock_threshold_ml")
 
 

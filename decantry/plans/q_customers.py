@@ -105,8 +105,7 @@ SELECT id, CASE WHEN customer_id IN (SELECT user_id FROM events WHERE event_type
                 THEN NULL ELSE customer_id END AS customer_id
 FROM f_orders""")
 def delete_customers_orders(spark, d):
-    out = U.delete_customers(D.f_customers(spark, d), D.f_orders_core(spark, d), _members(spark, d),
-                             _codes_by_customer(spark, d), _delete_requests(spark, d))
+    out = U.delete_customers(_delete_requests(spark, d), orders=D.f_orders_core(spark, d))
     return out["orders"].select("id", "customer_id")
 
 
@@ -114,8 +113,7 @@ def delete_customers_orders(spark, d):
 SELECT id, customer_name FROM f_customers
 WHERE id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 400)""")
 def delete_customers_remaining(spark, d):
-    out = U.delete_customers(D.f_customers(spark, d), D.f_orders_core(spark, d), _members(spark, d),
-                             _codes_by_customer(spark, d), _delete_requests(spark, d))
+    out = U.delete_customers(_delete_requests(spark, d), customers=D.f_customers(spark, d))
     return out["customers"].select("id", "customer_name")
 
 

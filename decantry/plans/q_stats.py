@@ -51,14 +51,14 @@ def buyers_repeat_rate(spark, d):
 SELECT CAST(sum({_QTY}) AS DECIMAL(18,2)) AS decants, CAST(sum({_ML} * {_QTY}) AS DECIMAL(18,2)) AS ml_served
 FROM {_DELIVERED_ITEMS}""")
 def decants_served(spark, d):
-    return S.decants_served(_oc(spark, d), D.f_items(spark, d))
+    return S.decants_served(_oc(spark, d), D.f_items_core(spark, d))
 
 
 @query("best_sellers", "O-G5", oracle=f"""
 SELECT trim(i.name) AS perfume, CAST(sum({_QTY}) AS DECIMAL(18,2)) AS decants
 FROM {_DELIVERED_ITEMS} GROUP BY trim(i.name) ORDER BY decants DESC, perfume LIMIT 10""")
 def best_sellers(spark, d):
-    return S.best_sellers(_oc(spark, d), D.f_items(spark, d), k=10)
+    return S.best_sellers(_oc(spark, d), D.f_items_core(spark, d), k=10, names=D.item_names(spark, d))
 
 
 @query("monthly_revenue", "O-G6", oracle="""
@@ -81,7 +81,7 @@ def orders_by_status(spark, d):
 SELECT CAST({_ML} AS DECIMAL(18,2)) AS ml, CAST(sum({_QTY}) AS DECIMAL(18,2)) AS decants
 FROM {_DELIVERED_ITEMS} GROUP BY 1""")
 def sizes_chosen(spark, d):
-    return S.sizes_chosen(_oc(spark, d), D.f_items(spark, d))
+    return S.sizes_chosen(_oc(spark, d), D.f_items_core(spark, d))
 
 
 @query("delivery_zones", "O-G9", oracle="""
@@ -107,7 +107,7 @@ FROM f_orders o LEFT JOIN (SELECT i.order_id, sum({_QTY}) AS q, sum({_ML} * {_QT
   ON t.order_id = o.id
 GROUP BY CUBE (date_trunc('month', o.created_at), o.delivery_zone, o.status)""")
 def kpi_cube(spark, d):
-    return S.kpi_cube(_o(spark, d), D.f_items(spark, d))
+    return S.kpi_cube(_o(spark, d), D.f_items_core(spark, d))
 
 
 @query("dashboard", "O-H1..O-H5", oracle="""

@@ -56,18 +56,30 @@ def f_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def f_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat order items: the silver form of the orders' ``items`` array."""
-    li = read(spark, sf_dir, "lineitem")
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+def f_items_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat order items keyed by the catalogue key (no name): what size/quantity metrics need.
+    ``item_names`` maps the key to the item name."""
     ln = F.col("l_linenumber")
     size = F.when(ln % 4 == 0, "2 ml").when(ln % 4 == 1, "3 ml").when(ln % 4 == 2, "5 ml").otherwise("10 ml")
     qty = F.when(ln == 7, F.lit("")).otherwise(F.col("l_quantity").cast("bigint").cast("string"))
-    return (li.join(part, li.l_partkey == part.p_partkey, "left")
-            .select(F.col("l_orderkey").alias("order_id"),
-                    ln.alias("line"),
-                    catalog_name(F.col("p_name"), F.col("l_partkey")).alias("name"),
-                    size.alias("size"), qty.alias("qty")))
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), ln.alias("line"), F.col("l_partkey").alias("item_key"),
+        size.alias("size"), qty.alias("qty"))
+
+
+def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_key -> item name (the catalogue name of the part)."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_key"),
+                                              catalog_name(F.col("p_name"), F.col("p_partkey")).alias("name"))
+
+
+def f_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat order items with names: the silver form of the orders' ``items`` array."""
+    core = f_items_core(spark, sf_dir)
+    names = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return (core.join(names, core.item_key == names.p_partkey, "left")
+            .select("order_id", "line", catalog_name(F.col("p_name"), F.col("item_key")).alias("name"),
+                    "size", "qty"))
 
 
 def _order_status():
