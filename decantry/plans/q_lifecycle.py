@@ -10,6 +10,7 @@ from decantry.operators import orders as O
 from decantry.plans.q_orders import CREDENTIALS_SQL, credentials
 from decantry.plans.registry import query
 from decantry.sources import driver as D
+from decantry.sources.driver import memo_view
 
 # DuckDB: final status per order with the current delivered run start (window formulation).
 FINAL_SQL = """
@@ -32,15 +33,18 @@ WHERE f.status = 'delivered' AND o.customer_id IS NOT NULL AND nullif(trim(i.nam
 LIFE_VIEWS = {"final_status": FINAL_SQL, "members": MEMBERS_SQL}
 
 
+@memo_view
 def _events(spark, d):
     valid, _ = L.validate_status_events(D.f_status_events(spark, d), D.f_orders_core(spark, d))
     return valid
 
 
+@memo_view
 def _final(spark, d):
     return L.order_status_final(_events(spark, d))
 
 
+@memo_view
 def _members(spark, d):
     return L.collection_members(_final(spark, d), D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
 

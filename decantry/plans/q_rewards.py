@@ -8,6 +8,7 @@ from decantry.operators import rewards as R
 from decantry.plans.q_lifecycle import LIFE_VIEWS, _members
 from decantry.plans.registry import query
 from decantry.sources import driver as D
+from decantry.sources.driver import memo_view
 
 _RW = "id, threshold, reward_label, active, sort_order"
 
@@ -98,6 +99,7 @@ def delete_rewards(spark, d):
     return res
 
 
+@memo_view
 def snapshot_balances(spark, d):
     """Customer balances implied by the order snapshot: accounted (delivered, non-guest) orders."""
     o = D.f_orders_core(spark, d).filter(F.col("accounted_at").isNotNull())

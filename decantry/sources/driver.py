@@ -14,6 +14,21 @@ from decantry.functions import exprs as X
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
+_MEMO: dict = {}
+
+
+def memo_view(fn):
+    """Build a view once per (session, folder): DataFrames are immutable, and reusing the same
+    object lets later plans skip re-analysing it."""
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (id(spark), sf_dir, fn.__module__, fn.__name__)
+        df = _MEMO.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = _MEMO[key] = fn(spark, sf_dir)
+        return df
+    wrapper.__name__, wrapper.__doc__, wrapper.__wrapped__ = fn.__name__, fn.__doc__, fn
+    return wrapper
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -28,6 +43,7 @@ def catalog_name(name_col, key_col):
     return F.concat(name_col, F.lit(" #"), key_col.cast("string"))
 
 
+@memo_view
 def f_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     price = X.money("p_retailprice")
@@ -56,6 +72,7 @@ def f_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo_view
 def f_items_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat order items keyed by the catalogue key (no name): what size/quantity metrics need.
     ``item_names`` maps the key to the item name."""
@@ -67,12 +84,14 @@ def f_items_core(spark: SparkSession, sf_dir: str) -> DataFrame:
         size.alias("size"), qty.alias("qty"))
 
 
+@memo_view
 def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_key -> item name (the catalogue name of the part)."""
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_key"),
                                               catalog_name(F.col("p_name"), F.col("p_partkey")).alias("name"))
 
 
+@memo_view
 def f_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat order items with names: the silver form of the orders' ``items`` array."""
     core = f_items_core(spark, sf_dir)
@@ -93,6 +112,7 @@ def _order_status():
     return F.when(st.eqNullSafe("F"), F.lit("delivered")).otherwise(rest)
 
 
+@memo_view
 def f_orders_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order headers from ``orders`` alone (no customer/nation join): what status, stock and
     money operators need. ``f_orders`` adds the name/phone/zone columns."""
@@ -117,6 +137,7 @@ def f_orders_core(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_orderdate").alias("updated_at"))
 
 
+@memo_view
 def f_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order headers with customer name, phone and delivery zone (no items column; join
     ``f_items`` or use ``f_orders_nested``)."""
@@ -147,10 +168,12 @@ def nest_items(orders: DataFrame, items: DataFrame) -> DataFrame:
     return joined.withColumn("items", nested).drop("_its")
 
 
+@memo_view
 def f_orders_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nest_items(f_orders(spark, sf_dir), f_items(spark, sf_dir))
 
 
+@memo_view
 def f_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return read(spark, sf_dir, "customer").select(
@@ -164,6 +187,7 @@ def f_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo_view
 def f_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reward settings: one per supplier, so the settings table grows with the data.
 
@@ -187,6 +211,7 @@ def _lifecycle_order_attrs(oid):
     return total, keys
 
 
+@memo_view
 def f_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status changes of the lifecycle model (one order has exactly one customer)."""
     e = read(spark, sf_dir, "events")
@@ -201,6 +226,7 @@ def f_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     total.alias("order_total"), keys.alias("perfume_keys"))
 
 
+@memo_view
 def f_lifecycle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the lifecycle model: id, customer, total, created_at (first event)."""
     ev = f_status_events(spark, sf_dir)
@@ -210,6 +236,7 @@ def f_lifecycle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.concat(F.lit("P-"), F.lpad(F.col("order_id").cast("string"), 8, "0")).alias("order_number"))
 
 
+@memo_view
 def f_lifecycle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat items (order_id, name) of the lifecycle orders: three catalogue keys per order."""
     orders = f_lifecycle_orders(spark, sf_dir).select(F.col("id").alias("order_id"))
@@ -220,6 +247,7 @@ def f_lifecycle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(cat, "pk", "left").select("order_id", "name"))
 
 
+@memo_view
 def f_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One code per order with o_orderkey % 5 = 0; redeemed when o_orderkey % 10 = 0."""
     o = f_orders(spark, sf_dir).filter(F.col("id") % 5 == 0)
@@ -234,6 +262,7 @@ def f_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("created_at")))
 
 
+@memo_view
 def f_museum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Museum works: every catalogue product gets a work (creation upserts one); accords are
     the words of p_name. Empty artwork_path means the artwork is still missing."""
@@ -249,6 +278,7 @@ def f_museum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo_view
 def f_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artwork notifications (one per event); 'view' and 'click' ones have been seen."""
     e = read(spark, sf_dir, "events")
