@@ -59,10 +59,13 @@ def ingest_orders(raw: DataFrame) -> DataFrame:
     normalised order fields; split with ``.filter(reject_reason.isNull())``.
     """
     parsed = F.from_json(F.col("items_json"), ITEM_SCHEMA)
+    # json_array_length is null unless the text is a JSON array (from_json would wrap a
+    # lone object into a one-element array; the reference rejects any non-array).
+    n_items = F.json_array_length("items_json")
     total = F.col("order_total").cast("decimal(20,4)")
     reason = (F.when(X.is_blank("customer_name"), F.lit("name_required"))
               .when(X.is_blank("delivery_zone"), F.lit("zone_required"))
-              .when(parsed.isNull() | (F.size(parsed) <= 0), F.lit("empty_order"))
+              .when(n_items.isNull() | (n_items <= 0), F.lit("empty_order"))
               .when(F.coalesce(total, F.lit(0)) < 0, F.lit("invalid_total"))
               .when(total.isNull(), F.lit("total_required")))
     return raw.select(

@@ -236,3 +236,16 @@ LEFT JOIN (SELECT customer_id, count(*) AS n FROM members GROUP BY customer_id)
 (SELECT count(*) AS total FROM f_museum) t""", extra_views=LIFE_VIEWS)
 def collection_completeness(spark, d):
     return L.collection_completeness(D.f_customers(spark, d), _members(spark, d), D.f_museum(spark, d))
+
+
+@query("stream_lifecycle", "O-B11")
+def stream_lifecycle(spark, d):
+    """Run the lifecycle stream over the events table (file source, availableNow) and return
+    the final library rows per customer, read back from the stream's Parquet sink."""
+    from decantry.streaming import lifecycle_stream as S
+    events = D.status_events_of(D.stream_events(spark, d))
+    attrs = S.order_attributes(D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
+    out = S.run_to_parquet(spark, S.stream_lifecycle(events, attrs))
+    views = S.latest_views(spark, out)
+    return (views.filter(F.col("record") == "library")
+            .select("customer_id", "perfume", "source_code"))

@@ -211,10 +211,8 @@ def _lifecycle_order_attrs(oid):
     return total, keys
 
 
-@memo_view
-def f_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status changes of the lifecycle model (one order has exactly one customer)."""
-    e = read(spark, sf_dir, "events")
+def status_events_of(e: DataFrame) -> DataFrame:
+    """Map raw events (batch or streaming) to status changes of the lifecycle model."""
     oid = F.col("user_id") * 20 + F.col("event_id") % 20
     et = F.col("event_type")
     status = (F.when(et == "purchase", "delivered").when(et == "view", "preparing")
@@ -226,6 +224,20 @@ def f_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     total.alias("order_total"), keys.alias("perfume_keys"))
 
 
+@memo_view
+def f_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status changes of the lifecycle model (one order has exactly one customer)."""
+    return status_events_of(read(spark, sf_dir, "events"))
+
+
+def stream_events(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+    """The events table as a file stream (schema taken from the table, never inferred per batch)."""
+    schema = read(spark, sf_dir, "events").schema
+    # A glob makes the folder the stream's base path (a plain file path cannot be one).
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
+
+
 @memo_view
 def f_lifecycle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the lifecycle model: id, customer, total, created_at (first event)."""
