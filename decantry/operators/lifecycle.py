@@ -8,10 +8,11 @@ in one task), and transitions come from one ``lag`` per order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decantry.functions import exprs as X
+from decantry.operators.ordered import DEFAULT_CHUNK, clamped_totals, lag_by_key
 
 DELIVERED = "delivered"
 INITIAL_STATUS = "pending"   # status of an order before its first event (creation default)
@@ -55,15 +56,13 @@ def order_status_final(events: DataFrame) -> DataFrame:
                     "updated_at"))
 
 
-def transitions(events: DataFrame, initial_status: str = INITIAL_STATUS) -> DataFrame:
+def transitions(events: DataFrame, initial_status: str = INITIAL_STATUS, unit: str = DEFAULT_CHUNK) -> DataFrame:
     """Each event with ``entered`` / ``left`` flags for the delivered state.
 
-    ``lag`` runs in a window partitioned by order (a sort within each order's events).
+    The previous status comes from a chunked, skew-safe lag per order (``ordered.lag_by_key``).
     """
-    w = Window.partitionBy("order_id").orderBy("ts", "seq")
-    prev = F.coalesce(F.lag("new_status").over(w), F.lit(initial_status))
-    return (events.withColumn("_prev", prev)
-            .withColumn("entered", (F.col("new_status") == DELIVERED) & (F.col("_prev") != DELIVERED))
+    prev = lag_by_key(events, "order_id", "new_status", "_prev", default=initial_status, unit=unit)
+    return (prev.withColumn("entered", (F.col("new_status") == DELIVERED) & (F.col("_prev") != DELIVERED))
             .withColumn("left", (F.col("new_status") != DELIVERED) & (F.col("_prev") == DELIVERED))
             .drop("_prev"))
 
@@ -86,33 +85,30 @@ def loyalty_balance(final_status: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def clamped_balance(deltas: DataFrame, overrides: DataFrame | None = None, value: str = "delta",
-                    start: str = "start_value") -> DataFrame:
+                    start: str = "start_value", unit: str = DEFAULT_CHUNK) -> DataFrame:
     """Exact ``b <- greatest(0, b + d)`` over ordered deltas per customer, with absolute overrides.
 
     Only deltas after a customer's last override (or all, starting at 0) matter. For a
     reflected walk starting at v: ``b_n = S_n - least(-v, min_k S_k)`` with S the prefix sums
-    of the deltas. Prefix sums use a window partitioned by customer (only that segment).
+    of the deltas; S_n and min S come from a chunked two-level prefix scan
+    (``ordered.clamped_totals``), so one huge customer never sits in one window task.
     Inputs: deltas (customer_id, ts, seq, delta); overrides (customer_id, ts, seq, start_value).
     """
     d = deltas
     if overrides is not None:
         last = overrides.groupBy("customer_id").agg(F.max_by(F.struct(start, "ts", "seq"), _key()).alias("_o"))
         d = (d.join(last, "customer_id", "left")
-             .filter(F.col("_o").isNull() | (_key() > F.struct(F.col("_o.ts"), F.col("_o.seq")))))
-        v = F.coalesce(F.col(f"_o.{start}"), F.lit(0))
-    else:
-        d = d.withColumn("_o", F.lit(None))
-        v = F.lit(0)
-    w = Window.partitionBy("customer_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    pre = d.withColumn("_s", F.sum(value).over(w)).withColumn("_v", v)
-    seg = pre.groupBy("customer_id").agg(F.max_by("_s", _key()).alias("_sn"), F.min("_s").alias("_smin"),
-                                          F.first("_v").alias("_v"))
-    res = seg.select("customer_id", (F.col("_sn") - F.least(-F.col("_v"), F.col("_smin"))).alias("balance"))
-    if overrides is not None:
-        # Customers whose last override has no later delta keep the override value.
-        only = (overrides.groupBy("customer_id").agg(F.max_by(start, _key()).alias("balance"))
-                .join(res.select("customer_id"), "customer_id", "left_anti"))
-        res = res.unionByName(only)
+             .filter(F.col("_o").isNull() | (_key() > F.struct(F.col("_o.ts"), F.col("_o.seq"))))
+             .drop("_o"))
+    tot = clamped_totals(d, "customer_id", value, unit=unit)
+    if overrides is None:
+        return tot.select("customer_id", (F.col("_sn") - F.least(F.lit(0), F.col("_smin"))).alias("balance"))
+    starts = last.select("customer_id", F.col(f"_o.{start}").alias("_v"))
+    res = (tot.join(starts, "customer_id", "full")
+           .select("customer_id",
+                   F.when(F.col("_sn").isNull(), F.col("_v"))
+                    .otherwise(F.col("_sn") - F.least(-F.coalesce(F.col("_v"), F.lit(0)), F.col("_smin")))
+                    .alias("balance")))
     return res
 
 

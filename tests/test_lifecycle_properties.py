@@ -176,3 +176,38 @@ def test_status_gate_uses_same_batch_price(spark):
     assert {r.seq: r.reject_reason for r in rej.collect()} == {1: "prices_required"}
     r = new.collect()[0]
     assert (r.availability_status, r.active) == ("published", True)
+
+
+def test_chunked_scans_do_not_depend_on_chunk_width(spark):
+    """Chunk width only changes how a hot key spreads, never the result."""
+    from decantry.operators import ordered as OR
+    rnd = random.Random(9)
+    rows, seq = [], 0
+    for k in range(5):                                  # key 0 is "hot"
+        for _ in range(400 if k == 0 else rnd.randint(1, 30)):
+            seq += 1
+            rows.append((k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 4 * 3600)), seq,
+                         rnd.choice(["a", "b", "c"]), rnd.randint(-20, 20)))
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, seq long, v string, d long")
+    lag = {u: {r.seq: r.prev for r in OR.lag_by_key(df, "k", "v", "prev", default="-", unit=u).collect()}
+           for u in ("minute", "hour", "year")}
+    assert lag["minute"] == lag["hour"] == lag["year"]
+    want = {}
+    for k, ts, sq, v, d in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        want.setdefault(k, []).append((sq, v))
+    expect = {}
+    for k, seqv in want.items():
+        prev = "-"
+        for sq, v in seqv:
+            expect[sq] = prev
+            prev = v
+    assert lag["minute"] == expect
+    tot = {u: {r.k: (r._sn, r._smin) for r in OR.clamped_totals(df, "k", "d", unit=u).collect()}
+           for u in ("minute", "year")}
+    assert tot["minute"] == tot["year"]
+    for k, seqv in want.items():
+        run, mins = 0, []
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            run += r[4]
+            mins.append(run)
+        assert tot["minute"][k] == (run, min(mins))
