@@ -201,3 +201,21 @@ FROM members m JOIN (SELECT perfume_name, unnest(accords) AS accord FROM f_museu
 GROUP BY m.customer_id, a.accord""", extra_views=LIFE_VIEWS)
 def accord_profile(spark, d):
     return R.accord_profile(_members(spark, d), D.f_museum(spark, d))
+
+
+@query("artwork_corpus", "O-D11", oracle="""
+SELECT perfume_name AS id, perfume_name AS name, brand, artwork_path AS artwork, description,
+       CAST(len(accords) AS INTEGER) AS n_accords
+FROM f_museum""")
+def artwork_corpus(spark, d):
+    """Museum works written as JSON documents ({"works": [...]}) under the checkpoint folder by
+    Spark, then read back through the corpus reader (explicit schema, multiLine)."""
+    import uuid
+
+    from decantry.session import ensure_checkpoint_dir
+    from decantry.sources import artworks as A
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/artworks-{uuid.uuid4().hex[:12]}"
+    A.write_artworks(D.f_museum(spark, d), path)
+    works = A.read_artworks(spark, path)
+    return works.select("id", "name", "brand", "artwork", "description",
+                        F.size("accords").cast("int").alias("n_accords"))

@@ -37,13 +37,13 @@ CATALOG_SEED = [
     ("Sauvage", "Dior", "2.25", "2.61", "3.39", "5.27"),
 ]
 
-# Fixed values that must equal the reference's: reward settings seed
-# (id, threshold in bookmarks, label, active, sort_order).
+# Fixed values that must equal the reference's: reward settings seed thresholds
+# (id, threshold in bookmarks, active, sort_order). Labels are not needed by any rule.
 REWARD_SEED = [
-    ("reward-30", 30, "Descubrimiento Prelude de 2 ml sorpresa", True, 10),
-    ("reward-75", 75, "Descubrimiento Prelude de 2 ml entre 3 opciones", True, 20),
-    ("reward-150", 150, "Descubrimiento Signature de 5 ml", True, 30),
-    ("reward-250", 250, "Recompensa exclusiva Prelude", True, 40),
+    ("reward-30", 30, True, 10),
+    ("reward-75", 75, True, 20),
+    ("reward-150", 150, True, 30),
+    ("reward-250", 250, True, 40),
 ]
 
 
@@ -54,4 +54,5 @@ def catalog_seed(spark: SparkSession) -> DataFrame:
 
 
 def reward_seed(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REWARD_SEED, "id string, threshold int, reward_label string, active boolean, sort_order int")
+    rows = [(i, t, i, a, o) for i, t, a, o in REWARD_SEED]
+    return spark.createDataFrame(rows, "id string, threshold int, reward_label string, active boolean, sort_order int")

@@ -133,13 +133,15 @@ def stream_lifecycle(events: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def run_to_parquet(spark: SparkSession, updates: DataFrame, name: str = "lifecycle") -> str:
-    """Run ``updates`` until the source is drained (availableNow), appending every micro-batch
+    """Run ``updates`` until the source is drained (availableNow), writing every micro-batch
     to Parquet under the checkpoint folder; returns the output folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{name}-{uuid.uuid4().hex[:12]}"
     out, chk = base + "/out", base + "/_checkpoint"
 
     def sink(df, batch_id):
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        # One folder per micro-batch, overwritten on replay: the sink is idempotent even
+        # though foreachBatch may run a batch again after a failure.
+        df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (updates.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", chk).trigger(availableNow=True).start())
