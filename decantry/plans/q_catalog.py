@@ -247,7 +247,7 @@ def product_requests(spark, d):
     """New-product requests ('purchase' events above 300): recurring names, blank brands, odd
     statuses, missing or negative prices, and names that already exist in the catalogue."""
     e = D.read(spark, d, "events").filter((F.col("event_type") == "purchase") & (F.col("value") > 300))
-    cat = D.f_catalog(spark, d).filter(F.col("id") < 50).select(F.col("id").alias("_pk"), F.col("name").alias("_existing"))
+    cat = D.f_catalog(spark, d).select(F.col("id").alias("_pk"), F.col("name").alias("_existing"))
     v = F.col("value")
     money = v.cast("decimal(12,2)")
     dec = lambda f: F.lit(f).cast("decimal(3,2)")

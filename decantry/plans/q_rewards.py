@@ -160,7 +160,7 @@ def public_museum_published(spark, d):
 
 def museum_edits(spark, d):
     e = D.read(spark, d, "events").filter(F.col("event_type") == "click")
-    cat = D.f_catalog(spark, d).filter(F.col("id") < 50).select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
+    cat = D.f_catalog(spark, d).select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
     v = F.col("value")
     base = e.select((F.col("event_id") % 50).alias("_pk"), F.col("event_id").alias("seq"), v.alias("_v"))
     return (base.join(cat, "_pk", "left").select(

@@ -253,7 +253,7 @@ def f_lifecycle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat items (order_id, name) of the lifecycle orders: three catalogue keys per order."""
     orders = f_lifecycle_orders(spark, sf_dir).select(F.col("id").alias("order_id"))
     _, keys = _lifecycle_order_attrs(F.col("order_id"))
-    cat = (f_catalog(spark, sf_dir).filter(F.col("id") < 50)
+    cat = (f_catalog(spark, sf_dir)
            .select(F.col("id").alias("pk"), "name"))
     return (orders.select("order_id", F.explode(keys).alias("pk"))
             .join(cat, "pk", "left").select("order_id", "name"))
@@ -294,7 +294,7 @@ def f_museum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artwork notifications (one per event); 'view' and 'click' ones have been seen."""
     e = read(spark, sf_dir, "events")
-    cat = f_catalog(spark, sf_dir).filter(F.col("id") < 50).select(F.col("id").alias("_pk"), F.col("name").alias("perfume"))
+    cat = f_catalog(spark, sf_dir).select(F.col("id").alias("_pk"), F.col("name").alias("perfume"))
     oid = F.col("user_id") * 20 + F.col("event_id") % 20
     base = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("customer_id"), oid.alias("order_id"),
                     ((F.col("event_id") * 3) % 50).alias("_pk"),
