@@ -25,17 +25,23 @@ def _chunk(ts: str, unit: str) -> Column:
 def lag_by_key(df: DataFrame, key: str, value: str, out: str, default=None,
                ts: str = "ts", seq: str = "seq", unit: str = DEFAULT_CHUNK) -> DataFrame:
     """``out`` = ``value`` of the previous row of the same key in (ts, seq) order (``default``
-    for the first row), computed chunk-wise so a hot key is spread over many tasks."""
+    for the first row), computed chunk-wise so a hot key is spread over many tasks.
+
+    One window over (key, chunk) yields both the in-chunk lag and each chunk's last value;
+    the chunk summaries (one row per key and chunk) come from that same output, so the
+    input is scanned and shuffled once.
+    """
     c = df.withColumn("_chunk", _chunk(ts, unit))
     w = Window.partitionBy(key, "_chunk").orderBy(ts, seq)
-    inner = c.withColumn("_lag", F.lag(value).over(w))
-    summary = (c.groupBy(key, "_chunk").agg(F.max_by(value, F.struct(ts, seq)).alias("_last"))
-               .withColumn("_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk")))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inner = c.withColumn("_lag", F.lag(value).over(w)).withColumn("_clast", F.last(value).over(whole))
+    summary = (inner.select(key, "_chunk", "_clast").distinct()
+               .withColumn("_carry", F.lag("_clast").over(Window.partitionBy(key).orderBy("_chunk")))
                .select(key, "_chunk", "_carry"))
     fallback = F.lit(default) if default is not None else F.lit(None)
     return (inner.join(summary, [key, "_chunk"], "left")
             .withColumn(out, F.coalesce(F.col("_lag"), F.col("_carry"), fallback))
-            .drop("_chunk", "_lag", "_carry"))
+            .drop("_chunk", "_lag", "_clast", "_carry"))
 
 
 def clamped_totals(deltas: DataFrame, key: str, value: str, ts: str = "ts", seq: str = "seq",
