@@ -26,7 +26,7 @@ def collection_ranking(members: DataFrame, customers: DataFrame, museum: DataFra
     top = part.orderBy(F.col("library_count").desc(), "created_at", "customer_id").limit(top_k)
     w = Window.orderBy(F.col("library_count").desc(), "created_at", "customer_id")
     return top.select(
-        F.row_number().over(w).alias("position"), "customer_id",
+        F.row_number().over(w).cast("bigint").alias("position"), "customer_id",
         F.concat(F.substring("customer_name", 1, 3), F.lit("*** #"), F.col("customer_id").cast("string")).alias("alias"),
         F.col("library_count").cast("bigint").alias("library_count"),
         _level(F.col("library_count"), total).alias("level"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decantry.functions import exprs as X
-from decantry.session import bounded_broadcast, cut_lineage
+from decantry.session import bounded_broadcast, cut_lineage, default_parallelism
 
 ITEM_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("name", T.StringType()),
@@ -93,7 +93,7 @@ def number_orders(orders: DataFrame, order_cols: tuple[str, ...] = ("created_at"
     survive executor loss), count rows per partition (a frame with one row per
     partition), turn the counts into offsets, and number rows *within* each partition.
     """
-    n = num_partitions or orders.sparkSession.sparkContext.defaultParallelism
+    n = num_partitions or default_parallelism(orders.sparkSession)
     keys = [F.col(c) for c in order_cols]
     ranged = (orders.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id()))

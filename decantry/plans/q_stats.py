@@ -102,7 +102,7 @@ def repeat_customers(spark, d):
 SELECT date_trunc('month', o.created_at) AS month, o.delivery_zone, o.status,
        count(*) AS orders, CAST(sum(o.order_total) AS DECIMAL(18,2)) AS revenue,
        CAST(coalesce(sum(t.q), 0) AS DECIMAL(18,2)) AS decants, CAST(coalesce(sum(t.ml), 0) AS DECIMAL(18,2)) AS ml,
-       CAST(grouping(date_trunc('month', o.created_at), o.delivery_zone, o.status) AS INTEGER) AS grouping_id
+       CAST(grouping(date_trunc('month', o.created_at), o.delivery_zone, o.status) AS BIGINT) AS grouping_id
 FROM f_orders o LEFT JOIN (SELECT i.order_id, sum({_QTY}) AS q, sum({_ML} * {_QTY}) AS ml FROM f_items i GROUP BY i.order_id) t
   ON t.order_id = o.id
 GROUP BY CUBE (date_trunc('month', o.created_at), o.delivery_zone, o.status)""")

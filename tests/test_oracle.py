@@ -2,7 +2,7 @@
 
 import pytest
 
-from decantry.plans.compare import compare, duck_connect
+from decantry.plans.compare import compare, duck_connect, type_diff
 from decantry.plans.registry import load_all
 
 QUERIES = load_all()
@@ -15,7 +15,9 @@ def con(sf_small):
 
 @pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if q.oracle))
 def test_matches_oracle(spark, sf_small, con, name):
-    res = compare(QUERIES[name].fn(spark, sf_small), con, QUERIES[name].oracle)
+    df = QUERIES[name].fn(spark, sf_small)
+    assert type_diff(df, con, QUERIES[name].oracle) == {}
+    res = compare(df, con, QUERIES[name].oracle)
     assert res["columns_match"], res
     assert res["spark_rows"] == res["oracle_rows"], res
     assert res["values_match"], res
