@@ -40,6 +40,28 @@ def build_session(master: str | None = None, app: str = "decantry",
     return spark
 
 
+def cluster_conf(total_cores: int, largest_shuffle_bytes: int,
+                 target_partition_bytes: int = 512 << 20) -> dict[str, str]:
+    """Settings for a large cluster, sized from the total cores and the largest expected shuffle.
+
+    The initial shuffle partition count is the larger of 3x the cores and the shuffle volume
+    divided by the target partition size, so every partition fits executor memory without
+    spilling heavily; AQE then coalesces small partitions and splits skewed ones.
+    """
+    parts = max(3 * total_cores, -(-largest_shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, reading ``spark.checkpoint.dir`` first.
 
