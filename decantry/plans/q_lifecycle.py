@@ -32,6 +32,48 @@ WHERE f.status = 'delivered' AND o.customer_id IS NOT NULL AND nullif(trim(i.nam
 
 LIFE_VIEWS = {"final_status": FINAL_SQL, "members": MEMBERS_SQL}
 
+# DuckDB: the ownership fold as a step-by-step recursive walk per (customer, perfume), an
+# independent row-at-a-time formulation of the same rules (state: delivered orders with their
+# run start, the owner, the live notifications).
+FOLD_VIEWS = {
+    "fold_steps": """
+SELECT o.customer_id, i.perfume, t.order_id, o.order_number, o.created_at, t.ts, t.seq, t.entered,
+       row_number() OVER (PARTITION BY o.customer_id, i.perfume ORDER BY t.ts, t.seq) AS k
+FROM (SELECT order_id, ts, seq, new_status = 'delivered' AS entered
+      FROM (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq), 'pending') AS prev
+            FROM f_status_events)
+      WHERE (new_status = 'delivered') <> (prev = 'delivered')) t
+JOIN f_lifecycle_orders o ON o.id = t.order_id
+JOIN (SELECT DISTINCT order_id, trim(name) AS perfume FROM f_lifecycle_items WHERE nullif(trim(name), '') IS NOT NULL) i
+  ON i.order_id = t.order_id
+WHERE o.customer_id IS NOT NULL""",
+    "fold_walk": """
+SELECT customer_id, perfume, k,
+       [{'d': ts, 'c': created_at, 'n': order_number, 'o': order_id}] AS dl,
+       {'o': order_id, 'n': order_number} AS owner,
+       [{'o': order_id, 'n': order_number, 't': ts}] AS notes
+FROM fold_steps WHERE k = 1
+UNION ALL
+SELECT s.customer_id, s.perfume, s.k,
+       CASE WHEN s.entered THEN list_append(w.dl, {'d': s.ts, 'c': s.created_at, 'n': s.order_number, 'o': s.order_id})
+            ELSE list_filter(w.dl, lambda x: x.o <> s.order_id) END,
+       CASE WHEN s.entered THEN coalesce(w.owner, {'o': s.order_id, 'n': s.order_number})
+            WHEN w.owner.o = s.order_id THEN
+              (SELECT CASE WHEN b.o IS NULL THEN NULL ELSE {'o': b.o, 'n': b.n} END
+               FROM (SELECT list_reverse_sort(list_filter(w.dl, lambda x: x.o <> s.order_id))[1] AS b))
+            ELSE w.owner END,
+       CASE WHEN s.entered AND w.owner IS NULL THEN list_append(w.notes, {'o': s.order_id, 'n': s.order_number, 't': s.ts})
+            WHEN s.entered THEN w.notes
+            ELSE list_filter(w.notes, lambda x: x.o <> s.order_id) END
+FROM fold_walk w JOIN fold_steps s ON s.customer_id = w.customer_id AND s.perfume = w.perfume AND s.k = w.k + 1""",
+    "fold_final": """
+SELECT w.* FROM fold_walk w
+JOIN (SELECT customer_id, perfume, max(k) AS mk FROM fold_steps GROUP BY customer_id, perfume) m
+  ON m.customer_id = w.customer_id AND m.perfume = w.perfume AND w.k = m.mk""",
+}
+FOLD_LIBRARY_SQL = """
+SELECT customer_id, perfume, 'ORDER-' || owner.n AS source_code FROM fold_final WHERE owner IS NOT NULL"""
+
 
 @memo_view
 def _events(spark, d):
@@ -120,12 +162,14 @@ def collection_members(spark, d):
     return _members(spark, d)
 
 
-@query("collection_sources", "O-B5")
+@query("collection_sources", "O-B5", oracle=FOLD_LIBRARY_SQL, extra_views=FOLD_VIEWS)
 def collection_sources(spark, d):
     return FO.collection_sources(_events(spark, d), D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
 
 
-@query("unlock_notifications", "O-B6")
+@query("unlock_notifications", "O-B6", oracle="""
+SELECT customer_id, perfume, n.o AS order_id, n.n AS order_number, n.t AS created_at
+FROM (SELECT customer_id, perfume, unnest(notes) AS n FROM fold_final)""", extra_views=FOLD_VIEWS)
 def unlock_notifications(spark, d):
     return FO.unlock_notifications(_events(spark, d), D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
 
@@ -238,7 +282,7 @@ def collection_completeness(spark, d):
     return L.collection_completeness(D.f_customers(spark, d), _members(spark, d), D.f_museum(spark, d))
 
 
-@query("stream_lifecycle", "O-B11")
+@query("stream_lifecycle", "O-B11", oracle=FOLD_LIBRARY_SQL, extra_views=FOLD_VIEWS)
 def stream_lifecycle(spark, d):
     """Run the lifecycle stream over the events table (file source, availableNow) and return
     the final library rows per customer, read back from the stream's Parquet sink."""
