@@ -268,3 +268,18 @@ def seed_fill_blank(snapshot: DataFrame, seed: DataFrame, key: str, col: str) ->
                               .otherwise(F.col(c)).alias(c) if c == col else F.col(c) for c in snapshot.columns])
     missing = seed.join(snapshot.select(key), key, "left_anti")
     return updated.unionByName(missing, allowMissingColumns=True)
+
+
+def museum_rows_for_new_products(museum: DataFrame, created: DataFrame) -> DataFrame:
+    """Every accepted new product upserts its museum work: new works start unpublished with an
+    empty artwork and text; an existing work only gets the new brand. Later requests for the
+    same name were rejected as duplicates, so there is one accepted row per name."""
+    ok = created.filter(F.col("reject_reason").isNull()).select(F.col("name").alias("perfume_name"),
+                                                                F.col("brand").alias("_brand"))
+    merged = museum.join(ok, "perfume_name", "full")
+    return merged.select(
+        "perfume_name",
+        F.coalesce(F.col("_brand"), F.col("brand")).alias("brand"),
+        F.coalesce(F.col("artwork_path"), F.lit("")).alias("artwork_path"),
+        F.coalesce(F.col("description"), F.lit("")).alias("description"),
+        F.coalesce(F.col("published"), F.lit(False)).alias("published"))

@@ -91,19 +91,19 @@ def catalog_changes(spark, d):
     money = v.cast("decimal(12,2)")
     kind = (F.when(F.col("event_type") == "view", "status").when(F.col("event_type") == "click", "prices")
             .when(F.col("event_type") == "purchase", "stock").when(F.col("event_type") == "signup", "image")
-            .when(v < 100, "delete").otherwise("active"))
-    status = (F.when(v < 100, " Published ").when(v < 200, "upcoming").when(v < 300, "HIDDEN")
-              .when(v < 400, "bogus").otherwise("published"))
+            .when(v < 30, "delete").otherwise("active"))
+    status = (F.when(v < 15, " Published ").when(v < 35, "upcoming").when(v < 70, "HIDDEN")
+              .when(v < 90, "bogus").otherwise("published"))
     dec = lambda f: F.lit(f).cast("decimal(3,2)")
     return e.select(
         (F.get_json_object("props", "$.k").cast("bigint") * 20 + F.col("user_id") % 20).alias("catalog_id"),
         F.col("event_id").alias("seq"), F.col("ts").alias("change_ts"), kind.alias("kind"),
         status.alias("new_status"),
-        F.when(v < 20, F.lit(0).cast("decimal(15,4)")).otherwise(money * dec("0.01")).alias("price_2ml"),
+        F.when(v < 3, F.lit(0).cast("decimal(15,4)")).otherwise(money * dec("0.01")).alias("price_2ml"),
         (money * dec("0.02")).alias("price_3ml"), (money * dec("0.03")).alias("price_5ml"),
-        F.when(v > 450, F.lit(None).cast("decimal(15,4)")).otherwise(money * dec("0.05")).alias("price_10ml"),
+        F.when(v > 100, F.lit(None).cast("decimal(15,4)")).otherwise(money * dec("0.05")).alias("price_10ml"),
         (money * F.lit(10) - F.lit(500)).alias("available_ml"), (money * dec("0.10")).alias("threshold_ml"),
-        F.when(v < 100, F.lit("   ")).otherwise(F.concat(F.lit("img/new-"), F.col("event_id").cast("string"), F.lit(".webp"))).alias("image_url"),
+        F.when(v < 10, F.lit("   ")).otherwise(F.concat(F.lit("img/new-"), F.col("event_id").cast("string"), F.lit(".webp"))).alias("image_url"),
         (F.floor(v) % 2 == 0).alias("active_flag"))
 
 
@@ -111,16 +111,16 @@ CHANGES_SQL = """
 SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) * 20 + user_id % 20 AS catalog_id,
        event_id AS seq, ts AS change_ts,
        CASE event_type WHEN 'view' THEN 'status' WHEN 'click' THEN 'prices' WHEN 'purchase' THEN 'stock'
-            WHEN 'signup' THEN 'image' ELSE CASE WHEN value < 100 THEN 'delete' ELSE 'active' END END AS kind,
-       CASE WHEN value < 100 THEN ' Published ' WHEN value < 200 THEN 'upcoming' WHEN value < 300 THEN 'HIDDEN'
-            WHEN value < 400 THEN 'bogus' ELSE 'published' END AS new_status,
-       CASE WHEN value < 20 THEN CAST(0 AS DECIMAL(15,4)) ELSE CAST(value AS DECIMAL(12,2)) * CAST(0.01 AS DECIMAL(3,2)) END AS price_2ml,
+            WHEN 'signup' THEN 'image' ELSE CASE WHEN value < 30 THEN 'delete' ELSE 'active' END END AS kind,
+       CASE WHEN value < 15 THEN ' Published ' WHEN value < 35 THEN 'upcoming' WHEN value < 70 THEN 'HIDDEN'
+            WHEN value < 90 THEN 'bogus' ELSE 'published' END AS new_status,
+       CASE WHEN value < 3 THEN CAST(0 AS DECIMAL(15,4)) ELSE CAST(value AS DECIMAL(12,2)) * CAST(0.01 AS DECIMAL(3,2)) END AS price_2ml,
        CAST(value AS DECIMAL(12,2)) * CAST(0.02 AS DECIMAL(3,2)) AS price_3ml,
        CAST(value AS DECIMAL(12,2)) * CAST(0.03 AS DECIMAL(3,2)) AS price_5ml,
-       CASE WHEN value > 450 THEN NULL ELSE CAST(value AS DECIMAL(12,2)) * CAST(0.05 AS DECIMAL(3,2)) END AS price_10ml,
+       CASE WHEN value > 100 THEN NULL ELSE CAST(value AS DECIMAL(12,2)) * CAST(0.05 AS DECIMAL(3,2)) END AS price_10ml,
        CAST(value AS DECIMAL(12,2)) * 10 - 500 AS available_ml,
        CAST(value AS DECIMAL(12,2)) * CAST(0.10 AS DECIMAL(3,2)) AS threshold_ml,
-       CASE WHEN value < 100 THEN '   ' ELSE 'img/new-' || CAST(event_id AS VARCHAR) || '.webp' END AS image_url,
+       CASE WHEN value < 10 THEN '   ' ELSE 'img/new-' || CAST(event_id AS VARCHAR) || '.webp' END AS image_url,
        floor(value) % 2 = 0 AS active_flag
 FROM events"""
 
@@ -246,7 +246,7 @@ def apply_active_flags(spark, d):
 def product_requests(spark, d):
     """New-product requests ('purchase' events above 300): recurring names, blank brands, odd
     statuses, missing or negative prices, and names that already exist in the catalogue."""
-    e = D.read(spark, d, "events").filter((F.col("event_type") == "purchase") & (F.col("value") > 300))
+    e = D.read(spark, d, "events").filter((F.col("event_type") == "purchase") & (F.col("value") > 50))
     cat = D.f_catalog(spark, d).select(F.col("id").alias("_pk"), F.col("name").alias("_existing"))
     v = F.col("value")
     money = v.cast("decimal(12,2)")
@@ -254,35 +254,36 @@ def product_requests(spark, d):
     no_price = F.col("event_id") % 3 == 0
     base = e.select(F.col("event_id").alias("seq"), (F.col("event_id") % 50).alias("_pk"), v.alias("_v"),
                     F.concat(F.lit("New "), (F.col("event_id") % 40).cast("string")).alias("_new"),
-                    F.when(v > 480, F.lit(" ")).otherwise(F.concat(F.lit("Brand#"), F.col("user_id").cast("string"))).alias("brand"),
-                    F.when(v < 330, F.lit("published")).when(v < 360, F.lit(" Upcoming ")).when(v < 390, F.lit("hidden"))
-                     .when(v < 400, F.lit("secret")).otherwise(F.lit(None).cast("string")).alias("new_status"),
+                    F.when(v > 200, F.lit(" ")).otherwise(F.concat(F.lit("Brand#"), F.col("user_id").cast("string"))).alias("brand"),
+                    F.when(v < 70, F.lit("published")).when(v < 90, F.lit(" Upcoming ")).when(v < 110, F.lit("hidden"))
+                     .when(v < 120, F.lit("secret")).otherwise(F.lit(None).cast("string")).alias("new_status"),
                     F.when(no_price, F.lit(None)).otherwise(money * dec("0.01")).alias("price_2ml"),
                     F.when(no_price, F.lit(None)).otherwise(money * dec("0.02")).alias("price_3ml"),
-                    F.when(no_price, F.lit(None)).when((v > 440) & (v < 445), -money).otherwise(money * dec("0.03")).alias("price_5ml"),
+                    F.when(no_price, F.lit(None)).when((v > 95) & (v < 100), -money).otherwise(money * dec("0.03")).alias("price_5ml"),
                     F.when(no_price, F.lit(None)).otherwise(money * dec("0.05")).alias("price_10ml"),
                     F.concat(F.lit(" img/p"), F.col("event_id").cast("string"), F.lit(".webp ")).alias("image_url"))
     return (base.join(cat, "_pk", "left")
-            .withColumn("name", F.when(F.col("_v") > 470, F.col("_existing")).otherwise(F.col("_new")))
+            .withColumn("name", F.when(F.col("_v") > 150, F.col("_existing")).otherwise(F.col("_new")))
             .drop("_pk", "_v", "_new", "_existing"))
 
 
-@query("create_products", "O-C4", oracle="""
+CREATE_CTES = """
 , req AS (
   SELECT e.event_id AS seq, e.value AS v,
-         CASE WHEN e.value > 470 THEN c.name ELSE 'New ' || CAST(e.event_id % 40 AS VARCHAR) END AS name,
-         CASE WHEN e.value > 480 THEN ' ' ELSE 'Brand#' || CAST(e.user_id AS VARCHAR) END AS brand,
-         CASE WHEN e.value < 330 THEN 'published' WHEN e.value < 360 THEN ' Upcoming ' WHEN e.value < 390 THEN 'hidden'
-              WHEN e.value < 400 THEN 'secret' END AS new_status,
+         CASE WHEN e.value > 150 THEN c.name ELSE 'New ' || CAST(e.event_id % 40 AS VARCHAR) END AS name,
+         CASE WHEN e.value > 200 THEN ' ' ELSE 'Brand#' || CAST(e.user_id AS VARCHAR) END AS brand,
+         CASE WHEN e.value < 70 THEN 'published' WHEN e.value < 90 THEN ' Upcoming ' WHEN e.value < 110 THEN 'hidden'
+              WHEN e.value < 120 THEN 'secret' END AS new_status,
          CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE CAST(e.value AS DECIMAL(12,2)) * CAST(0.01 AS DECIMAL(3,2)) END AS p2,
          CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE CAST(e.value AS DECIMAL(12,2)) * CAST(0.02 AS DECIMAL(3,2)) END AS p3,
-         CASE WHEN e.event_id % 3 = 0 THEN NULL WHEN e.value > 440 AND e.value < 445 THEN -CAST(e.value AS DECIMAL(12,2))
+         CASE WHEN e.event_id % 3 = 0 THEN NULL WHEN e.value > 95 AND e.value < 100 THEN -CAST(e.value AS DECIMAL(12,2))
               ELSE CAST(e.value AS DECIMAL(12,2)) * CAST(0.03 AS DECIMAL(3,2)) END AS p5,
          CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE CAST(e.value AS DECIMAL(12,2)) * CAST(0.05 AS DECIMAL(3,2)) END AS p10,
          ' img/p' || CAST(e.event_id AS VARCHAR) || '.webp ' AS image_url
   FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % 50
-  WHERE e.event_type = 'purchase' AND e.value > 300),
-n AS (SELECT *, lower(trim(coalesce(new_status, 'upcoming'))) AS st, trim(name) AS tname FROM req)
+  WHERE e.event_type = 'purchase' AND e.value > 50),
+n AS (SELECT *, lower(trim(coalesce(new_status, 'upcoming'))) AS st, trim(name) AS tname FROM req),
+created AS (
 SELECT n.seq, n.tname AS name, trim(n.brand) AS brand, nullif(trim(n.image_url), '') AS image_url,
        CAST(round(p2, 2) AS DECIMAL(10,2)) AS price_2ml, CAST(round(p3, 2) AS DECIMAL(10,2)) AS price_3ml,
        CAST(round(p5, 2) AS DECIMAL(10,2)) AS price_5ml, CAST(round(p10, 2) AS DECIMAL(10,2)) AS price_10ml,
@@ -294,7 +295,12 @@ SELECT n.seq, n.tname AS name, trim(n.brand) AS brand, nullif(trim(n.image_url),
             WHEN n.tname IN (SELECT name FROM f_catalog)
               OR n.seq <> (SELECT min(m.seq) FROM n m WHERE m.tname = n.tname AND coalesce(m.tname, '') <> '') THEN 'duplicate_name'
        END AS reject_reason
-FROM n""")
+FROM n)"""
+
+CREATE_SQL = CREATE_CTES + "\nSELECT * FROM created"
+
+
+@query("create_products", "O-C4", oracle=CREATE_SQL)
 def create_products(spark, d):
     return C.create_products(D.f_catalog(spark, d), product_requests(spark, d))
 
@@ -334,3 +340,15 @@ def seed_catalog_if_absent(spark, d):
                                      F.concat(F.col("n_name"), F.lit(" #N"), F.col("n_nationkey").cast("string")).alias("name"),
                                      F.concat(F.lit("Brand#N"), F.col("n_nationkey").cast("string")).alias("brand"))))
     return C.seed_if_absent(cat, seed, ["name"])
+
+
+
+@query("create_products_museum", "O-C4", oracle=CREATE_CTES + """
+SELECT coalesce(m.perfume_name, c.name) AS perfume_name, coalesce(c.brand, m.brand) AS brand,
+       coalesce(m.artwork_path, '') AS artwork_path, coalesce(m.description, '') AS description,
+       coalesce(m.published, false) AS published
+FROM f_museum m FULL JOIN (SELECT name, brand FROM created WHERE reject_reason IS NULL) c ON c.name = m.perfume_name""")
+def create_products_museum(spark, d):
+    """Museum after the batch of new products: new works unpublished, existing ones re-branded."""
+    created = C.create_products(D.f_catalog(spark, d), product_requests(spark, d))
+    return C.museum_rows_for_new_products(D.f_museum(spark, d).drop("accords"), created)

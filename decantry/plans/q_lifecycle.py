@@ -119,8 +119,8 @@ def loyalty_balance(spark, d):
 
 
 def _resets(spark, d):
-    """Bookmark resets (O-F7) arrive as 'signup' events above 400: the balance restarts at 0."""
-    e = D.read(spark, d, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 400))
+    """Bookmark resets (O-F7) arrive as 'signup' events above 100: the balance restarts at 0."""
+    e = D.read(spark, d, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 100))
     return e.select(F.col("user_id").alias("customer_id"), "ts", F.col("event_id").alias("seq"),
                     F.lit(0).cast("bigint").alias("start_value"))
 
@@ -134,7 +134,7 @@ def _resets(spark, d):
         FROM (SELECT *, lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq) AS prev FROM f_status_events)) t
   JOIN f_lifecycle_orders o ON o.id = t.order_id
   WHERE t.entered OR t.leaving),
-resets AS (SELECT user_id AS customer_id, ts, event_id AS seq FROM events WHERE event_type = 'signup' AND value > 400),
+resets AS (SELECT user_id AS customer_id, ts, event_id AS seq FROM events WHERE event_type = 'signup' AND value > 100),
 steps AS (
   SELECT customer_id, ts, seq, delta, 0 AS is_reset FROM deltas
   UNION ALL SELECT customer_id, ts, seq, 0 AS delta, 1 AS is_reset FROM resets),
@@ -195,7 +195,7 @@ def manual_changes(spark, d):
     """Studio unlock (click) / lock (error) requests; some name unknown customers or blank perfumes."""
     e = D.read(spark, d, "events").filter(F.col("event_type").isin("click", "error"))
     cat = D.f_catalog(spark, d).select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
-    base = e.select(F.when(F.col("value") > 480, F.col("user_id") + 1000000).otherwise(F.col("user_id")).alias("customer_id"),
+    base = e.select(F.when(F.col("value") > 150, F.col("user_id") + 1000000).otherwise(F.col("user_id")).alias("customer_id"),
                     (F.col("event_id") % 50).alias("_pk"), (F.col("event_id") % 97 == 0).alias("_blank"),
                     (F.col("event_type") == "click").alias("unlocked"), "ts", F.col("event_id").alias("seq"))
     return (base.join(cat, "_pk", "left")
@@ -204,7 +204,7 @@ def manual_changes(spark, d):
 
 
 CHANGES_SQL = """
-SELECT CASE WHEN e.value > 480 THEN e.user_id + 1000000 ELSE e.user_id END AS customer_id,
+SELECT CASE WHEN e.value > 150 THEN e.user_id + 1000000 ELSE e.user_id END AS customer_id,
        CASE WHEN e.event_id % 97 = 0 THEN '  ' ELSE c.name END AS perfume,
        e.event_type = 'click' AS unlocked, e.ts, e.event_id AS seq
 FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % 50

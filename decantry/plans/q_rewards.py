@@ -30,16 +30,16 @@ def reward_edits(spark, d):
                     F.col("event_id").alias("seq"),
                     (F.floor(v * 1000) - 1000).cast("int").alias("threshold"),
                     F.concat(F.lit("  Edited "), F.col("event_id").cast("string"), F.lit("  ")).alias("reward_label"),
-                    F.when(v > 400, F.lit(None).cast("boolean")).otherwise(v > 100).alias("active"),
-                    F.when(v < 50, F.lit(None).cast("int")).otherwise(F.floor(v).cast("int")).alias("sort_order"))
+                    F.when(v > 100, F.lit(None).cast("boolean")).otherwise(v > 30).alias("active"),
+                    F.when(v < 10, F.lit(None).cast("int")).otherwise(F.floor(v).cast("int")).alias("sort_order"))
 
 
 EDITS_SQL = """
 SELECT 'reward-' || CAST(user_id % 150 AS VARCHAR) AS id, event_id AS seq,
        CAST(floor(value * 1000) - 1000 AS INTEGER) AS threshold,
        '  Edited ' || CAST(event_id AS VARCHAR) || '  ' AS reward_label,
-       CASE WHEN value > 400 THEN NULL ELSE value > 100 END AS active,
-       CASE WHEN value < 50 THEN NULL ELSE CAST(floor(value) AS INTEGER) END AS sort_order
+       CASE WHEN value > 100 THEN NULL ELSE value > 30 END AS active,
+       CASE WHEN value < 10 THEN NULL ELSE CAST(floor(value) AS INTEGER) END AS sort_order
 FROM events WHERE event_type = 'view'"""
 
 
@@ -73,7 +73,7 @@ SELECT event_id AS seq,
                           || trim(CASE WHEN value < 25 THEN '   ' ELSE 'Reward ' || CAST(event_id AS VARCHAR) END)), 1, 32) AS id,
        CAST(floor(value) AS INTEGER) - 10 AS threshold,
        trim(CASE WHEN value < 25 THEN '   ' ELSE 'Reward ' || CAST(event_id AS VARCHAR) END) AS reward_label,
-       NOT (value > 450) AS active, CAST(floor(value) AS INTEGER) - 10 AS sort_order,
+       NOT (value > 100) AS active, CAST(floor(value) AS INTEGER) - 10 AS sort_order,
        CASE WHEN CAST(floor(value) AS INTEGER) - 10 < 1 OR value < 25 THEN 'invalid_reward' END AS reject_reason
 FROM events WHERE event_type = 'purchase'""")
 def create_rewards(spark, d):
@@ -81,7 +81,7 @@ def create_rewards(spark, d):
     v = F.col("value")
     req = e.select(F.col("event_id").alias("seq"), (F.floor(v).cast("int") - 10).alias("threshold"),
                    F.when(v < 25, F.lit("   ")).otherwise(F.concat(F.lit("Reward "), F.col("event_id").cast("string"))).alias("reward_label"),
-                   (~(v > 450)).alias("active"))
+                   (~(v > 100)).alias("active"))
     return R.create_rewards(req)
 
 
@@ -164,11 +164,11 @@ def museum_edits(spark, d):
     v = F.col("value")
     base = e.select((F.col("event_id") % 50).alias("_pk"), F.col("event_id").alias("seq"), v.alias("_v"))
     return (base.join(cat, "_pk", "left").select(
-        F.when(F.col("_v") > 450, F.concat(F.lit("unknown #"), F.col("seq").cast("string"))).otherwise(F.col("_name")).alias("perfume_name"),
+        F.when(F.col("_v") > 120, F.concat(F.lit("unknown #"), F.col("seq").cast("string"))).otherwise(F.col("_name")).alias("perfume_name"),
         "seq",
         F.concat(F.lit("  art/"), F.col("seq").cast("string"), F.lit(".webp ")).alias("artwork_path"),
         F.concat(F.lit(" edited "), F.col("seq").cast("string")).alias("description"),
-        F.when(F.col("_v") < 100, F.lit(None).cast("boolean")).otherwise(F.col("_v") > 250).alias("published")))
+        F.when(F.col("_v") < 20, F.lit(None).cast("boolean")).otherwise(F.col("_v") > 50).alias("published")))
 
 
 @query("apply_museum_edits", "O-D10", oracle="""
@@ -177,10 +177,10 @@ SELECT m.perfume_name, m.brand, coalesce(l.artwork_path, m.artwork_path) AS artw
 FROM f_museum m LEFT JOIN (
   SELECT perfume_name, arg_max(trim(artwork_path), seq) AS artwork_path, arg_max(trim(description), seq) AS description,
          arg_max(coalesce(published, true), seq) AS published
-  FROM (SELECT CASE WHEN e.value > 450 THEN 'unknown #' || CAST(e.event_id AS VARCHAR) ELSE c.name END AS perfume_name,
+  FROM (SELECT CASE WHEN e.value > 120 THEN 'unknown #' || CAST(e.event_id AS VARCHAR) ELSE c.name END AS perfume_name,
                e.event_id AS seq, '  art/' || CAST(e.event_id AS VARCHAR) || '.webp ' AS artwork_path,
                ' edited ' || CAST(e.event_id AS VARCHAR) AS description,
-               CASE WHEN e.value < 100 THEN NULL ELSE e.value > 250 END AS published
+               CASE WHEN e.value < 20 THEN NULL ELSE e.value > 50 END AS published
         FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % 50 WHERE e.event_type = 'click')
   GROUP BY perfume_name) l ON l.perfume_name = m.perfume_name""")
 def apply_museum_edits(spark, d):
