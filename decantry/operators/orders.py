@@ -89,24 +89,27 @@ def number_orders(orders: DataFrame, order_cols: tuple[str, ...] = ("created_at"
                   start: int = 1, num_partitions: int | None = None) -> DataFrame:
     """Assign dense order numbers ``P-00001``... in ``order_cols`` order, without a global window.
 
-    Range-partition on the sort key, checkpoint (so partition contents are fixed and
-    survive executor loss), count rows per partition (a frame with one row per
-    partition), turn the counts into offsets, and number rows *within* each partition.
+    Range-partition on the sort key and sort within partitions, then checkpoint: partition
+    contents and order are fixed from here on (and survive executor loss). On the
+    checkpointed rows ``monotonically_increasing_id`` carries the partition index in its
+    high bits and the row's position in its low 33 bits, so per-partition counts give
+    offsets (a frame with one row per partition, broadcast) and each row's number is
+    offset + position: no shuffle of the orders after the range partitioning.
     """
     n = num_partitions or default_parallelism(orders.sparkSession)
     keys = [F.col(c) for c in order_cols]
-    ranged = (orders.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id()))
-    ranged = cut_lineage(ranged)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(orders.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    tagged = (tagged.withColumn("_pid", F.shiftright("_mid", 33))
+              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: a bounded frame, so an unpartitioned window is fine here.
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    w = Window.partitionBy("_pid").orderBy(*keys)
-    seq = F.row_number().over(w) + F.col("_off") + F.lit(start - 1)
-    return (ranged.join(F.broadcast(offsets), "_pid")
+    seq = F.col("_off") + F.col("_pos") + F.lit(start)
+    return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn("seq", seq.cast("bigint"))
             .withColumn("order_number", X.order_number(F.col("seq")))
-            .drop("_pid", "_off"))
+            .drop("_mid", "_pid", "_pos", "_off"))
 
 
 # ---------------------------------------------------------------- O-A3 / O-A4 listings

@@ -60,6 +60,9 @@ def cluster_conf(total_cores: int, largest_shuffle_bytes: int,
         "spark.sql.files.maxPartitionBytes": str(128 << 20),
         "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
         "spark.sql.session.timeZone": "UTC",
+        # Streaming state (per-customer lifecycle) kept in RocksDB instead of the JVM heap.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
 
 
