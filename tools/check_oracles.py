@@ -1,11 +1,14 @@
 """Developer check: run registered queries against their DuckDB oracle.
 
-usage: python tools_check.py [sf_dir] [name-substring ...]
+usage: python tools/check_oracles.py [sf_dir] [name-substring ...]
 """
 import json
+import os
 import sys
 import time
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 from decantry.plans.compare import compare, duck_connect
 from decantry.plans.registry import load_all
 from decantry.session import build_session
