@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 ORDER_STATUSES = ["pending", "preparing", "ready", "delivered", "cancelled"]
 CATALOG_STATUSES = ["published", "upcoming", "hidden"]
 MANUAL_SOURCE = "MANUAL-STUDIO"
+MANUAL_NOTE_NUMBER = "MANUAL"
 ORDER_SOURCE_PREFIX = "ORDER-"
 ORDER_NUMBER_PREFIX = "P-"
 ORDER_NUMBER_WIDTH = 5
@@ -73,7 +74,7 @@ def order_number(seq: str | Column, width: int = ORDER_NUMBER_WIDTH) -> Column:
 
 
 def catalog_rank_admin(status: str | Column) -> Column:
-    """upcoming 0, published 1, anything else 2 (studio list order)."""
+    """upcoming 0, published 1, anything else 2 (admin list order)."""
     s = col(status)
     return F.when(s == "upcoming", 0).when(s == "published", 1).otherwise(2)
 

@@ -56,7 +56,7 @@ def sold_ml_by_name(orders: DataFrame, items: DataFrame, names: DataFrame | None
 
 def catalog_with_stock(catalog: DataFrame, orders: DataFrame, items: DataFrame,
                        names: DataFrame | None = None) -> DataFrame:
-    """Studio stock list: sold ml, available ml (clamped at 0, null when no stock set)."""
+    """Admin stock list: sold ml, available ml (clamped at 0, null when no stock set)."""
     sold = sold_ml_by_name(orders, items, names)
     live = catalog.filter(F.col("deleted_at").isNull())
     sold_ml = F.coalesce(F.col("sold_ml_raw"), F.lit(0))

@@ -70,7 +70,7 @@ def customer_360(customers: DataFrame, orders: DataFrame, members: DataFrame, ba
 
 
 def apply_customer_edits(customers: DataFrame, balances: DataFrame, edits: DataFrame) -> DataFrame:
-    """Studio edits set name, phone, bookmarks and total absolutely; the last edit wins."""
+    """Admin edits set name, phone, bookmarks and total absolutely; the last edit wins."""
     vals = F.struct("customer_name", "customer_phone", F.col("bookmarks").cast("bigint").alias("bookmarks"),
                     F.col("total_spent").cast("decimal(18,2)").alias("total_spent"))
     last = edits.groupBy("customer_id").agg(F.max_by(vals, F.col("seq")).alias("_e"))

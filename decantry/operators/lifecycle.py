@@ -168,7 +168,7 @@ def apply_manual_unlocks(library: DataFrame, notifications: DataFrame, customers
     new_notes = add.select(F.concat(F.lit("manual-"), F.col("customer_id").cast("string"), F.lit("-"),
                                     F.col("perfume")).alias("id"),
                            "customer_id", F.lit(None).cast(notifications.schema["order_id"].dataType).alias("order_id"),
-                           "perfume", F.lit("MANUAL").alias("order_number"),
+                           "perfume", F.lit(X.MANUAL_NOTE_NUMBER).alias("order_number"),
                            F.lit(None).cast("timestamp_ntz").alias("seen_at"),
                            F.col("_unlock_ts").cast("timestamp_ntz").alias("created_at"))
     locked_keys = per_key.filter(F.col("_last_lock_seq").isNotNull()).select("customer_id", "perfume")

@@ -84,7 +84,7 @@ def low_stock(spark, d):
 
 # ---------------------------------------------------------------- change feed (events)
 def catalog_changes(spark, d):
-    """Studio catalogue changes, one per event: the target product comes from the event's
+    """Admin catalogue changes, one per event: the target product comes from the event's
     ``k`` (x20 + user % 20); the kind from the event type (error: delete below 100, else active)."""
     e = D.read(spark, d, "events")
     v = F.col("value")

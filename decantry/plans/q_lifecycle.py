@@ -192,7 +192,7 @@ WHERE f.status = 'delivered' GROUP BY o.customer_id, trim(i.name)"""
 
 
 def manual_changes(spark, d):
-    """Studio unlock (click) / lock (error) requests; some name unknown customers or blank perfumes."""
+    """Admin unlock (click) / lock (error) requests; some name unknown customers or blank perfumes."""
     e = D.read(spark, d, "events").filter(F.col("event_type").isin("click", "error"))
     cat = D.f_catalog(spark, d).select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
     base = e.select(F.when(F.col("value") > 150, F.col("user_id") + 1000000).otherwise(F.col("user_id")).alias("customer_id"),
