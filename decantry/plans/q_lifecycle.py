@@ -293,3 +293,49 @@ def stream_lifecycle(spark, d):
     views = S.latest_views(spark, out)
     return (views.filter(F.col("record") == "library")
             .select("customer_id", "perfume", "source_code"))
+
+
+@query("manual_unlock_notifications", "O-B7", oracle="""
+, ok AS (SELECT customer_id, trim(perfume) AS perfume, unlocked, ts, seq FROM changes
+         WHERE customer_id IN (SELECT id FROM f_customers) AND coalesce(trim(perfume), '') <> ''),
+per_key AS (SELECT customer_id, perfume, arg_max(unlocked, seq) AS last_unlock,
+                   max(CASE WHEN NOT unlocked THEN seq END) AS last_lock
+            FROM ok GROUP BY customer_id, perfume),
+first_unlock AS (SELECT o.customer_id, o.perfume, arg_min(o.ts, o.seq) AS uts
+                 FROM ok o JOIN per_key k ON k.customer_id = o.customer_id AND k.perfume = o.perfume
+                 WHERE o.unlocked AND (k.last_lock IS NULL OR o.seq > k.last_lock)
+                 GROUP BY o.customer_id, o.perfume)
+SELECT n.customer_id, n.perfume, n.order_number, n.seen_at, n.created_at
+FROM f_notifications n
+WHERE n.seen_at IS NOT NULL OR NOT EXISTS (
+  SELECT 1 FROM per_key k WHERE k.customer_id = n.customer_id AND k.perfume = n.perfume AND k.last_lock IS NOT NULL)
+UNION ALL
+SELECT k.customer_id, k.perfume, 'MANUAL', CAST(NULL AS TIMESTAMP), f.uts
+FROM per_key k JOIN first_unlock f ON f.customer_id = k.customer_id AND f.perfume = k.perfume
+WHERE k.last_unlock AND (k.last_lock IS NOT NULL OR NOT EXISTS (
+  SELECT 1 FROM f_notifications n WHERE n.customer_id = k.customer_id AND n.perfume = k.perfume AND n.seen_at IS NULL))""",
+       extra_views={**LIFE_VIEWS, "library": LIBRARY_SQL, "changes": CHANGES_SQL})
+def manual_unlock_notifications(spark, d):
+    """Notifications after the manual batch: unseen ones of locked keys are gone, a MANUAL one
+    appears where the batch ends unlocked and no unseen notification survives."""
+    _, notes, _ = L.apply_manual_unlocks(_library_snapshot(spark, d), D.f_notifications(spark, d),
+                                         D.f_customers(spark, d), manual_changes(spark, d))
+    return notes.select("customer_id", "perfume", "order_number", "seen_at", "created_at")
+
+
+@query("mark_seen_notifications", "O-B9", oracle="""
+SELECT n.id, n.customer_id, coalesce(n.seen_at, s.first_seen) AS seen_at
+FROM f_notifications n LEFT JOIN (
+  SELECT x.id, min(e.ts) AS first_seen
+  FROM events e, unnest([e.event_id - 1, e.event_id - 2, e.event_id - 3, e.event_id - 5, e.event_id - 8]) AS x(id),
+       f_notifications n2
+  WHERE e.event_type = 'click' AND n2.id = x.id AND n2.customer_id = e.user_id
+  GROUP BY x.id) s ON s.id = n.id""")
+def mark_seen_notifications(spark, d):
+    """Notifications after the mark-seen requests: seen_at = the first request time that listed
+    the id (for the caller's own notifications), unless already seen."""
+    cred = credentials(spark, d)
+    reqs = seen_requests(spark, d)
+    prof = O.resolve_profiles(cred.join(reqs.select("request_id"), "request_id", "left_semi"), D.f_customers(spark, d))
+    _, after = L.mark_seen(prof, D.f_notifications(spark, d), reqs)
+    return after.select("id", "customer_id", "seen_at")
