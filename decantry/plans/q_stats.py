@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from decantry.operators import stats as S
 from decantry.plans.q_lifecycle import LIFE_VIEWS, _members
 from decantry.plans.q_rewards import BALANCES_SQL, snapshot_balances
@@ -119,3 +121,22 @@ SELECT (SELECT count(*) FROM f_customers) AS customers,
        extra_views={**LIFE_VIEWS, "balances": BALANCES_SQL})
 def dashboard(spark, d):
     return S.dashboard(D.f_customers(spark, d), snapshot_balances(spark, d), _members(spark, d), D.f_codes(spark, d))
+
+
+@query("orders_snapshot_delivered", "Sinks (2.3)", oracle="""
+SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, count(*) AS delivered_orders,
+       CAST(sum(order_total) AS DECIMAL(18,2)) AS revenue
+FROM f_orders WHERE status = 'delivered' GROUP BY 1""")
+def orders_snapshot_delivered(spark, d):
+    """The order snapshot written as Parquet partitioned by (status, month) under the checkpoint
+    folder, read back with a status filter that prunes to the delivered folders."""
+    import uuid
+
+    from decantry.session import ensure_checkpoint_dir
+    from decantry.sources import snapshots as SN
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/orders-snapshot-{uuid.uuid4().hex[:12]}"
+    core = D.f_orders_core(spark, d).select("id", "customer_id", "order_total", "status", "created_at")
+    SN.write_snapshot(SN.with_order_layout(core), path)
+    snap = SN.read_snapshot(spark, path).filter(F.col("status") == "delivered")
+    return (snap.groupBy("month").agg(F.count(F.lit(1)).alias("delivered_orders"),
+                                      F.sum("order_total").cast("decimal(18,2)").alias("revenue")))

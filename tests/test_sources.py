@@ -50,3 +50,22 @@ def test_reward_seed_threshold_edges(spark):
     got = {r.customer_id: (r.n_unlocked, r.top_threshold, r.next_threshold)
            for r in R.unlocked_rewards(bal, rewards).collect()}
     assert got == {1: (0, None, 30), 2: (1, 30, 75), 3: (2, 75, 150), 4: (4, 250, None)}
+
+
+def test_order_snapshot_prunes_status_partitions(spark, sf_small, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from decantry.sources import driver as D
+    from decantry.sources import snapshots as SN
+    core = D.f_orders_core(spark, sf_small).select("id", "order_total", "status", "created_at")
+    path = os.path.join(tmp_dir, "orders_snapshot")
+    SN.write_snapshot(SN.with_order_layout(core), path, num_partitions=4)
+    snap = SN.read_snapshot(spark, path)
+    assert snap.count() == core.count()
+    delivered = snap.filter(F.col("status") == "delivered")
+    plan = delivered._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in plan and "(status" in plan
+    assert delivered.count() == core.filter(F.col("status") == "delivered").count()
+    # Dynamic overwrite: rewriting only the cancelled orders leaves the other folders alone.
+    SN.write_snapshot(SN.with_order_layout(core.filter(F.col("status") == "cancelled")), path, num_partitions=2)
+    assert SN.read_snapshot(spark, path).count() == core.count()
