@@ -208,14 +208,14 @@ SELECT perfume_name AS id, perfume_name AS name, brand, artwork_path AS artwork,
        CAST(len(accords) AS INTEGER) AS n_accords
 FROM f_museum""")
 def artwork_corpus(spark, d):
-    """Museum works written as JSON documents ({"works": [...]}) under the checkpoint folder by
-    Spark, then read back through the corpus reader (explicit schema, multiLine)."""
+    """Museum works written as JSON documents ({"works": [...]}, one per line) under the
+    checkpoint folder by Spark, then read back through the corpus reader (explicit schema)."""
     import uuid
 
     from decantry.session import ensure_checkpoint_dir
     from decantry.sources import artworks as A
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/artworks-{uuid.uuid4().hex[:12]}"
     A.write_artworks(D.f_museum(spark, d), path)
-    works = A.read_artworks(spark, path)
+    works = A.read_artworks(spark, path, multi_line=False)
     return works.select("id", "name", "brand", "artwork", "description",
                         F.size("accords").cast("int").alias("n_accords"))

@@ -29,8 +29,8 @@ def test_artwork_writer_round_trip(spark, sf_small, tmp_dir):
     from decantry.sources import driver as D
     museum = D.f_museum(spark, sf_small)
     out = os.path.join(tmp_dir, "museum_json")
-    A.write_artworks(museum, out)
-    back = A.read_artworks(spark, out)
+    A.write_artworks(museum, out, works_per_document=7)       # many documents per file
+    back = A.read_artworks(spark, out, multi_line=False)
     assert back.count() == museum.count()
 
 
@@ -69,3 +69,13 @@ def test_order_snapshot_prunes_status_partitions(spark, sf_small, tmp_dir):
     # Dynamic overwrite: rewriting only the cancelled orders leaves the other folders alone.
     SN.write_snapshot(SN.with_order_layout(core.filter(F.col("status") == "cancelled")), path, num_partitions=2)
     assert SN.read_snapshot(spark, path).count() == core.count()
+
+
+def test_artwork_documents_are_bounded(spark, sf_small, tmp_dir):
+    from decantry.sources import driver as D
+    museum = D.f_museum(spark, sf_small)
+    out = os.path.join(tmp_dir, "museum_docs")
+    A.write_artworks(museum, out, works_per_document=50)
+    docs = spark.read.schema(A.DOCUMENT).json(out)
+    sizes = [len(r.works) for r in docs.collect()]
+    assert max(sizes) <= 50 and sum(sizes) == museum.count()
