@@ -121,7 +121,8 @@ def apply_price_changes(catalog: DataFrame, changes: DataFrame) -> tuple[DataFra
     reason = (F.when(F.col("_live").isNull(), F.lit("not_found"))
               .when(~F.col("_live"), F.lit("deleted"))
               .when(any_null, F.lit("prices_incomplete"))
-              .when(F.least(*[F.col(c) for c in PRICE_COLS]) <= 0, F.lit("price_not_positive")))
+              .when(F.least(*[F.col(c) for c in PRICE_COLS]) <= 0, F.lit("price_not_positive"))
+              .when(F.greatest(*[F.col(c) for c in PRICE_COLS]) >= 10 ** 8, F.lit("price_out_of_range")))
     rounded = F.struct(*[F.round(F.col(c).cast("decimal(20,4)"), 2).cast("decimal(10,2)").alias(c) for c in PRICE_COLS])
     last = _last_valid(ch, reason.isNull(), rounded)
     cat = catalog.join(last, catalog.id == last.catalog_id, "left")
@@ -170,7 +171,8 @@ def apply_stock_counts(catalog: DataFrame, changes: DataFrame, orders: DataFrame
     names = catalog.select(F.col("id").alias("catalog_id"), "name")
     ch = changes.join(names, "catalog_id", "left")
     reason = (F.when(F.col("name").isNull(), F.lit("not_found"))
-              .when((F.col("available_ml") < 0) | (F.col("threshold_ml") < 0), F.lit("invalid_stock")))
+              .when((F.col("available_ml") < 0) | (F.col("threshold_ml") < 0)
+                    | (F.col("available_ml") >= 10 ** 7) | (F.col("threshold_ml") >= 10 ** 8), F.lit("invalid_stock")))
     last = _last_valid(ch, reason.isNull(),
                        F.struct(F.col("available_ml").cast("decimal(20,4)").alias("a"),
                                 F.round(F.col("threshold_ml").cast("decimal(20,4)"), 2).cast("decimal(10,2)").alias("t")))
@@ -247,7 +249,7 @@ def create_products(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     return req.select(
         "seq", F.col("_tname").alias("name"), F.trim("brand").alias("brand"),
         X.blank_to_null("image_url").alias("image_url"),
-        *[F.round(F.col(c).cast("decimal(20,4)"), 2).cast("decimal(10,2)").alias(c) for c in PRICE_COLS],
+        *[F.round(F.col(c).cast("decimal(20,4)"), 2).try_cast("decimal(10,2)").alias(c) for c in PRICE_COLS],
         F.col("_status").alias("availability_status"),
         (F.col("_status") != "hidden").alias("active"),
         reason.alias("reject_reason"))

@@ -66,7 +66,7 @@ def ingest_orders(raw: DataFrame) -> DataFrame:
     reason = (F.when(X.is_blank("customer_name"), F.lit("name_required"))
               .when(X.is_blank("delivery_zone"), F.lit("zone_required"))
               .when(n_items.isNull() | (n_items <= 0), F.lit("empty_order"))
-              .when(F.coalesce(total, F.lit(0)) < 0, F.lit("invalid_total"))
+              .when((F.coalesce(total, F.lit(0)) < 0) | (total >= F.lit(10 ** 8)), F.lit("invalid_total"))
               .when(total.isNull(), F.lit("total_required")))
     return raw.select(
         "request_id",
@@ -78,7 +78,7 @@ def ingest_orders(raw: DataFrame) -> DataFrame:
         X.blank_to_null("notes").alias("notes"),
         parsed.alias("items"),
         F.coalesce(F.col("reward_ids"), F.array().cast("array<string>")).alias("reward_ids"),
-        F.round(total, 2).cast("decimal(10,2)").alias("order_total"),
+        F.round(total, 2).try_cast("decimal(10,2)").alias("order_total"),     # null for rejected overflow
         F.lit("pending").alias("status"),
         F.col("created_at"),
     )

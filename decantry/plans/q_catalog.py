@@ -132,7 +132,8 @@ def _changes(spark, d, kind):
 
 
 _PRICE_OK = """(ch.price_2ml IS NOT NULL AND ch.price_3ml IS NOT NULL AND ch.price_5ml IS NOT NULL AND ch.price_10ml IS NOT NULL
-  AND least(ch.price_2ml, ch.price_3ml, ch.price_5ml, ch.price_10ml) > 0)"""
+  AND least(ch.price_2ml, ch.price_3ml, ch.price_5ml, ch.price_10ml) > 0
+  AND greatest(ch.price_2ml, ch.price_3ml, ch.price_5ml, ch.price_10ml) < 100000000)"""
 
 VALID_PRICES_SQL = f"""
 SELECT ch.* FROM changes ch JOIN f_catalog c ON c.id = ch.catalog_id
@@ -156,7 +157,8 @@ def apply_price_changes(spark, d):
 SELECT ch.catalog_id, ch.seq,
        CASE WHEN c.id IS NULL THEN 'not_found' WHEN c.deleted_at IS NOT NULL THEN 'deleted'
             WHEN ch.price_2ml IS NULL OR ch.price_3ml IS NULL OR ch.price_5ml IS NULL OR ch.price_10ml IS NULL THEN 'prices_incomplete'
-            ELSE 'price_not_positive' END AS reject_reason
+            WHEN least(ch.price_2ml, ch.price_3ml, ch.price_5ml, ch.price_10ml) <= 0 THEN 'price_not_positive'
+            ELSE 'price_out_of_range' END AS reject_reason
 FROM changes ch LEFT JOIN f_catalog c ON c.id = ch.catalog_id
 WHERE ch.kind = 'prices' AND NOT (c.id IS NOT NULL AND c.deleted_at IS NULL AND {_PRICE_OK})""", extra_views=CH_VIEWS)
 def price_change_rejects(spark, d):
@@ -190,6 +192,7 @@ SELECT c.id,
 FROM f_catalog c
 LEFT JOIN (SELECT catalog_id, arg_max(available_ml, seq) AS a, arg_max(CAST(round(threshold_ml, 2) AS DECIMAL(10,2)), seq) AS t
            FROM changes WHERE kind = 'stock' AND available_ml >= 0 AND threshold_ml >= 0
+             AND available_ml < 10000000 AND threshold_ml < 100000000
              AND catalog_id IN (SELECT id FROM f_catalog) GROUP BY catalog_id) l ON l.catalog_id = c.id
 LEFT JOIN sold s ON s.perfume = c.name""", extra_views={**CH_VIEWS, **STOCK_VIEWS})
 def apply_stock_counts(spark, d):
@@ -285,8 +288,8 @@ CREATE_CTES = """
 n AS (SELECT *, lower(trim(coalesce(new_status, 'upcoming'))) AS st, trim(name) AS tname FROM req),
 created AS (
 SELECT n.seq, n.tname AS name, trim(n.brand) AS brand, nullif(trim(n.image_url), '') AS image_url,
-       CAST(round(p2, 2) AS DECIMAL(10,2)) AS price_2ml, CAST(round(p3, 2) AS DECIMAL(10,2)) AS price_3ml,
-       CAST(round(p5, 2) AS DECIMAL(10,2)) AS price_5ml, CAST(round(p10, 2) AS DECIMAL(10,2)) AS price_10ml,
+       TRY_CAST(round(p2, 2) AS DECIMAL(10,2)) AS price_2ml, TRY_CAST(round(p3, 2) AS DECIMAL(10,2)) AS price_3ml,
+       TRY_CAST(round(p5, 2) AS DECIMAL(10,2)) AS price_5ml, TRY_CAST(round(p10, 2) AS DECIMAL(10,2)) AS price_10ml,
        n.st AS availability_status, n.st <> 'hidden' AS active,
        CASE WHEN coalesce(n.tname, '') = '' OR coalesce(trim(n.brand), '') = '' THEN 'name_brand_required'
             WHEN n.st NOT IN ('published', 'upcoming', 'hidden') THEN 'invalid_status'

@@ -124,11 +124,11 @@ SELECT o.id AS request_id,
        CASE WHEN coalesce(trim(o.customer_name), '') = '' THEN 'name_required'
             WHEN coalesce(trim(o.delivery_zone), '') = '' THEN 'zone_required'
             WHEN coalesce(t.n_items, 0) = 0 THEN 'empty_order'
-            WHEN coalesce(o.order_total, 0) < 0 THEN 'invalid_total'
+            WHEN coalesce(o.order_total, 0) < 0 OR o.order_total >= 100000000 THEN 'invalid_total'
             WHEN o.order_total IS NULL THEN 'total_required' END AS reject_reason,
        trim(o.customer_name) AS customer_name, nullif(trim(o.customer_phone), '') AS customer_phone,
        trim(o.delivery_zone) AS delivery_zone, coalesce(t.n_items, 0) AS n_items,
-       CAST(round(o.order_total, 2) AS DECIMAL(10,2)) AS order_total, 'pending' AS status
+       TRY_CAST(round(o.order_total, 2) AS DECIMAL(10,2)) AS order_total, 'pending' AS status
 FROM f_orders o LEFT JOIN (SELECT order_id, count(*) AS n_items FROM f_items GROUP BY order_id) t ON o.id = t.order_id""")
 def ingest_orders(spark, d):
     out = O.ingest_orders(raw_requests(spark, d))

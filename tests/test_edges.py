@@ -130,3 +130,20 @@ def test_storefront_keeps_inactive_upcoming(spark):
         cat = cat.withColumn(c, F.lit(1).cast("decimal(10,2)"))
     cat = cat.withColumn("image_url", F.lit(None).cast("string"))
     assert [r.id for r in C.storefront(cat, "name").collect()] == [1, 3]
+
+
+def test_out_of_range_money_is_rejected_not_fatal(spark):
+    schema = ("request_id long, customer_id long, customer_name string, customer_phone string, delivery_zone string, "
+              "notes string, items_json string, order_total string, reward_ids array<string>, created_at timestamp_ntz")
+    good = '[{"name":"Eros","size":"5 ml","qty":"1"}]'
+    raw = spark.createDataFrame([(1, None, "A", None, "Z", None, good, "123456789", None, None)], schema)
+    assert O.ingest_orders(raw).collect()[0].reject_reason == "invalid_total"
+    cat = spark.createDataFrame([(1, "A", None, None, None, None, None)],
+                                "id long, name string, price_2ml decimal(10,2), price_3ml decimal(10,2), "
+                                "price_5ml decimal(10,2), price_10ml decimal(10,2), deleted_at timestamp_ntz")
+    ch = spark.createDataFrame([(1, 1, Decimal("1"), Decimal("1"), Decimal("1"), Decimal("123456789"))],
+                               "catalog_id long, seq long, price_2ml decimal(12,0), price_3ml decimal(12,0), "
+                               "price_5ml decimal(12,0), price_10ml decimal(12,0)")
+    new, rej = C.apply_price_changes(cat, ch)
+    assert [r.reject_reason for r in rej.collect()] == ["price_out_of_range"]
+    assert new.collect()[0].price_10ml is None
