@@ -3,7 +3,8 @@
 Status events ``(order_id, new_status, ts, seq)`` are applied per order in (ts, seq)
 order. Everything here is set-based: per-order facts come from aggregates (which
 combine map-side, so one order or customer with a huge history never lands whole
-in one task), and transitions come from one ``lag`` per order.
+in one task), and transitions come from a chunked, skew-safe lag per order
+(``operators/ordered.py``).
 """
 
 from __future__ import annotations
