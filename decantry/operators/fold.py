@@ -28,12 +28,19 @@ FOLD_OUTPUT_SCHEMA = ("record string, customer_id bigint, perfume string, order_
                       "order_number string, source_code string, created_at timestamp_ntz")
 
 
+MANUAL_OWNER = -1          # owner marker of a row inserted by a manual unlock
+
+
 @dataclass
 class KeyState:
-    """State of one (customer, perfume): delivered orders containing it, owner, live notifications."""
+    """State of one (customer, perfume): delivered orders containing it, owner, live notifications.
+
+    ``owner`` is an order id, ``MANUAL_OWNER`` for a manually unlocked row, or None (no row).
+    Notifications of manual unlocks are keyed by None (they belong to no order).
+    """
     delivered: dict = field(default_factory=dict)      # order_id -> (delivered_at, created_at, order_number)
     owner: int | None = None
-    notes: dict = field(default_factory=dict)          # order_id -> (order_number, created_at)
+    notes: dict = field(default_factory=dict)          # order_id|None -> (order_number, created_at)
 
     def enter(self, order_id, ts, created_at, order_number):
         self.delivered[order_id] = (ts, created_at, order_number)
@@ -54,9 +61,24 @@ class KeyState:
             else:
                 self.owner = None
 
+    def unlock(self, ts):
+        """Manual unlock: insert with the manual source if absent (an existing source stays);
+        add a notification unless one is still pending for this key."""
+        if self.owner is None:
+            self.owner = MANUAL_OWNER
+        if not self.notes:
+            self.notes[None] = (X.MANUAL_NOTE_NUMBER, ts)
+
+    def lock(self):
+        """Manual lock: the row and its pending notifications go; delivered orders stay."""
+        self.owner = None
+        self.notes.clear()
+
     def rows(self, customer_id, perfume):
         out = []
-        if self.owner is not None:
+        if self.owner == MANUAL_OWNER:
+            out.append(("library", customer_id, perfume, None, None, X.MANUAL_SOURCE, None))
+        elif self.owner is not None:
             num = self.delivered[self.owner][2]
             out.append(("library", customer_id, perfume, self.owner, num, X.ORDER_SOURCE_PREFIX + num, None))
         for oid, (num, ts) in self.notes.items():
@@ -65,7 +87,7 @@ class KeyState:
 
 
 def _fold_sorted(batches):
-    """mapInPandas body: rows arrive sorted by (customer_id, perfume, ts, seq)."""
+    """mapInPandas body: rows arrive sorted by (customer_id, perfume, ts, seq, kind rank)."""
     cols = ["record", "customer_id", "perfume", "order_id", "order_number", "source_code", "created_at"]
     key, state = None, None
     for pdf in batches:
@@ -76,10 +98,14 @@ def _fold_sorted(batches):
                 if state is not None:
                     out.extend(state.rows(*key))
                 key, state = k, KeyState()
-            if r.entered:
+            if r.kind == "enter":
                 state.enter(r.order_id, r.ts, r.created_at, r.order_number)
-            else:
+            elif r.kind == "leave":
                 state.leave(r.order_id)
+            elif r.kind == "unlock":
+                state.unlock(r.ts)
+            else:
+                state.lock()
         if out:
             yield pd.DataFrame(out, columns=cols)
     if state is not None:
@@ -94,43 +120,76 @@ def delivered_transitions(events: DataFrame, orders: DataFrame, items: DataFrame
              .select(F.col("id").alias("order_id"), "customer_id", "order_number", "created_at"))
     names = (items.select("order_id", X.blank_to_null("name").alias("perfume"))
              .filter(F.col("perfume").isNotNull()).distinct())
-    return tr.join(heads, "order_id").join(names, "order_id")
+    out = tr.join(heads, "order_id").join(names, "order_id")
+    return out.withColumn("kind", F.when(F.col("entered"), F.lit("enter")).otherwise(F.lit("leave")))
+
+
+def manual_steps(changes: DataFrame, customers: DataFrame) -> DataFrame:
+    """Valid manual unlock/lock changes (known customer, non-blank perfume) as fold steps."""
+    ids = customers.select(F.col("id").alias("customer_id"))
+    ok = (changes.withColumn("perfume", X.blank_to_null("perfume")).filter(F.col("perfume").isNotNull())
+          .join(ids, "customer_id", "left_semi"))
+    return ok.select("customer_id", "perfume", F.lit(None).cast("bigint").alias("order_id"),
+                     F.lit(None).cast("string").alias("order_number"),
+                     F.lit(None).cast("timestamp_ntz").alias("created_at"), "ts", "seq",
+                     F.when(F.col("unlocked"), F.lit("unlock")).otherwise(F.lit("lock")).alias("kind"))
 
 
-def collection_fold(events: DataFrame, orders: DataFrame, items: DataFrame,
+_STEP_COLS = ["customer_id", "perfume", "order_id", "order_number", "created_at", "ts", "seq", "kind"]
+
+
+def collection_fold(events: DataFrame, orders: DataFrame, items: DataFrame, manual: DataFrame | None = None,
                     num_partitions: int | None = None) -> DataFrame:
-    """Library rows and live notifications after the whole history (``record`` tells which)."""
-    rows = delivered_transitions(events, orders, items)
+    """Library rows and live notifications after the whole history (``record`` tells which).
+    ``manual`` (from ``manual_steps``) interleaves admin unlocks/locks; at equal (ts, seq)
+    order transitions apply before manual changes **[choice]**."""
+    rows = delivered_transitions(events, orders, items).select(*_STEP_COLS)
+    if manual is not None:
+        rows = rows.unionByName(manual.select(*_STEP_COLS))
+    rows = rows.withColumn("_k", F.when(F.col("kind").isin("enter", "leave"), F.lit(0)).otherwise(F.lit(1)))
     n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = (rows.repartition(n, "customer_id", "perfume")
-             .sortWithinPartitions("customer_id", "perfume", "ts", "seq"))
-    return keyed.select("customer_id", "perfume", "order_id", "order_number", "created_at", "ts", "seq",
-                        "entered").mapInPandas(_fold_sorted, FOLD_OUTPUT_SCHEMA)
+             .sortWithinPartitions("customer_id", "perfume", "ts", "seq", "_k"))
+    return keyed.select(*_STEP_COLS).mapInPandas(_fold_sorted, FOLD_OUTPUT_SCHEMA)
 
 
-def collection_sources(events: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
+def collection_sources(events: DataFrame, orders: DataFrame, items: DataFrame,
+                       manual: DataFrame | None = None) -> DataFrame:
     """O-B5: (customer, perfume, source_code) after the history."""
-    f = collection_fold(events, orders, items)
+    f = collection_fold(events, orders, items, manual)
     return f.filter(F.col("record") == "library").select("customer_id", "perfume", "source_code")
 
 
-def unlock_notifications(events: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
+def unlock_notifications(events: DataFrame, orders: DataFrame, items: DataFrame,
+                         manual: DataFrame | None = None) -> DataFrame:
     """O-B6: notifications still present after the history (all unseen in this model)."""
-    f = collection_fold(events, orders, items)
+    f = collection_fold(events, orders, items, manual)
     return (f.filter(F.col("record") == "notification")
             .select("customer_id", "perfume", "order_id", "order_number", "created_at"))
 
 
 def reference_fold(history: list[dict]) -> tuple[dict, dict]:
-    """Row-at-a-time model of the reference for tests: events in (ts, seq) order, each
-    ``{order_id, customer_id, status, ts, created_at, order_number, perfumes}``.
-    Returns (library {(c,p): source}, notifications {(c,p,o): ts})."""
+    """Row-at-a-time model of the reference for tests: events in (ts, seq) order, each a status
+    change ``{order_id, customer_id, status, ts, created_at, order_number, perfumes}`` or a
+    manual change ``{kind: "manual", customer_id, perfume, unlocked, ts}``.
+    Returns (library {(c,p): source}, notifications {(c,p,o): ts}; o is None for manual ones)."""
     status: dict = {}
     delivered_at: dict = {}
     library: dict = {}
     notes: dict = {}
     meta = {}
     for e in history:
+        if e.get("kind") == "manual":
+            c, p = e["customer_id"], e["perfume"].strip()
+            if e["unlocked"]:
+                library.setdefault((c, p), X.MANUAL_SOURCE)
+                if not any(k[0] == c and k[1] == p for k in notes):
+                    notes[(c, p, None)] = e["ts"]
+            else:
+                library.pop((c, p), None)
+                for k in [k for k in notes if k[0] == c and k[1] == p]:
+                    del notes[k]
+            continue
         o = e["order_id"]
         meta[o] = e
         prev = status.get(o, "pending")

@@ -339,3 +339,77 @@ def mark_seen_notifications(spark, d):
     prof = O.resolve_profiles(cred.join(reqs.select("request_id"), "request_id", "left_semi"), D.f_customers(spark, d))
     _, after = L.mark_seen(prof, D.f_notifications(spark, d), reqs)
     return after.select("id", "customer_id", "seen_at")
+
+
+# DuckDB: the same walk with admin unlock/lock steps interleaved (transitions first at equal
+# (ts, seq)); every key starts from an empty state at k = 0.
+FOLD_MANUAL_VIEWS = {
+    **LIFE_VIEWS, "changes": CHANGES_SQL,
+    "fm_steps": """
+SELECT *, row_number() OVER (PARTITION BY customer_id, perfume ORDER BY ts, seq, rk) AS k FROM (
+  SELECT o.customer_id, i.perfume, t.order_id, o.order_number, o.created_at, t.ts, t.seq,
+         CASE WHEN t.entered THEN 'enter' ELSE 'leave' END AS kind, 0 AS rk
+  FROM (SELECT order_id, ts, seq, new_status = 'delivered' AS entered
+        FROM (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq), 'pending') AS prev
+              FROM f_status_events)
+        WHERE (new_status = 'delivered') <> (prev = 'delivered')) t
+  JOIN f_lifecycle_orders o ON o.id = t.order_id
+  JOIN (SELECT DISTINCT order_id, trim(name) AS perfume FROM f_lifecycle_items WHERE nullif(trim(name), '') IS NOT NULL) i
+    ON i.order_id = t.order_id
+  WHERE o.customer_id IS NOT NULL
+  UNION ALL
+  SELECT customer_id, trim(perfume), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), ts, seq,
+         CASE WHEN unlocked THEN 'unlock' ELSE 'lock' END, 1
+  FROM changes WHERE customer_id IN (SELECT id FROM f_customers) AND nullif(trim(perfume), '') IS NOT NULL)""",
+    "fm_walk": """
+SELECT customer_id, perfume, 0 AS k,
+       CAST([] AS STRUCT(d TIMESTAMP, c TIMESTAMP, n VARCHAR, o BIGINT)[]) AS dl,
+       CAST(NULL AS STRUCT(o BIGINT, n VARCHAR, m BOOLEAN)) AS owner,
+       CAST([] AS STRUCT(o BIGINT, n VARCHAR, t TIMESTAMP)[]) AS notes
+FROM (SELECT DISTINCT customer_id, perfume FROM fm_steps)
+UNION ALL
+SELECT s.customer_id, s.perfume, s.k,
+       CASE s.kind WHEN 'enter' THEN list_append(w.dl, {'d': s.ts, 'c': s.created_at, 'n': s.order_number, 'o': s.order_id})
+                   WHEN 'leave' THEN list_filter(w.dl, lambda x: x.o <> s.order_id) ELSE w.dl END,
+       CASE s.kind
+         WHEN 'enter' THEN coalesce(w.owner, {'o': s.order_id, 'n': s.order_number, 'm': false})
+         WHEN 'leave' THEN CASE WHEN w.owner.o = s.order_id THEN
+              (SELECT CASE WHEN b.o IS NULL THEN NULL ELSE {'o': b.o, 'n': b.n, 'm': false} END
+               FROM (SELECT list_reverse_sort(list_filter(w.dl, lambda x: x.o <> s.order_id))[1] AS b))
+              ELSE w.owner END
+         WHEN 'unlock' THEN coalesce(w.owner, {'o': CAST(NULL AS BIGINT), 'n': CAST(NULL AS VARCHAR), 'm': true})
+         ELSE NULL END,
+       CASE s.kind
+         WHEN 'enter' THEN CASE WHEN w.owner IS NULL THEN list_append(w.notes, {'o': s.order_id, 'n': s.order_number, 't': s.ts})
+                                ELSE w.notes END
+         WHEN 'leave' THEN list_filter(w.notes, lambda x: x.o IS DISTINCT FROM s.order_id)
+         WHEN 'unlock' THEN CASE WHEN len(w.notes) = 0
+                                 THEN list_append(w.notes, {'o': CAST(NULL AS BIGINT), 'n': 'MANUAL', 't': s.ts})
+                                 ELSE w.notes END
+         ELSE CAST([] AS STRUCT(o BIGINT, n VARCHAR, t TIMESTAMP)[]) END
+FROM fm_walk w JOIN fm_steps s ON s.customer_id = w.customer_id AND s.perfume = w.perfume AND s.k = w.k + 1""",
+    "fm_final": """
+SELECT w.* FROM fm_walk w
+JOIN (SELECT customer_id, perfume, max(k) AS mk FROM fm_steps GROUP BY customer_id, perfume) m
+  ON m.customer_id = w.customer_id AND m.perfume = w.perfume AND w.k = m.mk""",
+}
+
+
+def _manual_fold_inputs(spark, d):
+    return (_events(spark, d), D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d),
+            FO.manual_steps(manual_changes(spark, d), D.f_customers(spark, d)))
+
+
+@query("collection_sources_with_manual", "O-B5+O-B7", oracle="""
+SELECT customer_id, perfume, CASE WHEN owner.m THEN 'MANUAL-STUDIO' ELSE 'ORDER-' || owner.n END AS source_code
+FROM fm_final WHERE owner IS NOT NULL""", extra_views=FOLD_MANUAL_VIEWS)
+def collection_sources_with_manual(spark, d):
+    """Exact library when admin unlocks/locks interleave with deliveries and reversals."""
+    return FO.collection_sources(*_manual_fold_inputs(spark, d))
+
+
+@query("unlock_notifications_with_manual", "O-B6+O-B7", oracle="""
+SELECT customer_id, perfume, n.o AS order_id, n.n AS order_number, n.t AS created_at
+FROM (SELECT customer_id, perfume, unnest(notes) AS n FROM fm_final)""", extra_views=FOLD_MANUAL_VIEWS)
+def unlock_notifications_with_manual(spark, d):
+    return FO.unlock_notifications(*_manual_fold_inputs(spark, d))

@@ -87,7 +87,7 @@ class CustomerState:
             "status": {str(k): v for k, v in self.status.items()},
             "keys": {p: {"delivered": {str(o): [_ts(d), _ts(c), n] for o, (d, c, n) in ks.delivered.items()},
                          "owner": ks.owner,
-                         "notes": {str(o): [n, _ts(t)] for o, (n, t) in ks.notes.items()}}
+                         "notes": {("" if o is None else str(o)): [n, _ts(t)] for o, (n, t) in ks.notes.items()}}
                      for p, ks in self.keys.items()},
             "total": str(self.total), "bookmarks": self.bookmarks, "version": self.version})
 
@@ -100,7 +100,7 @@ class CustomerState:
             ks = KeyState()
             ks.delivered = {int(o): (_pts(a), _pts(b), n) for o, (a, b, n) in k["delivered"].items()}
             ks.owner = k["owner"]
-            ks.notes = {int(o): (n, _pts(t)) for o, (n, t) in k["notes"].items()}
+            ks.notes = {(None if o == "" else int(o)): (n, _pts(t)) for o, (n, t) in k["notes"].items()}
             cs.keys[p] = ks
         cs.total, cs.bookmarks, cs.version = Decimal(d["total"]), d["bookmarks"], d["version"]
         return cs

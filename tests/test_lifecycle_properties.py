@@ -211,3 +211,40 @@ def test_chunked_scans_do_not_depend_on_chunk_width(spark):
             run += r[4]
             mins.append(run)
         assert tot["minute"][k] == (run, min(mins))
+
+
+def test_fold_with_manual_changes_matches_row_model(spark):
+    """Manual unlocks/locks interleaved with deliveries and reversals (the path-dependent case
+    where collection_members no longer applies)."""
+    orders, items, events = _histories(n_customers=50, seed=21)
+    rnd = random.Random(22)
+    t0 = dt.datetime(2024, 1, 1)
+    max_seq = max(e[3] for e in events)
+    manual = []
+    for i in range(400):
+        c = rnd.randrange(50)
+        p = rnd.choice(["Eros", "CK One", "Sauvage", "Le Beau", " Eros "])
+        sq = rnd.randint(1, max_seq + 50)
+        manual.append((c, p, rnd.random() < 0.6, t0 + dt.timedelta(hours=sq // 2), sq))
+    o, i, e = _frames(spark, orders, items, events)
+    cust = spark.createDataFrame([(c,) for c in range(50)], "id long")
+    ch = spark.createDataFrame(manual, "customer_id long, perfume string, unlocked boolean, ts timestamp_ntz, seq long")
+    steps = FO.manual_steps(ch, cust)
+
+    meta = {x[0]: x for x in orders}
+    perf = {}
+    for oid, p in items:
+        perf.setdefault(oid, []).append(p)
+    hist = [((ts, sq, 0), {"order_id": oid, "customer_id": meta[oid][1], "status": st, "ts": ts,
+                           "created_at": meta[oid][4], "order_number": meta[oid][3], "perfumes": perf.get(oid, [])})
+            for oid, st, ts, sq in events]
+    hist += [((ts, sq, 1), {"kind": "manual", "customer_id": c, "perfume": p, "unlocked": u, "ts": ts})
+             for c, p, u, ts, sq in manual]
+    lib, notes = FO.reference_fold([h for _, h in sorted(hist, key=lambda x: x[0])])
+
+    got = {(r.customer_id, r.perfume): r.source_code for r in FO.collection_sources(e, o, i, steps).collect()}
+    assert got == lib
+    got_n = {(r.customer_id, r.perfume, r.order_id): r.created_at
+             for r in FO.unlock_notifications(e, o, i, steps).collect()}
+    assert got_n == notes
+    assert any(v == "MANUAL-STUDIO" for v in lib.values()) and any(k[2] is None for k in notes)
