@@ -123,7 +123,7 @@ def dashboard(spark, d):
     return S.dashboard(D.f_customers(spark, d), snapshot_balances(spark, d), _members(spark, d), D.f_codes(spark, d))
 
 
-@query("orders_snapshot_delivered", "Sinks (2.3)", oracle="""
+@query("orders_snapshot_delivered", "2.3-Sinks", oracle="""
 SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, count(*) AS delivered_orders,
        CAST(sum(order_total) AS DECIMAL(18,2)) AS revenue
 FROM f_orders WHERE status = 'delivered' GROUP BY 1""")
