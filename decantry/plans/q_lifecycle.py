@@ -191,10 +191,11 @@ FROM final_status f JOIN f_lifecycle_orders o ON o.id = f.order_id JOIN f_lifecy
 WHERE f.status = 'delivered' GROUP BY o.customer_id, trim(i.name)"""
 
 
-def manual_changes(spark, d):
-    """Admin unlock (click) / lock (error) requests; some name unknown customers or blank perfumes."""
-    e = D.read(spark, d, "events").filter(F.col("event_type").isin("click", "error"))
-    cat = D.f_catalog(spark, d).select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
+def manual_changes_of(events, catalog):
+    """Admin unlock (click) / lock (error) requests from raw events (batch or streaming);
+    some name unknown customers or blank perfumes. ``catalog`` is static."""
+    e = events.filter(F.col("event_type").isin("click", "error"))
+    cat = catalog.select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
     base = e.select(F.when(F.col("value") > 150, F.col("user_id") + 1000000).otherwise(F.col("user_id")).alias("customer_id"),
                     (F.col("event_id") % 50).alias("_pk"), (F.col("event_id") % 97 == 0).alias("_blank"),
                     (F.col("event_type") == "click").alias("unlocked"), "ts", F.col("event_id").alias("seq"))
@@ -203,6 +204,10 @@ def manual_changes(spark, d):
                     "unlocked", "ts", "seq"))
 
 
+def manual_changes(spark, d):
+    return manual_changes_of(D.read(spark, d, "events"), D.f_catalog(spark, d))
+
+
 CHANGES_SQL = """
 SELECT CASE WHEN e.value > 150 THEN e.user_id + 1000000 ELSE e.user_id END AS customer_id,
        CASE WHEN e.event_id % 97 = 0 THEN '  ' ELSE c.name END AS perfume,
@@ -413,3 +418,20 @@ SELECT customer_id, perfume, n.o AS order_id, n.n AS order_number, n.t AS create
 FROM (SELECT customer_id, perfume, unnest(notes) AS n FROM fm_final)""", extra_views=FOLD_MANUAL_VIEWS)
 def unlock_notifications_with_manual(spark, d):
     return FO.unlock_notifications(*_manual_fold_inputs(spark, d))
+
+
+@query("stream_lifecycle_with_manual", "O-B11+O-B7", oracle="""
+SELECT customer_id, perfume, CASE WHEN owner.m THEN 'MANUAL-STUDIO' ELSE 'ORDER-' || owner.n END AS source_code
+FROM fm_final WHERE owner IS NOT NULL""", extra_views=FOLD_MANUAL_VIEWS)
+def stream_lifecycle_with_manual(spark, d):
+    """One event file stream feeds both status changes and admin unlocks/locks into the keyed
+    lifecycle state; returns the final library per customer from the Parquet sink."""
+    from decantry.streaming import lifecycle_stream as S
+    raw = D.stream_events(spark, d)
+    events = D.status_events_of(raw)
+    manual = FO.manual_steps(manual_changes_of(raw, D.f_catalog(spark, d)), D.f_customers(spark, d))
+    attrs = S.order_attributes(D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
+    out = S.run_to_parquet(spark, S.stream_lifecycle(events, attrs, manual.withColumn("unlocked", F.col("kind") == "unlock")),
+                           "lifecycle-manual")
+    views = S.latest_views(spark, out)
+    return views.filter(F.col("record") == "library").select("customer_id", "perfume", "source_code")

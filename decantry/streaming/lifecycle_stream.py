@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from decantry.functions import exprs as X
-from decantry.operators.fold import KeyState
+from decantry.operators.fold import MANUAL_OWNER, KeyState
 from decantry.session import ensure_checkpoint_dir
 
 OUTPUT_SCHEMA = ("customer_id long, version long, record string, perfume string, source_code string, "
@@ -70,11 +70,24 @@ class CustomerState:
             for p in names:
                 self.keys.setdefault(p, KeyState()).enter(order_id, ts, created_at, order_number)
 
+    def apply_manual(self, perfume, unlocked, ts):
+        """Admin unlock / lock of one perfume (same rules as the batch fold)."""
+        p = (perfume or "").strip()
+        if not p:
+            return
+        ks = self.keys.setdefault(p, KeyState())
+        if unlocked:
+            ks.unlock(ts)
+        else:
+            ks.lock()
+
     # -- output
     def rows(self, customer_id):
         out = [(customer_id, self.version, "balance", None, None, None, self.total, self.bookmarks)]
         for p, ks in sorted(self.keys.items()):
-            if ks.owner is not None:
+            if ks.owner == MANUAL_OWNER:
+                out.append((customer_id, self.version, "library", p, X.MANUAL_SOURCE, None, None, None))
+            elif ks.owner is not None:
                 num = ks.delivered[ks.owner][2]
                 out.append((customer_id, self.version, "library", p, X.ORDER_SOURCE_PREFIX + num, ks.owner, None, None))
             for oid in ks.notes:
@@ -110,10 +123,14 @@ def _step(key, pdfs, state):
     # Balance rows carry no perfume, library rows no amounts: all-null columns are expected.
     warnings.filterwarnings("ignore", category=FutureWarning, message=".*empty or all-NA.*")
     cs = CustomerState.from_json(state.get[0]) if state.exists else CustomerState()
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+    # Status changes before admin changes at equal (ts, seq), as in the batch fold.
+    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq", "rk"], kind="stable")
     for r in batch.itertuples(index=False):
-        cs.apply(int(r.order_id), r.new_status, r.ts, r.order_total, r.order_number, r.created_at,
-                 list(r.perfumes) if r.perfumes is not None else [])
+        if r.rk == 0:
+            cs.apply(int(r.order_id), r.new_status, r.ts, r.order_total, r.order_number, r.created_at,
+                     list(r.perfumes) if r.perfumes is not None else [])
+        else:
+            cs.apply_manual(r.perfume, bool(r.unlocked), r.ts)
     cs.version += 1
     state.update((cs.to_json(),))
     yield pd.DataFrame(cs.rows(int(key[0])), columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
@@ -127,10 +144,28 @@ def order_attributes(orders: DataFrame, items: DataFrame) -> DataFrame:
             .join(names, "order_id", "left"))
 
 
-def stream_lifecycle(events: DataFrame, attributes: DataFrame) -> DataFrame:
+_STEP_SCHEMA = ["customer_id", "order_id", "new_status", "ts", "seq", "order_total", "order_number",
+                "created_at", "perfumes", "perfume", "unlocked", "rk"]
+
+
+def stream_lifecycle(events: DataFrame, attributes: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Streaming DataFrame of per-customer views (update mode). ``events`` is a streaming
-    frame (order_id, new_status, ts, seq); ``attributes`` is ``order_attributes(...)``."""
-    enriched = events.select("order_id", "new_status", "ts", "seq").join(attributes, "order_id")
+    frame (order_id, new_status, ts, seq); ``attributes`` is ``order_attributes(...)``;
+    ``manual`` an optional streaming frame of valid admin changes
+    (customer_id, perfume, unlocked, ts, seq), unioned into the same keyed state."""
+    enriched = (events.select("order_id", "new_status", "ts", "seq").join(attributes, "order_id")
+                .select("customer_id", "order_id", "new_status", "ts", "seq", "order_total", "order_number",
+                        "created_at", "perfumes", F.lit(None).cast("string").alias("perfume"),
+                        F.lit(None).cast("boolean").alias("unlocked"), F.lit(0).alias("rk")))
+    if manual is not None:
+        m = manual.select("customer_id", F.lit(None).cast("bigint").alias("order_id"),
+                          F.lit(None).cast("string").alias("new_status"), "ts", "seq",
+                          F.lit(None).cast(enriched.schema["order_total"].dataType).alias("order_total"),
+                          F.lit(None).cast("string").alias("order_number"),
+                          F.lit(None).cast("timestamp_ntz").alias("created_at"),
+                          F.lit(None).cast("array<string>").alias("perfumes"),
+                          F.col("perfume"), F.col("unlocked"), F.lit(1).alias("rk"))
+        enriched = enriched.unionByName(m)
     return (enriched.groupBy("customer_id")
             .applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
 

@@ -40,3 +40,29 @@ def test_stream_matches_batch(spark, sf_small, tmp_dir):
     got_bal = {r.customer_id: (r.total_spent, r.bookmarks) for r in views.filter("record = 'balance'").collect()
                if r.bookmarks or r.total_spent}
     assert got_bal == want_bal
+
+
+def test_stream_with_manual_changes_matches_batch(spark, sf_small, tmp_dir):
+    from decantry.plans.q_lifecycle import manual_changes, manual_changes_of
+    raw = D.read(spark, sf_small, "events")
+    src = os.path.join(tmp_dir, "events_m")
+    q = raw.withColumn("_part", (F.col("event_id") * 4 / F.lit(raw.count())).cast("int"))
+    for p in range(4):
+        q.filter(F.col("_part") == p).drop("_part").coalesce(1).write.parquet(os.path.join(src, f"p{p}"))
+    flat = os.path.join(tmp_dir, "events_m_flat")
+    os.makedirs(flat)
+    files = sorted(os.path.join(dp, f) for dp, _, fs in os.walk(src) for f in fs if f.endswith(".parquet"))
+    for i, f in enumerate(files):
+        os.link(f, os.path.join(flat, f"events-{i:03d}.parquet"))
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(flat)
+    cat, cust = D.f_catalog(spark, sf_small), D.f_customers(spark, sf_small)
+    manual = FO.manual_steps(manual_changes_of(stream, cat), cust).withColumn("unlocked", F.col("kind") == "unlock")
+    orders, items = D.f_lifecycle_orders(spark, sf_small), D.f_lifecycle_items(spark, sf_small)
+    out = S.run_to_parquet(spark, S.stream_lifecycle(D.status_events_of(stream), S.order_attributes(orders, items), manual),
+                           "test-manual")
+    views = S.latest_views(spark, out)
+    got = {(r.customer_id, r.perfume): r.source_code for r in views.filter("record = 'library'").collect()}
+    batch_manual = FO.manual_steps(manual_changes(spark, sf_small), cust)
+    want = {(r.customer_id, r.perfume): r.source_code
+            for r in FO.collection_sources(D.f_status_events(spark, sf_small), orders, items, batch_manual).collect()}
+    assert got == want and any(v == "MANUAL-STUDIO" for v in want.values())
