@@ -23,11 +23,8 @@ def test_matches_oracle(spark, sf_small, con, name):
     assert res["values_match"], res
 
 
-@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if not q.oracle))
-def test_rows_only_queries_run(spark, sf_small, name):
-    df = QUERIES[name].fn(spark, sf_small)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+def test_every_query_has_an_oracle():
+    assert [n for n, q in QUERIES.items() if not q.oracle] == []
 
 
 def test_every_query_has_a_survey_id():
