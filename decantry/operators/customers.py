@@ -14,10 +14,11 @@ def _level(count_col, total_works):
     return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), band + 1)
 
 
-def collection_ranking(members: DataFrame, customers: DataFrame, museum: DataFrame, top_k: int = 10) -> DataFrame:
+def collection_ranking(members: DataFrame, customers: DataFrame, museum: DataFrame, top_k: int = 10,
+                       caller_id: int | None = None) -> DataFrame:
     """Top-k opt-in customers by discovered works: ties go to the earlier profile, then id
     **[choice]**. The sort+limit (TakeOrderedAndProject) runs first, so the position window
-    only ever sees k rows."""
+    only ever sees k rows. ``is_caller`` marks the requesting customer's own row."""
     total = museum.select(F.count(F.lit(1))).scalar()
     counts = members.groupBy("customer_id").agg(F.count(F.lit(1)).alias("library_count"))
     part = (customers.filter(F.col("ranking_opt_in"))
@@ -29,7 +30,18 @@ def collection_ranking(members: DataFrame, customers: DataFrame, museum: DataFra
         F.row_number().over(w).cast("bigint").alias("position"), "customer_id",
         F.concat(F.substring("customer_name", 1, 3), F.lit("*** #"), F.col("customer_id").cast("string")).alias("alias"),
         F.col("library_count").cast("bigint").alias("library_count"),
-        _level(F.col("library_count"), total).alias("level"))
+        _level(F.col("library_count"), total).alias("level"),
+        (F.col("customer_id") == F.lit(caller_id)).alias("is_caller") if caller_id is not None
+        else F.lit(False).alias("is_caller"))
+
+
+def ranking_header(ranking: DataFrame) -> DataFrame:
+    """The three figures above the ranking: participants (rows shown), the leader's alias and
+    the largest collection (the leader's count); '—' and 0 when nobody takes part."""
+    return ranking.agg(F.count(F.lit(1)).alias("participants"),
+                       F.coalesce(F.min_by("alias", F.col("position")), F.lit("—")).alias("leader"),
+                       F.coalesce(F.min_by("library_count", F.col("position")), F.lit(0)).cast("bigint")
+                        .alias("largest_library"))
 
 
 def list_customers(customers: DataFrame, members: DataFrame, balances: DataFrame) -> DataFrame:

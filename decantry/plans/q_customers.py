@@ -15,16 +15,32 @@ from decantry.sources import driver as D
 _LEVEL_SQL = "['Initiate', 'Explorer', 'Connoisseur', 'Collector', 'Curator'][least(4, ({n} * 4) // greatest({t}, 1)) + 1]"
 
 
-@query("collection_ranking", "O-F1", oracle=f"""
+RANKING_SQL = f"""
 SELECT row_number() OVER (ORDER BY library_count DESC, created_at, customer_id) AS position, customer_id,
        substr(customer_name, 1, 3) || '*** #' || CAST(customer_id AS VARCHAR) AS alias, library_count,
-       {_LEVEL_SQL.format(n='library_count', t='(SELECT count(*) FROM f_museum)')} AS level
+       {_LEVEL_SQL.format(n='library_count', t='(SELECT count(*) FROM f_museum)')} AS level,
+       customer_id = 7 AS is_caller
 FROM (SELECT c.id AS customer_id, c.customer_name, c.created_at, count(*) AS library_count
       FROM f_customers c JOIN members m ON m.customer_id = c.id WHERE c.ranking_opt_in
       GROUP BY c.id, c.customer_name, c.created_at
-      ORDER BY library_count DESC, c.created_at, c.id LIMIT 10)""", extra_views=LIFE_VIEWS)
+      ORDER BY library_count DESC, c.created_at, c.id LIMIT 10)"""
+
+# The ranking as seen by customer 7 (whose row, if in the top 10, is highlighted).
+RANKING_CALLER = 7
+
+
+@query("collection_ranking", "O-F1", oracle="SELECT * FROM ranking", extra_views={**LIFE_VIEWS, "ranking": RANKING_SQL})
 def collection_ranking(spark, d):
-    return U.collection_ranking(_members(spark, d), D.f_customers(spark, d), D.f_museum(spark, d), top_k=10)
+    return U.collection_ranking(_members(spark, d), D.f_customers(spark, d), D.f_museum(spark, d), top_k=10,
+                                caller_id=RANKING_CALLER)
+
+
+@query("ranking_header", "O-F1", oracle="""
+SELECT count(*) AS participants, coalesce(arg_min(alias, position), '—') AS leader,
+       CAST(coalesce(arg_min(library_count, position), 0) AS BIGINT) AS largest_library
+FROM ranking""", extra_views={**LIFE_VIEWS, "ranking": RANKING_SQL})
+def ranking_header(spark, d):
+    return U.ranking_header(collection_ranking(spark, d))
 
 
 @query("list_customers", "O-F2", oracle="""
