@@ -64,9 +64,10 @@ def search_customers(customers: DataFrame, q: str) -> DataFrame:
 
 
 def customer_360(customers: DataFrame, orders: DataFrame, members: DataFrame, balances: DataFrame,
-                 codes: DataFrame, unlocked: DataFrame) -> DataFrame:
-    """Profile plus per-child counts, each child aggregated to one row per customer before
-    the joins, so no multi-way row fan-out."""
+                 codes: DataFrame, unlocked: DataFrame, museum: DataFrame) -> DataFrame:
+    """Profile plus per-child counts and the collection level, each child aggregated to one
+    row per customer before the joins, so no multi-way row fan-out."""
+    total = museum.select(F.count(F.lit(1))).scalar()
     o = (orders.filter(F.col("customer_id").isNotNull()).groupBy("customer_id")
          .agg(F.count(F.lit(1)).alias("n_orders"),
               F.count(F.when(F.col("status") == "delivered", True)).alias("n_delivered")))
@@ -78,7 +79,8 @@ def customer_360(customers: DataFrame, orders: DataFrame, members: DataFrame, ba
          .join(cd, "customer_id", "left").join(rw, "customer_id", "left"))
     z = lambda c, t="bigint": F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
     return j.select("customer_id", "customer_name", "customer_phone", z("n_orders"), z("n_delivered"),
-                    z("total_spent", "decimal(18,2)"), z("bookmarks"), z("n_library"), z("n_codes"), z("n_unlocked"))
+                    z("total_spent", "decimal(18,2)"), z("bookmarks"), z("n_library"), z("n_codes"), z("n_unlocked"),
+                    _level(F.coalesce(F.col("n_library"), F.lit(0)), total).alias("level"))
 
 
 def apply_customer_edits(customers: DataFrame, balances: DataFrame, edits: DataFrame) -> DataFrame:

@@ -66,12 +66,13 @@ def _codes_by_customer(spark, d):
     return E.customer_codes(D.f_codes(spark, d), D.f_customers(spark, d))
 
 
-@query("customer_360", "O-F4", oracle="""
+@query("customer_360", "O-F4", oracle=f"""
 SELECT c.id AS customer_id, c.customer_name, c.customer_phone,
        CAST(coalesce(o.n_orders, 0) AS BIGINT) AS n_orders, CAST(coalesce(o.n_delivered, 0) AS BIGINT) AS n_delivered,
        CAST(coalesce(b.total_spent, 0) AS DECIMAL(18,2)) AS total_spent, CAST(coalesce(b.bookmarks, 0) AS BIGINT) AS bookmarks,
        CAST(coalesce(l.n, 0) AS BIGINT) AS n_library, CAST(coalesce(k.n, 0) AS BIGINT) AS n_codes,
-       CAST(coalesce(u.n_unlocked, 0) AS BIGINT) AS n_unlocked
+       CAST(coalesce(u.n_unlocked, 0) AS BIGINT) AS n_unlocked,
+       {_LEVEL_SQL.format(n='coalesce(l.n, 0)', t='(SELECT count(*) FROM f_museum)')} AS level
 FROM f_customers c
 LEFT JOIN (SELECT customer_id, count(*) AS n_orders, count(*) FILTER (WHERE status = 'delivered') AS n_delivered
            FROM f_orders WHERE customer_id IS NOT NULL GROUP BY customer_id) o ON o.customer_id = c.id
@@ -85,7 +86,8 @@ LEFT JOIN (SELECT b2.customer_id, (SELECT count(*) FROM f_rewards r WHERE r.acti
 def customer_360(spark, d):
     bal = snapshot_balances(spark, d)
     return U.customer_360(D.f_customers(spark, d), D.f_orders_core(spark, d), _members(spark, d), bal,
-                          _codes_by_customer(spark, d), R.unlocked_rewards(bal, D.f_rewards(spark, d)))
+                          _codes_by_customer(spark, d), R.unlocked_rewards(bal, D.f_rewards(spark, d)),
+                          D.f_museum(spark, d))
 
 
 @query("apply_customer_edits", "O-F5", oracle="""
