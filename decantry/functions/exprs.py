@@ -73,6 +73,12 @@ def order_number(seq: str | Column, width: int = ORDER_NUMBER_WIDTH) -> Column:
                     F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0")))
 
 
+def text_key(c: str | Column, collation: str | None = None) -> Column:
+    """Sort key for names: binary by default (comparable with a SQL oracle), or a collation
+    such as 'UNICODE' / 'UNICODE_CI' for human order ('Détour Noir' before 'Dior')."""
+    return F.collate(col(c), collation) if collation else col(c)
+
+
 def catalog_rank_admin(status: str | Column) -> Column:
     """upcoming 0, published 1, anything else 2 (admin list order)."""
     s = col(status)

@@ -18,8 +18,9 @@ PRICE_COLS = ["price_2ml", "price_3ml", "price_5ml", "price_10ml"]
 
 
 # ---------------------------------------------------------------- O-C1 / C2 / C3 / C12 / C13
-def public_catalog(catalog: DataFrame) -> DataFrame:
-    """All rows; deleted ones are emitted as hidden/inactive so clients can suppress them."""
+def public_catalog(catalog: DataFrame, collation: str | None = None) -> DataFrame:
+    """All rows; deleted ones are emitted as hidden/inactive so clients can suppress them.
+    ``collation`` orders names by a collation instead of binary order."""
     deleted = F.col("deleted_at").isNotNull()
     rank = (F.when(deleted, 3).when(F.col("availability_status") == "upcoming", 0)
             .when(F.col("availability_status") == "published", 1).otherwise(2))
@@ -29,7 +30,7 @@ def public_catalog(catalog: DataFrame) -> DataFrame:
         F.when(deleted, F.lit("hidden")).otherwise(F.col("availability_status")).alias("availability_status"),
         "display_order", *PRICE_COLS, "image_url", "description",
         rank.alias("sort_group"), "created_at")
-        .orderBy("sort_group", "display_order", "created_at", "name"))
+        .orderBy("sort_group", "display_order", "created_at", X.text_key("name", collation)))
 
 
 def sold_ml_by_name(orders: DataFrame, items: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -55,7 +56,7 @@ def sold_ml_by_name(orders: DataFrame, items: DataFrame, names: DataFrame | None
 
 
 def catalog_with_stock(catalog: DataFrame, orders: DataFrame, items: DataFrame,
-                       names: DataFrame | None = None) -> DataFrame:
+                       names: DataFrame | None = None, collation: str | None = None) -> DataFrame:
     """Admin stock list: sold ml, available ml (clamped at 0, null when no stock set)."""
     sold = sold_ml_by_name(orders, items, names)
     live = catalog.filter(F.col("deleted_at").isNull())
@@ -68,7 +69,7 @@ def catalog_with_stock(catalog: DataFrame, orders: DataFrame, items: DataFrame,
                     sold_ml.cast(X.OUT_ML).alias("sold_ml"),
                     avail.cast(X.OUT_ML).alias("stock_available_ml"),
                     X.catalog_rank_admin("availability_status").alias("sort_group"))
-            .orderBy("sort_group", "display_order", "name"))
+            .orderBy("sort_group", "display_order", X.text_key("name", collation)))
 
 
 def backfill_status(catalog: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def backfill_status(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("availability_status", F.coalesce(F.col("availability_status"), fill))
 
 
-def storefront(catalog: DataFrame, sort_by: str = "price") -> DataFrame:
+def storefront(catalog: DataFrame, sort_by: str = "price", collation: str | None = None) -> DataFrame:
     """Public shop: hidden and deleted dropped, upcoming first (even when inactive).
 
     ``sort_by``: price (the 2 ml price **[choice]**), brand or name. Never filters on ``active``.
@@ -87,7 +88,8 @@ def storefront(catalog: DataFrame, sort_by: str = "price") -> DataFrame:
     upcoming = (F.col("availability_status") == "upcoming")
     return (shown.select("id", "name", "brand", "availability_status", *PRICE_COLS, "image_url",
                          upcoming.alias("is_upcoming"))
-            .orderBy(F.col("is_upcoming").desc(), F.col(key).asc_nulls_last(), F.col("name")))
+            .orderBy(F.col("is_upcoming").desc(), X.text_key(key, collation if key != "price_2ml" else None)
+                     .asc_nulls_last(), X.text_key("name", collation)))
 
 
 def low_stock(stock: DataFrame) -> DataFrame:

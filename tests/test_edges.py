@@ -147,3 +147,15 @@ def test_out_of_range_money_is_rejected_not_fatal(spark):
     new, rej = C.apply_price_changes(cat, ch)
     assert [r.reject_reason for r in rej.collect()] == ["price_out_of_range"]
     assert new.collect()[0].price_10ml is None
+
+
+def test_name_order_binary_or_collated(spark):
+    from decantry.sources import seeds
+    cat = (seeds.catalog_seed(spark).filter(F.col("name").isin("Dior Homme Intense", "Détour Noir", "Eros"))
+           .select(F.monotonically_increasing_id().alias("id"), "name", "brand", *C.PRICE_COLS,
+                   F.lit("published").alias("availability_status"),
+                   F.lit(None).cast("timestamp_ntz").alias("deleted_at"), F.lit(None).cast("string").alias("image_url")))
+    binary = [r.name for r in C.storefront(cat, "name").collect()]
+    human = [r.name for r in C.storefront(cat, "name", collation="UNICODE").collect()]
+    assert binary == ["Dior Homme Intense", "Détour Noir", "Eros"]
+    assert human == ["Détour Noir", "Dior Homme Intense", "Eros"]
