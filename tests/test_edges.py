@@ -159,3 +159,12 @@ def test_name_order_binary_or_collated(spark):
     human = [r.name for r in C.storefront(cat, "name", collation="UNICODE").collect()]
     assert binary == ["Dior Homme Intense", "Détour Noir", "Eros"]
     assert human == ["Détour Noir", "Dior Homme Intense", "Eros"]
+
+
+def test_cluster_conf_sizing():
+    from decantry.session import cluster_conf
+    small = cluster_conf(total_cores=64, largest_shuffle_bytes=1 << 30)
+    assert small["spark.sql.shuffle.partitions"] == str(3 * 64)          # cores dominate small shuffles
+    big = cluster_conf(total_cores=8000, largest_shuffle_bytes=100 << 40)
+    assert big["spark.sql.shuffle.partitions"] == str((100 << 40) // (512 << 20))
+    assert big["spark.sql.adaptive.enabled"] == "true" and "RocksDB" in big["spark.sql.streaming.stateStore.providerClass"]
