@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from decantry.functions import exprs as X
 from decantry.operators.lifecycle import transitions
+from decantry.session import ship_package
 
 FOLD_OUTPUT_SCHEMA = ("record string, customer_id bigint, perfume string, order_id bigint, "
                       "order_number string, source_code string, created_at timestamp_ntz")
@@ -143,6 +144,7 @@ def collection_fold(events: DataFrame, orders: DataFrame, items: DataFrame, manu
     """Library rows and live notifications after the whole history (``record`` tells which).
     ``manual`` (from ``manual_steps``) interleaves admin unlocks/locks; at equal (ts, seq)
     order transitions apply before manual changes **[choice]**."""
+    ship_package(events.sparkSession)          # the fold body runs in Python workers
     rows = delivered_transitions(events, orders, items).select(*_STEP_COLS)
     if manual is not None:
         rows = rows.unionByName(manual.select(*_STEP_COLS))

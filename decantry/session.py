@@ -115,3 +115,31 @@ def default_parallelism(spark: SparkSession) -> int:
         return spark.sparkContext.defaultParallelism
     except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``decantry`` importable in Python workers (what ``--py-files`` does): zip the
+    package once per session and add it with ``addPyFile``; Spark serves the file to every
+    executor, so operators that run Python on workers (the fold, the stream) work whatever
+    the driver's working directory or install state."""
+    import zipfile
+
+    import decantry
+    if id(spark) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(decantry.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="decantry-pyfiles-"), "decantry.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    try:
+        spark.sparkContext.addPyFile(target)
+    except Exception:  # noqa: BLE001 - Spark Connect ships Python files as artifacts
+        spark.addArtifacts(target, pyfile=True)
+    _SHIPPED.add(id(spark))

@@ -26,7 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from decantry.functions import exprs as X
 from decantry.operators.fold import MANUAL_OWNER, KeyState
-from decantry.session import ensure_checkpoint_dir
+from decantry.session import ensure_checkpoint_dir, ship_package
 
 OUTPUT_SCHEMA = ("customer_id long, version long, record string, perfume string, source_code string, "
                  "order_id long, total_spent decimal(18,2), bookmarks long")
@@ -153,6 +153,7 @@ def stream_lifecycle(events: DataFrame, attributes: DataFrame, manual: DataFrame
     frame (order_id, new_status, ts, seq); ``attributes`` is ``order_attributes(...)``;
     ``manual`` an optional streaming frame of valid admin changes
     (customer_id, perfume, unlocked, ts, seq), unioned into the same keyed state."""
+    ship_package(events.sparkSession)          # the group function runs in Python workers
     enriched = (events.select("order_id", "new_status", "ts", "seq").join(attributes, "order_id")
                 .select("customer_id", "order_id", "new_status", "ts", "seq", "order_total", "order_number",
                         "created_at", "perfumes", F.lit(None).cast("string").alias("perfume"),
