@@ -79,3 +79,13 @@ def test_artwork_documents_are_bounded(spark, sf_small, tmp_dir):
     docs = spark.read.schema(A.DOCUMENT).json(out)
     sizes = [len(r.works) for r in docs.collect()]
     assert max(sizes) <= 50 and sum(sizes) == museum.count()
+
+
+def test_cli_lists_and_prints_sql(capsys):
+    from decantry.__main__ import main
+    assert main(["list"]) == 0
+    out = capsys.readouterr().out
+    assert "catalog_with_stock" in out and "O-C2" in out
+    assert main(["sql", "catalog_with_stock"]) == 0
+    assert "WITH RECURSIVE" in capsys.readouterr().out
+    assert main(["sql", "no_such_query"]) == 2
