@@ -88,3 +88,20 @@ def test_import_historic_prefix_and_existing_numbers(spark):
     got = {r.order_number: r.customer_id for r in O.import_historic(orders, imports, cust).collect()}
     # P-H001 already exists; 'luis' matches Luis and LUISA, the earlier profile wins; 'zed' matches none.
     assert got == {"P-H002": 4, "P-H003": None}
+
+
+def test_unlocked_rewards_fallback_equals_inline(spark, monkeypatch):
+    """Past the inline bound the exact range join takes over; both paths give the same rows."""
+    from decantry.operators import rewards as R
+    rewards = spark.createDataFrame([("r%d" % i, t, "L%d" % i, i % 5 != 0, i) for i, t in enumerate(range(10, 200, 7))],
+                                    "id string, threshold int, reward_label string, active boolean, sort_order int")
+    bal = spark.createDataFrame([(c, b) for c, b in enumerate([0, 9, 10, 11, 45, 199, 500])],
+                                "customer_id long, bookmarks long")
+    inline = sorted(tuple(r) for r in R.unlocked_rewards(bal, rewards).collect())
+    rows_inline = sorted(tuple(r) for r in R.customer_reward_rows(bal, rewards).collect())
+    monkeypatch.setattr(R, "MAX_INLINE_REWARDS", 2)
+    fallback = sorted(tuple(r) for r in R.unlocked_rewards(bal, rewards).select(
+        "customer_id", "bookmarks", "n_unlocked", "top_threshold", "next_threshold").collect())
+    rows_fallback = sorted(tuple(r) for r in R.customer_reward_rows(bal, rewards).collect())
+    assert fallback == inline
+    assert rows_fallback == rows_inline
