@@ -39,10 +39,7 @@ FOLD_VIEWS = {
     "fold_steps": """
 SELECT o.customer_id, i.perfume, t.order_id, o.order_number, o.created_at, t.ts, t.seq, t.entered,
        row_number() OVER (PARTITION BY o.customer_id, i.perfume ORDER BY t.ts, t.seq) AS k
-FROM (SELECT order_id, ts, seq, new_status = 'delivered' AS entered
-      FROM (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq), 'pending') AS prev
-            FROM f_status_events)
-      WHERE (new_status = 'delivered') <> (prev = 'delivered')) t
+FROM f_transitions t
 JOIN f_lifecycle_orders o ON o.id = t.order_id
 JOIN (SELECT DISTINCT order_id, trim(name) AS perfume FROM f_lifecycle_items WHERE nullif(trim(name), '') IS NOT NULL) i
   ON i.order_id = t.order_id
@@ -129,11 +126,7 @@ def _resets(spark, d):
 , deltas AS (
   SELECT o.customer_id, t.ts, t.seq,
          CASE WHEN t.entered THEN 1 ELSE -1 END * CAST(floor(o.order_total) AS BIGINT) AS delta
-  FROM (SELECT *, new_status = 'delivered' AND coalesce(prev, 'pending') <> 'delivered' AS entered,
-               new_status <> 'delivered' AND coalesce(prev, 'pending') = 'delivered' AS leaving
-        FROM (SELECT *, lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq) AS prev FROM f_status_events)) t
-  JOIN f_lifecycle_orders o ON o.id = t.order_id
-  WHERE t.entered OR t.leaving),
+  FROM f_transitions t JOIN f_lifecycle_orders o ON o.id = t.order_id),
 resets AS (SELECT user_id AS customer_id, ts, event_id AS seq FROM events WHERE event_type = 'signup' AND value > 100),
 steps AS (
   SELECT customer_id, ts, seq, delta, 0 AS is_reset FROM deltas
@@ -354,10 +347,7 @@ FOLD_MANUAL_VIEWS = {
 SELECT *, row_number() OVER (PARTITION BY customer_id, perfume ORDER BY ts, seq, rk) AS k FROM (
   SELECT o.customer_id, i.perfume, t.order_id, o.order_number, o.created_at, t.ts, t.seq,
          CASE WHEN t.entered THEN 'enter' ELSE 'leave' END AS kind, 0 AS rk
-  FROM (SELECT order_id, ts, seq, new_status = 'delivered' AS entered
-        FROM (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq), 'pending') AS prev
-              FROM f_status_events)
-        WHERE (new_status = 'delivered') <> (prev = 'delivered')) t
+  FROM f_transitions t
   JOIN f_lifecycle_orders o ON o.id = t.order_id
   JOIN (SELECT DISTINCT order_id, trim(name) AS perfume FROM f_lifecycle_items WHERE nullif(trim(name), '') IS NOT NULL) i
     ON i.order_id = t.order_id

@@ -102,6 +102,12 @@ FROM (SELECT id AS order_id, unnest([(id * 7) % 50, (id * 7 + 13) % 50, (id * 7
       FROM f_lifecycle_orders) k
 LEFT JOIN f_catalog c ON c.id = k.pk"""
 
+VIEWS["f_transitions"] = """
+SELECT order_id, ts, seq, new_status = 'delivered' AS entered
+FROM (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY order_id ORDER BY ts, seq), 'pending') AS prev
+      FROM f_status_events)
+WHERE (new_status = 'delivered') <> (prev = 'delivered')"""
+
 VIEWS["f_codes"] = """
 SELECT 'PR-' || upper(substr(sha256(o.order_number), 1, 10)) AS code,
        o.customer_name, o.customer_phone, o.order_number, o.order_total,
