@@ -248,3 +248,25 @@ def test_fold_with_manual_changes_matches_row_model(spark):
              for r in FO.unlock_notifications(e, o, i, steps).collect()}
     assert got_n == notes
     assert any(v == "MANUAL-STUDIO" for v in lib.values()) and any(k[2] is None for k in notes)
+
+
+def test_fold_hot_key_spanning_many_arrow_batches(spark):
+    """One (customer, perfume) with a long history: the fold must carry its state across
+    Arrow batch boundaries (forced small here) and still equal the row model."""
+    rnd = random.Random(31)
+    t0 = dt.datetime(2024, 1, 1)
+    orders = [(o, 1, Decimal("9.99"), f"P-{o:05d}", t0 + dt.timedelta(minutes=o)) for o in range(1, 31)]
+    items = [(o, "Eros") for o in range(1, 31)] + [(o, "CK One") for o in range(1, 31, 3)]
+    events = [(rnd.randint(1, 30), rnd.choice(["delivered", "delivered", "pending", "cancelled"]),
+               t0 + dt.timedelta(seconds=s), s) for s in range(1, 3001)]
+    o, i, e = _frames(spark, orders, items, events)
+    lib, notes = _model(orders, items, events)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    try:
+        got = {(r.customer_id, r.perfume): r.source_code for r in FO.collection_sources(e, o, i).collect()}
+        got_n = {(r.customer_id, r.perfume, r.order_id): r.created_at for r in FO.unlock_notifications(e, o, i).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert got == lib and got_n == notes
