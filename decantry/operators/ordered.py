@@ -29,7 +29,8 @@ def lag_by_key(df: DataFrame, key: str, value: str, out: str, default=None,
 
     One window over (key, chunk) yields both the in-chunk lag and each chunk's last value;
     the chunk summaries (one row per key and chunk) come from that same output, so the
-    input is scanned and shuffled once.
+    input is scanned and shuffled once. ``value`` must be non-null (a null is read as "no
+    previous row in this chunk") and (ts, seq) unique per key.
     """
     c = df.withColumn("_chunk", _chunk(ts, unit))
     w = Window.partitionBy(key, "_chunk").orderBy(ts, seq)
