@@ -125,12 +125,16 @@ def _step(key, pdfs, state):
     cs = CustomerState.from_json(state.get[0]) if state.exists else CustomerState()
     # Status changes before admin changes at equal (ts, seq), as in the batch fold.
     batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq", "rk"], kind="stable")
-    for r in batch.itertuples(index=False):
-        if r.rk == 0:
-            cs.apply(int(r.order_id), r.new_status, r.ts, r.order_total, r.order_number, r.created_at,
-                     list(r.perfumes) if r.perfumes is not None else [])
+    rows = zip(batch["rk"].tolist(), batch["order_id"].astype("Int64").tolist(), batch["new_status"].tolist(),
+               batch["ts"].tolist(), batch["order_total"].tolist(), batch["order_number"].tolist(),
+               batch["created_at"].tolist(), batch["perfumes"].tolist(), batch["perfume"].tolist(),
+               batch["unlocked"].tolist())
+    for rk, order_id, status, ts, total, number, created, perfumes, perfume, unlocked in rows:
+        if rk == 0:
+            cs.apply(int(order_id), status, ts, total, number, created,
+                     list(perfumes) if perfumes is not None else [])
         else:
-            cs.apply_manual(r.perfume, bool(r.unlocked), r.ts)
+            cs.apply_manual(perfume, bool(unlocked), ts)
     cs.version += 1
     state.update((cs.to_json(),))
     yield pd.DataFrame(cs.rows(int(key[0])), columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
