@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from decantry.plans.compare import compare, duck_connect
+from decantry.plans.compare import compare, duck_connect, type_diff
 from decantry.plans.registry import load_all
 from decantry.session import build_session
 
@@ -28,7 +28,10 @@ for name, q in sorted(load_all().items()):
             res = {"rows": df.count(), "oracle": None}
         else:
             res = compare(df, con, q.oracle)
-            if not (res["columns_match"] and res["values_match"] and res["spark_rows"] == res["oracle_rows"]):
+            types = type_diff(df, con, q.oracle)
+            if types:
+                res["type_mismatch"] = types
+            if types or not (res["columns_match"] and res["values_match"] and res["spark_rows"] == res["oracle_rows"]):
                 bad += 1
     except Exception as e:  # noqa: BLE001
         bad += 1
