@@ -57,3 +57,10 @@ def test_flagship_plan_pushes_delivered_filter_and_prunes_columns(spark, sf_smal
     assert "PushedFilters: [EqualNullSafe(o_orderstatus,F)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_item_metrics_aggregate_before_names(spark, sf_small):
+    best = QUERIES["best_sellers"].fn(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[item_key" in best                     # summed per part key first
+    cube = QUERIES["kpi_cube"].fn(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "p_name" not in cube                                      # no name lookup at all
