@@ -89,3 +89,19 @@ def test_cli_lists_and_prints_sql(capsys):
     assert main(["sql", "catalog_with_stock"]) == 0
     assert "WITH RECURSIVE" in capsys.readouterr().out
     assert main(["sql", "no_such_query"]) == 2
+
+
+def test_package_is_shipped_to_workers_once(spark):
+    from decantry import session as SE
+    SE.ship_package(spark)
+    before = len(SE._SHIPPED)
+    SE.ship_package(spark)                                   # idempotent per session
+    assert len(SE._SHIPPED) == before and id(spark) in SE._SHIPPED
+
+    def probe(batches):
+        import importlib
+        import pandas as pd
+        for b in batches:
+            mod = importlib.import_module("decantry.operators.fold")
+            yield pd.DataFrame({"ok": [hasattr(mod, "KeyState")] * len(b)})
+    assert all(r.ok for r in spark.range(4).mapInPandas(probe, "ok boolean").collect())
