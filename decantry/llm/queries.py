@@ -121,3 +121,21 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decantry.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def vocab_path() -> str:
+    """The public vocabulary the contract names, where that package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+VOCAB_SIZE = 49_408
+
+
+@_registered()
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.token_file import document_index, token_file_path, write_token_file
+
+    path = write_token_file(table(spark, sf_dir, "documents"), token_file_path(spark), vocab_path(), VOCAB_SIZE)
+    return document_index(spark, path)
