@@ -139,3 +139,28 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = write_token_file(table(spark, sf_dir, "documents"), token_file_path(spark), vocab_path(), VOCAB_SIZE)
     return document_index(spark, path)
+
+
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+sh AS (SELECT DISTINCT r, list_slice(w, i, i + least(4, len(w)) - 1) AS s
+       FROM w, LATERAL (SELECT unnest(generate_series(1, len(w) - least(4, len(w)) + 1)) AS i) x WHERE len(w) > 0),
+sizes AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+inter AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+link AS (SELECT a, b FROM inter JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach(a, b) AS (SELECT r, r FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM w JOIN reach ON reach.a = w.r JOIN w o ON o.r = reach.b LEFT JOIN sizes ON sizes.r = w.r
+GROUP BY w.r, w.doc_id
+"""
+
+
+@_registered(NGRAM_SQL)
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
