@@ -164,3 +164,19 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decantry.llm.ngram_join import ngram_join
 
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_registered()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+@_registered()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.toxicity import classify_toxicity
+
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
