@@ -180,3 +180,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "held_out", "score", "predicted")
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT r, source, i, parts[i] AS raw, trim(parts[i], ' ' || chr(9) || chr(13)) AS line
+      FROM d, LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i) s),
+boiler AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+kept AS (SELECT r, count(*) AS n, string_agg(raw, chr(10) ORDER BY i) AS t
+         FROM l WHERE line NOT IN (SELECT line FROM boiler) GROUP BY r)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(len(parts) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+@_registered(LINES_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
