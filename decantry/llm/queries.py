@@ -201,3 +201,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_registered()
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.pseudonyms import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, key="decantry-pseudonyms-1").select("doc_id", "n_replaced", "text")
