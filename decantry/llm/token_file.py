@@ -29,9 +29,8 @@ from decantry.llm.common import map_arrow, scratch_path, slices, text_or_empty,
 
 END_ID = 1
 BLOCK_IDS = 1 << 17
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000  # pieces, and as many bases, that a worker keeps
 SLICE_BYTES = 2 << 20
-_BREAKS = str.maketrans("\n\t\r", "   ")
 
 
 class WordEncoder:
@@ -49,6 +48,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        self.bases: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -57,6 +57,7 @@ class WordEncoder:
         return cls._kept[path]
 
     def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces the tokenizer has not seen yet."""
         for k in range(0, len(pieces), 1000):
             part = pieces[k: k + 1000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -65,16 +66,31 @@ class WordEncoder:
             begins = np.cumsum(sizes) - sizes
             cuts = np.searchsorted([a for a, _ in got.offsets], begins).tolist() + [len(ids)]
             for p, a, b in zip(part, cuts, cuts[1:], strict=False):
-                self.cache[p] = ids[a:b].tobytes()
+                self.bases[p] = ids[a:b].tobytes()
+
+    @staticmethod
+    def _base(piece: str) -> tuple[str, str]:
+        """(base, ending) with the piece's ids those of both in turn.
+
+        The tokenizer cuts between a letter and a full stop or comma, and reads ASCII
+        letters in lower case.
+        """
+        core, end = (piece[:-1], piece[-1]) if piece[-1] in ".," else (piece, "")
+        if not core.isalpha():
+            return piece, ""
+        return (core.lower() if core.isascii() else core), end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        split = [t.translate(_BREAKS).split(" ") for t in texts]
-        new = set().union(*split).difference(self.cache)
-        if new:
-            self._learn(list(new))
+            self.cache = {"": b""}
+        if len(self.bases) > CACHE_WORDS:
+            self.bases = {"": b""}
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = {w: self._base(w) for w in set().union(*split).difference(self.cache)}
+        self._learn(list({x for pair in new.values() for x in pair}.difference(self.bases)))
+        for w, (base, end) in new.items():
+            self.cache[w] = self.bases[base] + self.bases[end]
         get = self.cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
