@@ -81,6 +81,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     without words get target 0 and are never taken. An empty table gives no rows.
     Other columns are ignored.
     """
+    narrow, threshold = _plan(docs, weights, share, max_repeat)
+    return (narrow.join(threshold, narrow["source"].eqNullSafe(threshold["t_source"]))
+            .withColumn("copies", _copies())
+            .select("doc_id", "size", "source", "source_size", "target", "copies",
+                    (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def repeat_mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
+                 max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as ``mix_sources`` takes them.
+
+    The thresholds (one row a source) come to the documents; texts are not shuffled.
+    """
+    _, threshold = _plan(docs, weights, share, max_repeat)
+    names = docs.columns
+    rows = docs.withColumn("h", doc_hash(F.col("doc_id"), F.col("text").cast("string")))
+    taken = (rows.join(threshold, rows["source"].eqNullSafe(threshold["t_source"]))
+             .withColumn("_copies", _copies()).where("_copies > 0")
+             .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
+    return taken.select(*[rows[c] for c in names])
+
+
+def _copies() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)).otherwise(0).cast("long")
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeat: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of all documents, and one row a source with its threshold."""
     text = F.col("text").cast("string")
     narrow = written(docs.select("doc_id", "source", word_count(text).alias("size"),
                                  doc_hash(F.col("doc_id"), text).alias("h")), "mix-sizes")
@@ -89,13 +117,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = written(targets.withColumn("whole", whole.cast("long"))
                    .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    threshold = _thresholds(narrow, plan)
-    return (narrow.join(threshold, narrow["source"].eqNullSafe(threshold["t_source"]))
-            .withColumn("copies", F.when(F.col("source_size") > 0, F.col("whole")
-                                         + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
-                        .otherwise(0).cast("long"))
-            .select("doc_id", "size", "source", "source_size", "target", "copies",
-                    (F.col("copies") * F.col("size")).alias("taken")))
+    return narrow, _thresholds(narrow, plan)
 
 
 def _thresholds(narrow: DataFrame, plan: DataFrame) -> DataFrame:

@@ -209,3 +209,11 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs, key="decantry-pseudonyms-1").select("doc_id", "n_replaced", "text")
+
+
+@_registered()
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
