@@ -177,15 +177,15 @@ def window_rows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _search_pass(docs: DataFrame, tables: list[Patterns], names: list[str | None]) -> DataFrame:
-    """``docs`` columns but text, then the findings of one block of patterns."""
+    """``docs`` columns but ``_scan`` (the text), then the findings of one block of patterns."""
     sent = docs.sparkSession.sparkContext.broadcast((tables, names))
-    schema = docs.drop("text").schema
+    schema = docs.drop("_scan").schema
     out_names = [*schema.names, "n_words", "spans", "items"]
 
     def scan(batches):
         own, item_names = sent.value
-        for batch in slices(batches, "text", SLICE_BYTES):
-            place = batch.schema.get_field_index("text")
+        for batch in slices(batches, "_scan", SLICE_BYTES):
+            place = batch.schema.get_field_index("_scan")
             data, ends = utf8_bytes(batch.column(place))
             n, spans, items = [], [], []
             for _, count, hits, which in occurrences(own, data, ends):
@@ -223,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     distinct = patterns.select("length", "pattern").distinct().count()
     blocks = max(1, -(-distinct // max_patterns))
     patterns = patterns.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
-    rows = docs.select("doc_id", *carry, text_or_empty().cast("binary").alias("text"))
+    rows = docs.select("doc_id", *carry, text_or_empty().cast("binary").alias("_scan"))
     passes = []
     if blocks > 1:  # the passes meet again by this number, fixed by writing it down
         rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
