@@ -11,14 +11,16 @@ symmetric difference of at most D = floor((1-t)/(1+t) * 2U), so with more than D
 one is equal in both (pigeonhole). Sizes fall in bands with one U each; a class enters its
 own band and, where a partner can be that large, the next one.
 
-Two refinements keep equal segments rare among unlike texts without losing a pair:
+What keeps equal segments rare among unlike texts, without losing a pair:
 
-* Empty segments say nothing. A class with more than D non-empty segments leaves the empty
-  ones out: one of its non-empty segments is untouched by the difference.
-* Shingles found in many texts (boilerplate) are left out of the sketch; the symmetric
-  difference only shrinks. A class that has too few segments left then enters a second
-  sketch of all its shingles as well, where it meets others like itself. Any list of
-  common shingles gives the same links, so that list may be bounded.
+* A set linked with another shares at least the threshold's part of its shingles, so a set
+  with too many shingles that occur nowhere else makes no sketch. A bitmap of the shingles
+  that repeat tells (it may overlook some that do not, which only weakens the test).
+* There are about twice as many segments as needed. Of its K segments a class has at most
+  D unlike its partner's, so any D+1 hold a common one; ordered by how many classes have a
+  segment, the rarest common segment is among the D+1 rarest of both. Only these stay;
+  segments found in one class alone come first, so a class with more than D of them leaves.
+* Empty segments say nothing. A class with more than D non-empty ones leaves them out.
 
 Equal segments become links to one pivot a segment (the smallest class), never all pairs;
 a batch of texts first links its own repeats, so a segment that a third of all texts
@@ -27,7 +29,9 @@ share sends one row a batch. Links are verified on the full sets in three rounds
 1. each class against the pivot with which it shares most segments;
 2. the remaining pivot links between different components;
 3. inside segments whose classes are still in different components, the pairs across
-   components that the triangle inequality over the verified pivot distances allows.
+   components that no bound excludes: the Hamming distance of their bit sketches (now of
+   fixed width), the numbers of shingles found nowhere else, and the triangle inequality
+   over the verified pivot distances.
 
 After that every pair with an equal segment is verified, excluded, or already connected.
 """
@@ -41,15 +45,16 @@ from pyspark.sql import functions as F
 
 from decantry.llm.common import map_arrow, slices, text_or_empty, utf8_bytes, written
 from decantry.llm.components import components
+from decantry.llm.repeats import is_repeated, packed, repeated_bits, sizes
 from decantry.llm.textwords import SPACED, mixed, words
 
 SHINGLE = 4
 NEED, OF = 85, 100  # linked: OF * intersection >= NEED * union
 SLICE_BYTES = 6 << 20
-COMMON_IN_SLICE, COMMON_TOTAL, COMMON_MOST = 4, 24, 200_000
 BAND_RATIO = 1.5
-SPARE = 1.1  # segments more than the pigeonhole needs, so that empty ones can be left out
-LOCAL_GROUPS = 64
+SPARE = 2.0  # times the segments that the pigeonhole needs
+GROUPS = 64  # parts that a key many classes have is dealt over
+SKETCH_WORDS = 8
 PER_GROUP = 2000  # members verified together against one pivot
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -104,7 +109,7 @@ class Bands:
         self.low = np.array(lows, np.int64)
         up = np.append(self.low[1:] - 1, self.low[-1] * 2)
         self.differ = (of - need) * 2 * up // (of + need)
-        self.segments = np.ceil((self.differ + 1) * SPARE).astype(np.int64) + (self.differ > 0)
+        self.segments = np.where(self.differ > 0, np.ceil((self.differ + 1) * SPARE).astype(np.int64), 1)
         self.need, self.of = need, of
 
     def jobs(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,103 +140,100 @@ def _segment_words(tokens: np.ndarray, job: np.ndarray, band: np.ndarray, count:
     return out, off, np.arange(off[-1]) - np.repeat(off[:-1], count)
 
 
-def sketch_keys(tokens: np.ndarray, border: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key): the sets that must meet, by equal keys."""
+def sketch_keys(tokens: np.ndarray, border: np.ndarray, bands: Bands) -> tuple[np.ndarray, ...]:
+    """(set, key, band, spare): the sets that must meet, by equal keys.
+
+    A set's keys of one band have at most ``K - spare - 1`` that a partner lacks, K being
+    their number.
+    """
     sets, band = bands.jobs(np.diff(border))
+    none = np.zeros(0, np.int64)
     if not len(sets):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rare = np.ones(len(tokens), bool)
-    if len(common):
-        at = np.searchsorted(common, tokens)
-        at[at == len(common)] = 0
-        rare = common[at] != tokens
+        return none, none.astype(np.uint64), none, none
     need, count = bands.differ[band] + 1, bands.segments[band]
-
-    def spread(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = (border[sets + 1] - border[sets])[chosen]
-        job = np.repeat(chosen, size)
-        inside = np.arange(len(job)) - np.repeat(np.cumsum(size) - size, size)
-        return border[sets[job]] + inside, job
-
-    place, job = spread(np.arange(len(sets)))
-    own = rare[place]
-    w, off, seg = _segment_words(tokens[place[own]], job[own], band, count)
+    size = np.diff(border)[sets]
+    job = np.repeat(np.arange(len(sets)), size)
+    place = border[sets[job]] + np.arange(len(job)) - np.repeat(np.cumsum(size) - size, size)
+    w, _, seg = _segment_words(tokens[place], job, band, count)
     owner = np.repeat(np.arange(len(sets)), count)
     full = w != 0
-    poor = np.bincount(owner[full], minlength=len(sets)) < need
-    found = [(owner[full], seg[full], w[full], np.zeros(int(full.sum()), np.uint64))]
-    if poor.any():
-        place, job = spread(np.flatnonzero(poor))
-        w, off, seg = _segment_words(tokens[place], job, band, np.where(poor, count, 0))
-        owner = np.repeat(np.arange(len(sets)), np.where(poor, count, 0))
-        full = w != 0
-        thin = np.bincount(owner[full], minlength=len(sets)) < need
-        full |= thin[owner]
-        found.append((owner[full], seg[full], w[full], np.ones(int(full.sum()), np.uint64)))
-    owner, seg, w, kind = (np.concatenate(x) for x in zip(*found, strict=True))
-    key = mixed(w * _A + seg.astype(np.uint64) * _B + band[owner].astype(np.uint64) * np.uint64(2) + kind)
-    return sets[owner], key
+    made = np.bincount(owner[full], minlength=len(sets))
+    thin = made < need
+    full |= thin[owner]
+    made = np.where(thin, count, made)
+    owner, seg, w = owner[full], seg[full], w[full]
+    key = mixed(w * _A + seg.astype(np.uint64) * _B + band[owner].astype(np.uint64))
+    return sets[owner], key, band[owner], (made - need)[owner]
 
 
 # --- passes over the texts ------------------------------------------------------------------
 
-def _sets_and_common(docs: DataFrame, shingle: int) -> DataFrame:
-    """kind 0: ``id, class, n`` of each row; kind 1: shingles (as class) in n texts of one slice."""
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``id, class, n`` of each row."""
     def scan(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
             data, ends = utf8_bytes(batch.column(1))
             tokens, border = shingle_sets(data, ends, shingle)
-            name, n = class_ids(tokens, border), np.diff(border)
-            _, once = np.unique(name, return_index=True)
-            if len(once) < len(name):
-                own = np.zeros(len(name), bool)
-                own[once] = True
-                tokens = tokens[np.repeat(own, n)]
-            tokens.sort()
-            cut = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-            seen = np.diff(np.append(cut, len(tokens)))
-            often = seen >= COMMON_IN_SLICE
-            extra = int(often.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([0, 1], [len(n), extra]).astype(np.int32)),
-                 pa.concat_arrays([batch.column(0), pa.nulls(extra, batch.column(0).type)]),
-                 pa.array(np.concatenate([name, tokens[cut[often]].view(np.int64)])),
-                 pa.array(np.concatenate([n, seen[often]]).astype(np.int64))], ["kind", "id", "class", "n"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs, scan, f"kind int, id {kind}, class long, n long")
-
-
-def _keys(docs: DataFrame, bands: Bands, common: np.ndarray, shingle: int) -> DataFrame:
-    """``key, class, local``: one row a key and slice with ``local`` null (its smallest class),
-    and a row for each further class of the slice with ``local`` that smallest class."""
-    sent = docs.sparkSession.sparkContext.broadcast((bands, common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(class_ids(tokens, border)),
+                                              pa.array(np.diff(border).astype(np.int64))], ["id", "class", "n"])
+
+    return map_arrow(docs, scan, f"id {docs.schema['id'].dataType.simpleString()}, class long, n long")
+
+
+def _distinct_sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, borders, class) of the distinct sets of a slice whose first column is the text."""
+    data, ends = utf8_bytes(batch.column(0))
+    tokens, border = shingle_sets(data, ends, shingle)
+    name = class_ids(tokens, border)
+    _, once = np.unique(name, return_index=True)
+    once.sort()
+    n = np.diff(border)
+    own = np.zeros(len(name), bool)
+    own[once] = True
+    return tokens[np.repeat(own, n)], np.concatenate([[0], np.cumsum(n[once])]), name[once]
+
+
+def _repeated_shingles(docs: DataFrame, total: int, shingle: int) -> tuple[np.ndarray, int]:
+    index_bits, bucket_bits = sizes(total)
+
+    def gather(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
+            tokens, _, _ = _distinct_sets(batch, shingle)
+            yield packed(mixed(tokens), bucket_bits)
+
+    return repeated_bits(docs.select("text"), gather, index_bits, bucket_bits), index_bits
+
+
+def _keys(docs: DataFrame, bands: Bands, bits: np.ndarray, index_bits: int, shingle: int) -> DataFrame:
+    """``key, class, head, many, sketch`` of each distinct class of a slice: ``head`` is true once a
+    key and slice, ``many`` where the slice has several classes of the key; ``sketch`` is
+    the number of shingles found nowhere else, ``spare`` (24 bits) and the band (8 bits)."""
+    sent = docs.sparkSession.sparkContext.broadcast((bands, bits))
 
     def scan(batches):
-        own_bands, own_common = sent.value
+        own_bands, own_bits = sent.value
         for batch in slices(batches, "text", SLICE_BYTES):
-            data, ends = utf8_bytes(batch.column(0))
-            tokens, border = shingle_sets(data, ends, shingle)
-            name = class_ids(tokens, border)
-            _, once = np.unique(name, return_index=True)
-            once.sort()
+            tokens, border, name = _distinct_sets(batch, shingle)
             n = np.diff(border)
-            mask = np.zeros(len(name), bool)
-            mask[once] = True
-            tokens = tokens[np.repeat(mask, n)]
-            sets, key = sketch_keys(tokens, np.concatenate([[0], np.cumsum(n[once])]), own_bands, own_common)
-            cls = name[once][sets]
+            sums = np.concatenate([[0], np.cumsum(~is_repeated(mixed(tokens), own_bits, index_bits))])
+            alone = sums[border[1:]] - sums[border[:-1]]
+            can = alone * own_bands.of <= (own_bands.of - own_bands.need) * n
+            tokens, name = tokens[np.repeat(can, n)], name[can]
+            sets, key, band, spare = sketch_keys(tokens, np.concatenate([[0], np.cumsum(n[can])]), own_bands)
+            cls = name[sets]
             order = np.lexsort((cls, key))
             key, cls = key[order].view(np.int64), cls[order]
+            sketch = (alone[can][sets] << 32 | spare << 8 | band)[order]
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
-            least = cls[np.flatnonzero(head)][np.cumsum(head) - 1] if len(key) else cls
+            many = ~head
+            many[:-1] |= ~head[1:]
             for a in range(0, len(key), 100_000):
                 z = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[z]), pa.array(cls[z]), pa.array(least[z], mask=head[z])], ["key", "class", "local"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(cls[z]), pa.array(head[z]), pa.array(many[z]), pa.array(sketch[z])],
+                                                 ["key", "class", "head", "many", "sketch"])
 
-    return map_arrow(docs.select("text"), scan, "key long, class long, local long")
+    return map_arrow(docs.select("text"), scan, "key long, class long, head boolean, many boolean, sketch long")
 
 
 # --- verification ---------------------------------------------------------------------------
@@ -320,18 +322,14 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, need: int = NEED, of: in
     than ``doc_id`` and ``text`` are ignored.
     """
     rows = docs.select(F.col("doc_id").alias("id"), text_or_empty().cast("binary").alias("text"))
-    scanned = written(_sets_and_common(rows, shingle), "sets")
-    meta = scanned.where("kind = 0")
+    meta = written(_sets(rows, shingle), "sets")
     classes = (meta.where("n > 0").groupBy("class")
                .agg(F.min("id").alias("first_id"), F.first("n").alias("n")))
     classes = written(classes, "classes")
-    most = classes.agg(F.max("n")).first()[0] or 0
-    common = np.sort(np.array(
-        [r["class"] for r in scanned.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n"))
-         .where(F.col("n") >= COMMON_TOTAL).orderBy(F.desc("n"), "class").limit(COMMON_MOST).collect()],
-        np.int64).view(np.uint64))
-
-    roots = _linked_classes(rows, classes, Bands(most, need, of), common, shingle, need, of)
+    largest = classes.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    bits, index_bits = _repeated_shingles(rows, largest["total"] or 0, shingle)
+    keys = _keys(rows, Bands(largest["most"] or 0, need, of), bits, index_bits, shingle)
+    roots = _linked_classes(keys, rows, classes, shingle, need, of)
     named = _rooted(meta.select("id", "class", "n"), "class", roots, "component")
     least = named.where("n > 0").groupBy("component").agg(F.min("id").alias("least_id"))
     return (named.join(least, "component", "left")
@@ -339,21 +337,45 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, need: int = NEED, of: in
                     F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("id")).alias("component_id")))
 
 
-def _linked_classes(rows: DataFrame, classes: DataFrame, bands: Bands, common: np.ndarray, shingle: int,
-                    need: int, of: int) -> DataFrame:
+def _rarest(keys: DataFrame) -> DataFrame:
+    """``key, class, alone``: of each sketch the keys of several classes that it needs, rarest first.
+
+    A key's rank is the number of slices that have it. Slices send one head row a key, and
+    only heads meet under the key; the other rows join the keys' counts.
+    """
+    spread = F.when(F.col("head"), 0).otherwise(1 + F.pmod(F.hash("class"), F.lit(GROUPS)))
+    by_key = Window.partitionBy("key", "spread")
+    rows = keys.withColumn("spread", spread).withColumn("often", F.count("*").over(by_key))
+    rows = written(rows.where(~F.col("head") | F.col("many") | (F.col("often") > 1)).drop("spread"), "keys")
+    heads = rows.where("head")
+    counts = heads.where("many").groupBy("key").agg(F.max("often").alias("often"))
+    others = rows.where("not head").drop("often").join(counts, "key")
+    names = ["key", "class", "sketch", "often"]
+    by_sketch = Window.partitionBy("class", "band")
+    return (heads.select(names).union(others.select(names))
+            .withColumn("band", F.expr("sketch & 255")).repartition("class", "band")
+            .groupBy("class", "band", "key").agg(F.first("sketch").alias("sketch"), F.first("often").alias("often"))
+            .withColumn("place", F.row_number().over(by_sketch.orderBy("often", "key")))
+            .withColumn("keys", F.count("*").over(by_sketch))
+            .where(F.col("place") <= F.col("keys") - F.expr("sketch >> 8 & 16777215"))
+            .select("key", "class", F.expr("sketch >> 32").alias("alone")))
+
+
+def _starred(met: DataFrame) -> DataFrame:
+    """``key, class, alone, via, pivot``: the smallest class of the key (``pivot``), by way of the
+    smallest of one of ``GROUPS`` parts of the key's classes (``via``)."""
+    part = met.withColumn("part", F.pmod(F.hash("class"), F.lit(GROUPS)))
+    part = part.withColumn("via", F.first("class").over(Window.partitionBy("key", "part").orderBy("class")))
+    tops = part.where("class = via").withColumn("pivot", F.first("class").over(Window.partitionBy("key").orderBy("class")))
+    tops = tops.select("key", "part", "pivot")
+    return part.join(tops, ["key", "part"]).select("key", "class", "alone", "via", "pivot")
+
+
+def _linked_classes(keys: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, need: int, of: int) -> DataFrame:
     """``node, root``: classes that hang on another class of their component."""
-    keys = _keys(rows, bands, common, shingle)
-    # Further classes of a slice are dealt over groups of their own; the heads alone, one a
-    # slice, meet under the key. Rows come in the order of class: the first is the pivot.
-    group = F.when(F.col("local").isNull(), 0).otherwise(1 + F.pmod(F.hash("class"), F.lit(LOCAL_GROUPS)))
-    by_key = Window.partitionBy("key", "group").orderBy("class")
-    heads = (keys.withColumn("group", group)
-             .withColumn("pivot", F.first("class").over(by_key))
-             .withColumn("next", F.lead("class").over(by_key)))
-    meets = (F.col("group") > 0) | (F.col("pivot") != F.col("class")) | F.coalesce(F.col("next") != F.col("class"), F.lit(False))
-    met = written(heads.where(meets).select("key", "class", F.when(F.col("group") == 0, F.col("pivot")).alias("pivot"), "local"), "met")
-    star = (met.select(F.coalesce("local", "pivot").alias("pivot"), "class").where("pivot <> class")
-            .groupBy("pivot", "class").agg(F.count("*").alias("shared")))
+    met = written(_starred(_rarest(keys)), "met")
+    star = (met.select(F.col("via").alias("pivot"), "class").union(met.where("class = via").select("pivot", "class"))
+            .where("pivot <> class").groupBy("pivot", "class").agg(F.count("*").alias("shared")))
     star = written(star, "star")
 
     best = star.groupBy("class").agg(F.max_by("pivot", F.struct("shared", F.negative("pivot"))).alias("pivot"))
@@ -373,25 +395,43 @@ def _linked_classes(rows: DataFrame, classes: DataFrame, bands: Bands, common: n
         links = links.union(_links(more, need, of))
         roots = written(components(links), "roots")
 
-    third = written(_third_round(met, done, roots, classes, need, of), "third")
+    third = written(_third_round(met, done, roots, rows, classes, shingle, need, of), "third")
     if not third.isEmpty():
         links = links.union(_links(_verified(third, rows, classes, shingle), need, of))
         roots = written(components(links), "roots")
     return roots
 
 
-def _third_round(met: DataFrame, done: DataFrame, roots: DataFrame, classes: DataFrame, need: int, of: int) -> DataFrame:
+def _bit_sketches(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """``class, s0, s1, ...``: parity sketches of ``64 * SKETCH_WORDS`` bits; each shingle flips one."""
+    ids = wanted.join(classes.select("class", "first_id"), "class")
+    texts = docs.join(ids, docs["id"].eqNullSafe(ids["first_id"])).select("text", "class")
+    names = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+    def scan(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
+            data, ends = utf8_bytes(batch.column(0))
+            tokens, border = shingle_sets(data, ends, shingle)
+            name = class_ids(tokens, border)
+            n = len(name)
+            bits = 64 * SKETCH_WORDS
+            bit = (mixed(tokens ^ _B) % np.uint64(bits)).astype(np.int64) + bits * np.repeat(np.arange(n), np.diff(border))
+            sketch = np.packbits((np.bincount(bit, minlength=bits * n) & 1).astype(np.uint8)).view(np.int64).reshape(n, SKETCH_WORDS)
+            ok = name == batch.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(name[ok]), *[pa.array(sketch[ok, k]) for k in range(SKETCH_WORDS)]], ["class", *names])
+
+    return written(map_arrow(texts, scan, "class long, " + ", ".join(f"{k} long" for k in names)).dropDuplicates(["class"]), "bits")
+
+
+def _third_round(met: DataFrame, done: DataFrame, roots: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int,
+                 need: int, of: int) -> DataFrame:
     """Unverified pairs across components inside one key that no bound excludes."""
     far = 1.0 - need / of + 1e-9
     union = F.col("n_pivot") + F.col("n_class") - F.col("inter")
     distance = done.select("pivot", "class", (1 - F.col("inter") / union).alias("d")).dropDuplicates(["pivot", "class"])
-    heads = met.where("local is not null").select("key", F.col("local").alias("class"))
-    every = met.union(heads.select("key", "class", F.lit(None).cast("long").alias("pivot"), F.lit(None).cast("long").alias("local")))
-    every = every.groupBy("key", "class").agg(F.min("pivot").alias("pivot"), F.min("local").alias("local"))
-    m = _rooted(every, "class", roots, "root")
-    open_keys = (m.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("pivot").alias("p"))
-                 .where("a <> b").select("key", "p"))
-    m = m.join(open_keys, "key").withColumn("pivot", F.coalesce("p", "local", "class")).withColumn("via", F.coalesce("local", "pivot"))
+    m = _rooted(met, "class", roots, "root")
+    open_keys = m.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    m = m.join(open_keys, "key", "left_semi")
     d1 = distance.select(F.col("pivot").alias("via"), "class", F.col("d").alias("d1"))
     d2 = distance.select("pivot", F.col("class").alias("via"), F.col("d").alias("d2"))
     m = (m.join(d1, ["via", "class"], "left").join(d2, ["pivot", "via"], "left")
@@ -400,13 +440,19 @@ def _third_round(met: DataFrame, done: DataFrame, roots: DataFrame, classes: Dat
     # Bounds of the distance to the key's pivot; unknown distances bound nothing.
     m = (m.withColumn("lo", F.coalesce(F.abs(F.col("d1") - F.col("d2")), F.lit(0.0)))
          .withColumn("hi", F.coalesce(F.col("d1") + F.col("d2"), F.lit(1.0)))
-         .join(classes.select("class", "n"), "class").select("key", "class", "root", "n", "lo", "hi"))
+         .join(classes.select("class", "n"), "class").select("key", "class", "root", "n", (F.col("n") - F.col("alone")).alias("may"), "lo", "hi"))
     m = written(m, "open")
+    if m.isEmpty():
+        return m.select(F.col("class").alias("pivot"), "class")
+    m = m.join(_bit_sketches(m.select("class").distinct(), rows, classes, shingle), "class")
     x, y = m.alias("x"), m.alias("y")
+    most = F.least("x.may", "y.may")  # of the intersection: shingles found nowhere else are in none
+    hamming = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class"))
                    & (F.col("x.root") != F.col("y.root"))
+                   & (of * most >= need * (F.col("x.n") + F.col("y.n") - most))
                    & (F.col("x.lo") <= F.col("y.hi") + far) & (F.col("y.lo") <= F.col("x.hi") + far)
-                   & (F.col("x.n") * of >= F.col("y.n") * need) & (F.col("y.n") * of >= F.col("x.n") * need))
+                   & ((need + of) * hamming <= (of - need) * (F.col("x.n") + F.col("y.n"))))
     pairs = pairs.select(F.col("x.class").alias("pivot"), F.col("y.class").alias("class")).distinct()
     known = done.select(F.least("pivot", "class").alias("pivot"), F.greatest("pivot", "class").alias("class"))
     return pairs.join(known, ["pivot", "class"], "left_anti")
