@@ -25,7 +25,6 @@ runs over stretches with repeated anchors only; both leave the result exact.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decantry.llm.common import map_arrow, slices, text_or_empty, utf8_bytes, written
+from decantry.llm.repeats import is_repeated, packed, repeated_bits, sizes
 from decantry.llm.textwords import _powers, mixed
 
 LENGTH = 100
@@ -42,7 +42,6 @@ REACH = LENGTH - GRAM  # an anchor lies at most this far behind its string's sta
 WIDTH = REACH + LENGTH  # bytes of a stretch, anchor at REACH
 PIECE = 1 << 18  # string starts handled at once
 SLICE_BYTES = 1 << 19
-MOST_FILTER_BITS = 30
 CHUNK = 6000  # stretches sorted together
 HOT = 200_000  # stretches of one gram that a task sorts; beyond, its strings are dealt out by digest
 _LOW = np.uint64((1 << 20) - 1)
@@ -117,51 +116,13 @@ def _clipped(found, low: int, high: int):
 
 # --- 1: grams that repeat -------------------------------------------------------------------
 
-def repeat_filter(rows: DataFrame, filter_bits: int, bucket_bits: int) -> np.ndarray:
-    """A bit for every leading ``filter_bits`` bits of a gram hash that occurs at least twice."""
+def repeat_filter(rows: DataFrame, index_bits: int, bucket_bits: int) -> np.ndarray:
+    """The map of gram hashes that occur at least twice."""
     def gather(batches):
         for _, _, data, ends, _, low, high in _pieces(batches, "text"):
-            _, g, _, _, _ = _clipped(anchors(data, ends), low, high)
-            g = np.sort(g)
-            # Twice is as good as a thousand times: a hot gram sends two entries a slice.
-            if len(g) > 2:
-                g = g[np.concatenate([[True, True], (g[2:] != g[1:-1]) | (g[2:] != g[:-2])])]
-            bucket = (g >> np.uint64(64 - bucket_bits)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            low32 = ((g << np.uint64(bucket_bits)) >> np.uint64(32)).astype(np.uint32)
-            parts = np.split(low32, cut[1:]) if len(cut) else []
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())],
-                                             ["bucket", "grams"])
-
-    inner = filter_bits - bucket_bits
-
-    def repeated(batches):
-        at, blocks = None, []
-
-        def bits():
-            g = np.sort(np.concatenate(blocks))
-            hit = np.zeros(1 << inner, np.uint8)
-            hit[g[1:][g[1:] == g[:-1]] >> np.uint32(32 - inner)] = 1
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(hit).tobytes()], pa.binary())],
-                                              ["bucket", "bits"])
+            yield packed(_clipped(anchors(data, ends), low, high)[1], bucket_bits)
 
-        for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != at and blocks:
-                    yield bits()
-                    blocks = []
-                at = bucket
-                blocks.append(np.frombuffer(raw, np.uint32))
-        if blocks:
-            yield bits()
-
-    gathered = (map_arrow(rows.select("text"), gather, "bucket long, grams binary")
-                .repartition("bucket").sortWithinPartitions("bucket"))
-    out = np.zeros(1 << (filter_bits - 3), np.uint8)
-    width = 1 << (inner - 3)
-    for r in map_arrow(gathered, repeated, "bucket long, bits binary").toLocalIterator():
-        out[r["bucket"] * width: (r["bucket"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return repeated_bits(rows.select("text"), gather, index_bits, bucket_bits)
 
 
 # --- 2: stretches -------------------------------------------------------------------------
@@ -170,7 +131,7 @@ _STRETCH = "gram long, doc long, tie int, place long, low int, high int, left in
 _FIELDS = ["gram", "doc", "tie", "place", "low", "high", "left", "bytes"]
 
 
-def _stretches(rows: DataFrame, bits: np.ndarray, filter_bits: int) -> DataFrame:
+def _stretches(rows: DataFrame, bits: np.ndarray, index_bits: int) -> DataFrame:
     """Rows with ``bytes``: a stretch to compare. Rows without: string starts from ``place + low``
     to ``place + high`` that are known to repeat earlier."""
     sent = rows.sparkSession.sparkContext.broadcast(bits)
@@ -179,8 +140,7 @@ def _stretches(rows: DataFrame, bits: np.ndarray, filter_bits: int) -> DataFrame
         own_bits = sent.value
         for batch, numbers, data, ends, base, low, high in _pieces(batches, "text"):
             p, g, a, b, t = _clipped(anchors(data, ends), low, high)
-            bit = (g >> np.uint64(64 - filter_bits)).astype(np.int64)
-            ok = (own_bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+            ok = is_repeated(g, own_bits, index_bits)
             p, g, a, b, t = p[ok], g[ok], a[ok], b[ok], t[ok]
             if not len(p):
                 continue
@@ -431,11 +391,9 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> Da
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc"),
                        F.xxhash64(raw).bitwiseAND(0x7FFFFFFF).cast("int").alias("tie"), raw.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    grams = max(1, total // (REACH // 2))
-    filter_bits = min(MOST_FILTER_BITS, max(16, math.ceil(math.log2(grams * 8))))
-    bucket_bits = min(filter_bits - 8, max(6, math.ceil(math.log2(grams / 100_000 + 1))))
-    bits = repeat_filter(rows, filter_bits, bucket_bits)
-    marks = _marks(_stretches(rows, bits, filter_bits), hot)
+    index_bits, bucket_bits = sizes(total // (REACH // 2))
+    bits = repeat_filter(rows, index_bits, bucket_bits)
+    marks = _marks(_stretches(rows, bits, index_bits), hot)
     runs = written(marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     joined = rows.join(runs, ["doc", "tie"], "left").select("doc_id", "text", "runs")
 
