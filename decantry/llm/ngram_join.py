@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from decantry.llm.common import map_arrow, slices, text_or_empty, utf8_bytes, written
 from decantry.llm.components import components
-from decantry.llm.repeats import is_repeated, packed, repeated_bits, sizes
+from decantry.llm.repeats import is_repeated, packed, repeated_bits, sizes, with_known
 from decantry.llm.textwords import SPACED, mixed, words
 
 SHINGLE = 4
@@ -194,7 +194,7 @@ def _distinct_sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.
 
 
 def _repeated_shingles(docs: DataFrame, total: int, shingle: int) -> tuple[np.ndarray, int]:
-    index_bits, bucket_bits = sizes(total)
+    index_bits, bucket_bits = sizes(total, 2)
 
     def gather(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -236,6 +236,12 @@ def _keys(docs: DataFrame, bands: Bands, bits: np.ndarray, index_bits: int, shin
     return map_arrow(docs.select("text"), scan, "key long, class long, head boolean, many boolean, sketch long")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` joined with ``wanted`` on its ``first_id``; other texts are not shuffled."""
+    known = with_known(docs.withColumn("h", F.xxhash64("id")), wanted.select(F.xxhash64("first_id").alias("h"))).where("known")
+    return known.join(wanted, known["id"].eqNullSafe(wanted["first_id"]))
+
+
 # --- verification ---------------------------------------------------------------------------
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -253,8 +259,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     sends = written(to_pivot.union(selves).groupBy("class")
                     .agg(F.collect_list(F.struct("pivot", "salt", "part")).alias("to"))
                     .join(classes.select("class", "first_id"), "class"), "sends")
-    texts = (docs.join(sends, docs["id"].eqNullSafe(sends["first_id"]))
-             .select("text", "class", "to"))
+    texts = _texts_of(docs, sends).select("text", "class", "to")
 
     def scan(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -404,8 +409,8 @@ def _linked_classes(keys: DataFrame, rows: DataFrame, classes: DataFrame, shingl
 
 def _bit_sketches(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """``class, s0, s1, ...``: parity sketches of ``64 * SKETCH_WORDS`` bits; each shingle flips one."""
-    ids = wanted.join(classes.select("class", "first_id"), "class")
-    texts = docs.join(ids, docs["id"].eqNullSafe(ids["first_id"])).select("text", "class")
+    ids = written(wanted.join(classes.select("class", "first_id"), "class"), "sketched")
+    texts = _texts_of(docs, ids).select("text", "class")
     names = [f"s{k}" for k in range(SKETCH_WORDS)]
 
     def scan(batches):

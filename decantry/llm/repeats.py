@@ -13,16 +13,17 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from decantry.llm.common import map_arrow
 
-MOST_BITS = 30  # 128 MB as a broadcast
+MOST_BITS = 29  # 64 MB as a broadcast
 BUCKET_HASHES = 100_000
 
 
-def sizes(hashes: int) -> tuple[int, int]:
+def sizes(hashes: int, bits_each: int) -> tuple[int, int]:
     """(bits of the map's index, bits of the bucket number) for about so many hashes."""
-    index = min(MOST_BITS, max(16, math.ceil(math.log2(8 * max(1, hashes)))))
+    index = min(MOST_BITS, max(16, math.ceil(math.log2(bits_each * max(1, hashes)))))
     return index, max(index - 22, min(index - 8, max(6, math.ceil(math.log2(hashes / BUCKET_HASHES + 1)))))
 
 
@@ -75,3 +76,31 @@ def repeated_bits(rows: DataFrame, gather, index_bits: int, bucket_bits: int) ->
 def is_repeated(hashes: np.ndarray, bits: np.ndarray, index_bits: int) -> np.ndarray:
     at = (hashes >> np.uint64(64 - index_bits)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def with_known(rows: DataFrame, hashed: DataFrame, bits_each: int = 16) -> DataFrame:
+    """``rows`` (with a column ``h``: 64-bit hash of a key) and ``known``: false only where no
+    row of ``hashed`` (``h``) has that hash.
+
+    The bitmap is made by a native aggregate of 4 KB pieces; so a later join shuffles the
+    texts of (nearly only) those rows that have a partner.
+    """
+    index = min(MOST_BITS, max(15, math.ceil(math.log2(bits_each * max(1, hashed.count())))))
+    at = F.shiftrightunsigned("h", 64 - index) + 1
+    pieces = hashed.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
+    out = np.zeros(1 << (index - 3), np.uint8)
+    for r in pieces.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect():
+        out[(r["b"] - 1) * 4096: r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(out)
+    names = rows.columns
+
+    def test(batches):
+        own = sent.value
+        for batch in batches:
+            h = batch.column(names.index("h")).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - index)
+            h = h.astype(np.int64)
+            known = (own[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known)], [*names, "known"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return map_arrow(rows, test, ddl + ", known boolean")
