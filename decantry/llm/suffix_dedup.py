@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decantry.llm.common import map_arrow, slices, text_or_empty, utf8_bytes, written
-from decantry.llm.repeats import is_repeated, packed, repeated_bits, sizes
+from decantry.llm.repeats import is_repeated, packed, repeated_bits, sizes, with_known
 from decantry.llm.textwords import _powers, mixed
 
 LENGTH = 100
@@ -391,11 +391,15 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> Da
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc"),
                        F.xxhash64(raw).bitwiseAND(0x7FFFFFFF).cast("int").alias("tie"), raw.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    index_bits, bucket_bits = sizes(total // (REACH // 2))
+    index_bits, bucket_bits = sizes(total // (REACH // 2), 8)
     bits = repeat_filter(rows, index_bits, bucket_bits)
     marks = _marks(_stretches(rows, bits, index_bits), hot)
     runs = written(marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    joined = rows.join(runs, ["doc", "tie"], "left").select("doc_id", "text", "runs")
+    # Texts without a mark need no join.
+    met = with_known(rows.withColumn("h", F.xxhash64("doc", "tie")), runs.select(F.xxhash64("doc", "tie").alias("h")))
+    none = F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")
+    joined = (met.where("known").join(runs, ["doc", "tie"], "left").select("doc_id", "text", "runs")
+              .union(met.where("not known").select("doc_id", "text", none)))
 
     def cut(batches):
         for batch in slices(batches, "text", 4 << 20):
