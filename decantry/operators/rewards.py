@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from decantry.functions import exprs as X
 
 REWARD_COLUMNS = ["id", "threshold", "reward_label", "active", "sort_order"]
-# Settings tables are admin-maintained; past this many active rewards the threshold array is
-# not inlined and the exact range join below takes over.
-MAX_INLINE_REWARDS = 100_000
 
 
 # ---------------------------------------------------------------- O-D1 / O-D2
@@ -71,67 +68,67 @@ def delete_rewards(rewards: DataFrame, requests: DataFrame) -> tuple[DataFrame,
 
 
 # ---------------------------------------------------------------- O-D6 / O-D7
-def _threshold_array(rewards: DataFrame):
-    """Sorted active (threshold, id) pairs as one array, attached as a scalar subquery."""
-    act = rewards.filter(F.col("active"))
-    n = act.limit(MAX_INLINE_REWARDS + 1).count()
-    if n > MAX_INLINE_REWARDS:
-        return None
-    return act.select(F.array_sort(F.collect_list(F.struct("threshold", "id", "reward_label")))).scalar()
+STEP_BITS = 12   # a value's node on each level: 4096 values, 4096 nodes, and the rest at the top
 
 
-def unlocked_rewards(balances: DataFrame, rewards: DataFrame) -> DataFrame:
-    """Per customer: active rewards reached (threshold <= bookmarks) **[choice]**, the highest
-    reached threshold and the next one to reach.
+def _threshold_ranks(values: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """For each distinct ``v``: how many ``threshold`` rows are <= v, the largest of them and
+    the smallest one > v.
 
-    The range (non-equi) condition is evaluated against a sorted array of active thresholds
-    held in a scalar subquery (its size is proven first), so no pairs are materialised and
-    no join or shuffle is needed. Past the bound, an exact range join is used instead.
+    A prefix scan over a radix tree of the value range: a value's place inside its node of
+    4096 values, the node's place among 4096 nodes, and the node above among at most 128
+    (thresholds are ints). Each window therefore holds a bounded number of rows whatever the
+    number of rewards or customers, and nothing pairs values with thresholds.
     """
-    arr = _threshold_array(rewards)
-    b = F.col("bookmarks")
-    if arr is not None:
-        # The subquery is projected first; lambdas then read the plain column.
-        staged = balances.select("customer_id", "bookmarks", arr.alias("_arr"))
-        reached = F.filter("_arr", lambda r: r["threshold"] <= b)
-        higher = F.filter("_arr", lambda r: r["threshold"] > b)
-        return staged.select(
-            "customer_id", "bookmarks", F.size(reached).cast("bigint").alias("n_unlocked"),
-            F.get(reached, F.size(reached) - 1)["threshold"].alias("top_threshold"),
-            F.get(higher, 0)["threshold"].alias("next_threshold"))
-    act = rewards.filter(F.col("active")).select("threshold")
-    pairs = balances.join(act, b >= F.col("threshold"), "left")
-    up = balances.join(act, b < F.col("threshold"), "left")
-    a = pairs.groupBy("customer_id", "bookmarks").agg(F.count("threshold").alias("n_unlocked"),
-                                                       F.max("threshold").alias("top_threshold"))
-    n = up.groupBy("customer_id").agg(F.min("threshold").alias("next_threshold"))
-    return a.join(n, "customer_id", "left")
-
-
-def customer_reward_rows(balances: DataFrame, rewards: DataFrame) -> DataFrame:
-    """The customer-rewards table: one pending row per (customer, reached active reward)."""
-    arr = _threshold_array(rewards)
-    if arr is None:
-        act = rewards.filter(F.col("active")).select(F.col("id").alias("reward_id"), "threshold", "reward_label")
-        rows = balances.join(act, F.col("bookmarks") >= F.col("threshold"))
-    else:
-        staged = balances.select("customer_id", "bookmarks", arr.alias("_arr"))
-        rows = (staged.select("customer_id", F.explode(F.filter("_arr", lambda r: r["threshold"] <= F.col("bookmarks"))).alias("r"))
-                .select("customer_id", F.col("r.id").alias("reward_id"), F.col("r.threshold").alias("threshold"),
-                        F.col("r.reward_label").alias("reward_label")))
-    return rows.select("customer_id", "reward_id", "threshold", "reward_label",
-                       F.lit("pending").alias("status"), F.lit(None).cast("string").alias("claimed_order_number"))
-
-
-def claim_rewards(customer_rewards: DataFrame, claims: DataFrame) -> DataFrame:
-    """pending -> claimed with the claiming order number; the first claim (by seq) wins."""
+    t = (thresholds.where("threshold is not null").groupBy(F.col("threshold").cast("bigint").alias("v"))
+         .agg(F.count(F.lit(1)).alias("n")))
+    points = (t.select("v", "n", F.col("v").alias("t")).unionByName(
+        values.where("v is not null").select("v").distinct().select("v", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("t"))))
+    points = points.groupBy("v").agg(F.sum("n").alias("n"), F.max("t").alias("t"))
+    points = points.withColumn("a", F.shiftright("v", STEP_BITS)).withColumn("b", F.shiftright("v", 2 * STEP_BITS))
+
+    def scanned(df: DataFrame, by: list[str], order: str, upto: int, tag: str) -> DataFrame:
+        below = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)
+        # From the other end, so that this too is a running frame: a frame up to the last row is
+        # built anew for every row.
+        above = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return (df.withColumn(f"n_{tag}", F.coalesce(F.sum("n").over(below), F.lit(0)))
+                .withColumn(f"top_{tag}", F.max("hi").over(below)).withColumn(f"next_{tag}", F.min("lo").over(above)))
+
+    def nodes(keys: list[str]) -> DataFrame:
+        return points.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("t").alias("hi"), F.min("t").alias("lo"))
+
+    inside = scanned(points.withColumn("hi", F.col("t")).withColumn("lo", F.col("t")), ["a", "b"], "v", 0, "v")
+    mid = scanned(nodes(["a", "b"]), ["b"], "a", -1, "a").select("a", "b", "n_a", "top_a", "next_a")
+    top = scanned(nodes(["b"]).withColumn("one", F.lit(0)), ["one"], "b", -1, "b").select("b", "n_b", "top_b", "next_b")
+    return (inside.join(mid, ["a", "b"]).join(top, "b").select(
+        "v", (F.col("n_v") + F.col("n_a") + F.col("n_b")).cast("bigint").alias("n_unlocked"),
+        F.coalesce("top_v", "top_a", "top_b").cast("int").alias("top_threshold"),
+        F.coalesce("next_v", "next_a", "next_b").cast("int").alias("next_threshold")))
+
+
+def unlocked_rewards(balances: DataFrame, rewards: DataFrame) -> DataFrame:
+    """Per customer: active rewards reached (threshold <= bookmarks) **[choice]**, the highest
+    reached threshold and the next one to reach; null bookmarks reach nothing."""
+    # Thresholds are ints: a balance beyond them ranks like the largest int.
+    value = F.greatest(F.lit(-1), F.least(F.col("bookmarks"), F.lit((1 << 31) - 1))).cast("bigint")
+    value = F.when(F.col("bookmarks").isNotNull(), value)
+    b = balances.select("customer_id", "bookmarks", value.alias("v"))
+    ranks = _threshold_ranks(b.select("v"), rewards.filter(F.col("active")))
+    return b.join(ranks, "v", "left").select("customer_id", "bookmarks", F.coalesce("n_unlocked", F.lit(0)).cast("bigint").alias("n_unlocked"),
+                                             "top_threshold", "next_threshold")
+
+
+def claim_rewards(claims: DataFrame, rewards: DataFrame, balances: DataFrame) -> DataFrame:
+    """Claimed rewards: the first claim (by seq) of each (customer, reward) whose active reward
+    the customer's bookmarks reach. What is still pending is ``unlocked_rewards``' count
+    less these rows; the pairs themselves are not stored."""
+    act = rewards.filter(F.col("active")).select(F.col("id").alias("reward_id"), "threshold", "reward_label")
     first = (claims.groupBy("customer_id", "reward_id")
-             .agg(F.min_by("order_number", F.col("seq")).alias("_num")))
-    j = customer_rewards.join(first, ["customer_id", "reward_id"], "left")
-    hit = F.col("_num").isNotNull() & (F.col("status") == "pending")
-    return j.select("customer_id", "reward_id", "threshold", "reward_label",
-                    F.when(hit, F.lit("claimed")).otherwise(F.col("status")).alias("status"),
-                    F.when(hit, F.col("_num")).otherwise(F.col("claimed_order_number")).alias("claimed_order_number"))
+             .agg(F.min_by("order_number", F.col("seq")).alias("claimed_order_number")))
+    return (first.join(act, "reward_id").join(balances.select("customer_id", "bookmarks"), "customer_id")
+            .where(F.col("threshold") <= F.col("bookmarks"))
+            .select("customer_id", "reward_id", "threshold", "reward_label", F.lit("claimed").alias("status"), "claimed_order_number"))
 
 
 # ---------------------------------------------------------------- museum O-D8..O-D13

@@ -132,17 +132,15 @@ def reward_claims(spark, d):
 
 
 @query("claim_rewards", "O-D7", oracle="""
-SELECT c.customer_id, c.reward_id, c.threshold, c.reward_label,
-       CASE WHEN f.num IS NOT NULL THEN 'claimed' ELSE 'pending' END AS status, f.num AS claimed_order_number
-FROM (SELECT b.customer_id, r.id AS reward_id, r.threshold, r.reward_label
-      FROM balances b JOIN f_rewards r ON r.active AND r.threshold <= b.bookmarks) c
-LEFT JOIN (SELECT customer_id, reward_id, arg_min(order_number, id) AS num
-           FROM (SELECT customer_id, unnest(reward_ids) AS reward_id, order_number, id FROM f_orders WHERE customer_id IS NOT NULL)
-           GROUP BY customer_id, reward_id) f ON f.customer_id = c.customer_id AND f.reward_id = c.reward_id""",
+SELECT f.customer_id, f.reward_id, r.threshold, r.reward_label, 'claimed' AS status, f.num AS claimed_order_number
+FROM (SELECT customer_id, reward_id, arg_min(order_number, id) AS num
+      FROM (SELECT customer_id, unnest(reward_ids) AS reward_id, order_number, id FROM f_orders WHERE customer_id IS NOT NULL)
+      GROUP BY customer_id, reward_id) f
+JOIN f_rewards r ON r.id = f.reward_id AND r.active
+JOIN balances b ON b.customer_id = f.customer_id AND r.threshold <= b.bookmarks""",
        extra_views={"balances": BALANCES_SQL})
 def claim_rewards(spark, d):
-    rows = R.customer_reward_rows(snapshot_balances(spark, d), D.f_rewards(spark, d))
-    return R.claim_rewards(rows, reward_claims(spark, d))
+    return R.claim_rewards(reward_claims(spark, d), D.f_rewards(spark, d), snapshot_balances(spark, d))
 
 
 _MW = "perfume_name, brand, artwork_path, description, published"
