@@ -66,6 +66,25 @@ def phone_digits(c: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), "[^0-9]", "")
 
 
+def stored_digits(c: str | Column) -> Column:
+    """Digits of a stored phone; null stays null, so a profile without a phone matches no request."""
+    return F.regexp_replace(col(c), "[^0-9]", "")
+
+
+def amount(c: str | Column) -> Column:
+    """A sum as it came (number or text), exact to 12 places; null where it is none or beyond 10^26."""
+    return col(c).try_cast("decimal(38,12)")
+
+
+def is_negative(c: str | Column) -> Column:
+    return col(c).try_cast("double") < 0
+
+
+def money_once(c: str | Column, kind: str = "decimal(10,2)") -> Column:
+    """Rounded once, half up, to two places; null where it does not fit."""
+    return F.round(amount(c), 2).try_cast(kind)
+
+
 def order_number(seq: str | Column, width: int = ORDER_NUMBER_WIDTH) -> Column:
     """'P-' + zero padded sequence; never truncates (lpad would cut past ``width``)."""
     s = col(seq).cast("string")

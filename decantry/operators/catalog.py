@@ -117,15 +117,16 @@ def apply_price_changes(catalog: DataFrame, changes: DataFrame) -> tuple[DataFra
     """All four prices required and > 0 (nulls tested first: ``least`` skips nulls), rounded to 2,
     only on live (not deleted) products. The last valid change per product wins."""
     ch = changes.join(_live_ids(catalog), "catalog_id", "left")
+    cents = [F.round(X.amount(c), 2) for c in PRICE_COLS]   # what would be stored: 0.004 is no price
     any_null = F.lit(False)
     for c in PRICE_COLS:
         any_null = any_null | F.col(c).isNull()
     reason = (F.when(F.col("_live").isNull(), F.lit("not_found"))
               .when(~F.col("_live"), F.lit("deleted"))
               .when(any_null, F.lit("prices_incomplete"))
-              .when(F.least(*[F.col(c) for c in PRICE_COLS]) <= 0, F.lit("price_not_positive"))
-              .when(F.greatest(*[F.col(c) for c in PRICE_COLS]) >= 10 ** 8, F.lit("price_out_of_range")))
-    rounded = F.struct(*[F.round(F.col(c).cast("decimal(20,4)"), 2).cast("decimal(10,2)").alias(c) for c in PRICE_COLS])
+              .when(F.least(*cents) <= 0, F.lit("price_not_positive"))
+              .when(F.greatest(*cents) >= 10 ** 8, F.lit("price_out_of_range")))
+    rounded = F.struct(*[X.money_once(c).alias(c) for c in PRICE_COLS])
     last = _last_valid(ch, reason.isNull(), rounded)
     cat = catalog.join(last, catalog.id == last.catalog_id, "left")
     new = cat.select(*[F.coalesce(F.col(f"_v.{c}"), F.col(c)).alias(c) if c in PRICE_COLS else F.col(c)
@@ -176,11 +177,11 @@ def apply_stock_counts(catalog: DataFrame, changes: DataFrame, orders: DataFrame
               .when((F.col("available_ml") < 0) | (F.col("threshold_ml") < 0)
                     | (F.col("available_ml") >= 10 ** 7) | (F.col("threshold_ml") >= 10 ** 8), F.lit("invalid_stock")))
     last = _last_valid(ch, reason.isNull(),
-                       F.struct(F.col("available_ml").cast("decimal(20,4)").alias("a"),
-                                F.round(F.col("threshold_ml").cast("decimal(20,4)"), 2).cast("decimal(10,2)").alias("t")))
+                       F.struct(X.amount("available_ml").alias("a"),
+                                X.money_once("threshold_ml").alias("t")))
     cat = (catalog.join(last, catalog.id == last.catalog_id, "left")
            .join(sold, catalog.name == sold.perfume, "left"))
-    initial = F.round(F.col("_v.a") + F.coalesce(F.col("sold_ml_raw"), F.lit(0)), 2).cast("decimal(10,2)")
+    initial = F.round(F.col("_v.a") + F.coalesce(F.col("sold_ml_raw"), F.lit(0)), 2).try_cast("decimal(10,2)")
     new = cat.select(*[F.when(F.col("_v").isNotNull(), initial).otherwise(F.col(c)).alias(c) if c == "stock_initial_ml"
                        else F.coalesce(F.col("_v.t"), F.col(c)).alias(c) if c == "low_stock_threshold_ml"
                        else F.col(c) for c in catalog.columns])
@@ -232,26 +233,29 @@ def create_products(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """Validate new-product requests; returns each request with ``reject_reason`` and the row
     that would be inserted. Rules: name/brand non-blank; status in 3 (default upcoming);
     published needs four positive prices; any given price must be > 0; the name must be new
-    (deleted rows keep their name) and unique within the batch (first by seq wins)."""
+    (deleted rows keep their name) and unique within the batch (the first valid request by seq
+    wins). Prices are judged as they would be stored, rounded to two places."""
     status = F.lower(F.trim(F.coalesce(F.col("new_status"), F.lit("upcoming"))))
     name = F.trim("name")
-    prices = [F.col(c) for c in PRICE_COLS]
+    prices = [F.round(X.amount(c), 2) for c in PRICE_COLS]   # what would be stored
     any_null = F.greatest(*[p.isNull() for p in prices])
     existing = catalog.select(F.col("name").alias("_ename")).withColumn("_exists", F.lit(True))
-    first = (requests.filter(~X.is_blank("name")).groupBy(name.alias("_tname"))
-             .agg(F.min("seq").alias("_first_seq")))
-    req = (requests.withColumn("_tname", name).withColumn("_status", status)
-           .join(first, "_tname", "left")
-           .join(existing, F.col("_tname") == F.col("_ename"), "left"))
-    reason = (F.when(X.is_blank("name") | X.is_blank("brand"), F.lit("name_brand_required"))
+    req = requests.withColumn("_tname", name).withColumn("_status", status)
+    wrong = (F.when(X.is_blank("name") | X.is_blank("brand"), F.lit("name_brand_required"))
               .when(~F.col("_status").isin(*X.CATALOG_STATUSES), F.lit("invalid_status"))
               .when((F.col("_status") == "published") & (any_null | (F.least(*prices) <= 0)), F.lit("prices_required"))
               .when(F.least(*[F.coalesce(p, F.lit(1)) for p in prices]) <= 0, F.lit("price_not_positive"))
+              .when(F.greatest(*[F.coalesce(p, F.lit(1)) for p in prices]) >= 10 ** 8, F.lit("price_out_of_range")))
+    # A rejected request inserts nothing, so it does not take the name from a later valid one.
+    req = req.withColumn("_wrong", wrong)
+    first = req.filter(F.col("_wrong").isNull()).groupBy("_tname").agg(F.min("seq").alias("_first_seq"))
+    req = req.join(first, "_tname", "left").join(existing, F.col("_tname") == F.col("_ename"), "left")
+    reason = (F.when(F.col("_wrong").isNotNull(), F.col("_wrong"))
               .when(F.col("_exists") | (F.col("seq") != F.col("_first_seq")), F.lit("duplicate_name")))
     return req.select(
         "seq", F.col("_tname").alias("name"), F.trim("brand").alias("brand"),
         X.blank_to_null("image_url").alias("image_url"),
-        *[F.round(F.col(c).cast("decimal(20,4)"), 2).try_cast("decimal(10,2)").alias(c) for c in PRICE_COLS],
+        *[X.money_once(c).alias(c) for c in PRICE_COLS],
         F.col("_status").alias("availability_status"),
         (F.col("_status") != "hidden").alias("active"),
         reason.alias("reject_reason"))

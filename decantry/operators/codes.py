@@ -25,15 +25,15 @@ def issue_codes(requests: DataFrame) -> DataFrame:
     """Validate and issue codes: order number and name required, total >= 0, at least one
     perfume. bookmarks_awarded = floor(total) **[choice]**. Codes shared by several accepted
     requests are flagged (``collision``) through a per-code count."""
-    total = F.col("order_total").cast("decimal(20,4)")
+    total = X.amount("order_total")   # judged and floored as it came, rounded once
     reason = (F.when(X.is_blank("order_number") | X.is_blank("customer_name"), F.lit("fields_required"))
-              .when(total.isNull() | (total < 0), F.lit("invalid_total"))
+              .when(total.isNull() | X.is_negative("order_total") | (F.round(total, 2) >= F.lit(10 ** 10)), F.lit("invalid_total"))
               .when(F.coalesce(F.size("perfumes"), F.lit(0)) < 1, F.lit("no_perfumes")))
     out = requests.select(
         "seq", F.trim("order_number").alias("order_number"), F.trim("customer_name").alias("customer_name"),
         code_for(F.col("order_number"), F.col("customer_name")).alias("code"),
-        F.round(total, 2).cast("decimal(12,2)").alias("order_total"),
-        F.floor(total).cast("bigint").alias("bookmarks_awarded"),
+        X.money_once("order_total", "decimal(12,2)").alias("order_total"),
+        F.floor(total).try_cast("bigint").alias("bookmarks_awarded"),
         F.coalesce(F.size("perfumes"), F.lit(0)).cast("bigint").alias("n_perfumes"),
         reason.alias("reject_reason"))
     counts = (out.filter(F.col("reject_reason").isNull()).groupBy("code")

@@ -247,9 +247,9 @@ def apply_active_flags(spark, d):
 
 
 def product_requests(spark, d):
-    """New-product requests ('purchase' events above 300): recurring names, blank brands, odd
+    """New-product requests (every 'purchase' event): recurring names, blank brands, odd
     statuses, missing or negative prices, and names that already exist in the catalogue."""
-    e = D.read(spark, d, "events").filter((F.col("event_type") == "purchase") & (F.col("value") > 50))
+    e = D.read(spark, d, "events").filter(F.col("event_type") == "purchase")
     cat = D.f_catalog(spark, d).select(F.col("id").alias("_pk"), F.col("name").alias("_existing"))
     v = F.col("value")
     money = v.cast("decimal(12,2)")
@@ -284,21 +284,25 @@ CREATE_CTES = """
          CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE CAST(e.value AS DECIMAL(12,2)) * CAST(0.05 AS DECIMAL(3,2)) END AS p10,
          ' img/p' || CAST(e.event_id AS VARCHAR) || '.webp ' AS image_url
   FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % 50
-  WHERE e.event_type = 'purchase' AND e.value > 50),
+  WHERE e.event_type = 'purchase'),
 n AS (SELECT *, lower(trim(coalesce(new_status, 'upcoming'))) AS st, trim(name) AS tname FROM req),
-created AS (
-SELECT n.seq, n.tname AS name, trim(n.brand) AS brand, nullif(trim(n.image_url), '') AS image_url,
-       TRY_CAST(round(p2, 2) AS DECIMAL(10,2)) AS price_2ml, TRY_CAST(round(p3, 2) AS DECIMAL(10,2)) AS price_3ml,
-       TRY_CAST(round(p5, 2) AS DECIMAL(10,2)) AS price_5ml, TRY_CAST(round(p10, 2) AS DECIMAL(10,2)) AS price_10ml,
-       n.st AS availability_status, n.st <> 'hidden' AS active,
+judged AS (
+SELECT n.*, round(p2, 2) AS r2, round(p3, 2) AS r3, round(p5, 2) AS r5, round(p10, 2) AS r10,
        CASE WHEN coalesce(n.tname, '') = '' OR coalesce(trim(n.brand), '') = '' THEN 'name_brand_required'
             WHEN n.st NOT IN ('published', 'upcoming', 'hidden') THEN 'invalid_status'
-            WHEN n.st = 'published' AND (p2 IS NULL OR p3 IS NULL OR p5 IS NULL OR p10 IS NULL OR least(p2, p3, p5, p10) <= 0) THEN 'prices_required'
-            WHEN least(coalesce(p2, 1), coalesce(p3, 1), coalesce(p5, 1), coalesce(p10, 1)) <= 0 THEN 'price_not_positive'
-            WHEN n.tname IN (SELECT name FROM f_catalog)
-              OR n.seq <> (SELECT min(m.seq) FROM n m WHERE m.tname = n.tname AND coalesce(m.tname, '') <> '') THEN 'duplicate_name'
-       END AS reject_reason
-FROM n)"""
+            WHEN n.st = 'published' AND (p2 IS NULL OR p3 IS NULL OR p5 IS NULL OR p10 IS NULL OR least(r2, r3, r5, r10) <= 0) THEN 'prices_required'
+            WHEN least(coalesce(r2, 1), coalesce(r3, 1), coalesce(r5, 1), coalesce(r10, 1)) <= 0 THEN 'price_not_positive'
+       END AS wrong
+FROM n),
+firsts AS (SELECT tname AS ftname, min(seq) AS first_seq FROM judged WHERE wrong IS NULL GROUP BY tname),
+created AS (
+SELECT j.seq, j.tname AS name, trim(j.brand) AS brand, nullif(trim(j.image_url), '') AS image_url,
+       TRY_CAST(r2 AS DECIMAL(10,2)) AS price_2ml, TRY_CAST(r3 AS DECIMAL(10,2)) AS price_3ml,
+       TRY_CAST(r5 AS DECIMAL(10,2)) AS price_5ml, TRY_CAST(r10 AS DECIMAL(10,2)) AS price_10ml,
+       j.st AS availability_status, j.st <> 'hidden' AS active,
+       CASE WHEN j.wrong IS NOT NULL THEN j.wrong
+            WHEN j.tname IN (SELECT name FROM f_catalog) OR j.seq <> f.first_seq THEN 'duplicate_name' END AS reject_reason
+FROM judged j LEFT JOIN firsts f ON f.ftname = j.tname)"""
 
 CREATE_SQL = CREATE_CTES + "\nSELECT * FROM created"
 

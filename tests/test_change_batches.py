@@ -111,3 +111,42 @@ def test_reward_edits_batch_equals_sequential(spark):
         cur = spark.createDataFrame(cur.collect(), rewards.schema)
     assert _snap(batch) == _snap(cur)
     assert {r.seq: r.success for r in res.collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_create_batch_equals_sequential(spark):
+    """A rejected request inserts nothing, so it does not take the name from a later valid one."""
+    rng = random.Random(9)
+    cols = ("seq long, name string, brand string, new_status string, image_url string, "
+            "price_2ml double, price_3ml double, price_5ml double, price_10ml double")
+    rows = []
+    for k in range(60):
+        prices = [rng.choice([None, -1.0, 0.004, 0.005, 2.0, 1e20]) if rng.random() < 0.2 else 3.0 for _ in range(4)]
+        rows.append((k, rng.choice(["A", "N1", "N2 ", "N3", " ", "N4"]), rng.choice(["b", "b", "b", " "]),
+                     rng.choice([None, "published", "Hidden ", "secret"]), None, *prices))
+    catalog, requests = _catalog(spark), spark.createDataFrame(rows, cols)
+    batch = {r.seq: r.reject_reason for r in C.create_products(catalog, requests).collect()}
+    names = {r.name for r in catalog.collect()}
+    one_by_one = C.create_products(catalog.limit(0), requests.withColumn("name", requests.seq.cast("string"))).collect()
+    wrong = {r.seq: r.reject_reason for r in one_by_one}   # rules that do not look at names
+    want = {}
+    for seq, name, *_ in rows:
+        if wrong[seq] or not name.strip():
+            want[seq] = wrong[seq] or "name_brand_required"
+        elif name.strip() in names:
+            want[seq] = "duplicate_name"
+        else:
+            want[seq] = None
+            names.add(name.strip())
+    blank = {seq for seq, name, *_ in rows if not name.strip()}
+    assert {k: v for k, v in batch.items() if k not in blank} == {k: v for k, v in want.items() if k not in blank}
+    assert all(batch[k] == "name_brand_required" for k in blank)
+    assert sum(v is None for v in batch.values()) >= 2
+
+
+def test_a_price_that_rounds_to_nothing_is_refused(spark):
+    cols = "catalog_id long, seq long, price_2ml double, price_3ml double, price_5ml double, price_10ml double"
+    changes = spark.createDataFrame([(1, 1, 0.004, 2.0, 2.0, 2.0), (1, 2, 1.00499996, 2.0, 2.0, 2.0), (4, 3, 1e20, 2.0, 2.0, 2.0),
+                                     (4, 4, 99_999_999.999, 2.0, 2.0, 2.0)], cols)
+    new, rejects = C.apply_price_changes(_catalog(spark), changes)
+    assert {r.seq: r.reject_reason for r in rejects.collect()} == {1: "price_not_positive", 3: "price_out_of_range", 4: "price_out_of_range"}
+    assert {r.id: str(r.price_2ml) for r in new.collect()}[1] == "1.00"
