@@ -180,11 +180,12 @@ def apply_manual_unlocks(library: DataFrame, notifications: DataFrame, customers
 
 # ---------------------------------------------------------------- O-B8 / O-B9
 def pending_notifications(profiles: DataFrame, notifications: DataFrame) -> DataFrame:
-    """Unseen notifications of each resolved profile, oldest first."""
-    me = profiles.filter("matched").select("request_id", "customer_id")
-    return (me.join(notifications.filter(F.col("seen_at").isNull()), "customer_id")
-            .select("request_id", "customer_id", "id", "perfume", "order_number", "created_at")
-            .orderBy("request_id", "created_at", "id"))
+    """Unseen notifications of every customer who asked, oldest first; once a customer,
+    however many of the requests were theirs."""
+    me = profiles.filter("matched").select("customer_id").distinct()
+    return (notifications.filter(F.col("seen_at").isNull()).join(me, "customer_id", "left_semi")
+            .select("customer_id", "id", "perfume", "order_number", "created_at")
+            .orderBy("customer_id", "created_at", "id"))
 
 
 def mark_seen(profiles: DataFrame, notifications: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decantry.functions import exprs as X
-from decantry.session import bounded_broadcast, cut_lineage, default_parallelism
+from decantry.session import cut_lineage
 
 ITEM_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("name", T.StringType()),
@@ -62,12 +62,14 @@ def ingest_orders(raw: DataFrame) -> DataFrame:
     # json_array_length is null unless the text is a JSON array (from_json would wrap a
     # lone object into a one-element array; the reference rejects any non-array).
     n_items = F.json_array_length("items_json")
-    total = F.col("order_total").cast("decimal(20,4)")
+    total = X.amount("order_total")   # judged as it came; rounded once, on the way out
+    no_total = F.col("order_total").isNull()
     reason = (F.when(X.is_blank("customer_name"), F.lit("name_required"))
               .when(X.is_blank("delivery_zone"), F.lit("zone_required"))
               .when(n_items.isNull() | (n_items <= 0), F.lit("empty_order"))
-              .when((F.coalesce(total, F.lit(0)) < 0) | (total >= F.lit(10 ** 8)), F.lit("invalid_total"))
-              .when(total.isNull(), F.lit("total_required")))
+              .when(~no_total & (total.isNull() | X.is_negative("order_total") | (F.round(total, 2) >= F.lit(10 ** 8))),
+                    F.lit("invalid_total"))
+              .when(no_total, F.lit("total_required")))
     return raw.select(
         "request_id",
         reason.alias("reject_reason"),
@@ -78,7 +80,7 @@ def ingest_orders(raw: DataFrame) -> DataFrame:
         X.blank_to_null("notes").alias("notes"),
         parsed.alias("items"),
         F.coalesce(F.col("reward_ids"), F.array().cast("array<string>")).alias("reward_ids"),
-        F.round(total, 2).try_cast("decimal(10,2)").alias("order_total"),     # null for rejected overflow
+        X.money_once("order_total").alias("order_total"),     # null for rejected overflow
         F.lit("pending").alias("status"),
         F.col("created_at"),
     )
@@ -96,7 +98,7 @@ def number_orders(orders: DataFrame, order_cols: tuple[str, ...] = ("created_at"
     offsets (a frame with one row per partition, broadcast) and each row's number is
     offset + position: no shuffle of the orders after the range partitioning.
     """
-    n = num_partitions or default_parallelism(orders.sparkSession)
+    n = num_partitions or int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in order_cols]
     ranged = cut_lineage(orders.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
@@ -141,7 +143,7 @@ def resolve_profiles(credentials: DataFrame, customers: DataFrame) -> DataFrame:
     null ``customer_id`` and ``matched = false`` (the reference raises an error).
     """
     cred = credentials.select("request_id", X.phone_digits("phone").alias("_ph"), F.col("token").alias("_tok"))
-    cust = customers.select(F.col("id").alias("customer_id"), X.phone_digits("customer_phone").alias("_ph"),
+    cust = customers.select(F.col("id").alias("customer_id"), X.stored_digits("customer_phone").alias("_ph"),
                             F.col("access_token").alias("_tok"), F.col("created_at").alias("_c"))
     hits = (cred.join(cust, ["_ph", "_tok"], "inner")
             .groupBy("request_id")
@@ -151,10 +153,13 @@ def resolve_profiles(credentials: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def orders_for_credentials(credentials: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """O-A5 then O-A4: each matched request's orders, newest first."""
-    prof = resolve_profiles(credentials, customers).filter("matched").select("request_id", "customer_id")
-    hist = customer_order_history(orders, prof.select("customer_id"))
-    return prof.join(hist, "customer_id", "inner")
+    """O-A5 then O-A4: the orders of every customer who logged in, newest first.
+
+    A customer's history comes once however often they logged in; ``resolve_profiles`` says
+    which request was whose.
+    """
+    prof = resolve_profiles(credentials, customers).filter("matched").select("customer_id").distinct()
+    return customer_order_history(orders, prof)
 
 
 # ---------------------------------------------------------------- O-A7 rewards on orders
@@ -168,25 +173,25 @@ def rewards_on_orders(orders: DataFrame, rewards: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O-A8 historic imports
 def import_historic(orders: DataFrame, imports: DataFrame, customers: DataFrame) -> DataFrame:
-    """Insert historic orders whose number is absent; link the earliest customer whose
-    ``lower(name)`` starts with the import's prefix (null when none).
+    """Insert historic orders whose number is absent (of imports with one number the first by
+    ``seq`` **[choice]**); link the earliest customer whose ``lower(name)`` starts with the
+    import's prefix (null when none).
 
-    The prefix theta-join is rewritten as an equi-join: customers are keyed by their
-    name prefix of every length the imports use (a short list), pre-aggregated to
-    the earliest customer per prefix, then joined on (length, prefix).
+    The prefix test is an equi-join: each customer's name gives its own prefixes (as many as
+    it has characters), those that some import uses are kept and reduced to the earliest
+    customer per prefix.
     """
     fresh = imports.join(orders.select("order_number"), "order_number", "left_anti")
-    lens = fresh.select(F.length("prefix").alias("_len")).distinct()
-    cust = customers.select(F.col("id").alias("_cid"), F.lower("customer_name").alias("_lname"),
-                            F.col("created_at").alias("_c"))
-    # Distinct prefix lengths are bounded by the longest prefix; prove it before broadcasting.
-    keyed = (cust.join(bounded_broadcast(lens, 4096), F.length("_lname") >= F.col("_len"))
-             .select("_len", F.substring("_lname", 1, F.col("_len")).alias("_pfx"), "_cid", "_c")
-             .groupBy("_len", "_pfx")
+    fields = ["prefix", "customer_name", "delivery_zone", "notes", "order_total"]
+    fresh = (fresh.groupBy("order_number").agg(F.min_by(F.struct(*fields), F.col("seq")).alias("_i"))
+             .select("order_number", *[F.col(f"_i.{c}").alias(c) for c in fields]))
+    lname = F.lower("customer_name")
+    cust = customers.select(F.col("id").alias("_cid"), F.col("created_at").alias("_c"),
+                            F.explode(F.transform(F.sequence(F.lit(0), F.char_length(lname)),
+                                                  lambda k: F.substr(lname, F.lit(1), k))).alias("prefix"))
+    keyed = (cust.join(fresh.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix")
              .agg(F.min_by("_cid", F.struct("_c", "_cid")).alias("customer_id")))
-    out = fresh.withColumn("_len", F.length("prefix")).withColumn("_pfx", F.col("prefix"))
-    return (out.join(keyed, ["_len", "_pfx"], "left")
+    return (fresh.join(keyed, "prefix", "left")
             .select("order_number", "customer_id", "customer_name", "delivery_zone", "notes",
-                    F.array().cast(ITEM_SCHEMA).alias("items"),
-                    F.col("order_total").cast("decimal(10,2)").alias("order_total"),
+                    F.array().cast(ITEM_SCHEMA).alias("items"), X.money_once("order_total").alias("order_total"),
                     F.lit("pending").alias("status")))

@@ -116,8 +116,8 @@ def loyalty_balance(spark, d):
 
 
 def _resets(spark, d):
-    """Bookmark resets (O-F7) arrive as 'signup' events above 100: the balance restarts at 0."""
-    e = D.read(spark, d, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 100))
+    """Bookmark resets (O-F7) arrive as 'signup' events: the balance restarts at 0."""
+    e = D.read(spark, d, "events").filter(F.col("event_type") == "signup")
     return e.select(F.col("user_id").alias("customer_id"), "ts", F.col("event_id").alias("seq"),
                     F.lit(0).cast("bigint").alias("start_value"))
 
@@ -127,7 +127,7 @@ def _resets(spark, d):
   SELECT o.customer_id, t.ts, t.seq,
          CASE WHEN t.entered THEN 1 ELSE -1 END * CAST(floor(o.order_total) AS BIGINT) AS delta
   FROM f_transitions t JOIN f_lifecycle_orders o ON o.id = t.order_id),
-resets AS (SELECT user_id AS customer_id, ts, event_id AS seq FROM events WHERE event_type = 'signup' AND value > 100),
+resets AS (SELECT user_id AS customer_id, ts, event_id AS seq FROM events WHERE event_type = 'signup'),
 steps AS (
   SELECT customer_id, ts, seq, delta, 0 AS is_reset FROM deltas
   UNION ALL SELECT customer_id, ts, seq, 0 AS delta, 1 AS is_reset FROM resets),
@@ -226,24 +226,16 @@ def apply_manual_unlocks(spark, d):
     return lib
 
 
-def _login_credentials(spark, d):
-    """Logins: the profile requests of 'signup' events."""
-    e = D.read(spark, d, "events").filter(F.col("event_type") == "signup").select(F.col("event_id").alias("request_id"))
-    return credentials(spark, d).join(e, "request_id", "left_semi")
-
-
 @query("pending_notifications", "O-B8", oracle="""
-SELECT r.request_id, n.customer_id, n.id, n.perfume, n.order_number, n.created_at
-FROM resolved r JOIN f_notifications n ON n.customer_id = r.customer_id
-WHERE r.matched AND n.seen_at IS NULL
-  AND r.request_id IN (SELECT event_id FROM events WHERE event_type = 'signup')""",
+SELECT n.customer_id, n.id, n.perfume, n.order_number, n.created_at
+FROM f_notifications n WHERE n.seen_at IS NULL AND n.customer_id IN (SELECT customer_id FROM resolved WHERE matched)""",
        extra_views={"credentials": CREDENTIALS_SQL, "resolved": """
 SELECT r.request_id, c.id AS customer_id, true AS matched
 FROM credentials r JOIN f_customers c
   ON regexp_replace(r.phone, '[^0-9]', '', 'g') = regexp_replace(c.customer_phone, '[^0-9]', '', 'g')
  AND r.token = c.access_token"""})
 def pending_notifications(spark, d):
-    prof = O.resolve_profiles(_login_credentials(spark, d), D.f_customers(spark, d))
+    prof = O.resolve_profiles(credentials(spark, d), D.f_customers(spark, d))
     return L.pending_notifications(prof, D.f_notifications(spark, d))
 
 

@@ -82,7 +82,7 @@ SELECT r.request_id, m.customer_id, m.customer_id IS NOT NULL AS matched
 FROM credentials r LEFT JOIN (
   SELECT r2.request_id, arg_min(c.id, (c.created_at, c.id)) AS customer_id
   FROM credentials r2 JOIN f_customers c
-    ON regexp_replace(coalesce(r2.phone, ''), '[^0-9]', '', 'g') = regexp_replace(coalesce(c.customer_phone, ''), '[^0-9]', '', 'g')
+    ON regexp_replace(coalesce(r2.phone, ''), '[^0-9]', '', 'g') = regexp_replace(c.customer_phone, '[^0-9]', '', 'g')
    AND r2.token = c.access_token
   GROUP BY r2.request_id) m ON r.request_id = m.request_id"""
 
@@ -94,12 +94,12 @@ def resolve_profiles(spark, d):
 
 
 @query("orders_for_credentials", "O-A5+O-A4", oracle="""
-SELECT r.request_id, o.customer_id, o.id, o.order_number, o.order_total, o.status, o.created_at
-FROM resolved r JOIN f_orders o ON o.customer_id = r.customer_id WHERE r.matched""",
+SELECT o.customer_id, o.id, o.order_number, o.order_total, o.status, o.created_at
+FROM f_orders o WHERE o.customer_id IN (SELECT customer_id FROM resolved WHERE matched)""",
        extra_views={"credentials": CREDENTIALS_SQL, "resolved": RESOLVE_SQL})
 def orders_for_credentials(spark, d):
     out = O.orders_for_credentials(credentials(spark, d), D.f_customers(spark, d), D.f_orders(spark, d))
-    return out.select("request_id", "customer_id", "id", "order_number", "order_total", "status", "created_at")
+    return out.select("customer_id", "id", "order_number", "order_total", "status", "created_at")
 
 
 @query("number_orders", "O-A2", oracle="""
@@ -151,7 +151,7 @@ def historic_imports(spark, d):
     k = F.col("n_nationkey").cast("string")
     num = F.when(F.col("n_regionkey") == 0, F.concat(F.lit("P-"), F.lpad(k, 8, "0"))) \
         .otherwise(F.concat(F.lit("P-H"), F.lpad(k, 3, "0")))
-    return n.select(num.alias("order_number"),
+    return n.select(num.alias("order_number"), F.col("n_nationkey").cast("bigint").alias("seq"),
                     F.concat(F.lit("customer#"), F.lpad(k, 8, "0")).alias("prefix"),
                     F.col("n_name").alias("customer_name"), F.lit("unspecified").alias("delivery_zone"),
                     F.lit("historic import").alias("notes"),

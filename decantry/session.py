@@ -6,10 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Dimension frames broadcast by an explicit hint must prove a row bound first.
-DEFAULT_BROADCAST_ROWS = 200_000
 
 
 def build_session(master: str | None = None, app: str = "decantry",
@@ -98,17 +94,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The proof reads at most ``max_rows + 1`` rows. Past the bound the frame is
-    returned unhinted, so the join falls back to a shuffle join (and AQE may still
-    convert it at runtime from real shuffle statistics).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def default_parallelism(spark: SparkSession) -> int:
     """Cores available to the session (falls back to the shuffle partition count)."""
     try:
