@@ -101,10 +101,10 @@ LEFT JOIN (SELECT user_id AS customer_id, arg_max('Edited ' || CAST(event_id AS
                   arg_max('+34 611 ' || lpad(CAST(user_id AS VARCHAR), 6, '0'), event_id) AS customer_phone,
                   arg_max(CAST(floor(value) AS BIGINT), event_id) AS bookmarks,
                   arg_max(CAST(value AS DECIMAL(18,2)), event_id) AS total_spent
-           FROM events WHERE event_type = 'view' AND value > 60 GROUP BY user_id) e ON e.customer_id = c.id""",
+           FROM events WHERE event_type = 'view' GROUP BY user_id) e ON e.customer_id = c.id""",
        extra_views={"balances": BALANCES_SQL})
 def apply_customer_edits(spark, d):
-    e = D.read(spark, d, "events").filter((F.col("event_type") == "view") & (F.col("value") > 60))
+    e = D.read(spark, d, "events").filter(F.col("event_type") == "view")
     edits = e.select(F.col("user_id").alias("customer_id"), F.col("event_id").alias("seq"),
                      F.concat(F.lit("Edited "), F.col("event_id").cast("string")).alias("customer_name"),
                      F.concat(F.lit("+34 611 "), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("customer_phone"),
@@ -114,12 +114,12 @@ def apply_customer_edits(spark, d):
 
 
 def _delete_requests(spark, d):
-    e = D.read(spark, d, "events").filter((F.col("event_type") == "error") & (F.col("value") > 150))
+    e = D.read(spark, d, "events").filter(F.col("event_type") == "error")
     return e.select(F.col("user_id").alias("customer_id"))
 
 
 @query("delete_customers_orders", "O-F6", oracle="""
-SELECT id, CASE WHEN customer_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)
+SELECT id, CASE WHEN customer_id IN (SELECT user_id FROM events WHERE event_type = 'error')
                 THEN NULL ELSE customer_id END AS customer_id
 FROM f_orders""")
 def delete_customers_orders(spark, d):
@@ -129,7 +129,7 @@ def delete_customers_orders(spark, d):
 
 @query("delete_customers_remaining", "O-F6", oracle="""
 SELECT id, customer_name FROM f_customers
-WHERE id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)""")
+WHERE id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')""")
 def delete_customers_remaining(spark, d):
     out = U.delete_customers(_delete_requests(spark, d), customers=D.f_customers(spark, d))
     return out["customers"].select("id", "customer_name")
@@ -140,10 +140,10 @@ SELECT c.id AS customer_id,
        CAST(CASE WHEN r.id IS NOT NULL THEN 0 ELSE coalesce(b.bookmarks, 0) END AS BIGINT) AS bookmarks,
        CAST(CASE WHEN r.id IS NOT NULL THEN 0 ELSE coalesce(b.total_spent, 0) END AS DECIMAL(18,2)) AS total_spent
 FROM f_customers c LEFT JOIN balances b ON b.customer_id = c.id
-LEFT JOIN (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup' AND value > 120) r ON r.id = c.id""",
+LEFT JOIN (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'signup') r ON r.id = c.id""",
        extra_views={"balances": BALANCES_SQL})
 def reset_customers(spark, d):
-    e = D.read(spark, d, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 120))
+    e = D.read(spark, d, "events").filter(F.col("event_type") == "signup")
     out, _ = U.reset_customers(D.f_customers(spark, d), _members(spark, d), snapshot_balances(spark, d),
                                e.select(F.col("user_id").alias("customer_id")))
     return out
