@@ -55,6 +55,7 @@ BAND_RATIO = 1.5
 SPARE = 2.0  # times the segments that the pigeonhole needs
 GROUPS = 64  # parts that a key many classes have is dealt over
 SKETCH_WORDS = 8
+FIRST_KEYS = 32  # of a class, by which a pair is told apart from its other meetings
 PER_GROUP = 2000  # members verified together against one pivot
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -449,7 +450,9 @@ def _third_round(met: DataFrame, done: DataFrame, roots: DataFrame, rows: DataFr
     m = written(m, "open")
     if m.isEmpty():
         return m.select(F.col("class").alias("pivot"), "class")
-    m = m.join(_bit_sketches(m.select("class").distinct(), rows, classes, shingle), "class")
+    # A pair with many common keys comes out at the smallest of its classes' first ones.
+    firsts = m.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("keys"))
+    m = m.join(firsts, "class").join(_bit_sketches(m.select("class").distinct(), rows, classes, shingle), "class")
     x, y = m.alias("x"), m.alias("y")
     most = F.least("x.may", "y.may")  # of the intersection: shingles found nowhere else are in none
     hamming = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
@@ -457,7 +460,8 @@ def _third_round(met: DataFrame, done: DataFrame, roots: DataFrame, rows: DataFr
                    & (F.col("x.root") != F.col("y.root"))
                    & (of * most >= need * (F.col("x.n") + F.col("y.n") - most))
                    & (F.col("x.lo") <= F.col("y.hi") + far) & (F.col("y.lo") <= F.col("x.hi") + far)
-                   & ((need + of) * hamming <= (of - need) * (F.col("x.n") + F.col("y.n"))))
+                   & ((need + of) * hamming <= (of - need) * (F.col("x.n") + F.col("y.n")))
+                   & F.coalesce(F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"), F.lit(True)))
     pairs = pairs.select(F.col("x.class").alias("pivot"), F.col("y.class").alias("class")).distinct()
     known = done.select(F.least("pivot", "class").alias("pivot"), F.greatest("pivot", "class").alias("class"))
     return pairs.join(known, ["pivot", "class"], "left_anti")
