@@ -18,6 +18,7 @@ from decantry.llm.queries import VOCAB_SIZE, vocab_path
 from decantry.llm.token_file import document_index, token_file_path, write_token_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR = {"shingle": 5, "need": 80, "of": 100}  # of the stage; op2's own values bind op2 only
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +30,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id.
 
+    Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     Texts without words are linked with nothing and stay; so do all rows that repeat the
     kept id.
     """
-    groups = ngram_join(docs).select(F.col("doc_id").alias("_gone"), "component_id")
+    groups = ngram_join(docs, **NEAR).select(F.col("doc_id").alias("_gone"), "component_id")
     gone = groups.where(~F.col("_gone").eqNullSafe(F.col("component_id"))).select("_gone").distinct()
     return docs.join(written(gone, "near-duplicates"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
 

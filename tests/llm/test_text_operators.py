@@ -310,6 +310,20 @@ def _shingles(t):
     return frozenset(tuple(w[i:i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
 
 
+def _one_word_apart(n, mark):
+    w = [f"{mark}{k}" for k in range(n)]
+    return [" ".join(w), " ".join([*w[:n // 2], "other", *w[n // 2 + 1:]])]
+
+
+def test_near_duplicates_takes_five_words_and_a_similarity_of_080(spark, docs_of):
+    """One word changed in n: (n - 9) of n + 1 five-word shingles are common, 0.796 to 0.804 here."""
+    import corpus_pipeline as c
+    texts = _one_word_apart(48, "a") + _one_word_apart(49, "b") + _one_word_apart(50, "c")
+    got = c.near_duplicates(spark, docs_of(list(enumerate(texts))), "")
+    assert got.columns == c.COLUMNS
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 4]
+
+
 def test_registered_queries_agree_with_their_sql(spark, sf_small):
     import duckdb
 
