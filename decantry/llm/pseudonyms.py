@@ -41,6 +41,8 @@ FOUND = (rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})(?![A-Za-z0-9@-])"
          rf"|(?<![0-9./-])(?:{ISO_DATE}|{_DAY_DATE_ANY}|{SSN})(?![0-9]|[./-][0-9])"
          rf"|(?<![0-9])(?:{CARD})(?![0-9])")
 
+MAY_HOLD = r"[0-9]{2}|@|[0-9]\.[0-9]"  # every pattern implies it
+
 
 def _prf(key: str, kind: str, turn: Column, other: Column) -> Column:
     """128 hex digits that depend on key, kind, round and the other half."""
@@ -221,7 +223,7 @@ def pseudonymise(docs: DataFrame, key: str, restore: bool = False) -> DataFrame:
     ``restore=True`` with the same key gives the original texts back.
     """
     text = F.col("text").cast("string")
-    found = F.when(text.rlike("[0-9]{2}|@"), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)))
+    found = F.when(text.rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)))
     rows = docs.drop("n_replaced").withColumn("_found", found)
     made = rows.withColumn("_made", F.transform("_found", lambda m: pseudonym(m, key, restore)))
     joined = F.array_join(F.zip_with(F.split(text, FOUND, -1), F.concat("_made", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")

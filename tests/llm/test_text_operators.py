@@ -205,6 +205,18 @@ def test_pseudonyms_keep_format_link_and_restore(spark):
     assert pseudonymise(docs.limit(0), "k").collect() == []
 
 
+def test_pseudonyms_of_values_alone_in_a_text(spark):
+    """No other number in the text: each kind passes the prefilter, and equal values stay linked."""
+    texts = ["ask 8.8.8.8 or 1.1.1.1", "ask 8.8.8.8 of 2024", "a@b.cd", "+1 (988) 555-2485", "1999-02-28", "29.02.2000", "123-45-6789",
+             "4041894974608795", "8.8.8", "v 1.2 of 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = pseudonymise(docs, "k1")
+    got = {r.doc_id: r for r in made.collect()}
+    assert [got[k].n_replaced for k in range(10)] == [2, 1, 1, 1, 1, 1, 1, 1, 0, 0]
+    assert got[0].text.split()[1] == got[1].text.split()[1] != "8.8.8.8"
+    assert {r.doc_id: r.text for r in pseudonymise(made, "k1", restore=True).collect()} == dict(enumerate(texts))
+
+
 def test_number_network_is_a_permutation(spark):
     """All days of the domain map to distinct days of the domain."""
     from decantry.llm.pseudonyms import DAYS, _number
