@@ -20,7 +20,11 @@ What keeps equal segments rare among unlike texts, without losing a pair:
   D unlike its partner's, so any D+1 hold a common one; ordered by how many classes have a
   segment, the rarest common segment is among the D+1 rarest of both. Only these stay;
   segments found in one class alone come first, so a class with more than D of them leaves.
-* Empty segments say nothing. A class with more than D non-empty ones leaves them out.
+* Empty segments say nothing: a class with more than D non-empty ones has a sketch of these
+  alone. A class with at most D ("thin") has one of all its segments, in which empty ones
+  count; so has, beside its other one, each class that may be linked with a thin one. The
+  shingles common with a thin partner lie in at most D segments, so only a class whose D
+  fullest segments hold the threshold's part of its shingles may, in bands with thin classes.
 
 Equal segments become links to one pivot a segment (the smallest class), never all pairs;
 a batch of texts first links its own repeats, so a segment that a third of all texts
@@ -56,6 +60,7 @@ SPARE = 2.0  # times the segments that the pigeonhole needs
 GROUPS = 64  # parts that a key many classes have is dealt over
 SKETCH_WORDS = 8
 FIRST_KEYS = 32  # of a class, by which a pair is told apart from its other meetings
+PART = 1 << 17  # shingles that are dealt to segments at a time when only loads are wanted
 PER_GROUP = 2000  # members verified together against one pivot
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -131,54 +136,84 @@ class Bands:
             k += 1
 
 
-def _segment_words(tokens: np.ndarray, job: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """XOR words of all segments of all jobs, their offsets, and the segment numbers."""
+def _dealt(tokens: np.ndarray, border: np.ndarray, sets: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The shingles of all jobs, their segments' places among all jobs' segments, and each segment's load."""
+    size = np.diff(border)[sets]
+    job = np.repeat(np.arange(len(sets)), size)
+    own = tokens[border[sets[job]] + np.arange(len(job)) - np.repeat(np.cumsum(size) - size, size)]
     off = np.concatenate([[0], np.cumsum(count)])
-    where = mixed(tokens ^ (band[job].astype(np.uint64) + np.uint64(1)) * _A) >> np.uint64(32)
-    seg = (where * count[job].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    out = np.zeros(off[-1], np.uint64)
-    np.bitwise_xor.at(out, off[:-1][job] + seg, tokens)
-    return out, off, np.arange(off[-1]) - np.repeat(off[:-1], count)
-
-
-def sketch_keys(tokens: np.ndarray, border: np.ndarray, bands: Bands) -> tuple[np.ndarray, ...]:
-    """(set, key, band, spare): the sets that must meet, by equal keys.
-
-    A set's keys of one band have at most ``K - spare - 1`` that a partner lacks, K being
-    their number.
+    where = mixed(own ^ (band[job].astype(np.uint64) + np.uint64(1)) * _A) >> np.uint64(32)
+    at = off[:-1][job] + (where * count[job].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    return own, at, np.bincount(at, minlength=off[-1])
+
+
+def thin_bands(tokens: np.ndarray, border: np.ndarray, bands: Bands) -> np.ndarray:
+    """For each set the bands in which its sketch is thin, a bit a band."""
+    all_sets, all_bands = bands.jobs(np.diff(border))
+    out = np.zeros(len(border) - 1, np.int64)
+    part = np.cumsum(np.diff(border)[all_sets]) // PART  # a few jobs at a time, for memory
+    for jobs in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+        sets, band = all_sets[jobs], all_bands[jobs]
+        count = bands.segments[band]
+        _, _, load = _dealt(tokens, border, sets, band, count)
+        made = np.bincount(np.repeat(np.arange(len(sets)), count)[load > 0], minlength=len(sets))
+        thin = made <= bands.differ[band]
+        np.bitwise_or.at(out, sets[thin], np.int64(1) << band[thin])
+    return out
+
+
+def sketch_keys(tokens: np.ndarray, border: np.ndarray, bands: Bands, thin_in: int = -1) -> tuple[np.ndarray, ...]:
+    """(set, key, sketch, spare): the sets that must meet, by equal keys.
+
+    ``sketch`` is twice the band, and one more for the sketch of all segments. A set's keys
+    of one sketch have at most ``K - spare - 1`` that a partner lacks, K being their number.
+    ``thin_in`` has a bit for each band in which some set's sketch is thin.
     """
     sets, band = bands.jobs(np.diff(border))
     none = np.zeros(0, np.int64)
     if not len(sets):
         return none, none.astype(np.uint64), none, none
     need, count = bands.differ[band] + 1, bands.segments[band]
-    size = np.diff(border)[sets]
-    job = np.repeat(np.arange(len(sets)), size)
-    place = border[sets[job]] + np.arange(len(job)) - np.repeat(np.cumsum(size) - size, size)
-    w, _, seg = _segment_words(tokens[place], job, band, count)
+    own, at, load = _dealt(tokens, border, sets, band, count)
+    w = np.zeros(len(load), np.uint64)
+    np.bitwise_xor.at(w, at, own)
+    del own, at
     owner = np.repeat(np.arange(len(sets)), count)
-    full = w != 0
-    made = np.bincount(owner[full], minlength=len(sets))
+    seg = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
+    made = np.bincount(owner[load > 0], minlength=len(sets))
     thin = made < need
-    full |= thin[owner]
-    made = np.where(thin, count, made)
-    owner, seg, w = owner[full], seg[full], w[full]
-    key = mixed(w * _A + seg.astype(np.uint64) * _B + band[owner].astype(np.uint64))
-    return sets[owner], key, band[owner], (made - need)[owner]
+    may = np.flatnonzero(thin | (np.int64(thin_in) >> band & 1 > 0))  # jobs that may meet a thin sketch
+    open_ = np.flatnonzero(np.isin(owner, may))
+    order = open_[np.lexsort((-load[open_], owner[open_]))]
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(count[may]) - count[may], count[may])
+    top = np.bincount(owner[order], weights=np.where(rank < need[owner[order]] - 1, load[order], 0), minlength=len(sets))
+    whole = np.zeros(len(sets), bool)
+    whole[may] = thin[may] | (top[may] * bands.of >= np.diff(border)[sets[may]] * bands.need)
+
+    def keys(kept: np.ndarray, kind: int, k: np.ndarray) -> tuple[np.ndarray, ...]:
+        o = owner[kept]
+        sketch = 2 * band[o] + kind
+        key = mixed(w[kept] * _A + seg[kept].astype(np.uint64) * _B + sketch.astype(np.uint64))
+        return sets[o], key, sketch, (k - need)[o]
+
+    parts = zip(keys((load > 0) & ~thin[owner], 0, made), keys(whole[owner], 1, count), strict=True)
+    return tuple(np.concatenate(p) for p in parts)
 
 
 # --- passes over the texts ------------------------------------------------------------------
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``id, class, n`` of each row."""
+def _sets(docs: DataFrame, shingle: int, need: int, of: int) -> DataFrame:
+    """``id, class, n, thin`` of each row; ``thin`` as by ``thin_bands``."""
     def scan(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
             data, ends = utf8_bytes(batch.column(1))
             tokens, border = shingle_sets(data, ends, shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(class_ids(tokens, border)),
-                                              pa.array(np.diff(border).astype(np.int64))], ["id", "class", "n"])
+            n = np.diff(border).astype(np.int64)
+            thin = thin_bands(tokens, border, Bands(int(n.max(initial=0)), need, of))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(class_ids(tokens, border)), pa.array(n), pa.array(thin)],
+                                             ["id", "class", "n", "thin"])
 
-    return map_arrow(docs, scan, f"id {docs.schema['id'].dataType.simpleString()}, class long, n long")
+    return map_arrow(docs, scan, f"id {docs.schema['id'].dataType.simpleString()}, class long, n long, thin long")
 
 
 def _distinct_sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,10 +240,10 @@ def _repeated_shingles(docs: DataFrame, total: int, shingle: int) -> tuple[np.nd
     return repeated_bits(docs.select("text"), gather, index_bits, bucket_bits), index_bits
 
 
-def _keys(docs: DataFrame, bands: Bands, bits: np.ndarray, index_bits: int, shingle: int) -> DataFrame:
+def _keys(docs: DataFrame, bands: Bands, thin_in: int, bits: np.ndarray, index_bits: int, shingle: int) -> DataFrame:
     """``key, class, head, many, sketch`` of each distinct class of a slice: ``head`` is true once a
     key and slice, ``many`` where the slice has several classes of the key; ``sketch`` is
-    the number of shingles found nowhere else, ``spare`` (24 bits) and the band (8 bits)."""
+    the number of shingles found nowhere else, ``spare`` (24 bits) and twice the band plus the kind (8 bits)."""
     sent = docs.sparkSession.sparkContext.broadcast((bands, bits))
 
     def scan(batches):
@@ -220,7 +255,7 @@ def _keys(docs: DataFrame, bands: Bands, bits: np.ndarray, index_bits: int, shin
             alone = sums[border[1:]] - sums[border[:-1]]
             can = alone * own_bands.of <= (own_bands.of - own_bands.need) * n
             tokens, name = tokens[np.repeat(can, n)], name[can]
-            sets, key, band, spare = sketch_keys(tokens, np.concatenate([[0], np.cumsum(n[can])]), own_bands)
+            sets, key, band, spare = sketch_keys(tokens, np.concatenate([[0], np.cumsum(n[can])]), own_bands, thin_in)
             cls = name[sets]
             order = np.lexsort((cls, key))
             key, cls = key[order].view(np.int64), cls[order]
@@ -328,13 +363,13 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, need: int = NEED, of: in
     than ``doc_id`` and ``text`` are ignored.
     """
     rows = docs.select(F.col("doc_id").alias("id"), text_or_empty().cast("binary").alias("text"))
-    meta = written(_sets(rows, shingle), "sets")
+    meta = written(_sets(rows, shingle, need, of), "sets")
     classes = (meta.where("n > 0").groupBy("class")
-               .agg(F.min("id").alias("first_id"), F.first("n").alias("n")))
+               .agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("thin").alias("thin")))
     classes = written(classes, "classes")
-    largest = classes.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    largest = classes.agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.bit_or("thin").alias("thin")).first()
     bits, index_bits = _repeated_shingles(rows, largest["total"] or 0, shingle)
-    keys = _keys(rows, Bands(largest["most"] or 0, need, of), bits, index_bits, shingle)
+    keys = _keys(rows, Bands(largest["most"] or 0, need, of), largest["thin"] or 0, bits, index_bits, shingle)
     roots = _linked_classes(keys, rows, classes, shingle, need, of)
     named = _rooted(meta.select("id", "class", "n"), "class", roots, "component")
     least = named.where("n > 0").groupBy("component").agg(F.min("id").alias("least_id"))

@@ -1,6 +1,7 @@
 """Exact dedup, n-gram join, suffix dedup, line dedup: brute force on small rows."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 from decantry.llm.components import components
 from decantry.llm.exact_dedup import exact_dedup
 from decantry.llm.line_dedup import line_dedup
-from decantry.llm.ngram_join import Bands, ngram_join, shingle_sets, sketch_keys
+from decantry.llm.ngram_join import Bands, _dealt, ngram_join, shingle_sets, sketch_keys, thin_bands
 from decantry.llm.suffix_dedup import suffix_dedup
 
 CLASH = ("n_bytes", "class", "keep_id", "n_lines", "h", "key", "id", "doc", "n", "spans")
@@ -125,6 +126,36 @@ def test_linked_sets_share_one_of_their_rarest_keys():
             assert any(shared.values()), (n, k)
 
 
+@pytest.mark.parametrize(("need", "of", "most"), [(85, 100, 12), (80, 100, 11)])
+def test_sets_that_differ_by_one_meet_in_every_layout_of_segments(need, of, most):
+    """All layouts of 6 to 12 (11) shingles, and the same with one more: whatever the order of the
+    keys, one that both have is among the kept ones of both."""
+    bands = Bands(40, need, of)
+    tokens = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    texts = []
+    for n in range(6, most + 1):
+        band = int(np.searchsorted(bands.low, n + 1, side="right")) - 1
+        k = int(bands.segments[band])
+        _, at, _ = _dealt(tokens, np.array([0, len(tokens)]), np.array([0]), np.array([band]), np.array([k]))
+        pool = [tokens[at == x].tolist() for x in range(k)]
+        for cuts in itertools.combinations(range(n + k - 1), k - 1):
+            load = np.diff([-1, *cuts, n + k - 1]) - 1
+            own = [t for x in range(k) for t in pool[x][: load[x]]]
+            for x in range(k):
+                texts += [own, [*own, pool[x][load[x]]]]
+    border = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    flat = np.concatenate([np.sort(np.array(t, np.uint64)) for t in texts])
+    thin = int(np.bitwise_or.reduce(thin_bands(flat, border, bands)))
+    kept, lists = {}, {}
+    for s, key, sketch, spare in zip(*(c.tolist() for c in sketch_keys(flat, border, bands, thin)), strict=True):
+        lists.setdefault((s, sketch), set()).add(key)
+        kept[s, sketch] = spare
+    for a in range(0, len(texts), 2):
+        assert any((a, b) in lists and (a + 1, b) in lists and all(
+            len(lists[s, b] - lists[t, b]) < len(lists[s, b]) - kept[s, b] for s, t in ((a, a + 1), (a + 1, a)))
+            for b in range(2 * len(bands.low))), (texts[a], texts[a + 1])
+
+
 def test_shingle_sets_of_odd_texts():
     texts = [b"", b"a", b"A a", b"a b c d", b"a b c d a b c d", b"\xc3\xa9 x y z q"]
     _, border = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
