@@ -28,15 +28,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id.
+    """One row of each group: the one with the smallest id (null only where no row has one).
 
     Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-    Texts without words are linked with nothing and stay; so do all rows that repeat the
-    kept id.
+    Rows are told apart by a number of their own, not by ``doc_id``: of repeated rows one
+    stays, and a row goes only with its own group, whatever id it shares. Of rows with the
+    smallest id the first by that number stays. Texts without words are linked with nothing
+    and stay, each row of them.
     """
-    groups = ngram_join(docs, **NEAR).select(F.col("doc_id").alias("_gone"), "component_id")
-    gone = groups.where(~F.col("_gone").eqNullSafe(F.col("component_id"))).select("_gone").distinct()
-    return docs.join(written(gone, "near-duplicates"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"), **NEAR)
+    linked = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "linked")
+    members = linked.union(linked.select(F.col("_group").alias("_row"), "_group").distinct())
+    members = written(members.join(rows.select("_row", "doc_id"), "_row"), "members")
+    kept = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_kept"))
+    gone = members.join(kept, "_group").where("_row <> _kept").select("_row")
+    return rows.join(written(gone, "near-duplicates"), "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

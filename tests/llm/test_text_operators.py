@@ -336,6 +336,22 @@ def test_near_duplicates_takes_five_words_and_a_similarity_of_080(spark, docs_of
     assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 4]
 
 
+def test_near_duplicates_tells_rows_apart_not_ids(spark, docs_of):
+    """Null ids, ids that several texts share, and repeated rows: each group keeps one row, and no other row goes."""
+    import corpus_pipeline as c
+    a, b, d, e, f = ([*_one_word_apart(60, mark), f"{mark} alone"] for mark in "abdef")
+    rows = [(1, a[0]), (None, a[1]), (None, a[2]), (None, b[2]),  # a null id goes, unlike null ids stay
+            (7, b[0]), (9, b[1]), (9, d[2]),  # id 9 goes once only
+            (11, d[0]), (11, d[0]), (11, d[0]),  # repeated rows
+            (None, e[0]), (None, e[1]), (None, e[0]),  # no id at all
+            (20, f[0]), (20, f[1]), (20, f[2]),  # one id, like and unlike texts
+            (30, None), (30, None), (31, ""), (None, " ")]
+    got = c.near_duplicates(spark, docs_of(rows), "").collect()
+    same = {t: mark for mark, own in zip("abdef", (a, b, d, e, f), strict=True) for t in own[:2]}
+    want = [(1, "a"), (None, a[2]), (None, b[2]), (7, "b"), (9, d[2]), (11, "d"), (None, "e"), (20, "f"), (20, f[2]), (30, None), (30, None), (31, ""), (None, " ")]
+    assert sorted((repr(r.doc_id), repr(same.get(r.text, r.text))) for r in got) == sorted((repr(i), repr(t)) for i, t in want)
+
+
 def test_registered_queries_agree_with_their_sql(spark, sf_small):
     import duckdb
 
