@@ -217,3 +217,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return suffix_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@_registered()
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.labelled import held_out
+    from decantry.llm.ngram_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7, 2))
