@@ -225,3 +225,81 @@ def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decantry.llm.ngram_lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7, 2))
+
+
+def _ways_sql() -> str:
+    """(symbol, from, to, cost, audit) of one row and the inserts before it, as SQL values."""
+    from decantry.llm.grammar_dp import TERMINAL_WAYS
+
+    return ", ".join(f"({s},{i},{j},{cost},'{audit}')" for s, ways in enumerate(TERMINAL_WAYS)
+                     for (i, j), (cost, audit) in sorted(ways.items()))
+
+
+# Two walks, a row and an edit a step: costs and least audits of the four states, then the repaired lines.
+CONVERSATIONS_SQL = rf"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([b::BIGINT] || range(0, 8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM range(0, 256) r(b)),
+lots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce('=' || conv_id, '-') AS c,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                                                lambda x: ord(x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS lot
+  FROM conversations, tab),
+hurt AS (
+  SELECT c, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+         CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM lots, range(0, 2) k(copy) WHERE lot <> 0 AND (copy = 0 OR lot = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS rn,
+                  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hurt),
+faulty AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY rn) > 1 THEN 2
+                          WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault,
+                  CASE left(role, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS kind,
+                  lag(left(role, 1)) OVER (PARTITION BY c ORDER BY rn) AS before FROM placed),
+signs AS (SELECT *, CASE WHEN fault IN (1, 2) THEN 8 WHEN fault = 3 THEN kind + 4 ELSE kind END AS sign FROM faulty),
+ways AS (SELECT sign, list({{'i': i, 'j': j, 'cost': cost, 'a': a}}) AS w FROM (VALUES {_ways_sql()}) v(sign, i, j, cost, a) GROUP BY sign),
+walk(c, pos, st) AS (
+  SELECT DISTINCT c, 0::BIGINT, [{{'cost': 0::BIGINT, 'a': ''}}, {{'cost': 1000000000::BIGINT, 'a': ''}},
+                                 {{'cost': 1000000000::BIGINT, 'a': ''}}, {{'cost': 1000000000::BIGINT, 'a': ''}}] FROM signs
+  UNION ALL
+  SELECT walk.c, pos + 1, list_transform(range(0, 4), lambda j:
+         coalesce(list_sort(list_transform(list_filter(w, lambda x: x.j = j AND st[x.i + 1].cost < 1000000000),
+                                           lambda x: {{'cost': st[x.i + 1].cost + x.cost, 'a': st[x.i + 1].a || x.a}}))[1],
+                  {{'cost': 1000000000::BIGINT, 'a': ''}}))
+  FROM walk JOIN signs ON signs.c = walk.c AND signs.rn = pos + 1 JOIN ways USING (sign)),
+solved AS (
+  SELECT c, list_sort([{{'cost': st[1].cost, 'a': st[1].a}}, {{'cost': st[2].cost + 10, 'a': st[2].a || 'II'}},
+                       {{'cost': st[3].cost + 5, 'a': st[3].a || 'I'}}, {{'cost': st[4].cost, 'a': st[4].a}}])[1] AS best
+  FROM walk QUALIFY row_number() OVER (PARTITION BY c ORDER BY pos DESC) = 1),
+source AS (SELECT c, list(role ORDER BY rn) AS roles, list(text ORDER BY rn) AS texts FROM signs GROUP BY c),
+edit(c, n, state, pos, lines) AS (
+  SELECT c, 0::BIGINT, 0, 1::BIGINT, ['']::VARCHAR[] FROM solved
+  UNION ALL
+  SELECT edit.c, n + 1,
+         CASE a[n + 1] WHEN 'D' THEN state WHEN 'K' THEN CASE left(roles[pos], 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END
+                       ELSE CASE state WHEN 2 THEN 3 ELSE 2 END END,
+         CASE a[n + 1] WHEN 'I' THEN pos ELSE pos + 1 END,
+         CASE a[n + 1] WHEN 'D' THEN lines WHEN 'K' THEN lines || [roles[pos] || ':' || texts[pos]]
+                       ELSE lines || [CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE a[n + 1] WHEN 'R' THEN texts[pos] ELSE '' END] END
+  FROM edit JOIN (SELECT c, best.a AS a FROM solved) s ON s.c = edit.c JOIN source ON source.c = edit.c WHERE n < length(a)),
+done AS (SELECT c, sha256(array_to_string(lines[2:], chr(10))) AS sha FROM edit QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC) = 1),
+told AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+                count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+                count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM signs GROUP BY c)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM lots) o LEFT JOIN told USING (c) LEFT JOIN solved USING (c) LEFT JOIN done USING (c)
+"""
+
+
+@_registered(CONVERSATIONS_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decantry.llm.conversations import conversation_key, damaged, digests, repair_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = repair_conversations(damaged(rows))
+    every = rows.select("conv_id", conversation_key().alias("c")).distinct()
+    found = repair.report.drop("conv_id").join(digests(repair.chunks), "c", "left")
+    number = [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "c", "left").select("conv_id", *number, F.coalesce("audit", F.lit("")).alias("audit"),
+                                                 F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
