@@ -303,3 +303,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return every.join(found, "c", "left").select("conv_id", *number, F.coalesce("audit", F.lit("")).alias("audit"),
                                                  F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@_registered()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from decantry.llm.token_alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
