@@ -65,22 +65,27 @@ def pair_keys(tokens: np.ndarray) -> np.ndarray:
     return mixed(before * _PAIR + tokens)
 
 
-def probe_places(keys: np.ndarray, level: np.ndarray | int, n_bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Bit positions of (key, level) in a block of ``n_bits``."""
-    one = mixed(keys + np.uint64(1) + np.asarray(level, np.uint64) * _LEVEL)
-    two = mixed(one) | np.uint64(1)
-    for i in range(PROBES):
-        yield (one + np.uint64(i) * two) % np.asarray(n_bits, np.uint64)
+def hashes_of(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of (key, level); probe i looks at ``one + i * two``."""
+    one = mixed(keys + np.uint64((level * int(_LEVEL) + 1) & ((1 << 64) - 1)))
+    return one, mixed(one) | np.uint64(1)
 
 
-def block_of(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+def bit_place(one: np.ndarray, two: np.ndarray, i: int, n_bits: np.ndarray | int) -> np.ndarray:
+    """Bit of probe i in a block of ``n_bits`` (fewer than 2^32), by multiply and shift."""
+    high = (one + np.uint64(i) * two) >> np.uint64(32)
+    return ((high * np.asarray(n_bits, np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
+def block_of(keys: np.ndarray, counts: np.ndarray, bits_each: int = BITS) -> tuple[int, bytes]:
     """(bits, packed bits) of the filter block that holds these n-grams."""
     levels = level_of(counts)
-    n_bits = max(64, -(-int(levels.sum()) * BITS // 8) * 8)
+    n_bits = max(64, -(-int(levels.sum()) * bits_each // 8) * 8)
     bits = np.zeros(n_bits, bool)
     for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
-        for place in probe_places(keys[levels >= level], level, n_bits):
-            bits[place] = True
+        one, two = hashes_of(keys[levels >= level], level)
+        for i in range(PROBES):
+            bits[bit_place(one, two, i, n_bits)] = True
     return n_bits, np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -105,12 +110,12 @@ class Blocks:
         for level in range(1, len(BANDS)):
             if not len(live):
                 break
-            own = owner[live]
-            hit = np.ones(len(live), bool)
-            for place in probe_places(keys[live], level, self.n_bits[own]):
-                place = place.astype(np.int64)
-                hit &= (self.bits[self.at[own] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+            one, two = hashes_of(keys[live], level)
+            for i in range(PROBES):  # those that miss leave at once
+                own = owner[live]
+                place = bit_place(one, two, i, self.n_bits[own])
+                hit = (self.bits[self.at[own] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
+                live, one, two = live[hit], one[hit], two[hit]
             found[live] = level
         return found
 
@@ -178,7 +183,7 @@ def _messages(cut: DataFrame, parts: int) -> DataFrame:
 _TALLY = "part long, slice long, counts binary, n_bits long, bits binary, tokens long, types long"
 
 
-def _tally(table: pa.Table) -> pa.Table:
+def _tally(table: pa.Table, bits_each: int) -> pa.Table:
     """One part: a filter block, and for each slice the exact counts of the words it sent."""
     rows = table.to_pylist()
     part = rows[0]["part"]
@@ -196,7 +201,7 @@ def _tally(table: pa.Table) -> pa.Table:
                 at += len(k)
         grams.append(distinct[total > 0])
         totals.append(total[total > 0])
-    n_bits, bits = block_of(np.concatenate(grams), np.concatenate(totals))
+    n_bits, bits = block_of(np.concatenate(grams), np.concatenate(totals), bits_each)
     out.append((part, None, None, n_bits, bits, tokens, types))
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -240,7 +245,8 @@ def _probed(spark: SparkSession, cut: DataFrame, tally: DataFrame, parts: int, b
     return answers
 
 
-def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES, prior: float = PRIOR) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES, prior: float = PRIOR,
+                    bits_each: int = BITS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document row.
 
     ``train`` tells which rows the model learns from. ``base_score`` is that of exact word
@@ -252,7 +258,7 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
     cut = written(sliced(docs, train), "lm-slices")
     keys = cut.agg(F.sum(F.col("n_tokens") + F.col("n_words"))).first()[0] or 0
     parts = part_count(keys)
-    tally = written(_messages(cut, parts).groupBy("part").applyInArrow(_tally, _TALLY), "lm-tally")
+    tally = written(_messages(cut, parts).groupBy("part").applyInArrow(lambda t: _tally(t, bits_each), _TALLY), "lm-tally")
     n, v = tally.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     levels = _probed(spark, cut, tally, parts, block_bytes)
     schema = ("doc_id " + kind + ", held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
