@@ -51,7 +51,9 @@ def cut_by_part(spread: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as the fewest bytes a delta, plane by plane, compressed."""
+    """Ascending 64-bit keys as the fewest bytes a delta, plane by plane, compressed; none: no bytes."""
+    if not len(keys):
+        return b""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
     first, rest = steps[:1], steps[1:]
     width = max(1, (int(rest.max()).bit_length() + 7) // 8) if len(rest) else 1
@@ -60,7 +62,7 @@ def pack_sorted(keys: np.ndarray) -> bytes:
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    if len(raw) < 9:
+    if not raw:
         return np.zeros(0, np.uint64)
     width = raw[0]
     planes = np.frombuffer(zstandard.decompress(raw[9:]), np.uint8).reshape(width, -1)
