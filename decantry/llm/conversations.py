@@ -34,7 +34,7 @@ from decantry.session import ship_package
 CHUNK_ROWS = 256
 CHUNK_BYTES = 1 << 20
 FAN_BITS = 6  # groups of 64 parts a level
-RULES_A_ROUND, MOST_RULES = 16, 96
+RULES_A_ROUND, MOST_RULES = 16, 64
 SPACES = " \t\n\x0b\x0c\r"
 
 _CHUNK = ("c string, part long, seq long, symbols binary, roles array<string>, texts array<string>, blank long, duplicate long, "
@@ -163,9 +163,9 @@ def learn_grammar(strings: DataFrame, most_rules: int = MOST_RULES, a_round: int
     """Re-Pair over ``symbols, n`` (distinct strings and how often each occurs).
 
     Each round Spark counts all neighbouring pairs of the strings as parsed so far; the most
-    frequent ones that share no symbol with a more frequent one (so that their counts hold
-    together) become rules. It ends when no pair occurs twice or at ``most_rules``. At most
-    (symbols)^2 counts meet in a round, ``a_round`` times eight reach the driver.
+    frequent ones become rules, applied in that order (a pair that loses its places to one
+    before it costs an idle rule, no result). It ends when no pair occurs twice or at
+    ``most_rules``. At most (symbols)^2 counts meet in a round, ``a_round`` reach the driver.
     """
     pairs: list[tuple[int, int]] = []
     while len(pairs) < most_rules:
@@ -183,16 +183,10 @@ def learn_grammar(strings: DataFrame, most_rules: int = MOST_RULES, a_round: int
                                                  ["a", "b", "n"])
 
         top = (map_arrow(strings.select("symbols", "n"), count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-               .where("n > 1").orderBy(F.desc("n"), "a", "b").limit(8 * a_round).collect())
-        used: set[int] = set()
-        fresh = []
-        for r in top:
-            if not used & {r["a"], r["b"]} and len(fresh) < min(a_round, most_rules - len(pairs)):
-                fresh.append((r["a"], r["b"]))
-                used |= {r["a"], r["b"]}
-        if not fresh:
+               .where("n > 1").orderBy(F.desc("n"), "a", "b").limit(min(a_round, most_rules - len(pairs))).collect())
+        if not top:
             break
-        pairs += fresh
+        pairs += [(r["a"], r["b"]) for r in top]
     return G.Grammar(pairs)
 
 
