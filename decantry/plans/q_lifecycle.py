@@ -272,17 +272,38 @@ def collection_completeness(spark, d):
     return L.collection_completeness(D.f_customers(spark, d), _members(spark, d), D.f_museum(spark, d))
 
 
+def _streamed(spark, d, name, with_manual=False):
+    """The lifecycle stream over the events in eight arrivals; the current views."""
+    import uuid
+
+    from decantry.session import delete_folder, ensure_checkpoint_dir
+    from decantry.streaming import lifecycle_stream as S
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex[:12]}"
+    files = D.event_arrivals(spark, d, folder)
+    raw = D.stream_events(spark, d, folder, files)
+    events = S.with_perfumes(D.status_events_of(raw), D.f_catalog(spark, d))
+    manual = None
+    if with_manual:
+        steps = FO.manual_steps(manual_changes_of(raw, D.f_catalog(spark, d)), D.f_customers(spark, d))
+        manual = steps.withColumn("unlocked", F.col("kind") == "unlock")
+    out = S.run_to_parquet(spark, S.stream_lifecycle(events, manual), name)
+    delete_folder(spark, folder)
+    return S.latest_views(spark, out)
+
+
 @query("stream_lifecycle", "O-B11", oracle=FOLD_LIBRARY_SQL, extra_views=FOLD_VIEWS)
 def stream_lifecycle(spark, d):
-    """Run the lifecycle stream over the events table (file source, availableNow) and return
-    the final library rows per customer, read back from the stream's Parquet sink."""
-    from decantry.streaming import lifecycle_stream as S
-    events = D.status_events_of(D.stream_events(spark, d))
-    attrs = S.order_attributes(D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
-    out = S.run_to_parquet(spark, S.stream_lifecycle(events, attrs))
-    views = S.latest_views(spark, out)
-    return (views.filter(F.col("record") == "library")
-            .select("customer_id", "perfume", "source_code"))
+    """Final library rows per customer, read back from the stream's change rows."""
+    return _streamed(spark, d, "lifecycle").filter(F.col("record") == "library").select("customer_id", "perfume", "source_code")
+
+
+@query("stream_lifecycle_notifications", "O-B11+O-B6", oracle="""
+SELECT customer_id, perfume, n.o AS order_id, n.t AS created_at
+FROM (SELECT customer_id, perfume, unnest(notes) AS n FROM fold_final)""", extra_views=FOLD_VIEWS)
+def stream_lifecycle_notifications(spark, d):
+    """Notifications still present after the last micro-batch."""
+    views = _streamed(spark, d, "lifecycle-notes")
+    return views.filter(F.col("record") == "notification").select("customer_id", "perfume", "order_id", "created_at")
 
 
 @query("manual_unlock_notifications", "O-B7", oracle="""
@@ -406,14 +427,7 @@ def unlock_notifications_with_manual(spark, d):
 SELECT customer_id, perfume, CASE WHEN owner.m THEN 'MANUAL-STUDIO' ELSE 'ORDER-' || owner.n END AS source_code
 FROM fm_final WHERE owner IS NOT NULL""", extra_views=FOLD_MANUAL_VIEWS)
 def stream_lifecycle_with_manual(spark, d):
-    """One event file stream feeds both status changes and admin unlocks/locks into the keyed
-    lifecycle state; returns the final library per customer from the Parquet sink."""
-    from decantry.streaming import lifecycle_stream as S
-    raw = D.stream_events(spark, d)
-    events = D.status_events_of(raw)
-    manual = FO.manual_steps(manual_changes_of(raw, D.f_catalog(spark, d)), D.f_customers(spark, d))
-    attrs = S.order_attributes(D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
-    out = S.run_to_parquet(spark, S.stream_lifecycle(events, attrs, manual.withColumn("unlocked", F.col("kind") == "unlock")),
-                           "lifecycle-manual")
-    views = S.latest_views(spark, out)
+    """One event stream feeds both status changes and admin unlocks/locks into the keyed
+    lifecycle state; returns the final library per customer."""
+    views = _streamed(spark, d, "lifecycle-manual", with_manual=True)
     return views.filter(F.col("record") == "library").select("customer_id", "perfume", "source_code")

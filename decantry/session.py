@@ -88,6 +88,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark keeps it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)

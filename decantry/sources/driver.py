@@ -221,7 +221,8 @@ def status_events_of(e: DataFrame) -> DataFrame:
     total, keys = _lifecycle_order_attrs(oid)
     return e.select(oid.alias("order_id"), F.col("user_id").alias("customer_id"),
                     status.alias("new_status"), F.col("ts"), F.col("event_id").alias("seq"),
-                    total.alias("order_total"), keys.alias("perfume_keys"))
+                    total.alias("order_total"), keys.alias("perfume_keys"),
+                    F.concat(F.lit("P-"), F.lpad(oid.cast("string"), 8, "0")).alias("order_number"))
 
 
 @memo_view
@@ -230,12 +231,24 @@ def f_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_events_of(read(spark, sf_dir, "events"))
 
 
-def stream_events(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The events table as a file stream (schema taken from the table, never inferred per batch)."""
-    schema = read(spark, sf_dir, "events").schema
-    # A glob makes the folder the stream's base path (a plain file path cannot be one).
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
+def event_arrivals(spark: SparkSession, sf_dir: str, folder: str, batches: int = 8) -> int:
+    """Lay the events out under ``folder`` as ``batches`` arrivals, one after another in time
+    (bounds are quantiles of ``ts``, so equal times arrive together); returns the files of each."""
+    e = read(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = e.select(at.cast("double").alias("t")).approxQuantile("t", [k / batches for k in range(1, batches)], 0.001)
+    files = max(1, e.rdd.getNumPartitions() // batches)
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = e if low is None else e.filter(at > F.lit(low))
+        part = part if high is None else part.filter(at <= F.lit(high))
+        part.repartition(files).write.mode("append").parquet(folder)
+    return files
+
+
+def stream_events(spark: SparkSession, sf_dir: str, folder: str, files: int) -> DataFrame:
+    """The arrivals as a file stream, ``files`` a micro-batch (schema taken from the table, never
+    inferred per batch)."""
+    return spark.readStream.schema(read(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @memo_view

@@ -1,184 +1,228 @@
 """Order lifecycle as a Structured Streaming job (O-B11).
 
-The reference applies status changes one call at a time; here they arrive as a stream.
-Events are enriched with their order's static attributes (stream-static join), then
-``applyInPandasWithState`` keyed by customer applies them in (ts, seq) order within each
-micro-batch, carrying per customer: each order's status and delivered-run start, the
-library ownership of every perfume (the same ``KeyState`` machine as the batch fold) and
-the clamped balance. Events of a micro-batch are applied after everything already
-applied for that customer (arrival order across batches is the late-data rule).
-
-State is per customer and bounded by that customer's orders; the update output of a
-micro-batch is the full current view of each touched customer, tagged with a version.
+The reference applies status changes one call at a time; here they arrive as a stream, and a
+``StatefulProcessor`` keyed by customer applies them in (ts, seq) order within each
+micro-batch, after everything already applied for that customer (arrival order across
+batches is the late-data rule). Its state is fine-grained:
+
+* ``orders``: order id -> status and creation time (the first event seen);
+* ``perfumes``: perfume -> owner, live deliveries and unseen notifications;
+* ``balance``: the clamped totals and a version.
+
+A micro-batch reads and rewrites only the orders and perfumes that its events name, and
+emits only what changed: a library row or its removal, a notification or its removal, the
+balance. ``latest_views`` folds these changes into the current tables. The static side of the
+enrichment is the catalogue alone; an event brings its order's total, number and keys.
+
+Memory: a task holds one customer's rows of one micro-batch (bounded by the source's
+admission, ``maxFilesPerTrigger``) and the state entries these rows touch.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-import warnings
-from decimal import Decimal
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from decantry.functions import exprs as X
-from decantry.operators.fold import MANUAL_OWNER, KeyState
-from decantry.session import ensure_checkpoint_dir, ship_package
-
-OUTPUT_SCHEMA = ("customer_id long, version long, record string, perfume string, source_code string, "
-                 "order_id long, total_spent decimal(18,2), bookmarks long")
-STATE_SCHEMA = "state string"
-
-
-def _ts(v):
-    return None if v is None else pd.Timestamp(v).isoformat()
-
-
-def _pts(v):
-    return None if v is None else pd.Timestamp(v)
-
-
-class CustomerState:
-    """Everything the lifecycle needs to know about one customer."""
-
-    def __init__(self):
-        self.status: dict[int, str] = {}
-        self.keys: dict[str, KeyState] = {}
-        self.total = Decimal("0.00")
-        self.bookmarks = 0
-        self.version = 0
-
-    # -- events
-    def apply(self, order_id, new_status, ts, order_total, order_number, created_at, perfumes):
-        if new_status not in X.ORDER_STATUSES:
-            return
-        prev = self.status.get(order_id, "pending")
-        total = Decimal(str(order_total)) if order_total is not None else Decimal("0")
-        names = {p.strip() for p in (perfumes or []) if p is not None and p.strip()}
-        if prev == "delivered" and new_status != "delivered":
-            self.total = max(Decimal("0"), self.total - total)
-            self.bookmarks = max(0, self.bookmarks - int(total // 1))
-            for p in names:
-                self.keys.setdefault(p, KeyState()).leave(order_id)
-        self.status[order_id] = new_status
-        if new_status == "delivered" and prev != "delivered":
-            self.total += total
-            self.bookmarks += int(total // 1)
-            for p in names:
-                self.keys.setdefault(p, KeyState()).enter(order_id, ts, created_at, order_number)
-
-    def apply_manual(self, perfume, unlocked, ts):
-        """Admin unlock / lock of one perfume (same rules as the batch fold)."""
-        p = (perfume or "").strip()
-        if not p:
-            return
-        ks = self.keys.setdefault(p, KeyState())
+from decantry.session import delete_folder, ensure_checkpoint_dir, ship_package
+
+OUTPUT_SCHEMA = ("customer_id long, version long, record string, perfume string, order_id long, source_code string, "
+                 "created_at timestamp_ntz, total_spent decimal(18,2), bookmarks long, gone boolean")
+ORDER_STATE = "status string, created_at long"
+PERFUME_STATE = ("owner long, ids array<long>, delivered_at array<long>, created_at array<long>, numbers array<string>, "
+                 "note_ids array<long>, note_at array<long>")
+BALANCE_STATE = "cents long, bookmarks long, version long"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MANUAL, NOBODY = -1, -2     # owner (and notification order) of a manual unlock; no library row
+
+
+class _Perfume:
+    """One customer's perfume: its owner, live deliveries in order of arrival, notifications."""
+
+    def __init__(self, value=None):
+        owner, ids, delivered, created, numbers, note_ids, note_at = value or (NOBODY, [], [], [], [], [], [])
+        self.owner = owner
+        self.live = {i: (d, c, n) for i, d, c, n in zip(ids, delivered, created, numbers)}
+        self.notes = dict(zip(note_ids, note_at))
+        self.had = self.view()
+
+    def view(self):
+        return self.owner, dict(self.notes)
+
+    def value(self):
+        cols = list(zip(*self.live.values())) or [(), (), ()]
+        return (self.owner, list(self.live), *(list(c) for c in cols), list(self.notes), list(self.notes.values()))
+
+    def enter(self, order_id, ts, created_at, number):
+        self.live[order_id] = (ts, created_at, number)
+        if self.owner == NOBODY:
+            self.owner, self.notes[order_id] = order_id, ts
+
+    def leave(self, order_id):
+        self.live.pop(order_id, None)
+        self.notes.pop(order_id, None)
+        if self.owner == order_id:
+            # the latest delivery, then the latest order; the number breaks ties [choice]
+            self.owner = max(self.live, key=self.live.get) if self.live else NOBODY
+
+    def manual(self, unlocked, ts):
         if unlocked:
-            ks.unlock(ts)
+            self.owner = MANUAL if self.owner == NOBODY else self.owner
+            if not self.notes:
+                self.notes[MANUAL] = ts
         else:
-            ks.lock()
-
-    # -- output
-    def rows(self, customer_id):
-        out = [(customer_id, self.version, "balance", None, None, None, self.total, self.bookmarks)]
-        for p, ks in sorted(self.keys.items()):
-            if ks.owner == MANUAL_OWNER:
-                out.append((customer_id, self.version, "library", p, X.MANUAL_SOURCE, None, None, None))
-            elif ks.owner is not None:
-                num = ks.delivered[ks.owner][2]
-                out.append((customer_id, self.version, "library", p, X.ORDER_SOURCE_PREFIX + num, ks.owner, None, None))
-            for oid in ks.notes:
-                out.append((customer_id, self.version, "notification", p, None, oid, None, None))
-        return out
-
-    # -- (de)serialisation of the group state
-    def to_json(self) -> str:
-        return json.dumps({
-            "status": {str(k): v for k, v in self.status.items()},
-            "keys": {p: {"delivered": {str(o): [_ts(d), _ts(c), n] for o, (d, c, n) in ks.delivered.items()},
-                         "owner": ks.owner,
-                         "notes": {("" if o is None else str(o)): [n, _ts(t)] for o, (n, t) in ks.notes.items()}}
-                     for p, ks in self.keys.items()},
-            "total": str(self.total), "bookmarks": self.bookmarks, "version": self.version})
-
-    @classmethod
-    def from_json(cls, text: str) -> "CustomerState":
-        d = json.loads(text)
-        cs = cls()
-        cs.status = {int(k): v for k, v in d["status"].items()}
-        for p, k in d["keys"].items():
-            ks = KeyState()
-            ks.delivered = {int(o): (_pts(a), _pts(b), n) for o, (a, b, n) in k["delivered"].items()}
-            ks.owner = k["owner"]
-            ks.notes = {(None if o == "" else int(o)): (n, _pts(t)) for o, (n, t) in k["notes"].items()}
-            cs.keys[p] = ks
-        cs.total, cs.bookmarks, cs.version = Decimal(d["total"]), d["bookmarks"], d["version"]
-        return cs
-
-
-def _step(key, pdfs, state):
-    # Balance rows carry no perfume, library rows no amounts: all-null columns are expected.
-    warnings.filterwarnings("ignore", category=FutureWarning, message=".*empty or all-NA.*")
-    cs = CustomerState.from_json(state.get[0]) if state.exists else CustomerState()
-    # Status changes before admin changes at equal (ts, seq), as in the batch fold.
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq", "rk"], kind="stable")
-    rows = zip(batch["rk"].tolist(), batch["order_id"].astype("Int64").tolist(), batch["new_status"].tolist(),
-               batch["ts"].tolist(), batch["order_total"].tolist(), batch["order_number"].tolist(),
-               batch["created_at"].tolist(), batch["perfumes"].tolist(), batch["perfume"].tolist(),
-               batch["unlocked"].tolist())
-    for rk, order_id, status, ts, total, number, created, perfumes, perfume, unlocked in rows:
-        if rk == 0:
-            cs.apply(int(order_id), status, ts, total, number, created,
-                     list(perfumes) if perfumes is not None else [])
-        else:
-            cs.apply_manual(perfume, bool(unlocked), ts)
-    cs.version += 1
-    state.update((cs.to_json(),))
-    yield pd.DataFrame(cs.rows(int(key[0])), columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
-
-
-def order_attributes(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Static side of the enrichment: per order, customer, total, number, created_at, perfumes."""
-    names = items.groupBy("order_id").agg(F.collect_list("name").alias("perfumes"))
-    return (orders.filter(F.col("customer_id").isNotNull())
-            .select(F.col("id").alias("order_id"), "customer_id", "order_total", "order_number", "created_at")
-            .join(names, "order_id", "left"))
-
-
-_STEP_SCHEMA = ["customer_id", "order_id", "new_status", "ts", "seq", "order_total", "order_number",
-                "created_at", "perfumes", "perfume", "unlocked", "rk"]
-
-
-def stream_lifecycle(events: DataFrame, attributes: DataFrame, manual: DataFrame | None = None) -> DataFrame:
-    """Streaming DataFrame of per-customer views (update mode). ``events`` is a streaming
-    frame (order_id, new_status, ts, seq); ``attributes`` is ``order_attributes(...)``;
-    ``manual`` an optional streaming frame of valid admin changes
-    (customer_id, perfume, unlocked, ts, seq), unioned into the same keyed state."""
-    ship_package(events.sparkSession)          # the group function runs in Python workers
-    enriched = (events.select("order_id", "new_status", "ts", "seq").join(attributes, "order_id")
-                .select("customer_id", "order_id", "new_status", "ts", "seq", "order_total", "order_number",
-                        "created_at", "perfumes", F.lit(None).cast("string").alias("perfume"),
-                        F.lit(None).cast("boolean").alias("unlocked"), F.lit(0).alias("rk")))
+            self.owner = NOBODY
+            self.notes.clear()
+
+    def source(self):
+        if self.owner == MANUAL:
+            return X.MANUAL_SOURCE
+        return None if self.owner == NOBODY else X.ORDER_SOURCE_PREFIX + self.live[self.owner][2]
+
+
+class LifecycleProcessor(StatefulProcessor):
+    """Applies one customer's events of a micro-batch to the keyed state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.orders = handle.getMapState("orders", "order_id long", ORDER_STATE)
+        self.perfumes = handle.getMapState("perfumes", "perfume string", PERFUME_STATE)
+        self.balance = handle.getValueState("balance", BALANCE_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        orders: dict[int, tuple] = {}
+        perfumes: dict[str, _Perfume] = {}
+        cents, bookmarks, version = (self.balance.get() if self.balance.exists() else None) or (0, 0, 0)
+        had = (cents, bookmarks)
+
+        def perfume(name):
+            if name not in perfumes:
+                perfumes[name] = _Perfume(self.perfumes.getValue((name,)) if self.perfumes.containsKey((name,)) else None)
+            return perfumes[name]
+
+        for (ts, _, rank), order_id, status, order_cents, number, names, unlocked in self._in_order(rows):
+            if rank:
+                for name in names:
+                    perfume(name).manual(unlocked, ts)
+                continue
+            if status not in X.ORDER_STATUSES:
+                continue
+            if order_id not in orders:
+                orders[order_id] = self.orders.getValue((order_id,)) if self.orders.containsKey((order_id,)) else ("pending", ts)
+            before, created = orders[order_id]
+            orders[order_id] = (status, created)
+            if (before == "delivered") == (status == "delivered"):
+                continue
+            if status == "delivered":
+                cents, bookmarks = cents + order_cents, bookmarks + order_cents // 100
+            else:
+                cents, bookmarks = max(0, cents - order_cents), max(0, bookmarks - order_cents // 100)
+            for name in names:
+                if status == "delivered":
+                    perfume(name).enter(order_id, ts, created, number)
+                else:
+                    perfume(name).leave(order_id)
+
+        for order_id, value in orders.items():
+            self.orders.updateValue((order_id,), value)
+        version += 1
+        out = [] if had == (cents, bookmarks) else [("balance", None, None, None, None, cents, bookmarks, False)]
+        for name, p in perfumes.items():
+            self.perfumes.updateValue((name,), p.value())
+            owner, notes = p.had
+            if owner != p.owner:
+                out.append(("library", name, p.owner if p.owner > MANUAL else None, p.source(), None, None, None, p.owner == NOBODY))
+            out += [("notification", name, o if o > MANUAL else None, None, p.notes.get(o), None, None, o not in p.notes)
+                    for o in {**notes, **p.notes} if notes.get(o) != p.notes.get(o)]
+        self.balance.update((cents, bookmarks, version))
+        if out:
+            yield self._frame(key[0], version, out)
+
+    @staticmethod
+    def _in_order(rows):
+        """One step an event, its perfumes together, by (ts, seq); admin changes after status changes at a tie."""
+        steps: dict[tuple, list] = {}
+        for pdf in rows:
+            for order_id, status, ts, seq, cents, number, name, unlocked, rank in zip(
+                    pdf["order_id"].astype("Int64").tolist(), pdf["new_status"].tolist(), pdf["ts"].tolist(), pdf["seq"].tolist(),
+                    pdf["cents"].astype("Int64").tolist(), pdf["order_number"].tolist(), pdf["perfume"].tolist(),
+                    pdf["unlocked"].tolist(), pdf["rk"].tolist()):
+                at = (ts, seq, rank)
+                step = steps.setdefault((at, None if rank else order_id, name if rank else None),
+                                        [at, order_id, status, cents, number, set(), bool(unlocked)])
+                if name is not None and name == name and name.strip():
+                    step[5].add(name.strip())
+        return sorted(steps.values(), key=lambda s: s[0])
+
+    @staticmethod
+    def _frame(customer_id, version, out) -> pd.DataFrame:
+        from decimal import Decimal
+
+        record, perfume, order_id, source, at, cents, bookmarks, gone = zip(*out)
+        return pd.DataFrame({
+            "customer_id": customer_id, "version": version, "record": record, "perfume": perfume,
+            "order_id": pd.array(order_id, "Int64"), "source_code": source,
+            "created_at": pd.to_datetime(pd.array(at, "Int64"), unit="us"),
+            "total_spent": [None if c is None else Decimal(c).scaleb(-2) for c in cents],
+            "bookmarks": pd.array(bookmarks, "Int64"), "gone": gone})
+
+    def close(self) -> None:
+        pass
+
+
+def with_perfumes(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Status events with one row a perfume of the order (at least one row an event): the
+    event's ``perfume_keys`` named by the static catalogue (``id, name``)."""
+    names = catalog.select(F.col("id").alias("_pk"), F.col("name").alias("perfume"))
+    return events.withColumn("_pk", F.explode_outer("perfume_keys")).join(names, "_pk", "left").drop("_pk", "perfume_keys")
+
+
+def _micros(ts: str):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def stream_lifecycle(events: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """Streaming DataFrame of per-customer changes (update mode).
+
+    ``events`` is a streaming frame (order_id, customer_id, new_status, ts, seq, order_total,
+    order_number, perfume) as ``with_perfumes`` makes it; guests (no customer) are left out.
+    ``manual`` is an optional streaming frame of valid admin changes (customer_id, perfume,
+    unlocked, ts, seq), unioned into the same keyed state.
+    """
+    ship_package(events.sparkSession)          # the processor runs in Python workers
+    steps = events.filter(F.col("customer_id").isNotNull()).select(
+        "customer_id", "order_id", "new_status", _micros("ts").alias("ts"), "seq",
+        F.floor(F.coalesce(F.col("order_total"), F.lit(0)) * 100).cast("long").alias("cents"), "order_number", "perfume",
+        F.lit(None).cast("boolean").alias("unlocked"), F.lit(0).alias("rk"))
     if manual is not None:
-        m = manual.select("customer_id", F.lit(None).cast("bigint").alias("order_id"),
-                          F.lit(None).cast("string").alias("new_status"), "ts", "seq",
-                          F.lit(None).cast(enriched.schema["order_total"].dataType).alias("order_total"),
-                          F.lit(None).cast("string").alias("order_number"),
-                          F.lit(None).cast("timestamp_ntz").alias("created_at"),
-                          F.lit(None).cast("array<string>").alias("perfumes"),
-                          F.col("perfume"), F.col("unlocked"), F.lit(1).alias("rk"))
-        enriched = enriched.unionByName(m)
-    return (enriched.groupBy("customer_id")
-            .applyInPandasWithState(_step, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
-
-
-def run_to_parquet(spark: SparkSession, updates: DataFrame, name: str = "lifecycle") -> str:
+        steps = steps.unionByName(manual.select("customer_id", "perfume", "unlocked", _micros("ts").alias("ts"), "seq", F.lit(1).alias("rk")),
+                                  allowMissingColumns=True)
+    return steps.groupBy("customer_id").transformWithStateInPandas(LifecycleProcessor(), OUTPUT_SCHEMA, "Update", "None")
+
+
+@contextmanager
+def _state_store(spark: SparkSession):
+    """RocksDB as the state store (map states need it), the session's own setting afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def run_to_parquet(spark: SparkSession, updates: DataFrame, name: str = "lifecycle", folder: str | None = None) -> str:
     """Run ``updates`` until the source is drained (availableNow), writing every micro-batch
-    to Parquet under the checkpoint folder; returns the output folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{name}-{uuid.uuid4().hex[:12]}"
+    to Parquet; returns the output folder. ``folder`` keeps state and output, so that a later
+    run goes on from there; without one, a new folder under the checkpoint folder holds the
+    output only and the state is deleted at the end of the run."""
+    base = (folder or ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{name}-{uuid.uuid4().hex[:12]}").rstrip("/")
     out, chk = base + "/out", base + "/_checkpoint"
 
     def sink(df, batch_id):
@@ -186,14 +230,22 @@ def run_to_parquet(spark: SparkSession, updates: DataFrame, name: str = "lifecyc
         # though foreachBatch may run a batch again after a failure.
         df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    q = (updates.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", chk).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with _state_store(spark):
+        q = (updates.writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", chk).trigger(availableNow=True).start())
+        q.awaitTermination()
+    if folder is None:
+        delete_folder(spark, chk)
     return out
 
 
 def latest_views(spark: SparkSession, out: str) -> DataFrame:
-    """Final view per customer: the rows of each customer's highest version."""
+    """The current tables: of each library row, notification and balance the last change,
+    without what is gone. The changes of a key combine map-side (a maximum)."""
     rows = spark.read.parquet(out)
-    last = rows.groupBy("customer_id").agg(F.max("version").alias("version"))
-    return rows.join(last, ["customer_id", "version"], "left_semi").drop("batch_id")
+    rest = [c for c in rows.columns if c not in ("customer_id", "record", "perfume", "order_id", "batch_id", "version")]
+    entry = F.when(F.col("record") == "notification", F.col("order_id"))
+    last = (rows.groupBy("customer_id", "record", "perfume", entry.alias("_entry"))
+            .agg(F.max_by(F.struct("order_id", *rest), F.col("version")).alias("_v")))
+    return last.filter(~F.col("_v.gone")).select("customer_id", "record", "perfume", "_v.order_id",
+                                                 *(f"_v.{c}" for c in rest if c != "gone"))
