@@ -10,7 +10,7 @@ Ownership of (c, p) depends only on transitions of c's orders that contain p, so
 fold is keyed by (customer, perfume). Spark hash-partitions on that key and sorts each
 partition by (key, ts, seq); ``mapInPandas`` then walks the sorted rows carrying only
 the current key's state, so a task's memory is bounded by one key's live orders, never
-by the size of a group. The same state machine drives the streaming operator.
+by the size of a group; a key too long for one task goes to ``hot_fold``.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decantry.functions import exprs as X
+from decantry.operators.hot_fold import hot_fold
 from decantry.operators.lifecycle import transitions
-from decantry.session import ship_package
+from decantry.session import cut_lineage, ship_package
 
 FOLD_OUTPUT_SCHEMA = ("record string, customer_id bigint, perfume string, order_id bigint, "
                       "order_number string, source_code string, created_at timestamp_ntz")
 
 
+ROWS_A_TASK = 250_000      # steps of one key that a task walks alone
 MANUAL_OWNER = -1          # owner marker of a row inserted by a manual unlock
 
 
@@ -144,19 +146,32 @@ _STEP_COLS = ["customer_id", "perfume", "order_id", "order_number", "created_at"
 
 
 def collection_fold(events: DataFrame, orders: DataFrame, items: DataFrame, manual: DataFrame | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """Library rows and live notifications after the whole history (``record`` tells which).
     ``manual`` (from ``manual_steps``) interleaves admin unlocks/locks; at equal (ts, seq)
-    order transitions apply before manual changes **[choice]**."""
+    order transitions apply before manual changes **[choice]**.
+
+    Keys of up to ``rows_a_task`` steps are walked in order, many a task; a longer key is
+    answered by ``hot_fold`` from all its parts at once.
+    """
     ship_package(events.sparkSession)          # the fold body runs in Python workers
     rows = delivered_transitions(events, orders, items).select(*_STEP_COLS)
     if manual is not None:
         rows = rows.unionByName(manual.select(*_STEP_COLS))
-    rows = rows.withColumn("_k", F.when(F.col("kind").isin("enter", "leave"), F.lit(0)).otherwise(F.lit(1)))
+    rows = cut_lineage(rows.withColumn("_k", F.when(F.col("kind").isin("enter", "leave"), F.lit(0)).otherwise(F.lit(1))))
     n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = (rows.repartition(n, "customer_id", "perfume")
+    sizes = rows.groupBy("customer_id", "perfume").agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(sizes.filter(F.col("_n") > rows_a_task))     # fewer than rows / rows_a_task keys
+    n_hot = hot.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    keys = hot.select("customer_id", "perfume")
+    short = rows if n_hot == 0 else rows.join(keys, ["customer_id", "perfume"], "left_anti")
+    keyed = (short.repartition(n, "customer_id", "perfume")
              .sortWithinPartitions("customer_id", "perfume", "ts", "seq", "_k"))
-    return keyed.select(*_STEP_COLS).mapInPandas(_fold_sorted, FOLD_OUTPUT_SCHEMA)
+    walked = keyed.select(*_STEP_COLS).mapInPandas(_fold_sorted, FOLD_OUTPUT_SCHEMA)
+    if n_hot == 0:
+        return walked
+    long = rows.join(keys, ["customer_id", "perfume"], "left_semi")
+    return walked.unionByName(hot_fold(long, max(n, -(-n_hot // max(1, rows_a_task)))))
 
 
 def collection_sources(events: DataFrame, orders: DataFrame, items: DataFrame,
@@ -172,58 +187,3 @@ def unlock_notifications(events: DataFrame, orders: DataFrame, items: DataFrame,
     f = collection_fold(events, orders, items, manual)
     return (f.filter(F.col("record") == "notification")
             .select("customer_id", "perfume", "order_id", "order_number", "created_at"))
-
-
-def reference_fold(history: list[dict]) -> tuple[dict, dict]:
-    """Row-at-a-time model of the reference for tests: events in (ts, seq) order, each a status
-    change ``{order_id, customer_id, status, ts, created_at, order_number, perfumes}`` or a
-    manual change ``{kind: "manual", customer_id, perfume, unlocked, ts}``.
-    Returns (library {(c,p): source}, notifications {(c,p,o): ts}; o is None for manual ones)."""
-    status: dict = {}
-    delivered_at: dict = {}
-    library: dict = {}
-    notes: dict = {}
-    meta = {}
-    for e in history:
-        if e.get("kind") == "manual":
-            c, p = e["customer_id"], e["perfume"].strip()
-            if e["unlocked"]:
-                library.setdefault((c, p), X.MANUAL_SOURCE)
-                if not any(k[0] == c and k[1] == p for k in notes):
-                    notes[(c, p, None)] = e["ts"]
-            else:
-                library.pop((c, p), None)
-                for k in [k for k in notes if k[0] == c and k[1] == p]:
-                    del notes[k]
-            continue
-        o = e["order_id"]
-        meta[o] = e
-        prev = status.get(o, "pending")
-        c = e["customer_id"]
-        if prev == "delivered" and e["status"] != "delivered" and c is not None:
-            for p in {x.strip() for x in e["perfumes"] if x and x.strip()}:
-                if library.get((c, p)) == "ORDER-" + e["order_number"]:
-                    cands = [q for q, st in status.items() if q != o and st == "delivered"
-                             and meta[q]["customer_id"] == c
-                             and p in {x.strip() for x in meta[q]["perfumes"] if x}]
-                    if cands:
-                        best = max(cands, key=lambda q: (delivered_at.get(q) is not None,
-                                                         delivered_at.get(q) or pd.Timestamp.min,
-                                                         meta[q]["created_at"], meta[q]["order_number"]))
-                        library[(c, p)] = "ORDER-" + meta[best]["order_number"]
-                    else:
-                        del library[(c, p)]
-            for k in [k for k in notes if k[2] == o]:
-                del notes[k]
-        if e["status"] == "delivered":
-            if prev != "delivered":
-                delivered_at[o] = e["ts"]
-        else:
-            delivered_at[o] = None
-        status[o] = e["status"]
-        if e["status"] == "delivered" and prev != "delivered" and c is not None:
-            for p in {x.strip() for x in e["perfumes"] if x and x.strip()}:
-                if (c, p) not in library:
-                    library[(c, p)] = "ORDER-" + e["order_number"]
-                    notes[(c, p, o)] = e["ts"]
-    return library, notes

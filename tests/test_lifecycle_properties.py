@@ -8,6 +8,7 @@ from decimal import Decimal
 
 from decantry.operators import fold as FO
 from decantry.operators import lifecycle as L
+from row_model import reference_fold
 
 STATUSES = ["pending", "preparing", "ready", "delivered", "cancelled"]
 PERFUMES = ["Eros", "CK One", " Eros ", "Sauvage", "Le Beau", ""]
@@ -56,7 +57,7 @@ def _model(orders, items, events):
     hist = [{"order_id": o, "customer_id": meta[o][1], "status": st, "ts": ts, "created_at": meta[o][4],
              "order_number": meta[o][3], "perfumes": perf.get(o, [])}
             for o, st, ts, sq in sorted(events, key=lambda e: (e[2], e[3]))]
-    return FO.reference_fold(hist)
+    return reference_fold(hist)
 
 
 def test_fold_matches_row_model(spark):
@@ -240,7 +241,7 @@ def test_fold_with_manual_changes_matches_row_model(spark):
             for oid, st, ts, sq in events]
     hist += [((ts, sq, 1), {"kind": "manual", "customer_id": c, "perfume": p, "unlocked": u, "ts": ts})
              for c, p, u, ts, sq in manual]
-    lib, notes = FO.reference_fold([h for _, h in sorted(hist, key=lambda x: x[0])])
+    lib, notes = reference_fold([h for _, h in sorted(hist, key=lambda x: x[0])])
 
     got = {(r.customer_id, r.perfume): r.source_code for r in FO.collection_sources(e, o, i, steps).collect()}
     assert got == lib
