@@ -27,7 +27,10 @@ DAYS = 146_097  # of 400 Gregorian years
 FIRST_DAY = "1700-01-01"
 
 # What each kind looks like; the first that fits at a place is taken.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# (No group is repeated in EMAIL: Java matches those by recursion, and a long domain would end
+# the executor. The domain ends at its first label of letters that may end one; only the local
+# part, of at most 64 characters as in RFC 5321, is replaced.)
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-][A-Za-z0-9.-]*?\.[A-Za-z]{2,}"
 PHONE = r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
 IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -205,7 +208,7 @@ def pseudonym(value: Column, key: str, restore: bool = False) -> Column:
     digits = _digits(value)
     area = F.substr(value, F.lit(1), F.lit(3))
     valid_ssn = ~area.isin("000", "666") & (area < "900") & (F.substr(value, F.lit(5), F.lit(2)) != "00") & (F.substr(value, F.lit(8)) != "0000")
-    return (F.when(whole(EMAIL), _email(value, key, restore))
+    return (F.when(whole(EMAIL) & ~value.contains(".."), _email(value, key, restore))
             .when(whole(PHONE), _phone(value, key, restore))
             .when(whole(IPV4) & F.forall(_octets(value), lambda x: x < 256) & ~value.rlike(r"(?:^|\.)0[0-9]"), _ipv4(value, key, restore))
             .when(whole(ISO_DATE) & _is_date(value, "iso"), _date(value, "iso", key, restore))
@@ -224,10 +227,14 @@ def pseudonymise(docs: DataFrame, key: str, restore: bool = False) -> DataFrame:
     """
     text = F.col("text").cast("string")
     found = F.when(text.rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)))
-    rows = docs.drop("n_replaced").withColumn("_found", found)
-    made = rows.withColumn("_made", F.transform("_found", lambda m: pseudonym(m, key, restore)))
-    joined = F.array_join(F.zip_with(F.split(text, FOUND, -1), F.concat("_made", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_made", lambda a, b: a != b), lambda x: x))
-    some = F.coalesce(F.size("_made") > 0, F.lit(False))
-    return (made.withColumn("n_replaced", F.when(some, changed).otherwise(0).cast("long"))
-            .withColumn("text", F.when(some, joined).otherwise(text)).drop("_found", "_made"))
+    # One struct of everything, so that no name of the input can clash.
+    own = [c for c in docs.columns if c not in ("text", "n_replaced")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("rest"), text.alias("text"), found.alias("found")) if own else \
+        docs.select(text.alias("text"), found.alias("found"))
+    made = rows.withColumn("made", F.transform("found", lambda m: pseudonym(m, key, restore)))
+    joined = F.array_join(F.zip_with(F.split("text", FOUND, -1), F.concat("made", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.size(F.filter(F.zip_with("found", "made", lambda a, b: a != b), lambda x: x))
+    some = F.coalesce(F.size("made") > 0, F.lit(False))
+    out = {**{c: F.col("rest").getField(c) for c in own}, "text": F.when(some, joined).otherwise(F.col("text"))}
+    return made.select(*(out[c].alias(c) for c in docs.columns if c != "n_replaced"),
+                       F.when(some, changed).otherwise(0).cast("long").alias("n_replaced"))
