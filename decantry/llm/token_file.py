@@ -15,29 +15,47 @@ Shards are ranges of ``doc_id``; in a shard, documents are in ascending order.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decantry.llm import huffman
-from decantry.llm.common import map_arrow, scratch_path, slices, text_or_empty, written
+from decantry.llm.common import map_arrow, scratch_path, slices, text_or_empty, utf8_bytes, written
+from decantry.llm.textwords import SPACED
 
 END_ID = 1
 BLOCK_IDS = 1 << 17
-CACHE_WORDS = 600_000  # pieces, and as many bases, that a worker keeps
-SLICE_BYTES = 2 << 20
+CACHE_BYTES = 96 << 20  # words and ids that a worker keeps, with some 250 bytes of Python for each
+SLICE_BYTES = 4 << 20
+
+
+#: The rules of a tokenizer file that never joins text across white space and cuts
+#: ASCII letters from what follows them.
+SPLIT_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None, "post_processor": None}
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins text across a space, tab or line end.
+    """Ids of texts by the tokenizers library.
 
-    Each distinct piece between those goes through the tokenizers library once and is kept
-    in a bounded cache, which lasts as long as the Python worker.
+    Where the file's own rules say that no token crosses white space (``SPLIT_BY_WORD``), each
+    distinct word goes through the library and its ids are laid out by numpy; ASCII letters
+    with a full stop or comma behind them are looked up apart, in lower case, as the rules cut
+    and fold them. Any other file encodes whole texts. Words are kept in a cache of at most
+    ``CACHE_BYTES``, which lasts as long as the Python worker.
     """
 
     _kept: dict[str, WordEncoder] = {}
@@ -47,8 +65,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.bases: dict[str, bytes] = {"": b""}
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_word = all(rules.get(k) == v for k, v in SPLIT_BY_WORD.items())
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -56,43 +76,84 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces the tokenizer has not seen yet."""
-        for k in range(0, len(pieces), 1000):
-            part = pieces[k: k + 1000]
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words the cache lacks, as little-endian 32-bit integers."""
+        for k in range(0, len(words), 1000):
+            part = words[k: k + 1000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            sizes = np.array([len(p) + 1 for p in part])
-            begins = np.cumsum(sizes) - sizes
-            cuts = np.searchsorted([a for a, _ in got.offsets], begins).tolist() + [len(ids)]
-            for p, a, b in zip(part, cuts, cuts[1:], strict=False):
-                self.bases[p] = ids[a:b].tobytes()
-
-    @staticmethod
-    def _base(piece: str) -> tuple[str, str]:
-        """(base, ending) with the piece's ids those of both in turn.
-
-        The tokenizer cuts between a letter and a full stop or comma, and reads ASCII
-        letters in lower case.
-        """
-        core, end = (piece[:-1], piece[-1]) if piece[-1] in ".," else (piece, "")
-        if not core.isalpha():
-            return piece, ""
-        return (core.lower() if core.isascii() else core), end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        if len(self.bases) > CACHE_WORDS:
-            self.bases = {"": b""}
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {w: self._base(w) for w in set().union(*split).difference(self.cache)}
-        self._learn(list({x for pair in new.values() for x in pair}.difference(self.bases)))
-        for w, (base, end) in new.items():
-            self.cache[w] = self.bases[base] + self.bases[end]
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            raw = np.array(got.ids, "<u4").tobytes()
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            cuts = 4 * np.searchsorted([a for a, _ in got.offsets], np.concatenate([[0], ends[:-1]]))
+            stops = [*cuts[1:].tolist(), len(raw)]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts.tolist(), stops, strict=True))
+            self.held += len(raw) + 2 * int(ends[-1]) + 250 * len(part)
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct words in turn, how many each has)."""
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        # ASCII letters are read in lower case and always cut from a full stop or comma behind them.
+        plain = pc.match_substring_regex(words, "^[A-Za-z]+[.,]?$")
+        dot, comma = pc.and_(plain, pc.ends_with(words, ".")), pc.and_(plain, pc.ends_with(words, ","))
+        bases = pc.if_else(plain, pc.ascii_rtrim(pc.ascii_lower(words), ".,"), words).dictionary_encode()
+        names = bases.dictionary.to_pylist()
+        ids = list(map(self.known.get, names))
+        new = [w for w, x in zip(names, ids, strict=True) if x is None]
+        if new or "." not in self.known:
+            self._learn(list(dict.fromkeys([*new, ".", ","])))
+            ids = [self.known[w] if x is None else x for w, x in zip(names, ids, strict=True)]
+        ids += [self.known["."], self.known[","]]
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        base = bases.indices.to_numpy()
+        ended = np.flatnonzero(pc.or_(dot, comma).to_numpy(zero_copy_only=False))
+        mark = np.where(dot.to_numpy(zero_copy_only=False)[ended], len(names), len(names) + 1)
+        # A word is one piece, or two with its ending.
+        pieces = np.insert(base, ended + 1, mark) if len(ended) else base
+        total = size[base]
+        total[ended] += size[mark]
+        return flat[laid_out(begin[pieces], size[pieces])], total
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn with ``end_id`` after each, where each begins and the last ends)."""
+        if not self.by_word:
+            found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return (np.concatenate([np.array(x, np.uint32) for x in found]) if found else np.zeros(0, np.uint32),
+                    np.cumsum([0, *map(len, found)]))
+        data, ends = utf8_bytes(texts)
+        place, words, first = distinct_words(data, ends)
+        flat, size = self._ids_of(words)
+        sizes = size[place]
+        stops = np.cumsum(sizes)
+        ids = flat[laid_out((np.cumsum(size) - size)[place], sizes)]
+        bounds = np.concatenate([[0], stops])[first]
+        out = np.empty(len(ids) + len(texts), np.uint32)
+        at = bounds + np.arange(len(bounds))
+        inner = np.ones(len(out), bool)
+        inner[at[1:] - 1] = False
+        out[inner] = ids
+        out[~inner] = end_id
+        return out, at
+
+
+def laid_out(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places ``begin[i]`` to ``begin[i] + size[i]`` for all i in turn."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def distinct_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(place among the distinct words of each word, these, first word of each text and the end)."""
+    inside = SPACED[data]
+    borders = np.zeros(len(data) + 1, bool)
+    borders[ends] = True
+    before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
+    starts = np.flatnonzero(inside & (~before | borders[:-1]))
+    # Words without what lies between them, as one Arrow array.
+    kept = np.concatenate([[0], np.cumsum(inside)])
+    offsets = np.append(kept[starts], kept[-1])
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, np.searchsorted(starts, ends)
 
 
 def tokenized(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> DataFrame:
@@ -100,16 +161,16 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> DataFra
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    end = np.uint32(end_id).tobytes()
 
     def encode(batches):
         encoder, shard, seq = WordEncoder.of(vocab_path), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", SLICE_BYTES):
-            ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+            ids, at = encoder.encode(batch.column(1), end_id)
             n = batch.num_rows
+            raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0),
-                 pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                 pa.array(np.diff(at)), raw.cast(pa.binary())],
                 ["shard", "seq", "doc_id", "n", "ids"])
             seq += n
 
