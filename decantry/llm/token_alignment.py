@@ -26,6 +26,7 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,11 @@ SLICE_BYTES = 4 << 20
 LANE_BYTES = 1 << 11
 PAIRED_WHOLE = 1 << 12  # links of a group up to which its pairs are written out one by one
 LINKS_AT_ONCE = 1 << 21
+KNOWN_BYTES = 64 << 20  # words and their ids that a worker keeps, with some 160 bytes of Python for each
+LONG_WORD = 1 << 12
+
+_WHITE = re.compile(r" \s| $|^\s|^$")
+_CUT = re.compile(r"(?= \S)")
 
 
 class Side:
@@ -84,8 +90,55 @@ class ByteBpe(Side):
         super().__init__([names.get(i, "").encode() if i in special else bytes(byte_of[c] for c in names.get(i, ""))
                           for i in range(max(names) + 1)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        # Ids of " " + word; only where the file itself says that words never meet (see ``_cut``).
+        file = json.loads(self.tokenizer.to_str())
+        first = file.get("pre_tokenizer") or {}
+        self.by_word = (file.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex")
+                        and not first.get("add_prefix_space") and file.get("truncation") is None)
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """A space and the text, cut before each space that a character other than white space
+        follows, without that space.
+
+        The byte-level pre-tokenizer always cuts there: a run of white space before such a
+        character gives its last space to it, and nothing else takes a space after other
+        characters. So the library's ids of the cut parts, each with its space, are its ids
+        of the whole. (White space here holds all that the library counts as such.)
+        """
+        if _WHITE.search(text) is None:
+            return text.split(" ")
+        return [w[1:] for w in _CUT.split(" " + text) if w]
+
+    def _learnt(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each word and its space, many words a call: as parts of one text where the cut
+        between them is sure, apart where a word begins with white space."""
+        plain = [w for w in words if w and not w[0].isspace()]
+        for k in range(0, len(plain), 2048):
+            part = plain[k: k + 2048]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            for w, lo, hi in zip(part, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                yield w, ids[lo:hi].tobytes()
+        odd = [w for w in words if not w or w[0].isspace()]
+        for w, e in zip(odd, self.tokenizer.encode_batch([" " + w for w in odd], add_special_tokens=False), strict=True):
+            yield w, np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            found = self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, np.int64) for e in found]
+        if self.held > KNOWN_BYTES:
+            self.known, self.held = {}, 0
+        cut = [self._cut(t) for t in texts]
+        for word, ids in self._learnt(list(set().union(*cut).difference(self.known))):
+            self.known[word] = ids
+            # A very long word is kept for this slice only.
+            self.held += KNOWN_BYTES if len(word) > LONG_WORD else len(ids) + 2 * len(word) + 160
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), "<u4").astype(np.int64) for words in cut]
 
 
 class PieceBpe(Side):
@@ -99,8 +152,8 @@ class PieceBpe(Side):
         super().__init__([bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
                           for p in pieces])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
 
 
 _SIDES: dict[str, Side] = {}
@@ -140,7 +193,7 @@ def lockstep(end_a: np.ndarray, end_b: np.ndarray, heads: np.ndarray, stops: np.
     return np.sort(np.concatenate(cuts_a)), np.sort(np.concatenate(cuts_b))
 
 
-def group_links(doc: np.ndarray, ids_a, ids_b, cut_a, cut_b, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def group_links(doc: np.ndarray, ids_a, ids_b, cut_a, cut_b, size_a: int, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, id pair, links) with every document's distinct pairs once, ascending.
 
     ``doc`` is the document of each group; a pair is ``a * size_b + b``.
@@ -148,15 +201,17 @@ def group_links(doc: np.ndarray, ids_a, ids_b, cut_a, cut_b, size_b: int) -> tup
     first_a, first_b = np.concatenate([[0], cut_a[:-1] + 1]), np.concatenate([[0], cut_b[:-1] + 1])
     n_a, n_b = cut_a + 1 - first_a, cut_b + 1 - first_b
     links = n_a * n_b
-    docs, pairs, times = [], [], []
-
-    def keep(d, p, n):
-        order = np.lexsort((p, d))
-        d, p, n = d[order], p[order], n[order]
-        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1])])) if len(d) else np.zeros(0, np.int64)
-        docs.append(d[new])
-        pairs.append(p[new])
-        times.append(np.add.reduceat(n, new) if len(new) else n)
+    keys, times = [], []
+    span = size_a * size_b
+
+    def keep(key, n):
+        if n is None:
+            key, n = np.unique(key, return_counts=True)
+        else:
+            key, place = np.unique(key, return_inverse=True)
+            n = np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
+        keys.append(key)
+        times.append(n)
 
     small = np.flatnonzero(links <= PAIRED_WHOLE)
     ends = np.cumsum(links[small])
@@ -167,18 +222,17 @@ def group_links(doc: np.ndarray, ids_a, ids_b, cut_a, cut_b, size_b: int) -> tup
         of = np.repeat(np.arange(len(g)), links[g])
         place = np.arange(len(of)) - np.repeat(np.cumsum(links[g]) - links[g], links[g])
         a, b = ids_a[first_a[g][of] + place // n_b[g][of]], ids_b[first_b[g][of] + place % n_b[g][of]]
-        keep(doc[g][of], a * size_b + b, np.ones(len(of), np.int64))
+        keep(doc[g][of] * span + a * size_b + b, None)
         lo = hi
     for g in np.flatnonzero(links > PAIRED_WHOLE).tolist():
         a, times_a = np.unique(ids_a[first_a[g]: cut_a[g] + 1], return_counts=True)
         b, times_b = np.unique(ids_b[first_b[g]: cut_b[g] + 1], return_counts=True)
-        pair = (a[:, None] * size_b + b).ravel()
-        keep(np.full(len(pair), doc[g]), pair, np.outer(times_a, times_b).ravel())
-    if len(docs) > 1:
-        whole = [np.concatenate(x) for x in (docs, pairs, times)]
-        docs, pairs, times = [], [], []
-        keep(*whole)
-    return (docs[0], pairs[0], times[0]) if docs else (np.zeros(0, np.int64),) * 3
+        keep(doc[g] * span + (a[:, None] * size_b + b).ravel(), np.outer(times_a, times_b).ravel())
+    if len(keys) > 1:
+        whole, n = np.concatenate(keys), np.concatenate(times)
+        keys, times = [], []
+        keep(whole, n)
+    return (keys[0] // span, keys[0] % span, times[0]) if keys else (np.zeros(0, np.int64),) * 3
 
 
 def _written_out(a: Side, b: Side, ids_a, ids_b, cut_a, cut_b, group_doc, n_docs: int) -> list[str]:
@@ -187,10 +241,8 @@ def _written_out(a: Side, b: Side, ids_a, ids_b, cut_a, cut_b, group_doc, n_docs
     width = max(a.digits.shape[1], b.digits.shape[1])
     rows, length = np.zeros((n, width), np.uint8), np.empty(n, np.int64)
     # An A token follows the B tokens of earlier groups, a B token the A tokens up to its own group.
-    group_a = np.searchsorted(cut_a, np.arange(len(ids_a)))
-    group_b = np.searchsorted(cut_b, np.arange(len(ids_b)))
-    at_a = np.arange(len(ids_a)) + np.concatenate([[0], cut_b[:-1] + 1])[group_a]
-    at_b = np.arange(len(ids_b)) + (cut_a + 1)[group_b]
+    at_a = np.arange(len(ids_a)) + np.repeat(np.concatenate([[0], cut_b[:-1] + 1]), np.diff(cut_a, prepend=-1))
+    at_b = np.arange(len(ids_b)) + np.repeat(cut_a + 1, np.diff(cut_b, prepend=-1))
     for side, ids, at in ((a, ids_a, at_a), (b, ids_b, at_b)):
         rows[at, : side.digits.shape[1]] = side.digits[ids]
         length[at] = side.width[ids]
@@ -216,7 +268,7 @@ def align(texts: list[str], a: Side, b: Side, lane_bytes: int = LANE_BYTES) -> d
     raw = [t.encode() for t in texts]
     found_a, found_b = a.encode(texts), b.encode(texts)
     sizes = [(len(x), len(y)) for x, y in zip(found_a, found_b, strict=True)]
-    flat = [np.fromiter((i for x in found for i in x), np.int64, sum(map(len, found))) for found in (found_a, found_b)]
+    flat = [np.concatenate(found) if found else np.zeros(0, np.int64) for found in (found_a, found_b)]
     del found_a, found_b
     # Documents that both sides spell exactly; the others lose their tokens.
     spans, good = [], np.array([len(r) > 0 for r in raw])
@@ -261,7 +313,7 @@ def align(texts: list[str], a: Side, b: Side, lane_bytes: int = LANE_BYTES) -> d
     counts[0, places], counts[1, places] = tokens_a, spans[1][0][places]
     counts[2] = np.bincount(group_doc, minlength=n)
     np.add.at(counts[3], group_doc, size_a * size_b)
-    doc, pair, times = group_links(group_doc, ids_a, ids_b, cut_a, cut_b, b.size)
+    doc, pair, times = group_links(group_doc, ids_a, ids_b, cut_a, cut_b, a.size, b.size)
     return {"counts": counts, "sha": _written_out(a, b, ids_a, ids_b, cut_a, cut_b, group_doc, n), "doc": doc, "pair": pair, "times": times}
 
 
@@ -277,18 +329,13 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             got = align(batch.column(1).to_pylist(), a, b)
             spread, place = np.unique(mixed(got["pair"].astype(np.uint64)), return_inverse=True)
             held = np.bincount(got["doc"], minlength=batch.num_rows)
-            # A document's pairs in ascending place, as differences.
-            order = np.lexsort((place, got["doc"]))
-            steps = np.diff(place[order], prepend=0)
-            heads = (np.cumsum(held) - held)[held > 0]
-            steps[heads] = place[order][heads]
             long = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([base + seq]), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
                  *(pa.array([c.tolist()], long) for c in got["counts"]), pa.array([got["sha"]], pa.list_(pa.string())), pa.array([len(spread)]),
                  *(pa.array([x], pa.binary()) for x in (
                      pack_sorted(spread), pack_counts(np.bincount(place, minlength=len(spread))), pack_counts(held),
-                     pack_counts(steps), pack_counts(got["times"][order])))], names)
+                     pack_counts(place), pack_counts(got["times"])))], names)
             seq += 1
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
@@ -356,13 +403,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         parts_told = sorted(zip(other.column("part").to_pylist(), other.column("counts").to_pylist(), strict=True))
         total = np.concatenate([unpack_counts(c) for _, c in parts_told]) if parts_told else np.zeros(0, np.int64)
         best = total == sent.value[(unmixed(spread) // np.uint64(size_b)).astype(np.int64)]
-        held, steps, times = unpack_counts(row["held"]), unpack_counts(row["places"]), unpack_counts(row["times"])
+        held, place, times = unpack_counts(row["held"]), unpack_counts(row["places"]), unpack_counts(row["times"])
         doc = np.repeat(np.arange(len(held)), held)
-        run = np.cumsum(steps)
-        heads = (np.cumsum(held) - held)[held > 0]
-        base = np.zeros(len(held), np.int64)
-        base[held > 0] = run[heads] - steps[heads]
-        place = run - base[doc]
         n_best, count_sum = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
         np.add.at(n_best, doc, times * best[place])
         np.add.at(count_sum, doc, times * total[place])

@@ -27,7 +27,9 @@ def _groups(text, a, b):
     """[(A ids, B ids)] of one text; none where a side spells something else."""
     if not text:
         return [], 0, 0
-    x, y = a.encode([text])[0], b.encode([text])[0]
+    # The library's own call on the whole text.
+    x = a.tokenizer.encode(" " + text, add_special_tokens=False).ids
+    y = b.model.encode(text)
     want = (" " + text).encode()
     if b"".join(_spell(a, i) for i in x) != want or b"".join(_spell(b, i) for i in y) != want:
         return [], 0, 0
@@ -109,7 +111,7 @@ def test_large_groups_pair_their_distinct_ids():
     ids_a, ids_b = rng.integers(0, 9, 500), rng.integers(0, 7, 300)
     cut_a, cut_b = np.array([99, 399, 400, 499]), np.array([89, 280, 281, 299])
     doc = np.array([0, 0, 2, 2])
-    got = {(d, p): n for d, p, n in zip(*(x.tolist() for x in group_links(doc, ids_a, ids_b, cut_a, cut_b, 10)), strict=True)}
+    got = {(d, p): n for d, p, n in zip(*(x.tolist() for x in group_links(doc, ids_a, ids_b, cut_a, cut_b, 10, 10)), strict=True)}
     want, la, lb = collections.Counter(), 0, 0
     for d, ha, hb in zip(doc.tolist(), cut_a.tolist(), cut_b.tolist()):
         for x in ids_a[la: ha + 1].tolist():
@@ -122,3 +124,23 @@ def test_large_groups_pair_their_distinct_ids():
 def test_align_memory_shape(sides):
     got = align(["", "one two", "two one two"], *sides)
     assert got["counts"].shape == (4, 3) and got["sha"][0] == "" and set(got["doc"].tolist()) == {1, 2}
+
+
+SPACES = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x1c", "\x1f", "\x85", "\u180e", "\u200b", "\u2028", "\r\n", "   "]
+OTHERS = ["a", "don't", "'s", "''", "!", "é", "日", "1", "½", "\u0301", "🙂", "_", "İ.", "x'll", "<|endoftext|>", "Σ", "\u1680", "\ufeff", "ǅ", "𝟘", "\ue000"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(SPACES + OTHERS), max_size=14))
+def test_words_give_the_ids_of_the_whole(sides, parts):
+    text = "".join(parts)
+    assert sides[0].by_word
+    sides[0].known.clear()
+    assert sides[0].encode([text])[0].tolist() == sides[0].tokenizer.encode(" " + text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=30))
+def test_any_text_gives_the_ids_of_the_whole(sides, text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert sides[0].encode([text])[0].tolist() == sides[0].tokenizer.encode(" " + text, add_special_tokens=False).ids
