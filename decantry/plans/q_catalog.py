@@ -84,9 +84,11 @@ def low_stock(spark, d):
 
 # ---------------------------------------------------------------- change feed (events)
 def catalog_changes(spark, d):
-    """Admin catalogue changes, one per event: the target product comes from the event's
-    ``k`` (x20 + user % 20); the kind from the event type (error: delete below 100, else active)."""
+    """Admin catalogue changes, one per event: the target product comes from the event's ``k``
+    (a hundredth of the catalogue each; some lie beyond it); the kind from the event type
+    (error: delete below 30, else active)."""
     e = D.read(spark, d, "events")
+    wide = D.row_count(spark, d, "part") // 100
     v = F.col("value")
     money = v.cast("decimal(12,2)")
     kind = (F.when(F.col("event_type") == "view", "status").when(F.col("event_type") == "click", "prices")
@@ -96,7 +98,7 @@ def catalog_changes(spark, d):
               .when(v < 90, "bogus").otherwise("published"))
     dec = lambda f: F.lit(f).cast("decimal(3,2)")
     return e.select(
-        (F.get_json_object("props", "$.k").cast("bigint") * 20 + F.col("user_id") % 20).alias("catalog_id"),
+        (F.get_json_object("props", "$.k").cast("bigint") * wide + F.col("event_id") % (wide + 2)).alias("catalog_id"),
         F.col("event_id").alias("seq"), F.col("ts").alias("change_ts"), kind.alias("kind"),
         status.alias("new_status"),
         F.when(v < 3, F.lit(0).cast("decimal(15,4)")).otherwise(money * dec("0.01")).alias("price_2ml"),
@@ -108,7 +110,7 @@ def catalog_changes(spark, d):
 
 
 CHANGES_SQL = """
-SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) * 20 + user_id % 20 AS catalog_id,
+SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) * (SELECT count(*) // 100 FROM part) + event_id % (SELECT count(*) // 100 + 2 FROM part) AS catalog_id,
        event_id AS seq, ts AS change_ts,
        CASE event_type WHEN 'view' THEN 'status' WHEN 'click' THEN 'prices' WHEN 'purchase' THEN 'stock'
             WHEN 'signup' THEN 'image' ELSE CASE WHEN value < 30 THEN 'delete' ELSE 'active' END END AS kind,
@@ -255,8 +257,9 @@ def product_requests(spark, d):
     money = v.cast("decimal(12,2)")
     dec = lambda f: F.lit(f).cast("decimal(3,2)")
     no_price = F.col("event_id") % 3 == 0
-    base = e.select(F.col("event_id").alias("seq"), (F.col("event_id") % 50).alias("_pk"), v.alias("_v"),
-                    F.concat(F.lit("New "), (F.col("event_id") % 40).cast("string")).alias("_new"),
+    parts = D.row_count(spark, d, "part")
+    base = e.select(F.col("event_id").alias("seq"), (F.col("event_id") % parts).alias("_pk"), v.alias("_v"),
+                    F.concat(F.lit("New "), (F.col("event_id") % (parts // 5)).cast("string")).alias("_new"),
                     F.when(v > 200, F.lit(" ")).otherwise(F.concat(F.lit("Brand#"), F.col("user_id").cast("string"))).alias("brand"),
                     F.when(v < 70, F.lit("published")).when(v < 90, F.lit(" Upcoming ")).when(v < 110, F.lit("hidden"))
                      .when(v < 120, F.lit("secret")).otherwise(F.lit(None).cast("string")).alias("new_status"),
@@ -273,7 +276,7 @@ def product_requests(spark, d):
 CREATE_CTES = """
 , req AS (
   SELECT e.event_id AS seq, e.value AS v,
-         CASE WHEN e.value > 150 THEN c.name ELSE 'New ' || CAST(e.event_id % 40 AS VARCHAR) END AS name,
+         CASE WHEN e.value > 150 THEN c.name ELSE 'New ' || CAST(e.event_id % (SELECT count(*) // 5 FROM part) AS VARCHAR) END AS name,
          CASE WHEN e.value > 200 THEN ' ' ELSE 'Brand#' || CAST(e.user_id AS VARCHAR) END AS brand,
          CASE WHEN e.value < 70 THEN 'published' WHEN e.value < 90 THEN ' Upcoming ' WHEN e.value < 110 THEN 'hidden'
               WHEN e.value < 120 THEN 'secret' END AS new_status,
@@ -283,7 +286,7 @@ CREATE_CTES = """
               ELSE CAST(e.value AS DECIMAL(12,2)) * CAST(0.03 AS DECIMAL(3,2)) END AS p5,
          CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE CAST(e.value AS DECIMAL(12,2)) * CAST(0.05 AS DECIMAL(3,2)) END AS p10,
          ' img/p' || CAST(e.event_id AS VARCHAR) || '.webp ' AS image_url
-  FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % 50
+  FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % (SELECT count(*) FROM part)
   WHERE e.event_type = 'purchase'),
 n AS (SELECT *, lower(trim(coalesce(new_status, 'upcoming'))) AS st, trim(name) AS tname FROM req),
 judged AS (

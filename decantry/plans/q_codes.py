@@ -41,7 +41,7 @@ def issue_codes(spark, d):
 def redemptions(spark, d):
     """'purchase' events redeem the code of order (user*20 + event%20)*5; some codes are unknown."""
     e = D.read(spark, d, "events").filter(F.col("event_type") == "purchase")
-    num = F.concat(F.lit("P-"), F.lpad(((F.col("user_id") * 20 + F.col("event_id") % 20) * 5).cast("string"), 8, "0"))
+    num = F.concat(F.lit("P-"), F.lpad(((F.col("user_id") * 20 + F.col("event_id") % 20) * 5 + F.col("event_id") % 5).cast("string"), 8, "0"))
     code = F.concat(F.lit("PR-"), F.upper(F.substring(F.sha2(num, 256), 1, 10)))
     code = F.when(F.col("value") > 100, F.concat(F.lit("PR-UNKNOWN"), F.col("event_id").cast("string"))).otherwise(code)
     return e.select(code.alias("code"), F.col("user_id").alias("customer_id"), F.col("event_id").alias("seq"))
@@ -49,7 +49,7 @@ def redemptions(spark, d):
 
 REDEMPTIONS_SQL = """
 SELECT CASE WHEN value > 100 THEN 'PR-UNKNOWN' || CAST(event_id AS VARCHAR)
-            ELSE 'PR-' || upper(substr(sha256('P-' || lpad(CAST((user_id * 20 + event_id % 20) * 5 AS VARCHAR), 8, '0')), 1, 10)) END AS code,
+            ELSE 'PR-' || upper(substr(sha256('P-' || lpad(CAST((user_id * 20 + event_id % 20) * 5 + event_id % 5 AS VARCHAR), 8, '0')), 1, 10)) END AS code,
        user_id AS customer_id, event_id AS seq
 FROM events WHERE event_type = 'purchase'"""
 
@@ -95,7 +95,7 @@ def list_codes(spark, d):
 , req AS (
   SELECT event_id AS seq,
          trim(CASE WHEN value > 40 THEN '  ' ELSE '' END
-              || 'PR-' || upper(substr(sha256('P-' || lpad(CAST((user_id * 20 + event_id % 20) * 5 AS VARCHAR), 8, '0')), 1, 10))
+              || 'PR-' || upper(substr(sha256('P-' || lpad(CAST((user_id * 20 + event_id % 20) * 5 + event_id % 5 AS VARCHAR), 8, '0')), 1, 10))
               || CASE WHEN value > 40 THEN ' ' ELSE '' END) AS code
   FROM events WHERE event_type = 'error')
 SELECT r.seq, r.code, CAST(CASE WHEN r.seq = f.first_seq THEN f.n ELSE 0 END AS BIGINT) AS deleted,
@@ -105,7 +105,7 @@ FROM req r LEFT JOIN (SELECT r2.code, c.n, min(r2.seq) AS first_seq
                       GROUP BY r2.code, c.n) f ON f.code = r.code""")
 def delete_codes(spark, d):
     e = D.read(spark, d, "events").filter(F.col("event_type") == "error")
-    num = F.concat(F.lit("P-"), F.lpad(((F.col("user_id") * 20 + F.col("event_id") % 20) * 5).cast("string"), 8, "0"))
+    num = F.concat(F.lit("P-"), F.lpad(((F.col("user_id") * 20 + F.col("event_id") % 20) * 5 + F.col("event_id") % 5).cast("string"), 8, "0"))
     code = F.concat(F.lit("PR-"), F.upper(F.substring(F.sha2(num, 256), 1, 10)))
     padded = F.when(F.col("value") > 40, F.concat(F.lit("  "), code, F.lit(" "))).otherwise(code)
     res, _ = E.delete_codes(D.f_codes(spark, d), e.select(F.col("event_id").alias("seq"), padded.alias("code")))

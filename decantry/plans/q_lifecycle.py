@@ -184,13 +184,13 @@ FROM final_status f JOIN f_lifecycle_orders o ON o.id = f.order_id JOIN f_lifecy
 WHERE f.status = 'delivered' GROUP BY o.customer_id, trim(i.name)"""
 
 
-def manual_changes_of(events, catalog):
+def manual_changes_of(events, catalog, parts):
     """Admin unlock (click) / lock (error) requests from raw events (batch or streaming);
     some name unknown customers or blank perfumes. ``catalog`` is static."""
     e = events.filter(F.col("event_type").isin("click", "error"))
     cat = catalog.select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
     base = e.select(F.when(F.col("value") > 150, F.col("user_id") + 1000000).otherwise(F.col("user_id")).alias("customer_id"),
-                    (F.col("event_id") % 50).alias("_pk"), (F.col("event_id") % 97 == 0).alias("_blank"),
+                    D.product_of(F.col("user_id"), F.col("event_id"), parts).alias("_pk"), (F.col("event_id") % 97 == 0).alias("_blank"),
                     (F.col("event_type") == "click").alias("unlocked"), "ts", F.col("event_id").alias("seq"))
     return (base.join(cat, "_pk", "left")
             .select("customer_id", F.when(F.col("_blank"), F.lit("  ")).otherwise(F.col("_name")).alias("perfume"),
@@ -198,14 +198,14 @@ def manual_changes_of(events, catalog):
 
 
 def manual_changes(spark, d):
-    return manual_changes_of(D.read(spark, d, "events"), D.f_catalog(spark, d))
+    return manual_changes_of(D.read(spark, d, "events"), D.f_catalog(spark, d), D.row_count(spark, d, "part"))
 
 
 CHANGES_SQL = """
 SELECT CASE WHEN e.value > 150 THEN e.user_id + 1000000 ELSE e.user_id END AS customer_id,
        CASE WHEN e.event_id % 97 = 0 THEN '  ' ELSE c.name END AS perfume,
        e.event_type = 'click' AS unlocked, e.ts, e.event_id AS seq
-FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % 50
+FROM events e LEFT JOIN f_catalog c ON c.id = (e.user_id * 31 + e.event_id % 11) % (SELECT count(*) FROM part)
 WHERE e.event_type IN ('click', 'error')"""
 
 
@@ -281,10 +281,10 @@ def _streamed(spark, d, name, with_manual=False):
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex[:12]}"
     files = D.event_arrivals(spark, d, folder)
     raw = D.stream_events(spark, d, folder, files)
-    events = S.with_perfumes(D.status_events_of(raw), D.f_catalog(spark, d))
+    events = S.with_perfumes(D.status_events_of(raw, D.row_count(spark, d, "part")), D.f_catalog(spark, d))
     manual = None
     if with_manual:
-        steps = FO.manual_steps(manual_changes_of(raw, D.f_catalog(spark, d)), D.f_customers(spark, d))
+        steps = FO.manual_steps(manual_changes_of(raw, D.f_catalog(spark, d), D.row_count(spark, d, "part")), D.f_customers(spark, d))
         manual = steps.withColumn("unlocked", F.col("kind") == "unlock")
     out = S.run_to_parquet(spark, S.stream_lifecycle(events, manual), name)
     delete_folder(spark, folder)

@@ -87,13 +87,13 @@ def create_rewards(spark, d):
 
 @query("delete_rewards", "O-D5", oracle="""
 SELECT q.id, q.seq, q.seq = coalesce(f.first_seq, -1) AS success
-FROM (SELECT 'reward-' || CAST(event_id % 120 AS VARCHAR) AS id, event_id AS seq FROM events WHERE event_type = 'error') q
-LEFT JOIN (SELECT 'reward-' || CAST(event_id % 120 AS VARCHAR) AS id, min(event_id) AS first_seq
-           FROM events WHERE event_type = 'error' AND 'reward-' || CAST(event_id % 120 AS VARCHAR) IN (SELECT id FROM f_rewards)
+FROM (SELECT 'reward-' || CAST(event_id % (SELECT count(*) * 6 // 5 FROM supplier) AS VARCHAR) AS id, event_id AS seq FROM events WHERE event_type = 'error') q
+LEFT JOIN (SELECT 'reward-' || CAST(event_id % (SELECT count(*) * 6 // 5 FROM supplier) AS VARCHAR) AS id, min(event_id) AS first_seq
+           FROM events WHERE event_type = 'error' AND 'reward-' || CAST(event_id % (SELECT count(*) * 6 // 5 FROM supplier) AS VARCHAR) IN (SELECT id FROM f_rewards)
            GROUP BY 1) f ON f.id = q.id""")
 def delete_rewards(spark, d):
     e = D.read(spark, d, "events").filter(F.col("event_type") == "error")
-    req = e.select(F.concat(F.lit("reward-"), (F.col("event_id") % 120).cast("string")).alias("id"),
+    req = e.select(F.concat(F.lit("reward-"), (F.col("event_id") % (D.row_count(spark, d, "supplier") * 6 // 5)).cast("string")).alias("id"),
                    F.col("event_id").alias("seq"))
     _, res = R.delete_rewards(D.f_rewards(spark, d), req)
     return res
@@ -160,7 +160,7 @@ def museum_edits(spark, d):
     e = D.read(spark, d, "events").filter(F.col("event_type") == "click")
     cat = D.f_catalog(spark, d).select(F.col("id").alias("_pk"), F.col("name").alias("_name"))
     v = F.col("value")
-    base = e.select((F.col("event_id") % 50).alias("_pk"), F.col("event_id").alias("seq"), v.alias("_v"))
+    base = e.select((F.col("event_id") % D.row_count(spark, d, "part")).alias("_pk"), F.col("event_id").alias("seq"), v.alias("_v"))
     return (base.join(cat, "_pk", "left").select(
         F.when(F.col("_v") > 120, F.concat(F.lit("unknown #"), F.col("seq").cast("string"))).otherwise(F.col("_name")).alias("perfume_name"),
         "seq",
@@ -179,7 +179,7 @@ FROM f_museum m LEFT JOIN (
                e.event_id AS seq, '  art/' || CAST(e.event_id AS VARCHAR) || '.webp ' AS artwork_path,
                ' edited ' || CAST(e.event_id AS VARCHAR) AS description,
                CASE WHEN e.value < 20 THEN NULL ELSE e.value > 50 END AS published
-        FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % 50 WHERE e.event_type = 'click')
+        FROM events e LEFT JOIN f_catalog c ON c.id = e.event_id % (SELECT count(*) FROM part) WHERE e.event_type = 'click')
   GROUP BY perfume_name) l ON l.perfume_name = m.perfume_name""")
 def apply_museum_edits(spark, d):
     out, _ = R.apply_museum_edits(D.f_museum(spark, d), museum_edits(spark, d))

@@ -98,8 +98,9 @@ FROM f_status_events GROUP BY order_id, customer_id"""
 
 VIEWS["f_lifecycle_items"] = """
 SELECT k.order_id, c.name
-FROM (SELECT id AS order_id, unnest([(id * 7) % 50, (id * 7 + 13) % 50, (id * 7 + 26) % 50]) AS pk
-      FROM f_lifecycle_orders) k
+FROM (SELECT id AS order_id, unnest([(customer_id * 31 + (id * 7) % 11) % n, (customer_id * 31 + (id * 7 + 13) % 11) % n,
+                                     (customer_id * 31 + (id * 7 + 26) % 11) % n]) AS pk
+      FROM f_lifecycle_orders, (SELECT count(*) AS n FROM part)) k
 LEFT JOIN f_catalog c ON c.id = k.pk"""
 
 VIEWS["f_transitions"] = """
@@ -117,8 +118,7 @@ SELECT 'PR-' || upper(substr(sha256(o.order_number), 1, 10)) AS code,
        o.created_at
 FROM f_orders o
 LEFT JOIN (SELECT order_id, list_sort(list(DISTINCT trim(name))) AS perfumes FROM f_items GROUP BY order_id) n
-  ON o.id = n.order_id
-WHERE o.id % 5 = 0"""
+  ON o.id = n.order_id"""
 
 VIEWS["f_museum"] = """
 SELECT p_name || ' #' || CAST(p_partkey AS VARCHAR) AS perfume_name,
@@ -135,7 +135,7 @@ SELECT e.event_id AS id, e.user_id AS customer_id, e.user_id * 20 + e.event_id %
        'P-' || lpad(CAST(e.user_id * 20 + e.event_id % 20 AS VARCHAR), 8, '0') AS order_number,
        CASE WHEN e.event_type IN ('view', 'click') THEN e.ts END AS seen_at,
        e.ts AS created_at
-FROM events e LEFT JOIN f_catalog c ON c.id = (e.event_id * 3) % 50"""
+FROM events e LEFT JOIN f_catalog c ON c.id = (e.user_id * 31 + e.event_id % 11) % (SELECT count(*) FROM part)"""
 
 _ORDER = list(VIEWS)
 

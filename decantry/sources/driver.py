@@ -34,6 +34,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a table, from the Parquet footers: the size of a key domain."""
+    key = (id(spark), sf_dir, "row_count", name)
+    if key not in _MEMO:
+        _MEMO[key] = read(spark, sf_dir, name).count()
+    return _MEMO[key]
+
+
+def product_of(customer, place, parts: int):
+    """The catalogue key that a customer's ``place`` names: eleven products each, so that orders
+    share some, spread over the whole catalogue."""
+    return (customer * 31 + place % 11) % parts
+
+
 def _ts(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -204,21 +218,22 @@ def f_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lifecycle_order_attrs(oid):
-    """Attributes of a lifecycle order, all functions of its id (FIXTURES.md section 2)."""
+def _lifecycle_order_attrs(oid, customer, parts: int):
+    """Attributes of a lifecycle order, all functions of its id and customer (FIXTURES.md section 2)."""
     total = (((oid * 37) % 9973).cast("decimal(12,0)") / F.lit(100)).cast(X.MONEY)
-    keys = F.array(*[(oid * 7 + j * 13) % 50 for j in range(3)])
+    keys = F.array(*[product_of(customer, oid * 7 + j * 13, parts) for j in range(3)])
     return total, keys
 
 
-def status_events_of(e: DataFrame) -> DataFrame:
-    """Map raw events (batch or streaming) to status changes of the lifecycle model."""
+def status_events_of(e: DataFrame, parts: int) -> DataFrame:
+    """Map raw events (batch or streaming) to status changes of the lifecycle model; ``parts``
+    is the number of catalogue products."""
     oid = F.col("user_id") * 20 + F.col("event_id") % 20
     et = F.col("event_type")
     status = (F.when(et == "purchase", "delivered").when(et == "view", "preparing")
               .when(et == "click", "ready").when(et == "signup", "pending")
               .when(et == "error", "cancelled"))
-    total, keys = _lifecycle_order_attrs(oid)
+    total, keys = _lifecycle_order_attrs(oid, F.col("user_id"), parts)
     return e.select(oid.alias("order_id"), F.col("user_id").alias("customer_id"),
                     status.alias("new_status"), F.col("ts"), F.col("event_id").alias("seq"),
                     total.alias("order_total"), keys.alias("perfume_keys"),
@@ -228,7 +243,7 @@ def status_events_of(e: DataFrame) -> DataFrame:
 @memo_view
 def f_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status changes of the lifecycle model (one order has exactly one customer)."""
-    return status_events_of(read(spark, sf_dir, "events"))
+    return status_events_of(read(spark, sf_dir, "events"), row_count(spark, sf_dir, "part"))
 
 
 def event_arrivals(spark: SparkSession, sf_dir: str, folder: str, batches: int = 8) -> int:
@@ -256,7 +271,7 @@ def f_lifecycle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the lifecycle model: id, customer, total, created_at (first event)."""
     ev = f_status_events(spark, sf_dir)
     base = ev.groupBy("order_id", "customer_id").agg(F.min("ts").alias("created_at"))
-    total, _ = _lifecycle_order_attrs(F.col("order_id"))
+    total, _ = _lifecycle_order_attrs(F.col("order_id"), F.col("customer_id"), row_count(spark, sf_dir, "part"))
     return base.select(F.col("order_id").alias("id"), "customer_id", total.alias("order_total"), "created_at",
                        F.concat(F.lit("P-"), F.lpad(F.col("order_id").cast("string"), 8, "0")).alias("order_number"))
 
@@ -264,8 +279,8 @@ def f_lifecycle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @memo_view
 def f_lifecycle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat items (order_id, name) of the lifecycle orders: three catalogue keys per order."""
-    orders = f_lifecycle_orders(spark, sf_dir).select(F.col("id").alias("order_id"))
-    _, keys = _lifecycle_order_attrs(F.col("order_id"))
+    orders = f_lifecycle_orders(spark, sf_dir).select(F.col("id").alias("order_id"), "customer_id")
+    _, keys = _lifecycle_order_attrs(F.col("order_id"), F.col("customer_id"), row_count(spark, sf_dir, "part"))
     cat = (f_catalog(spark, sf_dir)
            .select(F.col("id").alias("pk"), "name"))
     return (orders.select("order_id", F.explode(keys).alias("pk"))
@@ -274,8 +289,8 @@ def f_lifecycle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @memo_view
 def f_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One code per order with o_orderkey % 5 = 0; redeemed when o_orderkey % 10 = 0."""
-    o = f_orders(spark, sf_dir).filter(F.col("id") % 5 == 0)
+    """One code per order; redeemed when o_orderkey % 10 = 0."""
+    o = f_orders(spark, sf_dir)
     names = (f_items(spark, sf_dir).groupBy("order_id")
              .agg(F.array_sort(F.collect_set(F.trim("name"))).alias("perfumes")))
     return (o.join(names, o.id == names.order_id, "left")
@@ -310,7 +325,7 @@ def f_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = f_catalog(spark, sf_dir).select(F.col("id").alias("_pk"), F.col("name").alias("perfume"))
     oid = F.col("user_id") * 20 + F.col("event_id") % 20
     base = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("customer_id"), oid.alias("order_id"),
-                    ((F.col("event_id") * 3) % 50).alias("_pk"),
+                    product_of(F.col("user_id"), F.col("event_id"), row_count(spark, sf_dir, "part")).alias("_pk"),
                     F.concat(F.lit("P-"), F.lpad(oid.cast("string"), 8, "0")).alias("order_number"),
                     F.when(F.col("event_type").isin("view", "click"), F.col("ts")).alias("seen_at"),
                     F.col("ts").alias("created_at"))

@@ -20,9 +20,9 @@ def _stream(spark, d, folder, files, with_manual=False):
     raw = D.stream_events(spark, d, folder, files)
     manual = None
     if with_manual:
-        manual = FO.manual_steps(manual_changes_of(raw, D.f_catalog(spark, d)), D.f_customers(spark, d))
+        manual = FO.manual_steps(manual_changes_of(raw, D.f_catalog(spark, d), D.row_count(spark, d, "part")), D.f_customers(spark, d))
         manual = manual.withColumn("unlocked", F.col("kind") == "unlock")
-    return S.stream_lifecycle(S.with_perfumes(D.status_events_of(raw), D.f_catalog(spark, d)), manual)
+    return S.stream_lifecycle(S.with_perfumes(D.status_events_of(raw, D.row_count(spark, d, "part")), D.f_catalog(spark, d)), manual)
 
 
 @pytest.mark.parametrize("with_manual", [False, True])
