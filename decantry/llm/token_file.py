@@ -32,7 +32,8 @@ from decantry.llm.textwords import SPACED
 
 END_ID = 1
 BLOCK_IDS = 1 << 17
-CACHE_BYTES = 96 << 20  # words and ids that a worker keeps, with some 250 bytes of Python for each
+CACHE_BYTES = 112 << 20  # words and ids that a worker keeps
+WORD_BYTES = 150  # of Python objects a word beside its characters and ids
 SLICE_BYTES = 4 << 20
 
 
@@ -86,22 +87,23 @@ class WordEncoder:
             cuts = 4 * np.searchsorted([a for a, _ in got.offsets], np.concatenate([[0], ends[:-1]]))
             stops = [*cuts[1:].tolist(), len(raw)]
             self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts.tolist(), stops, strict=True))
-            self.held += len(raw) + 2 * int(ends[-1]) + 250 * len(part)
+            self.held += len(raw) + int(ends[-1]) + WORD_BYTES * len(part)
 
     def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of distinct words in turn, how many each has)."""
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
         # ASCII letters are read in lower case and always cut from a full stop or comma behind them.
         plain = pc.match_substring_regex(words, "^[A-Za-z]+[.,]?$")
         dot, comma = pc.and_(plain, pc.ends_with(words, ".")), pc.and_(plain, pc.ends_with(words, ","))
         bases = pc.if_else(plain, pc.ascii_rtrim(pc.ascii_lower(words), ".,"), words).dictionary_encode()
-        names = bases.dictionary.to_pylist()
+        names = as_list(bases.dictionary)
         ids = list(map(self.known.get, names))
         new = [w for w, x in zip(names, ids, strict=True) if x is None]
         if new or "." not in self.known:
             self._learn(list(dict.fromkeys([*new, ".", ","])))
             ids = [self.known[w] if x is None else x for w, x in zip(names, ids, strict=True)]
+        if self.held > CACHE_BYTES:  # of the words kept, those of this slice stay
+            self.known = dict(zip(names, ids, strict=True)) | {w: self.known[w] for w in ".,"}
+            self.held = sum(map(len, ids)) + sum(map(len, names)) + WORD_BYTES * len(names)
         ids += [self.known["."], self.known[","]]
         flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(size) - size
@@ -141,16 +143,25 @@ def laid_out(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
+def as_list(words: pa.Array) -> list[str]:
+    """Words (without white space in them) as Python strings, by one split."""
+    if not len(words):
+        return []
+    line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar("\n", words.type))
+    return line[0].as_py().split("\n")
+
+
 def distinct_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(place among the distinct words of each word, these, first word of each text and the end)."""
     inside = SPACED[data]
     borders = np.zeros(len(data) + 1, bool)
     borders[ends] = True
-    before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
-    starts = np.flatnonzero(inside & (~before | borders[:-1]))
+    begins, finishes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | borders[1:-1]
+    finishes[:-1] &= ~inside[1:] | borders[1:-1]
+    starts = np.flatnonzero(begins)
     # Words without what lies between them, as one Arrow array.
-    kept = np.concatenate([[0], np.cumsum(inside)])
-    offsets = np.append(kept[starts], kept[-1])
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(finishes) + 1 - starts)])
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside])])
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary, np.searchsorted(starts, ends)
@@ -183,11 +194,10 @@ def id_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(vocab_size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), np.uint32), minlength=vocab_size) \
-                    if len(x.as_buffer()) > vocab_size else 0
-            small = b"".join(x.as_py() for x in batch.column(0) if len(x.as_buffer()) <= vocab_size)
-            total += np.bincount(np.frombuffer(small, np.uint32), minlength=vocab_size)
+            raw, _ = utf8_bytes(batch.column(0))
+            every = np.frombuffer(raw.tobytes() if raw.ctypes.data % 4 else raw, "<u4")
+            for lo in range(0, len(every), 1 << 22):
+                total += np.bincount(every[lo: lo + (1 << 22)], minlength=vocab_size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "n"])
 
