@@ -93,4 +93,4 @@ def customer_codes(codes: DataFrame, customers: DataFrame) -> DataFrame:
     return (c.join(cust, "_ph")
             .select("customer_id", "code", F.coalesce("order_total", F.lit(0)).cast("decimal(12,2)").alias("order_total"),
                     F.coalesce("bookmarks_awarded", F.lit(0)).cast("bigint").alias("bookmarks_awarded"),
-                    "is_redeemed"))
+                    "is_redeemed", *(["order_number"] if "order_number" in codes.columns else [])))

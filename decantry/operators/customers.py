@@ -63,6 +63,46 @@ def search_customers(customers: DataFrame, q: str) -> DataFrame:
     return customers.filter(hit)
 
 
+def _pieces(text) -> F.Column:
+    """All runs of one, two and three characters of ``text``, each once."""
+    def runs_of(size: int) -> F.Column:
+        at = F.sequence(F.lit(1), F.length(text) - (size - 1))
+        return F.when(F.length(text) >= size, F.transform(at, lambda i: F.substr(text, i, F.lit(size))))
+
+    runs = [runs_of(k) for k in (1, 2, 3)]
+    return F.array_distinct(F.flatten(F.filter(F.array(*runs), lambda r: r.isNotNull())))
+
+
+def piece_index(customers: DataFrame) -> DataFrame:
+    """``piece, id``: which customers' lower-case name or phone holds a run of up to three characters."""
+    text = F.concat(F.lower(F.coalesce("customer_name", F.lit(""))), F.lit("\n"), F.coalesce("customer_phone", F.lit("")))
+    return (customers.select("id", F.explode(_pieces(text)).alias("piece")).filter(~F.col("piece").contains("\n")))
+
+
+def search_many(customers: DataFrame, queries: DataFrame) -> DataFrame:
+    """``search_customers`` for a frame of queries (``q``): ``q, id`` of every match, each distinct
+    query once, as ``lower(trim(q))``.
+
+    Every customer that holds a query holds all its pieces, so a query meets only those of its
+    rarest piece, by an equi-join; ``contains`` decides. A query of one or two characters is
+    itself a piece. The blank query matches every customer, and a null one none.
+    """
+    index = piece_index(customers)
+    sizes = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select(F.lower(F.trim("q")).alias("q")).filter(F.col("q").isNotNull()).distinct()
+    size = F.least(F.lit(3), F.length("q"))
+    runs = F.transform(F.sequence(F.lit(1), F.length("q") - size + 1), lambda i: F.substr(F.col("q"), i, size))
+    parts = asked.filter("q <> ''").select("q", F.explode(F.array_distinct(runs)).alias("piece"))
+    rare = (parts.join(sizes, "piece", "left").groupBy("q")
+            .agg(F.min_by("piece", F.coalesce("n", F.lit(0))).alias("piece")))
+    text = customers.select("id", F.lower("customer_name").alias("_name"), F.col("customer_phone").alias("_phone"))
+    hits = rare.join(index, "piece").join(text, "id")
+    found = hits.filter(F.coalesce(F.col("_name").contains(F.col("q")), F.lit(False)) | F.coalesce(F.col("_phone").contains(F.col("q")), F.lit(False)))
+    blank = asked.filter("q = ''").select(F.count(F.lit(1))).scalar()
+    named = F.col("customer_name").isNotNull() | F.col("customer_phone").isNotNull()
+    return found.select("q", "id").unionByName(customers.filter(named & (blank > 0)).select(F.lit("").alias("q"), "id"))
+
+
 def customer_360(customers: DataFrame, orders: DataFrame, members: DataFrame, balances: DataFrame,
                  codes: DataFrame, unlocked: DataFrame, museum: DataFrame) -> DataFrame:
     """Profile plus per-child counts and the collection level, each child aggregated to one
@@ -99,23 +139,28 @@ def apply_customer_edits(customers: DataFrame, balances: DataFrame, edits: DataF
          .cast("decimal(18,2)").alias("total_spent"))
 
 
-def delete_customers(requests: DataFrame, customers: DataFrame | None = None, orders: DataFrame | None = None,
-                     members: DataFrame | None = None, codes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Remove profiles with their collection and codes; orders stay but lose customer_id
-    (``on delete set null``). Notifications cascade with the profile. Only the tables passed
-    in are rewritten (each is an independent plan)."""
-    gone = requests.select("customer_id").distinct()
+#: What happens to a table's rows when their customer's profile goes: the key that names the
+#: customer and the action. Orders stay without their customer; everything else goes with it.
+ON_DELETE = {"customers": ("id", "delete"), "members": ("customer_id", "delete"), "codes": ("customer_id", "delete"),
+             "notifications": ("customer_id", "delete"), "orders": ("customer_id", "set null")}
+
+
+def delete_customers(requests: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """The named tables (keys of ``ON_DELETE``) after the profiles of ``requests`` are gone.
+
+    One frame of keys drives all rules. Only the tables passed in are rewritten, each as an
+    independent plan with one join on the keys; null keys belong to nobody and stay.
+    """
+    gone = requests.select(F.col("customer_id").alias("_gone")).filter(F.col("_gone").isNotNull()).distinct()
     out: dict[str, DataFrame] = {}
-    if customers is not None:
-        out["customers"] = customers.join(gone.select(F.col("customer_id").alias("id")), "id", "left_anti")
-    if members is not None:
-        out["members"] = members.join(gone, "customer_id", "left_anti")
-    if codes is not None:
-        out["codes"] = codes.join(gone, "customer_id", "left_anti")
-    if orders is not None:
-        out["orders"] = (orders.join(gone.withColumn("_gone", F.lit(True)), "customer_id", "left")
-                         .withColumn("customer_id", F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("customer_id")))
-                         .drop("_gone"))
+    for name, table in tables.items():
+        key, action = ON_DELETE[name]
+        if action == "delete":
+            out[name] = table.join(gone, table[key] == gone["_gone"], "left_anti")
+        else:
+            kept = F.when(F.col("_gone").isNull(), F.col(key)).alias(key)
+            out[name] = (table.join(gone, table[key] == gone["_gone"], "left")
+                         .select(*[kept if c == key else F.col(c) for c in table.columns]))
     return out
 
 

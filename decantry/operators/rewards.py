@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from decantry.session import cut_lineage
+
 from decantry.functions import exprs as X
 
 REWARD_COLUMNS = ["id", "threshold", "reward_label", "active", "sort_order"]
@@ -84,7 +86,8 @@ def _threshold_ranks(values: DataFrame, thresholds: DataFrame) -> DataFrame:
          .agg(F.count(F.lit(1)).alias("n")))
     points = (t.select("v", "n", F.col("v").alias("t")).unionByName(
         values.where("v is not null").select("v").distinct().select("v", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("t"))))
-    points = points.groupBy("v").agg(F.sum("n").alias("n"), F.max("t").alias("t"))
+    # Written once: three scans read it, and its inputs go down to the orders.
+    points = cut_lineage(points.groupBy("v").agg(F.sum("n").alias("n"), F.max("t").alias("t")))
     points = points.withColumn("a", F.shiftright("v", STEP_BITS)).withColumn("b", F.shiftright("v", 2 * STEP_BITS))
 
     def scanned(df: DataFrame, by: list[str], order: str, upto: int, tag: str) -> DataFrame:

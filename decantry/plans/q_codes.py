@@ -119,4 +119,4 @@ FROM f_codes k JOIN f_customers c
   ON regexp_replace(coalesce(k.customer_phone, ''), '[^0-9]', '', 'g') = regexp_replace(coalesce(c.customer_phone, ''), '[^0-9]', '', 'g')
 WHERE regexp_replace(coalesce(k.customer_phone, ''), '[^0-9]', '', 'g') <> ''""")
 def customer_codes(spark, d):
-    return E.customer_codes(D.f_codes(spark, d), D.f_customers(spark, d))
+    return E.customer_codes(D.f_codes_core(spark, d), D.f_customers(spark, d)).drop("order_number")

@@ -120,7 +120,7 @@ SELECT (SELECT count(*) FROM f_customers) AS customers,
        (SELECT count(*) FROM f_codes WHERE NOT is_redeemed) AS pending_codes""",
        extra_views={**LIFE_VIEWS, "balances": BALANCES_SQL})
 def dashboard(spark, d):
-    return S.dashboard(D.f_customers(spark, d), snapshot_balances(spark, d), _members(spark, d), D.f_codes(spark, d))
+    return S.dashboard(D.f_customers(spark, d), snapshot_balances(spark, d), _members(spark, d), D.f_codes_core(spark, d))
 
 
 @query("orders_snapshot_delivered", "2.3-Sinks", oracle="""

@@ -287,6 +287,16 @@ def f_lifecycle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(cat, "pk", "left").select("order_id", "name"))
 
 
+@memo_view
+def f_codes_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes without names and perfumes: what counts and lists by customer need, from ``orders`` alone."""
+    o = f_orders_core(spark, sf_dir)
+    return o.select(F.concat(F.lit("PR-"), F.upper(F.substring(F.sha2(F.col("order_number"), 256), 1, 10))).alias("code"),
+                    F.concat(F.lit("+34 600 "), F.lpad(F.col("_buyer").cast("string"), 6, "0")).alias("customer_phone"),
+                    "order_number", "order_total", F.floor("order_total").cast("int").alias("bookmarks_awarded"),
+                    (F.col("id") % 10 == 0).alias("is_redeemed"), "created_at")
+
+
 @memo_view
 def f_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One code per order; redeemed when o_orderkey % 10 = 0."""
