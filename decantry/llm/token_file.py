@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decantry.llm import huffman
-from decantry.llm.common import map_arrow, scratch_path, slices, text_or_empty, utf8_bytes, written
+from decantry.llm.common import arrow_rows, map_arrow, scratch_path, slices, text_or_empty, utf8_bytes, written
 from decantry.llm.textwords import SPACED
 
 END_ID = 1
 BLOCK_IDS = 1 << 17
-CACHE_BYTES = 112 << 20  # words and ids that a worker keeps
+CACHE_BYTES = 96 << 20  # words and ids that a worker keeps
 WORD_BYTES = 150  # of Python objects a word beside its characters and ids
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 2000  # documents in one Arrow batch between the JVM and a worker
 
 
 #: The rules of a tokenizer file that never joins text across white space and cuts
@@ -77,6 +78,11 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Give the worker's memory back."""
+        cls._kept.clear()
+
     def _learn(self, words: list[str]) -> None:
         """Ids of words the cache lacks, as little-endian 32-bit integers."""
         for k in range(0, len(words), 1000):
@@ -192,6 +198,7 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> DataFra
 def id_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
     """How often each id occurs; summed by Spark, at most ``vocab_size`` rows reach the driver."""
     def count(batches):
+        WordEncoder.forget()
         total = np.zeros(vocab_size, np.int64)
         for batch in batches:
             raw, _ = utf8_bytes(batch.column(0))
@@ -216,14 +223,17 @@ def write_token_file(docs: DataFrame, path: str, vocab_path: str, vocab_size: in
     ignored. An empty table gives a file without blocks.
     """
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, vocab_path, end_id), "tokens")
-    lengths = huffman.code_lengths(id_counts(tokens, vocab_size))
+    with arrow_rows(spark, BATCH_ROWS):
+        tokens = written(tokenized(docs, vocab_path, end_id), "tokens")
+    with arrow_rows(spark, BATCH_ROWS):
+        lengths = huffman.code_lengths(id_counts(tokens, vocab_size))
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id, huffman.STRIDE)],
                           "lengths binary, end_id int, stride int").coalesce(1).write.parquet(f"{path}/codes")
     sent = spark.sparkContext.broadcast(lengths)
     kind = docs.schema["doc_id"].dataType
 
     def pack(batches):
+        WordEncoder.forget()  # workers are used again; this step needs no words
         own = sent.value
         codes = huffman.canonical_codes(own)
         ids, sizes, names, at, n = [], [], [], None, 0
@@ -258,7 +268,8 @@ def write_token_file(docs: DataFrame, path: str, vocab_path: str, vocab_size: in
     blocks = map_arrow(tokens, pack, f"shard int, first_seq long, doc_ids array<{kind.simpleString()}>, "
                        "doc_sizes array<long>, n_ids long, n_bits long, payload binary, checkpoints binary")
     # Payload and bit offsets are dense already.
-    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    with arrow_rows(spark, BATCH_ROWS):
+        blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
 
