@@ -15,6 +15,7 @@ from decantry.functions import exprs as X
 from decantry.operators.orders import typed_items
 
 PRICE_COLS = ["price_2ml", "price_3ml", "price_5ml", "price_10ml"]
+JOURNEY_COLS = ["accords", "notes", "journey_theme", "journey_title", "journey_copy"]
 
 
 # ---------------------------------------------------------------- O-C1 / C2 / C3 / C12 / C13
@@ -28,7 +29,7 @@ def public_catalog(catalog: DataFrame, collation: str | None = None) -> DataFram
         "id", "name", "brand",
         F.when(deleted, F.lit(False)).otherwise(F.col("active")).alias("active"),
         F.when(deleted, F.lit("hidden")).otherwise(F.col("availability_status")).alias("availability_status"),
-        "display_order", *PRICE_COLS, "image_url", "description",
+        "display_order", *PRICE_COLS, "image_url", "description", *[c for c in JOURNEY_COLS if c in catalog.columns],
         rank.alias("sort_group"), "created_at")
         .orderBy("sort_group", "display_order", "created_at", X.text_key("name", collation)))
 

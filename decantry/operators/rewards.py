@@ -14,11 +14,12 @@ REWARD_COLUMNS = ["id", "threshold", "reward_label", "active", "sort_order"]
 
 # ---------------------------------------------------------------- O-D1 / O-D2
 def list_rewards(rewards: DataFrame) -> DataFrame:
-    return rewards.select(*REWARD_COLUMNS).orderBy("sort_order", "threshold", "id")
+    """The admin's list, with the time of the last edit."""
+    return rewards.select(*REWARD_COLUMNS, "updated_at").orderBy("sort_order", "threshold", "id")
 
 
 def active_rewards(rewards: DataFrame) -> DataFrame:
-    return list_rewards(rewards.filter(F.col("active")))
+    return rewards.filter(F.col("active")).select(*REWARD_COLUMNS).orderBy("sort_order", "threshold", "id")
 
 
 # ---------------------------------------------------------------- O-D3 / O-D4 / O-D5
@@ -139,13 +140,14 @@ MUSEUM_COLUMNS = ["perfume_name", "brand", "artwork_path", "description", "publi
 
 
 def list_museum(museum: DataFrame) -> DataFrame:
-    return museum.select(*MUSEUM_COLUMNS).orderBy("perfume_name")
+    """The admin's list, with the time of the last edit."""
+    return museum.select(*MUSEUM_COLUMNS, "updated_at").orderBy("perfume_name")
 
 
 def public_museum(museum: DataFrame, published_only: bool = False) -> DataFrame:
     """Final version returns every work with its flag; ``published_only`` gives the older form."""
     m = museum.filter(F.col("published")) if published_only else museum
-    return list_museum(m)
+    return m.select(*MUSEUM_COLUMNS).orderBy("perfume_name")
 
 
 def apply_museum_edits(museum: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,8 +174,9 @@ def museum_image_fallback(museum: DataFrame, catalog: DataFrame) -> DataFrame:
                     F.coalesce(F.nullif(F.col("artwork_path"), F.lit("")), F.col("image_url")).alias("display_image")))
 
 
-def accord_profile(members: DataFrame, museum: DataFrame) -> DataFrame:
-    """How many works of each accord every customer has discovered **[choice]**."""
-    acc = museum.select(F.col("perfume_name").alias("perfume"), F.explode("accords").alias("accord"))
-    return (members.join(acc, "perfume").groupBy("customer_id", "accord")
+def accord_profile(members: DataFrame, museum: DataFrame, of: str = "accords", name: str = "accord") -> DataFrame:
+    """How many works of each accord (or, ``of="notes"``, each note) every customer has
+    discovered **[choice]**; a work that names one twice counts once."""
+    acc = museum.select(F.col("perfume_name").alias("perfume"), F.explode(F.array_distinct(of)).alias(name))
+    return (members.join(acc, "perfume").groupBy("customer_id", name)
             .agg(F.count(F.lit(1)).alias("n_works")))

@@ -45,13 +45,15 @@ def catalog_with_stock(spark, d):
 SELECT id, name, brand,
        CASE WHEN deleted_at IS NULL THEN active ELSE false END AS active,
        CASE WHEN deleted_at IS NULL THEN availability_status ELSE 'hidden' END AS availability_status,
-       display_order, {_PRICES}, image_url, description,
+       display_order, {_PRICES}, image_url, description, array_to_string(accords, ', ') AS accords, array_to_string(notes, ', ') AS notes,
+       journey_theme, journey_title, journey_copy,
        CASE WHEN deleted_at IS NOT NULL THEN 3 WHEN availability_status = 'upcoming' THEN 0
             WHEN availability_status = 'published' THEN 1 ELSE 2 END AS sort_group,
        created_at
 FROM f_catalog""")
 def public_catalog(spark, d):
-    return C.public_catalog(D.f_catalog(spark, d))
+    out = C.public_catalog(D.f_catalog(spark, d))
+    return out.withColumns({c: F.array_join(c, ", ") for c in ("accords", "notes")})
 
 
 @query("backfill_status", "O-C3", oracle=f"""
@@ -361,4 +363,4 @@ FROM f_museum m FULL JOIN (SELECT name, brand FROM created WHERE reject_reason I
 def create_products_museum(spark, d):
     """Museum after the batch of new products: new works unpublished, existing ones re-branded."""
     created = C.create_products(D.f_catalog(spark, d), product_requests(spark, d))
-    return C.museum_rows_for_new_products(D.f_museum(spark, d).drop("accords"), created)
+    return C.museum_rows_for_new_products(D.f_museum(spark, d).drop("accords", "notes", "updated_at"), created)

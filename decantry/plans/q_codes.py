@@ -91,6 +91,15 @@ def list_codes(spark, d):
     return E.list_codes(D.f_codes(spark, d))
 
 
+def delete_requests(spark, d):
+    """'error' events delete the code of an order; some come with blanks around it."""
+    e = D.read(spark, d, "events").filter(F.col("event_type") == "error")
+    num = F.concat(F.lit("P-"), F.lpad(((F.col("user_id") * 20 + F.col("event_id") % 20) * 5 + F.col("event_id") % 5).cast("string"), 8, "0"))
+    code = F.concat(F.lit("PR-"), F.upper(F.substring(F.sha2(num, 256), 1, 10)))
+    padded = F.when(F.col("value") > 40, F.concat(F.lit("  "), code, F.lit(" "))).otherwise(code)
+    return e.select(F.col("event_id").alias("seq"), padded.alias("code"))
+
+
 @query("delete_codes", "O-E4", oracle="""
 , req AS (
   SELECT event_id AS seq,
@@ -104,11 +113,7 @@ FROM req r LEFT JOIN (SELECT r2.code, c.n, min(r2.seq) AS first_seq
                       FROM req r2 JOIN (SELECT code, count(*) AS n FROM f_codes GROUP BY code) c ON c.code = r2.code
                       GROUP BY r2.code, c.n) f ON f.code = r.code""")
 def delete_codes(spark, d):
-    e = D.read(spark, d, "events").filter(F.col("event_type") == "error")
-    num = F.concat(F.lit("P-"), F.lpad(((F.col("user_id") * 20 + F.col("event_id") % 20) * 5 + F.col("event_id") % 5).cast("string"), 8, "0"))
-    code = F.concat(F.lit("PR-"), F.upper(F.substring(F.sha2(num, 256), 1, 10)))
-    padded = F.when(F.col("value") > 40, F.concat(F.lit("  "), code, F.lit(" "))).otherwise(code)
-    res, _ = E.delete_codes(D.f_codes(spark, d), e.select(F.col("event_id").alias("seq"), padded.alias("code")))
+    res, _ = E.delete_codes(D.f_codes(spark, d), delete_requests(spark, d))
     return res.select("seq", "code", "deleted", F.coalesce("success", F.lit(False)).alias("success"))
 
 

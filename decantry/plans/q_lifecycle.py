@@ -88,13 +88,24 @@ def _members(spark, d):
     return L.collection_members(_final(spark, d), D.f_lifecycle_orders(spark, d), D.f_lifecycle_items(spark, d))
 
 
+def status_requests(spark, d):
+    """Status changes as they are asked for: some name no status, or an order that is not there."""
+    e, v = D.f_status_events(spark, d), D.read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("value").alias("_v"))
+    e = e.join(v, "seq")
+    status = F.when(F.col("_v") < 5, F.lit("lost")).when(F.col("_v") >= 8, F.col("new_status"))
+    return e.select(F.when(F.col("_v") > 120, F.col("order_id") + 10 ** 9).otherwise(F.col("order_id")).alias("order_id"), "seq",
+                    status.alias("new_status"), "ts")
+
+
 @query("validate_status_events", "O-B1", oracle="""
 SELECT e.order_id, e.seq, e.new_status,
        CASE WHEN e.new_status IS NULL OR e.new_status NOT IN ('pending', 'preparing', 'ready', 'delivered', 'cancelled') THEN 'invalid_status'
             WHEN e.order_id NOT IN (SELECT id FROM f_orders) THEN 'order_not_found' END AS reject_reason
-FROM f_status_events e""")
+FROM (SELECT CASE WHEN v.value > 120 THEN s.order_id + 1000000000 ELSE s.order_id END AS order_id, s.seq,
+             CASE WHEN v.value < 5 THEN 'lost' WHEN v.value >= 8 THEN s.new_status END AS new_status
+      FROM f_status_events s JOIN events v ON v.event_id = s.seq) e""")
 def validate_status_events(spark, d):
-    valid, rej = L.validate_status_events(D.f_status_events(spark, d), D.f_orders_core(spark, d))
+    valid, rej = L.validate_status_events(status_requests(spark, d), D.f_orders_core(spark, d))
     cols = ["order_id", "seq", "new_status"]
     return valid.select(*cols, F.lit(None).cast("string").alias("reject_reason")).unionByName(
         rej.select(*cols, "reject_reason"))

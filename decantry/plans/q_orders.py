@@ -112,14 +112,23 @@ def number_orders(spark, d):
 
 
 def raw_requests(spark, d):
-    """Order requests as they arrive from the shop: items as JSON text."""
+    """Order requests as they arrive from the shop: items as JSON text. Some lack a name, a zone,
+    items or a total, or have one below zero or too large."""
     o = D.nest_items(D.f_orders(spark, d), D.f_items(spark, d))
-    return o.select(F.col("id").alias("request_id"), "customer_id", "customer_name", "customer_phone",
-                    "delivery_zone", "notes", F.to_json("items").alias("items_json"),
-                    "order_total", "reward_ids", "created_at")
+    k, total = F.col("id"), F.col("order_total")
+    return o.select(k.alias("request_id"), "customer_id", F.when(k % 97 == 1, F.lit("  ")).otherwise(F.col("customer_name")).alias("customer_name"),
+                    "customer_phone", F.when(k % 89 != 2, F.col("delivery_zone")).alias("delivery_zone"), "notes",
+                    F.when(k % 73 != 5, F.to_json("items")).alias("items_json"),
+                    F.when(k % 83 == 3, -total).when(k % 71 == 6, total * 10000).when(k % 79 != 4, total).cast("decimal(16,2)").alias("order_total"),
+                    "reward_ids", "created_at")
 
 
 @query("ingest_orders", "O-A1", oracle="""
+, raw AS (
+  SELECT id, CASE WHEN id % 97 = 1 THEN '  ' ELSE customer_name END AS customer_name, customer_phone,
+         CASE WHEN id % 89 <> 2 THEN delivery_zone END AS delivery_zone,
+         CAST(CASE WHEN id % 83 = 3 THEN -order_total WHEN id % 71 = 6 THEN order_total * 10000 WHEN id % 79 <> 4 THEN order_total END AS DECIMAL(16,2)) AS order_total
+  FROM f_orders)
 SELECT o.id AS request_id,
        CASE WHEN coalesce(trim(o.customer_name), '') = '' THEN 'name_required'
             WHEN coalesce(trim(o.delivery_zone), '') = '' THEN 'zone_required'
@@ -129,7 +138,7 @@ SELECT o.id AS request_id,
        trim(o.customer_name) AS customer_name, nullif(trim(o.customer_phone), '') AS customer_phone,
        trim(o.delivery_zone) AS delivery_zone, coalesce(t.n_items, 0) AS n_items,
        TRY_CAST(round(o.order_total, 2) AS DECIMAL(10,2)) AS order_total, 'pending' AS status
-FROM f_orders o LEFT JOIN (SELECT order_id, count(*) AS n_items FROM f_items GROUP BY order_id) t ON o.id = t.order_id""")
+FROM raw o LEFT JOIN (SELECT order_id, count(*) AS n_items FROM f_items WHERE order_id % 73 <> 5 GROUP BY order_id) t ON o.id = t.order_id""")
 def ingest_orders(spark, d):
     out = O.ingest_orders(raw_requests(spark, d))
     return out.select("request_id", "reject_reason", "customer_name", "customer_phone", "delivery_zone",

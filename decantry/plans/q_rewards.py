@@ -13,7 +13,7 @@ from decantry.sources.driver import memo_view
 _RW = "id, threshold, reward_label, active, sort_order"
 
 
-@query("list_rewards", "O-D1", oracle=f"SELECT {_RW} FROM f_rewards")
+@query("list_rewards", "O-D1", oracle=f"SELECT {_RW}, updated_at FROM f_rewards")
 def list_rewards(spark, d):
     return R.list_rewards(D.f_rewards(spark, d))
 
@@ -146,7 +146,7 @@ def claim_rewards(spark, d):
 _MW = "perfume_name, brand, artwork_path, description, published"
 
 
-@query("list_museum", "O-D8", oracle=f"SELECT {_MW} FROM f_museum")
+@query("list_museum", "O-D8", oracle=f"SELECT {_MW}, updated_at FROM f_museum")
 def list_museum(spark, d):
     return R.list_museum(D.f_museum(spark, d))
 
@@ -195,7 +195,7 @@ def museum_image_fallback(spark, d):
 
 @query("accord_profile", "O-D12", oracle="""
 SELECT m.customer_id, a.accord, count(*) AS n_works
-FROM members m JOIN (SELECT perfume_name, unnest(accords) AS accord FROM f_museum) a ON a.perfume_name = m.perfume
+FROM members m JOIN (SELECT perfume_name, unnest(list_distinct(accords)) AS accord FROM f_museum) a ON a.perfume_name = m.perfume
 GROUP BY m.customer_id, a.accord""", extra_views=LIFE_VIEWS)
 def accord_profile(spark, d):
     return R.accord_profile(_members(spark, d), D.f_museum(spark, d))
@@ -203,7 +203,7 @@ def accord_profile(spark, d):
 
 @query("artwork_corpus", "O-D11", oracle="""
 SELECT perfume_name AS id, perfume_name AS name, brand, artwork_path AS artwork, description,
-       CAST(len(accords) AS INTEGER) AS n_accords
+       array_to_string(accords, ', ') AS accords, array_to_string(notes, ', ') AS notes
 FROM f_museum""")
 def artwork_corpus(spark, d):
     """Museum works written as JSON documents ({"works": [...]}, one per line) under the
@@ -215,5 +215,5 @@ def artwork_corpus(spark, d):
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/artworks-{uuid.uuid4().hex[:12]}"
     A.write_artworks(D.f_museum(spark, d), path)
     works = A.read_artworks(spark, path, multi_line=False)
-    return works.select("id", "name", "brand", "artwork", "description",
-                        F.size("accords").cast("int").alias("n_accords"))
+    return works.select("id", "name", "brand", "artwork", "description", F.array_join("accords", ", ").alias("accords"),
+                        F.array_join("notes", ", ").alias("notes"))

@@ -41,5 +41,5 @@ def query(name: str, survey_id: str, oracle: str | None = None, extra_views: dic
 def load_all() -> dict[str, Query]:
     # Importing the modules fills REGISTRY.
     from decantry.plans import (q_catalog, q_orders, q_lifecycle, q_rewards,  # noqa: F401
-                                q_codes, q_customers, q_stats, q_store)
+                                q_codes, q_customers, q_stats, q_store, q_outputs)
     return REGISTRY

@@ -25,7 +25,9 @@ SELECT p_partkey AS id,
        1000 AS display_order,
        TIMESTAMP '2000-01-01 00:00:00' + to_minutes(p_partkey) AS created_at,
        CASE WHEN p_size > 25 THEN 'img/' || CAST(p_partkey AS VARCHAR) || '.webp' END AS image_url,
-       p_type AS description
+       p_type AS description, string_split(p_name, ' ') AS accords, string_split(p_type, ' ') AS notes,
+       CASE WHEN p_size % 2 = 0 THEN lower(p_brand) END AS journey_theme, 'Journey ' || p_name AS journey_title,
+       CASE WHEN p_size > 10 THEN p_type || ' · ' || p_name END AS journey_copy
 FROM part"""
 
 VIEWS["f_items"] = """
@@ -76,7 +78,8 @@ SELECT 'reward-' || CAST(s_suppkey AS VARCHAR) AS id,
        CAST(300000 + 100000 * (s_suppkey % 23) AS INTEGER) AS threshold,
        'Discovery ' || s_name AS reward_label,
        s_acctbal >= 0 AS active,
-       CAST((s_suppkey % 4) * 10 AS INTEGER) AS sort_order
+       CAST((s_suppkey % 4) * 10 AS INTEGER) AS sort_order,
+       TIMESTAMP '2002-01-01 00:00:00' + to_minutes(s_suppkey) AS updated_at
 FROM supplier"""
 
 VIEWS["f_status_events"] = """
@@ -126,7 +129,8 @@ SELECT p_name || ' #' || CAST(p_partkey AS VARCHAR) AS perfume_name,
        CASE WHEN p_size % 3 = 0 THEN '' ELSE 'assets/artworks/' || CAST(p_partkey AS VARCHAR) || '.webp' END AS artwork_path,
        p_type || ' ' || p_name AS description,
        p_size > 5 AS published,
-       string_split(p_name, ' ') AS accords
+       string_split(p_name, ' ') AS accords, string_split(p_type, ' ') AS notes,
+       TIMESTAMP '2002-01-01 00:00:00' + to_minutes(p_partkey) AS updated_at
 FROM part"""
 
 VIEWS["f_notifications"] = """

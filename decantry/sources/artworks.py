@@ -39,7 +39,7 @@ def write_artworks(museum: DataFrame, path: str, works_per_document: int = WORKS
     works = museum.select(F.struct(
         F.col("perfume_name").alias("id"), F.col("perfume_name").alias("name"), "brand",
         F.col("artwork_path").alias("artwork"), F.col("accords"),
-        F.array().cast("array<string>").alias("notes"), "description").alias("w"))
+        F.col("notes") if "notes" in museum.columns else F.array().cast("array<string>").alias("notes"), "description").alias("w"))
     # monotonically_increasing_id = (partition index << 33) + position in the partition.
     chunk = F.floor(F.monotonically_increasing_id() / F.lit(works_per_document))
     (works.groupBy(chunk.alias("_doc")).agg(F.collect_list("w").alias("works"))

@@ -83,6 +83,10 @@ def f_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_add("MINUTE", k, _ts("2000-01-01 00:00:00")).alias("created_at"),
         F.when(F.col("p_size") > 25, F.concat(F.lit("img/"), k.cast("string"), F.lit(".webp"))).alias("image_url"),
         F.col("p_type").alias("description"),
+        F.split("p_name", " ").alias("accords"), F.split("p_type", " ").alias("notes"),
+        F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).alias("journey_theme"),
+        F.concat(F.lit("Journey "), F.col("p_name")).alias("journey_title"),
+        F.when(F.col("p_size") > 10, F.concat_ws(" · ", "p_type", "p_name")).alias("journey_copy"),
     )
 
 
@@ -215,6 +219,7 @@ def f_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Discovery "), F.col("s_name")).alias("reward_label"),
         (F.col("s_acctbal") >= 0).alias("active"),
         ((k % 4) * 10).cast("int").alias("sort_order"),
+        F.timestamp_add("MINUTE", k, _ts("2002-01-01 00:00:00")).alias("updated_at"),
     )
 
 
@@ -325,6 +330,8 @@ def f_museum(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("p_type"), F.lit(" "), F.col("p_name")).alias("description"),
         (F.col("p_size") > 5).alias("published"),
         F.split(F.col("p_name"), " ").alias("accords"),
+        F.split(F.col("p_type"), " ").alias("notes"),
+        F.timestamp_add("MINUTE", k, _ts("2002-01-01 00:00:00")).alias("updated_at"),
     )
 
 
