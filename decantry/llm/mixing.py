@@ -95,12 +95,13 @@ def repeat_mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     The thresholds (one row a source) come to the documents; texts are not shuffled.
     """
     _, threshold = _plan(docs, weights, share, max_repeat)
-    names = docs.columns
-    rows = docs.withColumn("h", doc_hash(F.col("doc_id"), F.col("text").cast("string")))
-    taken = (rows.join(threshold, rows["source"].eqNullSafe(threshold["t_source"]))
-             .withColumn("_copies", _copies()).where("_copies > 0")
-             .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
-    return taken.select(*[rows[c] for c in names])
+    # The row travels as one struct, so that no name of it can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").alias("key"),
+                       doc_hash(F.col("doc_id"), F.col("text").cast("string")).alias("h"))
+    taken = (rows.join(threshold, rows["key"].eqNullSafe(threshold["t_source"]))
+             .select("row", _copies().alias("copies")).where("copies > 0")
+             .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _copies() -> Column:

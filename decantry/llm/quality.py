@@ -16,12 +16,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decantry.llm.common import map_arrow, slices, text_or_empty, utf8_bytes
+from decantry.llm.common import map_arrow, slices, text_or_empty, utf8_bytes, written
 from decantry.llm.labelled import fit_logistic, held_out, logistic, training_labels
 
-#: Bounds of the training sample: labelled rows, and bytes taken of each (one piece, chosen by hash).
+#: Bounds of the training sample: labelled rows, whose whole texts are read; and of them the pieces
+#: of ``SAMPLE_BYTES`` that make one dictionary, the first of all their pieces by hash.
 SAMPLE_ROWS = 12_000
 SAMPLE_BYTES = 4096
+SAMPLE_PIECES = 3_000
 DICT_BYTES = 112_640
 LEVEL = 3
 PIECE = 1024
@@ -69,27 +71,32 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = FOLD,
                 sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Dictionaries and calibration from at most ``sample_rows`` labelled rows outside the fold."""
+    """Dictionaries and calibration from at most ``sample_rows`` labelled ids outside the fold.
+
+    The fit depends on the texts and labels alone, not on the order or the partitions of the
+    rows: equal texts count once (texts with both labels not at all), and hashes of the text
+    decide which half makes dictionaries, from all its pieces, and which calibrates, as whole
+    texts scored by Spark. The driver gets ``2 * SAMPLE_PIECES`` pieces and two numbers a
+    calibration text.
+    """
     wanted = training_labels(labels, "quality", folds, fold, sample_rows)
-    raw = text_or_empty().cast("binary")
-    pieces = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / SAMPLE_BYTES)).cast("int")
-    rows = (docs.select("doc_id", raw.alias("raw")).join(F.broadcast(wanted), "doc_id")
-            .select("doc_id", "y", F.substring("raw", F.pmod(F.xxhash64("doc_id"), pieces).cast("int") * SAMPLE_BYTES + 1,
-                                               SAMPLE_BYTES).alias("piece"))
-            .dropDuplicates(["piece"]).orderBy(F.xxhash64("doc_id"), "doc_id", "piece").limit(2 * sample_rows).collect())
-    sample = [(r["y"], bytes(r["piece"])) for r in rows if r["piece"]]
-    by_class = {c: [p for y, p in sample if y == c] for c in (0, 1)}
-    # Half of each class makes its dictionary, the other half calibrates.
-    train = {c: own[0::2] for c, own in by_class.items()}
-    rest = [(c, p) for c, own in by_class.items() for p in own[1::2]]
-    good, bad = _dictionary(train[1]), _dictionary(train[0])
+    texts = written(docs.select("doc_id", text_or_empty().alias("text")).join(wanted, "doc_id").where("text <> ''")
+                    .groupBy("text").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("text", "y"), "quality-sample")
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    raw = F.col("text").cast("binary")
+    pieces = (texts.where(half == 0).select("y", raw.alias("raw"), F.explode(F.sequence(
+        F.lit(0), (F.ceil(F.octet_length("text") / SAMPLE_BYTES) - 1).cast("int"))).alias("k"))
+        .select("y", F.substring("raw", F.col("k") * SAMPLE_BYTES + 1, F.lit(SAMPLE_BYTES)).alias("piece")).distinct())
+    by_class = {c: [bytes(r["piece"]) for r in pieces.where(F.col("y") == c).orderBy(F.xxhash64("piece"), "piece").limit(SAMPLE_PIECES)
+                    .select("piece").collect()] for c in (0, 1)}
+    good, bad = _dictionary(by_class[1]), _dictionary(by_class[0])
+    rest = texts.where(half == 1)
     if not good or not bad:
-        ones = len(by_class[1])
-        slope, intercept = fit_logistic(np.zeros(len(sample)), np.array([y for y, _ in sample], float)) if sample else (0.0, 0.0)
-        return QualityModel(good or b"\0" * 8, bad or b"\0" * 8, 0.0, intercept if ones else min(intercept, 0.0))
-    scorer = _Scorer(good, bad)
-    x = np.array([scorer.difference(memoryview(p)) for _, p in rest])
-    slope, intercept = fit_logistic(x, np.array([c for c, _ in rest], float))
+        y = sorted(r["y"] for r in texts.select("y").collect())
+        _, intercept = fit_logistic(np.zeros(len(y)), np.array(y, float)) if y else (0.0, 0.0)
+        return QualityModel(good or b"\0" * 8, bad or b"\0" * 8, 0.0, intercept if any(y) else min(intercept, 0.0))
+    found = sorted((r["quality_diff"], r["y"]) for r in score_quality(rest, QualityModel(good, bad, 0.0, 0.0)).select("quality_diff", "y").collect())
+    slope, intercept = fit_logistic(np.array([x for x, _ in found]), np.array([y for _, y in found], float))
     return QualityModel(good, bad, slope, intercept)
 
 
