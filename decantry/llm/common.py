@@ -10,16 +10,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decantry.session import ensure_checkpoint_dir, ship_package
+from decantry.session import delete_folder, ensure_checkpoint_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OPEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder named by ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/decantry-llm/{label}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/decantry-llm/{label}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_made() -> Iterator[list[str]]:
+    """The scratch paths made inside, for ``drop_paths`` once their readers are done."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        delete_folder(spark, path)
 
 
 @contextmanager
@@ -49,9 +71,7 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table below the shared folder (for the end of an application)."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/decantry-llm"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    delete_folder(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/decantry-llm")
 
 
 def text_or_empty(name: str = "text") -> Column:
