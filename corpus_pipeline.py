@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decantry.llm.common import table, written
+from decantry.llm.common import drop_paths, scratch_made, table, written
 from decantry.llm.decontaminate import decontaminate
 from decantry.llm.mixing import repeat_mixed
 from decantry.llm.ngram_join import ngram_join
@@ -71,8 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    name, stage = STAGES[-1]
-    return written(stage(spark, docs, sf_dir), f"stage-{name}")
+    """All stages; once a stage's result is written, what it and the stage before left in the
+    shared folder is deleted, but for the last result and the token file."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        with scratch_made() as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_paths(spark, before + [p for p in made[:-1] if "/token-file-" not in p])
+        before = made[-1:]
+    return docs
