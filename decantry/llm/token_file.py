@@ -50,13 +50,17 @@ SPLIT_BY_WORD = {
     "truncation": None, "post_processor": None}
 
 
+#: Words of letters below U+0250, but for the one (U+0130) whose lower case is not letters alone.
+PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+[.,]?$"
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library.
 
     Where the file's own rules say that no token crosses white space (``SPLIT_BY_WORD``), each
-    distinct word goes through the library and its ids are laid out by numpy; ASCII letters
-    with a full stop or comma behind them are looked up apart, in lower case, as the rules cut
-    and fold them. Any other file encodes whole texts. Words are kept in a cache of at most
+    distinct word goes through the library and its ids are laid out by numpy; letters below
+    U+0250 with a full stop or comma behind them are looked up apart, in lower case, as the
+    rules cut and fold them. Any other file encodes whole texts. Words are kept in a cache of at most
     ``CACHE_BYTES``, which lasts as long as the Python worker.
     """
 
@@ -69,6 +73,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
         self.by_word = all(rules.get(k) == v for k, v in SPLIT_BY_WORD.items())
+        self.kind = np.dtype(id_type(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)))
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -88,19 +93,19 @@ class WordEncoder:
         for k in range(0, len(words), 1000):
             part = words[k: k + 1000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
+            raw = np.array(got.ids, self.kind).tobytes()
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            cuts = 4 * np.searchsorted([a for a, _ in got.offsets], np.concatenate([[0], ends[:-1]]))
+            cuts = self.kind.itemsize * np.searchsorted([a for a, _ in got.offsets], np.concatenate([[0], ends[:-1]]))
             stops = [*cuts[1:].tolist(), len(raw)]
             self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts.tolist(), stops, strict=True))
             self.held += len(raw) + int(ends[-1]) + WORD_BYTES * len(part)
 
     def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of distinct words in turn, how many each has)."""
-        # ASCII letters are read in lower case and always cut from a full stop or comma behind them.
-        plain = pc.match_substring_regex(words, "^[A-Za-z]+[.,]?$")
+        # Plain letters are read in lower case and always cut from a full stop or comma behind them.
+        plain = pc.match_substring_regex(words, PLAIN)
         dot, comma = pc.and_(plain, pc.ends_with(words, ".")), pc.and_(plain, pc.ends_with(words, ","))
-        bases = pc.if_else(plain, pc.ascii_rtrim(pc.ascii_lower(words), ".,"), words).dictionary_encode()
+        bases = pc.if_else(plain, pc.utf8_rtrim(pc.utf8_lower(words), ".,"), words).dictionary_encode()
         names = as_list(bases.dictionary)
         ids = list(map(self.known.get, names))
         new = [w for w, x in zip(names, ids, strict=True) if x is None]
@@ -111,7 +116,7 @@ class WordEncoder:
             self.known = dict(zip(names, ids, strict=True)) | {w: self.known[w] for w in ".,"}
             self.held = sum(map(len, ids)) + sum(map(len, names)) + WORD_BYTES * len(names)
         ids += [self.known["."], self.known[","]]
-        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, size = np.frombuffer(b"".join(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
         begin = np.cumsum(size) - size
         base = bases.indices.to_numpy()
         ended = np.flatnonzero(pc.or_(dot, comma).to_numpy(zero_copy_only=False))
@@ -126,7 +131,7 @@ class WordEncoder:
         """(ids of all texts in turn with ``end_id`` after each, where each begins and the last ends)."""
         if not self.by_word:
             found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-            return (np.concatenate([np.array(x, np.uint32) for x in found]) if found else np.zeros(0, np.uint32),
+            return (np.concatenate([np.array(x, self.kind) for x in found]) if found else np.zeros(0, self.kind),
                     np.cumsum([0, *map(len, found)]))
         data, ends = utf8_bytes(texts)
         place, words, first = distinct_words(data, ends)
@@ -135,7 +140,7 @@ class WordEncoder:
         stops = np.cumsum(sizes)
         ids = flat[laid_out((np.cumsum(size) - size)[place], sizes)]
         bounds = np.concatenate([[0], stops])[first]
-        out = np.empty(len(ids) + len(texts), np.uint32)
+        out = np.empty(len(ids) + len(texts), self.kind)
         at = bounds + np.arange(len(bounds))
         inner = np.ones(len(out), bool)
         inner[at[1:] - 1] = False
@@ -146,7 +151,9 @@ class WordEncoder:
 
 def laid_out(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Places ``begin[i]`` to ``begin[i] + size[i]`` for all i in turn."""
-    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+    total = int(size.sum())
+    kind = np.int32 if max(total, int(begin.max(initial=0)) + int(size.max(initial=0))) < 1 << 31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((begin - (np.cumsum(size) - size)).astype(kind), size)
 
 
 def as_list(words: pa.Array) -> list[str]:
@@ -173,8 +180,14 @@ def distinct_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.A
     return coded.indices.to_numpy(), coded.dictionary, np.searchsorted(starts, ends)
 
 
-def tokenized(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> DataFrame:
-    """``shard, seq, doc_id, n, ids`` in ascending ``doc_id`` order (ids: 32-bit, little-endian)."""
+def id_type(vocab_size: int) -> str:
+    """The smallest little-endian unsigned type that holds the ids between the steps."""
+    return "<u2" if vocab_size <= 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, vocab_path: str, vocab_size: int, end_id: int = END_ID) -> DataFrame:
+    """``shard, seq, doc_id, n, ids`` in ascending ``doc_id`` order (ids as ``id_type``)."""
+    kind_of_id = np.dtype(id_type(vocab_size))
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
@@ -184,7 +197,8 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> DataFra
         for batch in slices(batches, "text", SLICE_BYTES):
             ids, at = encoder.encode(batch.column(1), end_id)
             n = batch.num_rows
-            raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+            raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((at * kind_of_id.itemsize).astype(np.int64)),
+                                                               pa.py_buffer(np.ascontiguousarray(ids, kind_of_id))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0),
                  pa.array(np.diff(at)), raw.cast(pa.binary())],
@@ -202,7 +216,7 @@ def id_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
         total = np.zeros(vocab_size, np.int64)
         for batch in batches:
             raw, _ = utf8_bytes(batch.column(0))
-            every = np.frombuffer(raw.tobytes() if raw.ctypes.data % 4 else raw, "<u4")
+            every = np.frombuffer(raw.tobytes() if raw.ctypes.data % 4 else raw, id_type(vocab_size))
             for lo in range(0, len(every), 1 << 22):
                 total += np.bincount(every[lo: lo + (1 << 22)], minlength=vocab_size)
         ids = np.flatnonzero(total)
@@ -224,7 +238,7 @@ def write_token_file(docs: DataFrame, path: str, vocab_path: str, vocab_size: in
     """
     spark = docs.sparkSession
     with arrow_rows(spark, BATCH_ROWS):
-        tokens = written(tokenized(docs, vocab_path, end_id), "tokens")
+        tokens = written(tokenized(docs, vocab_path, vocab_size, end_id), "tokens")
     with arrow_rows(spark, BATCH_ROWS):
         lengths = huffman.code_lengths(id_counts(tokens, vocab_size))
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id, huffman.STRIDE)],
@@ -239,7 +253,7 @@ def write_token_file(docs: DataFrame, path: str, vocab_path: str, vocab_size: in
         ids, sizes, names, at, n = [], [], [], None, 0
 
         def block():
-            every = np.frombuffer(b"".join(ids), np.uint32)
+            every = np.frombuffer(b"".join(ids), id_type(vocab_size))
             payload, bits, marks = huffman.encode(every, codes, own)
             return pa.RecordBatch.from_arrays(
                 [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64()),

@@ -43,4 +43,4 @@ def test_cache_is_bounded_and_long_words_pass(encoder, monkeypatch):
     for k in range(5):
         _same(encoder, [f"w{k}x{i}" for i in range(50)] + ["q" * 20_000])
         assert len(encoder.known) <= 60
-    assert np.array_equal(encoder.encode(pa.array([], pa.string()), 1)[0], np.zeros(0, np.uint32))
+    assert len(encoder.encode(pa.array([], pa.string()), 1)[0]) == 0
