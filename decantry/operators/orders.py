@@ -51,6 +51,40 @@ def explode_items(orders: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFra
     return typed_items(flat)
 
 
+def with_stored_items(orders: DataFrame, items_json: str = "items_json") -> DataFrame:
+    """``items_json`` (an order's items as JSON text) replaced by ``items``, typed for the store.
+
+    Each item keeps its texts beside ``perfume``, ``ml`` and ``qty_n``. One that is no object, or
+    whose size or quantity does not parse, is also kept as it came in ``rescued`` (its numbers
+    are those of an empty text); it does not touch the items beside it. Text that is no array
+    gives no items. Typed once here, items are read back by ``explode_stored_items`` without
+    parsing, and without a shuffle."""
+    def parts(e):
+        return F.struct(e.alias("text"), F.when(e.startswith("{"), F.from_json(e, ITEM_SCHEMA.elementType)).alias("i"))
+
+    def typed(x):
+        i = x["i"]
+        bad = i.isNull() | X.size_is_bad(i["size"]) | X.qty_is_bad(i["qty"])
+        return F.struct(i["name"].alias("name"), i["size"].alias("size"), i["qty"].alias("qty"), F.trim(i["name"]).alias("perfume"),
+                        X.size_ml(i["size"]).alias("ml"), X.qty_value(i["qty"]).alias("qty_n"),
+                        F.when(bad, F.coalesce(x["text"], F.lit("null"))).alias("rescued"))
+
+    # Element by element: one that does not fit would null the whole array.
+    texts = F.when(F.json_array_length(items_json).isNotNull(), F.from_json(F.col(items_json), T.ArrayType(T.StringType())))
+    items = F.transform(F.transform(F.coalesce(texts, F.array().cast("array<string>")), parts), typed)
+    return orders.withColumn("items", items).drop(items_json)
+
+
+def explode_stored_items(orders: DataFrame, keep: tuple[str, ...] = ("id",),
+                         fields: tuple[str, ...] = ("perfume", "ml", "qty_n", "rescued")) -> DataFrame:
+    """One row per stored item with ``quarantine`` (it was rescued); the scan reads only the
+    named fields of the items."""
+    # Zipped field by field: of an exploded struct with several fields used the scan would read all.
+    flat = (orders.select(*keep, F.explode(F.arrays_zip(*[F.col(f"items.{f}") for f in fields])).alias("it"))
+            .select(*keep, *[F.col(f"it.{f}").alias(f) for f in fields]))
+    return flat.withColumn("quarantine", F.col("rescued").isNotNull()) if "rescued" in fields else flat
+
+
 # ---------------------------------------------------------------- O-A1 ingest
 def ingest_orders(raw: DataFrame) -> DataFrame:
     """Validate raw order requests (``items_json`` is the request's JSON text).

@@ -33,6 +33,35 @@ def explode_items(spark, d):
     return O.explode_items(nested).withColumnRenamed("id", "order_id")
 
 
+STORED_ITEMS_SQL = """
+SELECT order_id, line, name, CASE WHEN order_id % 97 = 5 AND line % 4 = 2 THEN '1.2.3 ml' ELSE size END AS size,
+       CASE WHEN order_id % 89 = 7 AND line % 4 = 1 THEN 'two' ELSE qty END AS qty FROM f_items"""
+
+
+@query("explode_stored_items", "O-A6+2.3-Sinks", oracle="""
+SELECT order_id, trim(name) AS perfume,
+       coalesce(TRY_CAST(nullif(regexp_replace(size, '[^0-9.]', '', 'g'), '') AS DECIMAL(18,4)), CAST(0 AS DECIMAL(18,4))) AS ml,
+       coalesce(TRY_CAST(nullif(qty, '') AS DECIMAL(18,4)), CAST(1 AS DECIMAL(18,4))) AS qty_n,
+       size = '1.2.3 ml' OR qty = 'two' AS quarantine,
+       CASE WHEN size = '1.2.3 ml' OR qty = 'two'
+            THEN '{"name":"' || name || '","size":"' || size || '","qty":"' || qty || '"}' END AS rescued
+FROM sent WHERE order_id IN (SELECT id FROM f_orders)""", extra_views={"sent": STORED_ITEMS_SQL})
+def explode_stored_items(spark, d):
+    """Orders with their items as sent (some sizes and quantities do not parse) stored once,
+    typed, and their items read back from the store."""
+    import uuid
+
+    from decantry.session import ensure_checkpoint_dir
+    from decantry.sources import store as ST
+    k, line = F.col("order_id"), F.col("line")
+    sent = (D.f_items(spark, d).withColumn("size", F.when((k % 97 == 5) & (line % 4 == 2), F.lit("1.2.3 ml")).otherwise(F.col("size")))
+            .withColumn("qty", F.when((k % 89 == 7) & (line % 4 == 1), F.lit("two")).otherwise(F.col("qty"))))
+    raw = D.nest_items(D.f_orders_core(spark, d).select("id", "status", "created_at"), sent)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-order-items-{uuid.uuid4().hex[:12]}"
+    ST.create_store(O.with_stored_items(raw.withColumn("items_json", F.to_json("items")).drop("items")), path, "id", buckets=16)
+    return O.explode_stored_items(ST.read_store(spark, path)).withColumnRenamed("id", "order_id")
+
+
 @query("list_orders", "O-A3", oracle=f"""
 SELECT o.id, o.order_number, o.customer_id, o.customer_name, o.customer_phone, o.delivery_zone, o.notes,
        coalesce(t.items_text, '') AS items_text, array_to_string(o.reward_ids, ',') AS reward_ids_text,
@@ -46,13 +75,13 @@ def list_orders(spark, d):
                          "order_total", "status", "accounted_at", "delivered_at", "created_at", "updated_at")
 
 
-@query("customer_order_history", "O-A4", oracle="""
-SELECT o.customer_id, o.id, o.order_number, o.delivery_zone, o.order_total, o.status,
+@query("customer_order_history", "O-A4", oracle=f"""
+SELECT o.customer_id, o.id, o.order_number, o.delivery_zone, coalesce(t.items_text, '') AS items_text, o.order_total, o.status,
        o.created_at, o.updated_at, o.delivered_at
-FROM f_orders o WHERE o.customer_id IN (SELECT id FROM f_customers)""")
+FROM f_orders o LEFT JOIN {_ITEMS_TEXT_SQL} t ON o.id = t.order_id WHERE o.customer_id IN (SELECT id FROM f_customers)""")
 def customer_order_history(spark, d):
-    hist = O.customer_order_history(D.f_orders(spark, d), D.f_customers(spark, d).select(F.col("id").alias("customer_id")))
-    return hist.select("customer_id", "id", "order_number", "delivery_zone", "order_total", "status",
+    hist = O.customer_order_history(D.f_orders_nested(spark, d), D.f_customers(spark, d).select(F.col("id").alias("customer_id")))
+    return hist.select("customer_id", "id", "order_number", "delivery_zone", _items_text().alias("items_text"), "order_total", "status",
                        "created_at", "updated_at", "delivered_at")
 
 

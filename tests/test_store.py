@@ -161,3 +161,20 @@ def test_ten_ledger_batches_equal_one_replay(spark, tmp_dir, kind):
             ST.merge_batch(spark, path, f"batch-{k}", batch.select("customer_id"), lambda c, batch=batch: LG.merged(c, batch))
     got = {r[0]: Decimal(r[1]) for r in ST.read_store(spark, path).select("customer_id", LG.balance()).collect()}
     assert got == _walk(steps)
+
+
+def test_stored_items_read_back_without_a_shuffle(spark, tmp_dir):
+    rows = [(1, '[{"name":" Eros ","size":"10 ml","qty":2},{"name":"x","size":"1.2.3","qty":"1"},{"name":null,"size":"","qty":"two"}]'),
+            (2, "[]"), (3, None), (4, '{"name":"alone"}'), (5, '[7, {"name":"y"}]'), (6, "not json")]
+    raw = spark.createDataFrame(rows, "id long, items_json string")
+    path = os.path.join(tmp_dir, "items")
+    ST.create_store(O.with_stored_items(raw), path, "id", buckets=4)
+    stored = ST.read_store(spark, path)
+    got = sorted((r.id, r.perfume, str(r.ml), str(r.qty_n), r.quarantine) for r in O.explode_stored_items(stored).collect() if r.perfume)
+    assert got == [(1, "Eros", "10.0000", "2.0000", False), (1, "x", "0.0000", "1.0000", True), (5, "y", "0.0000", "1.0000", False)]
+    kept = [r.rescued for r in O.explode_stored_items(stored).collect() if r.quarantine]
+    assert sorted(kept) == ["7", '{"name":"x","size":"1.2.3","qty":"1"}', '{"name":null,"size":"","qty":"two"}']
+    plan = O.explode_stored_items(stored, fields=("ml", "qty_n")).groupBy().agg(F.sum("ml"))
+    text = O.explode_stored_items(stored, fields=("ml", "qty_n"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "items:array<struct<ml:decimal(18,4),qty_n:decimal(18,4)>>" in text
+    assert plan.count() == 1
