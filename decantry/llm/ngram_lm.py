@@ -26,7 +26,6 @@ Words are named by 64-bit hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -15,8 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import zstandard
 
-from decantry.llm.textwords import mixed
-
 PART_KEYS = 1 << 20
 LEAST_PARTS = 16
 

@@ -2,7 +2,6 @@
 
 import unicodedata
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
