@@ -47,8 +47,8 @@ SELECT o.o_orderkey AS id,
        '+34 600 ' || lpad(CAST(o.o_custkey AS VARCHAR), 6, '0') AS customer_phone,
        n.n_name AS delivery_zone,
        CAST(NULL AS VARCHAR) AS notes,
-       CASE WHEN o.o_orderpriority = '1-URGENT' THEN ['reward-1']
-            WHEN o.o_orderpriority = '2-HIGH' THEN ['reward-2', 'reward-3']
+       CASE WHEN o.o_orderpriority = '1-URGENT' THEN ['reward-' || CAST(o.o_orderkey % s.n AS VARCHAR)]
+            WHEN o.o_orderpriority = '2-HIGH' THEN ['reward-' || CAST(o.o_orderkey * 7 % s.n AS VARCHAR), 'reward-' || CAST((o.o_orderkey * 7 + 1) % s.n AS VARCHAR)]
             ELSE CAST([] AS VARCHAR[]) END AS reward_ids,
        CAST(o.o_totalprice AS DECIMAL(12,2)) AS order_total,
        CASE WHEN o.o_orderstatus = 'F' THEN 'delivered'
@@ -60,6 +60,7 @@ SELECT o.o_orderkey AS id,
        o.o_orderdate AS created_at,
        o.o_orderdate AS updated_at
 FROM orders o
+CROSS JOIN (SELECT count(*) AS n FROM supplier) s
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"""
 

@@ -138,8 +138,10 @@ def f_orders_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     status = _order_status()
     guest = k % 11 == 0
-    rewards = (F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("reward-1")))
-               .when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit("reward-2"), F.lit("reward-3")))
+    settings = row_count(spark, sf_dir, "supplier")
+    named = lambda place: F.concat(F.lit("reward-"), (place % settings).cast("string"))
+    rewards = (F.when(F.col("o_orderpriority") == "1-URGENT", F.array(named(k)))
+               .when(F.col("o_orderpriority") == "2-HIGH", F.array(named(k * 7), named(k * 7 + 1)))
                .otherwise(F.array().cast("array<string>")))
     return o.select(k.alias("id"),
                     F.concat(F.lit("P-"), F.lpad(k.cast("string"), 8, "0")).alias("order_number"),
