@@ -6,7 +6,8 @@ result as Parquet in the shared folder and reads it again as the next one's ``do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decantry.llm.common import drop_paths, scratch_made, table, written
@@ -27,6 +28,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).where(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with ``_row``, a number of their own that a second reading repeats.
+
+    Rows of Parquet files, as ``run`` hands them on, are named by file and place, without a
+    copy of the texts; any other frame is written with its numbers first.
+    """
+    try:
+        at = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    # One row a file.
+    files = written(at.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).cast("long").alias("_n")), "files")
+    return at.join(files, "_file").select(*COLUMNS, F.shiftleft("_n", 40).bitwiseOR(F.col("_at")).alias("_row"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: the one with the smallest id (null only where no row has one).
 
@@ -36,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest id the first by that number stays. Texts without words are linked with nothing
     and stay, each row of them.
     """
-    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs)
     groups = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"), **NEAR)
     linked = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "linked")
     members = linked.union(linked.select(F.col("_group").alias("_row"), "_group").distinct())
