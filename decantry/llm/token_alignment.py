@@ -43,11 +43,12 @@ SLICE_BYTES = 4 << 20
 LANE_BYTES = 1 << 11
 PAIRED_WHOLE = 1 << 12  # links of a group up to which its pairs are written out one by one
 LINKS_AT_ONCE = 1 << 21
-KNOWN_BYTES = 64 << 20  # words and their ids that a worker keeps, with some 160 bytes of Python for each
+KNOWN_BYTES = 160 << 20  # words and their ids that a worker keeps, with some 160 bytes of Python for each
 LONG_WORD = 1 << 12
 
 _WHITE = re.compile(r" \s| $|^\s|^$")
 _CUT = re.compile(r"(?= \S)")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 class Side:
@@ -97,6 +98,7 @@ class ByteBpe(Side):
                         and not first.get("add_prefix_space") and file.get("truncation") is None)
         self.known: dict[str, bytes] = {}
         self.held = 0
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -126,19 +128,33 @@ class ByteBpe(Side):
         for w, e in zip(odd, self.tokenizer.encode_batch([" " + w for w in odd], add_special_tokens=False), strict=True):
             yield w, np.array(e.ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Words the cache lacks. Letters below U+0250 are always cut from a full stop or comma
+        behind them, so that such a word needs no call where its letters are known."""
+        ended = [w for w in words if len(w) > 1 and w[-1] in ".," and _LETTERS.fullmatch(w, 0, len(w) - 1)]
+        rest = dict.fromkeys([*set(words).difference(ended), *(w[:-1] for w in ended)])
+        for word, ids in self._learnt([w for w in rest if w not in self.known]):
+            self._keep(word, ids)
+        for w in ended:
+            self._keep(w, self.known[w[:-1]] + self.marks[w[-1]])
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        # A very long word is kept for this slice only.
+        self.held += KNOWN_BYTES if len(word) > LONG_WORD else len(ids) + 2 * len(word) + 160
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             found = self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)
             return [np.array(e.ids, np.int64) for e in found]
-        if self.held > KNOWN_BYTES:
-            self.known, self.held = {}, 0
         cut = [self._cut(t) for t in texts]
-        for word, ids in self._learnt(list(set().union(*cut).difference(self.known))):
-            self.known[word] = ids
-            # A very long word is kept for this slice only.
-            self.held += KNOWN_BYTES if len(word) > LONG_WORD else len(ids) + 2 * len(word) + 160
+        words = set().union(*cut)
+        if self.held > KNOWN_BYTES:  # of the words kept, those of this slice stay
+            self.known = {w: self.known[w] for w in words if w in self.known}
+            self.held = sum(len(ids) + 2 * len(w) + 160 for w, ids in self.known.items())
+        self._learn(list(words.difference(self.known)))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4").astype(np.int64) for words in cut]
+        return [np.frombuffer(b"".join(map(get, own)), "<u4").astype(np.int64) for own in cut]
 
 
 class PieceBpe(Side):

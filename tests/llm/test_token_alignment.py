@@ -144,3 +144,21 @@ def test_words_give_the_ids_of_the_whole(sides, parts):
 def test_any_text_gives_the_ids_of_the_whole(sides, text):
     text = text.encode("utf-8", "ignore").decode()
     assert sides[0].encode([text])[0].tolist() == sides[0].tokenizer.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_letters_are_cut_from_what_ends_them(sides):
+    letters = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha()]
+    texts = [f"x{c}{e} {c}{c.upper()}{e}\n{c}{e}" for c in letters for e in (".", ",")] + ["don't, it's. a.b, ,. ., İ. ª, x.. y,,"]
+    for _ in range(2):  # the second time from the cache
+        for t, ids in zip(texts, sides[0].encode(texts), strict=True):
+            assert ids.tolist() == sides[0].tokenizer.encode(" " + t, add_special_tokens=False).ids
+
+
+def test_the_cache_keeps_to_its_bound(sides, monkeypatch):
+    import decantry.llm.token_alignment as T
+    monkeypatch.setattr(T, "KNOWN_BYTES", 2000)
+    for k in range(4):
+        texts = [f"w{k}x{i}, the" for i in range(40)] + ["q" * 9000 + " the"]
+        for t, ids in zip(texts, sides[0].encode(texts), strict=True):
+            assert ids.tolist() == sides[0].tokenizer.encode(" " + t, add_special_tokens=False).ids
+        assert len(sides[0].known) < 200
