@@ -356,9 +356,9 @@ def test_registered_queries_agree_with_their_sql(spark, sf_small):
     import duckdb
 
     from decantry.llm.queries import ORACLES, QUERIES
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{sf_small}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, sf_small)
