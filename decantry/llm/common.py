@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -74,6 +75,14 @@ def drop_scratch(spark: SparkSession) -> None:
     delete_folder(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/decantry-llm")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier steps left: Spark deletes shuffle files and broadcasts only once the
+    driver's JVM has collected the frames that made them, which may take long where the heap
+    is large and the steps are many."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from decantry.llm.common import map_arrow, slices, text_or_empty, utf8_bytes, written
+from decantry.llm.common import map_arrow, release, slices, text_or_empty, utf8_bytes, written
 from decantry.llm.components import components
 from decantry.llm.repeats import is_repeated, packed, repeated_bits, sizes, with_known
 from decantry.llm.textwords import SPACED, mixed, words
@@ -414,13 +414,16 @@ def _starred(met: DataFrame) -> DataFrame:
 
 def _linked_classes(keys: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, need: int, of: int) -> DataFrame:
     """``node, root``: classes that hang on another class of their component."""
+    spark = keys.sparkSession
     met = written(_starred(_rarest(keys)), "met")
+    release(spark)
     star = (met.select(F.col("via").alias("pivot"), "class").union(met.where("class = via").select("pivot", "class"))
             .where("pivot <> class").groupBy("pivot", "class").agg(F.count("*").alias("shared")))
     star = written(star, "star")
 
     best = star.groupBy("class").agg(F.max_by("pivot", F.struct("shared", F.negative("pivot"))).alias("pivot"))
     done = _verified(best.select("pivot", "class"), rows, classes, shingle)
+    release(spark)
     links = _links(done, need, of)
     roots = written(components(links), "roots")
 
@@ -430,13 +433,16 @@ def _linked_classes(keys: DataFrame, rows: DataFrame, classes: DataFrame, shingl
                 .join(done.select("pivot", "class"), ["pivot", "class"], "left_anti"))
 
     second = written(crossing(star.select("pivot", "class")), "second")
+    release(spark)
     if not second.isEmpty():
         more = _verified(second, rows, classes, shingle)
         done = written(done.union(more), "done")
         links = links.union(_links(more, need, of))
         roots = written(components(links), "roots")
 
+    release(spark)
     third = written(_third_round(met, done, roots, rows, classes, shingle, need, of), "third")
+    release(spark)
     if not third.isEmpty():
         links = links.union(_links(_verified(third, rows, classes, shingle), need, of))
         roots = written(components(links), "roots")
