@@ -19,13 +19,14 @@ from decantry.llm.queries import VOCAB_SIZE, vocab_path
 from decantry.llm.token_file import document_index, token_file_path, write_token_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-FEW, MANY = 1_000, 10_000  # rows of whole texts in an Arrow batch; of the n-gram join's slices
+BATCH_BYTES = 7 << 20
 NEAR = {"shingle": 5, "need": 80, "of": 100}  # of the stage; op2's own values bind op2 only
 
 
-def arrow_rows(spark: SparkSession, most: int) -> None:
-    """Documents in one Arrow batch from here on: the frame a stage returns is run after it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+def arrow_bytes(spark: SparkSession) -> None:
+    """Bound the Arrow batches between the JVM and its Python workers, which hold whole texts, from
+    here on: the frame that a stage returns is run after it. A longer text is a batch alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts get the score of an empty text; repeated rows stay or go together;
     columns beyond those of documents are left out; an empty table stays empty."""
-    arrow_rows(spark, FEW)
+    arrow_bytes(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).where(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
@@ -62,7 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest id the first by that number stays. Texts without words are linked with nothing
     and stay, each row of them.
     """
-    arrow_rows(spark, MANY)
+    arrow_bytes(spark)
     rows = numbered(docs)
     groups = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"), **NEAR)
     linked = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "linked")
@@ -75,7 +76,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window; those without words, null or empty, stay."""
-    arrow_rows(spark, FEW)
+    arrow_bytes(spark)
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=("text", "lang", "source", "n_chars"))
     return found.where(F.size("spans") == 0).select(*COLUMNS)
 
@@ -89,7 +90,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token file of all taken documents, as its index read back from the file: a row a document
     row, null and empty texts with the end id alone."""
-    arrow_rows(spark, FEW)
+    arrow_bytes(spark)
     path = write_token_file(docs, token_file_path(spark), vocab_path(), VOCAB_SIZE)
     return document_index(spark, path)
 
