@@ -63,44 +63,66 @@ def search_customers(customers: DataFrame, q: str) -> DataFrame:
     return customers.filter(hit)
 
 
-def _pieces(text) -> F.Column:
-    """All runs of one, two and three characters of ``text``, each once."""
-    def runs_of(size: int) -> F.Column:
-        at = F.sequence(F.lit(1), F.length(text) - (size - 1))
-        return F.when(F.length(text) >= size, F.transform(at, lambda i: F.substr(text, i, F.lit(size))))
+#: Customers are indexed by runs of at most this many characters, so a text of n characters has at
+#: most ``RUN`` * n of them.
+RUN = 32
 
-    runs = [runs_of(k) for k in (1, 2, 3)]
-    return F.array_distinct(F.flatten(F.filter(F.array(*runs), lambda r: r.isNotNull())))
 
+def run_index(people: DataFrame, sizes: F.Column, *more: str) -> DataFrame:
+    """``run, id`` and ``more``: which rows' name or phone (``_name``, ``_phone``) hold a run of one
+    of ``sizes`` characters, each run of a row once (where it stands first)."""
+    name, phone = F.col("_name"), F.col("_phone")
+    texts = F.array(F.struct(name.alias("text"), F.lit(None).cast("string").alias("before")), F.struct(phone.alias("text"), name.alias("before")))
+    each = (people.withColumn("_sizes", sizes).select("id", *more, F.explode(texts).alias("_t"), "_sizes")
+            .select("id", *more, "_t.text", "_t.before", F.explode("_sizes").alias("_size")).filter(F.length("text") >= F.col("_size")))
+    at = F.explode(F.sequence(F.lit(1), F.length("text") - F.col("_size") + 1)).alias("_at")
+    runs = each.select("id", *more, "text", "before", "_size", at).withColumn("run", F.substr("text", "_at", "_size"))
+    first = (F.position("run", "text") == F.col("_at")) & ~F.coalesce(F.col("before").contains(F.col("run")), F.lit(False))
+    return runs.filter(first).select("id", *more, "run")
 
-def piece_index(customers: DataFrame) -> DataFrame:
-    """``piece, id``: which customers' lower-case name or phone holds a run of up to three characters."""
-    text = F.concat(F.lower(F.coalesce("customer_name", F.lit(""))), F.lit("\n"), F.coalesce("customer_phone", F.lit("")))
-    return (customers.select("id", F.explode(_pieces(text)).alias("piece")).filter(~F.col("piece").contains("\n")))
 
-
-def search_many(customers: DataFrame, queries: DataFrame) -> DataFrame:
+def search_many(customers: DataFrame, queries: DataFrame, parts: int | None = None) -> DataFrame:
     """``search_customers`` for a frame of queries (``q``): ``q, id`` of every match, each distinct
     query once, as ``lower(trim(q))``.
 
-    Every customer that holds a query holds all its pieces, so a query meets only those of its
-    rarest piece, by an equi-join; ``contains`` decides. A query of one or two characters is
-    itself a piece. The blank query matches every customer, and a null one none.
+    A query is looked up as a whole: customers are laid out by their runs of the lengths that
+    queries have, and a query meets exactly the customers that hold it, by an equi-join. So the
+    work follows the characters of the customers and the matches, not customers times queries.
+    A query longer than ``RUN`` meets the customers that hold its first ``RUN`` characters, and
+    ``contains`` decides. The blank query matches every customer, and a null one none.
+    Rows that share an id answer a query together: each matching row once for every matching row.
+    ``parts`` lays the customers out in so many tasks and their runs in twice as many: a small
+    row has some hundred runs.
     """
-    index = piece_index(customers)
-    sizes = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.select(F.lower(F.trim("q")).alias("q")).filter(F.col("q").isNotNull()).distinct()
-    size = F.least(F.lit(3), F.length("q"))
-    runs = F.transform(F.sequence(F.lit(1), F.length("q") - size + 1), lambda i: F.substr(F.col("q"), i, size))
-    parts = asked.filter("q <> ''").select("q", F.explode(F.array_distinct(runs)).alias("piece"))
-    rare = (parts.join(sizes, "piece", "left").groupBy("q")
-            .agg(F.min_by("piece", F.coalesce("n", F.lit(0))).alias("piece")))
-    text = customers.select("id", F.lower("customer_name").alias("_name"), F.col("customer_phone").alias("_phone"))
-    hits = rare.join(index, "piece").join(text, "id")
-    found = hits.filter(F.coalesce(F.col("_name").contains(F.col("q")), F.lit(False)) | F.coalesce(F.col("_phone").contains(F.col("q")), F.lit(False)))
+    def holds(name, phone):
+        return F.coalesce(name.contains(F.col("q")), F.lit(False)) | F.coalesce(phone.contains(F.col("q")), F.lit(False))
+
+    q = F.lower(F.trim("q"))
+    size = F.least(F.length(q), F.lit(RUN))
+    sizes = queries.filter(size > 0).select(F.collect_set(size)).scalar()
+    asked = queries.select(q.alias("q")).filter(F.col("q").isNotNull()).distinct()
+    row = F.struct(F.lower("customer_name").alias("_name"), F.col("customer_phone").alias("_phone"))
+    named = customers.filter(F.col("id").isNotNull())
+    rows = (named if parts is None else named.repartition(parts, "id")).groupBy("id").agg(F.collect_list(row).alias("_rows"))
+    people = rows.select("id", F.when(F.size("_rows") > 1, F.col("_rows")).alias("_rows"), F.explode("_rows").alias("_row")).select("id", "_rows", "_row.*")
+
+    short = asked.filter((F.length("q") > 0) & (F.length("q") <= RUN))
+    index = run_index(people, sizes, "_rows")
+    if parts is not None:
+        short, index = short.repartition(2 * parts, "q"), index.repartition(2 * parts, "run")
+    # a merge join: the runs are many times the size that Spark estimates from the customers
+    found = short.join(index.hint("merge"), F.col("q") == F.col("run")).select("q", "id", "_rows")
+    wide = people.filter((F.length("_name") > RUN) | (F.length("_phone") > RUN))
+    heads = run_index(wide, F.array(F.lit(RUN)), "_rows", "_name", "_phone")
+    rest = (asked.filter(F.length("q") > RUN).join(heads.hint("merge"), F.substring("q", 1, RUN) == F.col("run"))
+            .filter(holds(F.col("_name"), F.col("_phone"))).select("q", "id", "_rows"))
+    hits = found.unionByName(rest)
+    times = F.when(F.col("_rows").isNull(), F.lit(1)).otherwise(F.size(F.filter("_rows", lambda r: holds(r["_name"], r["_phone"]))))
+    hits = hits.select("q", "id", F.explode(F.array_repeat(F.lit(0), times))).select("q", "id")
+
     blank = asked.filter("q = ''").select(F.count(F.lit(1))).scalar()
-    named = F.col("customer_name").isNotNull() | F.col("customer_phone").isNotNull()
-    return found.select("q", "id").unionByName(customers.filter(named & (blank > 0)).select(F.lit("").alias("q"), "id"))
+    texts = F.col("customer_name").isNotNull() | F.col("customer_phone").isNotNull()
+    return hits.unionByName(customers.filter(texts & (blank > 0)).select(F.lit("").alias("q"), "id"))
 
 
 def customer_360(customers: DataFrame, orders: DataFrame, members: DataFrame, balances: DataFrame,

@@ -10,6 +10,7 @@ from decantry.operators import rewards as R
 from decantry.plans.q_lifecycle import LIFE_VIEWS, _members
 from decantry.plans.q_rewards import BALANCES_SQL, snapshot_balances
 from decantry.plans.registry import query
+from decantry.session import parts_for
 from decantry.sources import driver as D
 
 _LEVEL_SQL = "['Initiate', 'Explorer', 'Connoisseur', 'Collector', 'Curator'][least(4, ({n} * 4) // greatest({t}, 1)) + 1]"
@@ -179,7 +180,7 @@ def search_many_customers(spark, d):
          .when(kind == "click", F.lpad(text(F.col("user_id") * 7 % 1000), 4, "0"))
          .when(kind == "purchase", F.concat(F.lit("00 "), F.lpad(text(F.col("user_id")), 6, "0")))
          .when(kind == "signup", text(F.col("event_id") % 100)).otherwise(F.concat(F.lit("no such "), text(F.col("event_id")))))
-    return U.search_many(D.f_customers(spark, d), e.select(q.alias("q")))
+    return U.search_many(D.f_customers(spark, d), e.select(q.alias("q")), parts_for(spark, D.row_count(spark, d, "customer"), each=20_000))
 
 
 _LISTS_SQL = {

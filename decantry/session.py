@@ -108,6 +108,11 @@ def default_parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
+    """Tasks for ``rows`` rows, at most about ``each`` a task; at least one a core."""
+    return max(default_parallelism(spark), -(-rows // each))
+
+
 _SHIPPED: set = set()
 
 

@@ -89,3 +89,20 @@ def test_search_many_has_no_nested_loop_over_customers(spark):
     found = U.search_many(frame, spark.createDataFrame([("an",)], "q string"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_search_many_looks_whole_queries_up(spark):
+    """A query meets the customers that hold it whole, however many share its pieces; long queries,
+    runs that repeat in a text and rows that share an id."""
+    long = "x" * U.RUN
+    people = [(i, f"Customer#{i:09d}", f"+34 600 {i:06d}") for i in range(400)]
+    people += [(900, long + "end", None), (901, long + "und", "1"), (902, "abab abab", "abab"), (None, "nobody", None), (903, "twin", "7"), (903, "twin", "8")]
+    frame = spark.createDataFrame(people, "id long, customer_name string, customer_phone string")
+    asked = ["omer#000000123", "00 000321", long + "END", "bab", "nobody", "twin", "8"]
+    queries = spark.createDataFrame([(q,) for q in asked], "q string")
+    got = sorted((r.q, r.id) for r in U.search_many(frame, queries).collect() if r.q != "8" or r.id == 903)
+    assert got == [("00 000321", 321), ("8", 903), ("bab", 902), ("omer#000000123", 123),
+                   *[("twin", 903)] * 4, (long + "end", 900)]
+    names = frame.filter("id < 400").select("id", F.lower("customer_name").alias("_name"), F.col("customer_phone").alias("_phone"))
+    index = U.run_index(names, F.array(F.lit(14)))
+    assert index.join(queries.select(F.col("q").alias("run")), "run").count() == 1
