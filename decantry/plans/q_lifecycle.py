@@ -9,6 +9,7 @@ from decantry.operators import lifecycle as L
 from decantry.operators import orders as O
 from decantry.plans.q_orders import CREDENTIALS_SQL, credentials
 from decantry.plans.registry import query
+from decantry.session import parts_for
 from decantry.sources import driver as D
 from decantry.sources.driver import memo_view
 
@@ -74,10 +75,15 @@ SELECT customer_id, perfume, 'ORDER-' || owner.n AS source_code FROM fold_final
 
 @memo_view
 def _events(spark, d):
-    valid, _ = L.validate_status_events(D.f_status_events(spark, d), D.f_orders_core(spark, d))
+    valid, _ = L.validate_status_events(D.f_status_events(spark, d), D.f_orders_core(spark, d), _by_order(spark, d))
     return valid
 
 
+def _by_order(spark, d):
+    """Tasks that share the status events and the orders."""
+    return parts_for(spark, D.row_count(spark, d, "events") + D.row_count(spark, d, "orders"))
+
+
 @memo_view
 def _final(spark, d):
     return L.order_status_final(_events(spark, d))
@@ -91,7 +97,8 @@ def _members(spark, d):
 def status_requests(spark, d):
     """Status changes as they are asked for: some name no status, or an order that is not there."""
     e, v = D.f_status_events(spark, d), D.read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("value").alias("_v"))
-    e = e.join(v, "seq")
+    parts = parts_for(spark, 2 * D.row_count(spark, d, "events"))
+    e = e.repartition(parts, "seq").join(v.repartition(parts, "seq"), "seq")
     status = F.when(F.col("_v") < 5, F.lit("lost")).when(F.col("_v") >= 8, F.col("new_status"))
     return e.select(F.when(F.col("_v") > 120, F.col("order_id") + 10 ** 9).otherwise(F.col("order_id")).alias("order_id"), "seq",
                     status.alias("new_status"), "ts")
@@ -105,7 +112,7 @@ FROM (SELECT CASE WHEN v.value > 120 THEN s.order_id + 1000000000 ELSE s.order_i
              CASE WHEN v.value < 5 THEN 'lost' WHEN v.value >= 8 THEN s.new_status END AS new_status
       FROM f_status_events s JOIN events v ON v.event_id = s.seq) e""")
 def validate_status_events(spark, d):
-    valid, rej = L.validate_status_events(status_requests(spark, d), D.f_orders_core(spark, d))
+    valid, rej = L.validate_status_events(status_requests(spark, d), D.f_orders_core(spark, d), _by_order(spark, d))
     cols = ["order_id", "seq", "new_status"]
     return valid.select(*cols, F.lit(None).cast("string").alias("reject_reason")).unionByName(
         rej.select(*cols, "reject_reason"))

@@ -33,3 +33,19 @@ def test_the_ownership_fold_meets_transfers_and_several_owners(spark):
     per = held.filter("name is not null").groupBy("customer_id", "name").agg(F.count_distinct("order_id").alias("n"))
     assert per.filter("n > 2").count() > 1000
     assert held.select("name").distinct().count() > D.row_count(spark, d, "part") / 3
+
+
+def test_validate_status_events_lays_rows_out_by_number(spark):
+    """The layout follows the number of rows, which AQE does not merge again; odd keys keep their reasons."""
+    from decantry.operators import lifecycle as L
+    from decantry.session import parts_for
+    events = spark.createDataFrame([(1, 1, "ready"), (1, 2, "lost"), (1, 3, None), (None, 4, "ready"), (9, 5, "pending"), (9, 6, "lost")],
+                                   "order_id long, seq long, new_status string")
+    orders = spark.createDataFrame([(1,), (1,), (None,), (2,)], "id long")
+    assert parts_for(spark, 10 ** 8) == 200
+    for parts in (None, 13):
+        valid, rejected = L.validate_status_events(events, orders, parts)
+        assert [(r.order_id, r.seq) for r in valid.collect()] == [(1, 1)]
+        assert sorted((r.seq, r.reject_reason) for r in rejected.collect()) == [
+            (2, "invalid_status"), (3, "invalid_status"), (4, "order_not_found"), (5, "order_not_found"), (6, "invalid_status")]
+    assert "REPARTITION_BY_NUM" in valid._jdf.queryExecution().executedPlan().toString()
