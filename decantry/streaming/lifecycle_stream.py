@@ -5,11 +5,13 @@ The reference applies status changes one call at a time; here they arrive as a s
 micro-batch, after everything already applied for that customer (arrival order across
 batches is the late-data rule). Its state is fine-grained:
 
+* ``account``: the clamped totals, a version and, while the customer is small, all their orders and perfumes;
 * ``orders``: order id -> status and creation time (the first event seen);
-* ``perfumes``: perfume -> owner, live deliveries and unseen notifications;
-* ``balance``: the clamped totals and a version.
+* ``perfumes``: perfume -> owner, live deliveries and unseen notifications.
 
-A micro-batch reads and rewrites only the orders and perfumes that its events name, and
+A call to the state costs far more than its bytes, so a customer of up to ``SMALL`` entries is one value, read
+and written once a micro-batch. A larger one moves to the two maps for good: there a
+micro-batch reads and rewrites only the orders and perfumes that its events name. It
 emits only what changed: a library row or its removal, a notification or its removal, the
 balance. ``latest_views`` folds these changes into the current tables. The static side of the
 enrichment is the catalogue alone; an event brings its order's total, number and keys.
@@ -23,9 +25,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import datetime, timedelta
+from decimal import Decimal
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,12 +37,17 @@ from decantry.session import delete_folder, ensure_checkpoint_dir, ship_package
 
 OUTPUT_SCHEMA = ("customer_id long, version long, record string, perfume string, order_id long, source_code string, "
                  "created_at timestamp_ntz, total_spent decimal(18,2), bookmarks long, gone boolean")
+EPOCH = datetime(1970, 1, 1)
 ORDER_STATE = "status string, created_at long"
 PERFUME_STATE = ("owner long, ids array<long>, delivered_at array<long>, created_at array<long>, numbers array<string>, "
                  "note_ids array<long>, note_at array<long>")
-BALANCE_STATE = "cents long, bookmarks long, version long"
+ACCOUNT_STATE = ("cents long, bookmarks long, version long, in_maps boolean, "
+                 "order_ids array<long>, statuses array<string>, orders_at array<long>, "
+                 "names array<string>, owners array<long>, ids array<array<long>>, delivered_at array<array<long>>, "
+                 "created_at array<array<long>>, numbers array<array<string>>, note_ids array<array<long>>, note_at array<array<long>>")
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MANUAL, NOBODY = -1, -2     # owner (and notification order) of a manual unlock; no library row
+SMALL = 500                 # orders, perfumes, deliveries and notifications of a customer kept in one value
 
 
 class _Perfume:
@@ -92,17 +100,18 @@ class LifecycleProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.orders = handle.getMapState("orders", "order_id long", ORDER_STATE)
         self.perfumes = handle.getMapState("perfumes", "perfume string", PERFUME_STATE)
-        self.balance = handle.getValueState("balance", BALANCE_STATE)
+        self.account = handle.getValueState("account", ACCOUNT_STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        orders: dict[int, tuple] = {}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cents, bookmarks, version, in_maps, *kept = self.account.get() or (0, 0, 0, False, *([] for _ in range(11)))
+        orders: dict[int, tuple] = {i: (st, at) for i, st, at in zip(*kept[:3])}
+        values: dict[str, tuple] = {name: value for name, *value in zip(*kept[3:])}
         perfumes: dict[str, _Perfume] = {}
-        cents, bookmarks, version = (self.balance.get() if self.balance.exists() else None) or (0, 0, 0)
         had = (cents, bookmarks)
 
         def perfume(name):
             if name not in perfumes:
-                perfumes[name] = _Perfume(self.perfumes.getValue((name,)) if self.perfumes.containsKey((name,)) else None)
+                perfumes[name] = _Perfume(self.perfumes.getValue((name,)) if in_maps else values.get(name))
             return perfumes[name]
 
         for (ts, _, rank), order_id, status, order_cents, number, names, unlocked in self._in_order(rows):
@@ -113,7 +122,7 @@ class LifecycleProcessor(StatefulProcessor):
             if status not in X.ORDER_STATUSES:
                 continue
             if order_id not in orders:
-                orders[order_id] = self.orders.getValue((order_id,)) if self.orders.containsKey((order_id,)) else ("pending", ts)
+                orders[order_id] = (self.orders.getValue((order_id,)) if in_maps else None) or ("pending", ts)
             before, created = orders[order_id]
             orders[order_id] = (status, created)
             if (before == "delivered") == (status == "delivered"):
@@ -128,48 +137,48 @@ class LifecycleProcessor(StatefulProcessor):
                 else:
                     perfume(name).leave(order_id)
 
-        for order_id, value in orders.items():
-            self.orders.updateValue((order_id,), value)
         version += 1
         out = [] if had == (cents, bookmarks) else [("balance", None, None, None, None, cents, bookmarks, False)]
         for name, p in perfumes.items():
-            self.perfumes.updateValue((name,), p.value())
+            values[name] = p.value()
             owner, notes = p.had
             if owner != p.owner:
                 out.append(("library", name, p.owner if p.owner > MANUAL else None, p.source(), None, None, None, p.owner == NOBODY))
             out += [("notification", name, o if o > MANUAL else None, None, p.notes.get(o), None, None, o not in p.notes)
                     for o in {**notes, **p.notes} if notes.get(o) != p.notes.get(o)]
-        self.balance.update((cents, bookmarks, version))
-        if out:
-            yield self._frame(key[0], version, out)
+        in_maps = in_maps or len(orders) + sum(1 + len(v[1]) + len(v[5]) for v in values.values()) > SMALL
+        if in_maps:
+            for order_id, value in orders.items():
+                self.orders.updateValue((order_id,), value)
+            for name, value in values.items():
+                self.perfumes.updateValue((name,), tuple(value))
+            orders, values = {}, {}
+        columns = [list(orders), *self._columns(orders.values(), 2), list(values), *self._columns(values.values(), 7)]
+        self.account.update((cents, bookmarks, version, in_maps, *columns))
+        yield from self._rows(key[0], version, out)
+
+    @staticmethod
+    def _columns(values, n):
+        return [list(c) for c in zip(*values)] or [[] for _ in range(n)]
 
     @staticmethod
     def _in_order(rows):
         """One step an event, its perfumes together, by (ts, seq); admin changes after status changes at a tie."""
         steps: dict[tuple, list] = {}
-        for pdf in rows:
-            for order_id, status, ts, seq, cents, number, name, unlocked, rank in zip(
-                    pdf["order_id"].astype("Int64").tolist(), pdf["new_status"].tolist(), pdf["ts"].tolist(), pdf["seq"].tolist(),
-                    pdf["cents"].astype("Int64").tolist(), pdf["order_number"].tolist(), pdf["perfume"].tolist(),
-                    pdf["unlocked"].tolist(), pdf["rk"].tolist()):
-                at = (ts, seq, rank)
-                step = steps.setdefault((at, None if rank else order_id, name if rank else None),
-                                        [at, order_id, status, cents, number, set(), bool(unlocked)])
-                if name is not None and name == name and name.strip():
-                    step[5].add(name.strip())
-        return sorted(steps.values(), key=lambda s: s[0])
+        for r in rows:
+            at = (r.ts, r.seq, r.rk)
+            step = steps.setdefault((at, None if r.rk else r.order_id, r.perfume if r.rk else None),
+                                    [at, r.order_id, r.new_status, r.cents, r.order_number, set(), bool(r.unlocked)])
+            if r.perfume is not None and r.perfume.strip():
+                step[5].add(r.perfume.strip())
+        return sorted(steps.values(), key=lambda s: tuple((v is not None, v) for v in s[0]))
 
     @staticmethod
-    def _frame(customer_id, version, out) -> pd.DataFrame:
-        from decimal import Decimal
-
-        record, perfume, order_id, source, at, cents, bookmarks, gone = zip(*out)
-        return pd.DataFrame({
-            "customer_id": customer_id, "version": version, "record": record, "perfume": perfume,
-            "order_id": pd.array(order_id, "Int64"), "source_code": source,
-            "created_at": pd.to_datetime(pd.array(at, "Int64"), unit="us"),
-            "total_spent": [None if c is None else Decimal(c).scaleb(-2) for c in cents],
-            "bookmarks": pd.array(bookmarks, "Int64"), "gone": gone})
+    def _rows(customer_id, version, out) -> Iterator[Row]:
+        for record, perfume, order_id, source, at, cents, bookmarks, gone in out:
+            yield Row(customer_id=customer_id, version=version, record=record, perfume=perfume, order_id=order_id, source_code=source,
+                      created_at=None if at is None else EPOCH + timedelta(microseconds=at),
+                      total_spent=None if cents is None else Decimal(cents).scaleb(-2), bookmarks=bookmarks, gone=gone)
 
     def close(self) -> None:
         pass
@@ -202,7 +211,7 @@ def stream_lifecycle(events: DataFrame, manual: DataFrame | None = None) -> Data
     if manual is not None:
         steps = steps.unionByName(manual.select("customer_id", "perfume", "unlocked", _micros("ts").alias("ts"), "seq", F.lit(1).alias("rk")),
                                   allowMissingColumns=True)
-    return steps.groupBy("customer_id").transformWithStateInPandas(LifecycleProcessor(), OUTPUT_SCHEMA, "Update", "None")
+    return steps.groupBy("customer_id").transformWithState(LifecycleProcessor(), OUTPUT_SCHEMA, "Update", "None")
 
 
 @contextmanager

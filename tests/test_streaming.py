@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from decantry.operators import fold as FO
@@ -105,3 +106,54 @@ def test_rows_that_say_nothing(spark, sf_small, tmp_dir):
     assert _library(views) == {(7, "a"): "ORDER-P-5"}
     assert [(str(r.total_spent), r.bookmarks) for r in views.filter("record = 'balance'").collect()] == [("2.00", 2)]
     assert views.filter("record = 'notification'").count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 7, 500])
+def test_state_in_one_value_or_in_maps(small, monkeypatch):
+    """A customer's changes are the same with all state in one value, in the maps from the start, or
+    moved there on the way; a small customer costs one read and one write of state a micro-batch."""
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.rows, self.value = {}, None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def getValue(self, key):
+            calls.append("getValue")
+            return self.rows.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("updateValue")
+            self.rows[key] = value
+
+    class Handle:
+        def getMapState(self, *a):
+            return Held()
+
+        getValueState = getMapState
+
+    def run(limit):
+        monkeypatch.setattr(S, "SMALL", limit)
+        p = S.LifecycleProcessor()
+        p.init(Handle())
+        out = []
+        for batch in range(6):
+            rows = [Row(order_id=i, new_status=["delivered", "ready", "delivered", "lost", "pending"][(i * 3 + batch) % 5], ts=batch * 100 + i // 2,
+                        seq=batch * 100 + i, cents=100 * i + 50, order_number=f"P-{i}", perfume=f"p{(i + j) % 4}", unlocked=None, rk=0)
+                    for i in range(batch, batch + 5) for j in range(2)]
+            rows += [Row(order_id=None, new_status=None, ts=batch * 100 + 3, seq=batch * 100 + 50, cents=None, order_number=None, perfume="p1",
+                         unlocked=batch % 2 == 0, rk=1)]
+            out += [tuple(r) for r in p.handleInputRows((7,), iter(rows), None)]
+        return out
+
+    whole = run(10 ** 6)
+    assert len(whole) > 20 and calls == ["get", "update"] * 6
+    assert sorted(run(small), key=repr) == sorted(whole, key=repr)
