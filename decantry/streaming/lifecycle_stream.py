@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 from decimal import Decimal
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from decantry.session import delete_folder, ensure_checkpoint_dir, ship_package
 
 OUTPUT_SCHEMA = ("customer_id long, version long, record string, perfume string, order_id long, source_code string, "
                  "created_at timestamp_ntz, total_spent decimal(18,2), bookmarks long, gone boolean")
+STEP = ("order_id", "new_status", "ts", "seq", "cents", "order_number", "perfume", "unlocked", "rk")
 EPOCH = datetime(1970, 1, 1)
 ORDER_STATE = "status string, created_at long"
 PERFUME_STATE = ("owner long, ids array<long>, delivered_at array<long>, created_at array<long>, numbers array<string>, "
@@ -165,12 +167,15 @@ class LifecycleProcessor(StatefulProcessor):
     def _in_order(rows):
         """One step an event, its perfumes together, by (ts, seq); admin changes after status changes at a tie."""
         steps: dict[tuple, list] = {}
+        pick = None
         for r in rows:
-            at = (r.ts, r.seq, r.rk)
-            step = steps.setdefault((at, None if r.rk else r.order_id, r.perfume if r.rk else None),
-                                    [at, r.order_id, r.new_status, r.cents, r.order_number, set(), bool(r.unlocked)])
-            if r.perfume is not None and r.perfume.strip():
-                step[5].add(r.perfume.strip())
+            pick = pick or itemgetter(*[r.__fields__.index(c) for c in STEP])      # by place: Row looks names up one by one
+            order_id, status, ts, seq, cents, number, name, unlocked, rank = pick(r)
+            at = (ts, seq, rank)
+            step = steps.setdefault((at, None if rank else order_id, name if rank else None),
+                                    [at, order_id, status, cents, number, set(), bool(unlocked)])
+            if name is not None and name.strip():
+                step[5].add(name.strip())
         return sorted(steps.values(), key=lambda s: tuple((v is not None, v) for v in s[0]))
 
     @staticmethod
