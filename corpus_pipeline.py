@@ -6,11 +6,13 @@ result as Parquet in the shared folder and reads it again as the next one's ``do
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from decantry.llm.common import drop_paths, scratch_made, table, written
+from decantry.llm.common import drop_paths, lean_workers, scratch_made, table, written
 from decantry.llm.decontaminate import decontaminate
 from decantry.llm.mixing import repeat_mixed
 from decantry.llm.ngram_join import ngram_join
@@ -20,6 +22,7 @@ from decantry.llm.token_file import document_index, token_file_path, write_token
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BATCH_BYTES = 7 << 20
+SLICE_BYTES, CACHE_BYTES = 1 << 20, 32 << 20  # text at a time and words kept in a tokenizer's worker
 NEAR = {"shingle": 5, "need": 80, "of": 100}  # of the stage; op2's own values bind op2 only
 
 
@@ -29,12 +32,24 @@ def arrow_bytes(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def in_lean_workers(stage):
+    """The stage with bounded Arrow batches, its Python workers giving back what they free: they
+    outlast the stage, and the executors' memory is the next one's too."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        arrow_bytes(spark)
+        with lean_workers():
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_lean_workers
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not reject (score at the threshold or above).
 
     Null and empty texts get the score of an empty text; repeated rows stay or go together;
     columns beyond those of documents are left out; an empty table stays empty."""
-    arrow_bytes(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).where(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
@@ -54,6 +69,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return at.join(files, "_file").select(*COLUMNS, F.shiftleft("_n", 40).bitwiseOR(F.col("_at")).alias("_row"))
 
 
+@in_lean_workers
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: the one with the smallest id (null only where no row has one).
 
@@ -63,7 +79,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest id the first by that number stays. Texts without words are linked with nothing
     and stay, each row of them.
     """
-    arrow_bytes(spark)
     rows = numbered(docs)
     groups = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"), **NEAR)
     linked = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "linked")
@@ -74,9 +89,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(written(gone, "near-duplicates"), "_row", "left_anti").select(*COLUMNS)
 
 
+@in_lean_workers
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window; those without words, null or empty, stay."""
-    arrow_bytes(spark)
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=("text", "lang", "source", "n_chars"))
     return found.where(F.size("spans") == 0).select(*COLUMNS)
 
@@ -87,11 +102,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeat_mixed(docs).select(*COLUMNS)
 
 
+@in_lean_workers
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token file of all taken documents, as its index read back from the file: a row a document
     row, null and empty texts with the end id alone."""
-    arrow_bytes(spark)
-    path = write_token_file(docs, token_file_path(spark), vocab_path(), VOCAB_SIZE)
+    path = write_token_file(docs, token_file_path(spark), vocab_path(), VOCAB_SIZE, slice_bytes=SLICE_BYTES, cache_bytes=CACHE_BYTES)
     return document_index(spark, path)
 
 

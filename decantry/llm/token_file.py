@@ -61,7 +61,7 @@ class WordEncoder:
     distinct word goes through the library and its ids are laid out by numpy; letters below
     U+0250 with a full stop or comma behind them are looked up apart, in lower case, as the
     rules cut and fold them. Any other file encodes whole texts. Words are kept in a cache of at most
-    ``CACHE_BYTES``, which lasts as long as the Python worker.
+    ``cache_bytes`` (``CACHE_BYTES`` if not given), which lasts as long as the Python worker.
     """
 
     _kept: dict[str, WordEncoder] = {}
@@ -76,11 +76,13 @@ class WordEncoder:
         self.kind = np.dtype(id_type(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)))
         self.known: dict[str, bytes] = {}
         self.held = 0
+        self.cache_bytes: int | None = None
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str, cache_bytes: int | None = None) -> WordEncoder:
         if path not in cls._kept:
             cls._kept[path] = cls(path)
+        cls._kept[path].cache_bytes = cache_bytes
         return cls._kept[path]
 
     @classmethod
@@ -112,7 +114,7 @@ class WordEncoder:
         if new or "." not in self.known:
             self._learn(list(dict.fromkeys([*new, ".", ","])))
             ids = [self.known[w] if x is None else x for w, x in zip(names, ids, strict=True)]
-        if self.held > CACHE_BYTES:  # of the words kept, those of this slice stay
+        if self.held > (CACHE_BYTES if self.cache_bytes is None else self.cache_bytes):  # of the words kept, those of this slice stay
             self.known = dict(zip(names, ids, strict=True)) | {w: self.known[w] for w in ".,"}
             self.held = sum(map(len, ids)) + sum(map(len, names)) + WORD_BYTES * len(names)
         ids += [self.known["."], self.known[","]]
@@ -185,7 +187,8 @@ def id_type(vocab_size: int) -> str:
     return "<u2" if vocab_size <= 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, vocab_path: str, vocab_size: int, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, vocab_path: str, vocab_size: int, end_id: int = END_ID,
+              slice_bytes: int = SLICE_BYTES, cache_bytes: int | None = None) -> DataFrame:
     """``shard, seq, doc_id, n, ids`` in ascending ``doc_id`` order (ids as ``id_type``)."""
     kind_of_id = np.dtype(id_type(vocab_size))
     rows = docs.select("doc_id", text_or_empty().alias("text"))
@@ -193,8 +196,8 @@ def tokenized(docs: DataFrame, vocab_path: str, vocab_size: int, end_id: int = E
     rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def encode(batches):
-        encoder, shard, seq = WordEncoder.of(vocab_path), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", SLICE_BYTES):
+        encoder, shard, seq = WordEncoder.of(vocab_path, cache_bytes), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "text", slice_bytes):
             ids, at = encoder.encode(batch.column(1), end_id)
             n = batch.num_rows
             raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((at * kind_of_id.itemsize).astype(np.int64)),
@@ -230,15 +233,16 @@ def id_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
 
 
 def write_token_file(docs: DataFrame, path: str, vocab_path: str, vocab_size: int, end_id: int = END_ID,
-                     block_ids: int = BLOCK_IDS) -> str:
+                     block_ids: int = BLOCK_IDS, slice_bytes: int = SLICE_BYTES, cache_bytes: int | None = None) -> str:
     """Encode every whole text (null: empty), append ``end_id`` to each and write the file.
 
     Repeated rows are all written; a null ``doc_id`` comes first; other columns are
-    ignored. An empty table gives a file without blocks.
+    ignored. An empty table gives a file without blocks. ``slice_bytes`` of text at a time
+    and ``cache_bytes`` of words bound a worker's memory; the file is the same for any.
     """
     spark = docs.sparkSession
     with arrow_rows(spark, BATCH_ROWS):
-        tokens = written(tokenized(docs, vocab_path, vocab_size, end_id), "tokens")
+        tokens = written(tokenized(docs, vocab_path, vocab_size, end_id, slice_bytes, cache_bytes), "tokens")
     with arrow_rows(spark, BATCH_ROWS):
         lengths = huffman.code_lengths(id_counts(tokens, vocab_size))
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id, huffman.STRIDE)],

@@ -73,3 +73,54 @@ def test_run_leaves_its_result_and_the_token_file_only(spark, sf_small, tmp_dir,
     assert out.count() > 0
     left = sorted(p.split("-")[0] for p in os.listdir(os.path.join(tmp_dir, "decantry-llm")))
     assert left == ["stage", "token"]
+
+
+def test_workers_of_stages_give_freed_memory_back(spark, sf_small):
+    import pyarrow as pa
+
+    from decantry.llm.common import map_arrow
+
+    def private_mb():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(f.read().split("Private_Dirty:")[1].split()[0]) / 1024
+
+    def freeing(batches):
+        """Frees some 160 MB of small pieces but for one in a thousand; last, what the worker then holds."""
+        some = []
+        for batch in batches:
+            held = [bytearray(1000) for _ in range(160_000)]
+            some = held[::1000]
+            del held
+            yield pa.RecordBatch.from_arrays(batch.columns, ["id"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(private_mb()) + 0 * len(some)])], ["id"])
+
+    def stage(session, docs, sf_dir):
+        return map_arrow(session.range(0, 4, 1, 1), freeing, "id long")
+
+    plain = [r["id"] for r in stage(spark, None, sf_small).collect()]
+    lean = [r["id"] for r in c.in_lean_workers(stage)(spark, None, sf_small).collect()]
+    assert lean[:-1] == plain[:-1] == [0, 1, 2, 3]
+    assert lean[-1] < plain[-1] - 80
+
+
+def test_every_python_stage_runs_in_lean_workers(spark, sf_small, monkeypatch):
+    import decantry.llm.common as common
+    docs, made, plain = table(spark, sf_small, "documents"), [], []
+    own = common.lean
+    monkeypatch.setattr(common, "lean", lambda fn: made.append(fn.__qualname__) or own(fn))
+    for name, stage in c.STAGES:
+        before = len(made)
+        stage(spark, docs, sf_small)
+        if len(made) == before:
+            plain.append(name)
+    assert plain == ["mixing"]
+
+
+def test_token_file_does_not_depend_on_the_memory_bounds(spark, sf_small, odd, vocab):
+    from decantry.llm.queries import VOCAB_SIZE
+    from decantry.llm.token_file import document_index, token_file_path, write_token_file
+    rows = []
+    for bounds in ({}, {"slice_bytes": 5000, "cache_bytes": 1000}):
+        path = write_token_file(odd, token_file_path(spark), vocab, VOCAB_SIZE, **bounds)
+        rows.append(sorted(map(repr, document_index(spark, path).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == odd.count()
