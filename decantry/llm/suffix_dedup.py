@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decantry.llm.common import map_arrow, slices, text_or_empty, utf8_bytes, written
+from decantry.llm.common import lean_workers, map_arrow, slices, text_or_empty, utf8_bytes, written
 from decantry.llm.repeats import is_repeated, packed, repeated_bits, sizes, with_known
 from decantry.llm.textwords import _powers, mixed
 
@@ -133,7 +133,7 @@ _FIELDS = ["gram", "doc", "tie", "place", "low", "high", "left", "bytes"]
 
 def _stretches(rows: DataFrame, bits: np.ndarray, index_bits: int) -> DataFrame:
     """Rows with ``bytes``: a stretch to compare. Rows without: string starts from ``place + low``
-    to ``place + high`` that are known to repeat earlier."""
+    to ``place + high`` that are known to repeat earlier; their ``gram`` is any number."""
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches):
@@ -161,17 +161,24 @@ def _stretches(rows: DataFrame, bits: np.ndarray, index_bits: int) -> DataFrame:
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             first = order[head]
             itself = (doc[order] == doc[first]) & (tie[order] == tie[first]) & (place[order] == place[first])
-            known = order[same & ~itself]
             rest = order[~same]
+            # Known starts that follow one another are one row. It needs no task of its gram and goes anywhere,
+            # so that a gram met everywhere is no load.
+            known = np.sort(order[same & ~itself])
+            new, end = np.ones(len(known), bool), np.ones(len(known), bool)
+            new[1:] = (a[known[1:]] != b[known[:-1]] + 1) | (t[known[1:]] != t[known[:-1]])
+            end[:-1] = new[1:]
+            known, until = known[new], b[known[end]]
+            run = a[known] - ends[t[known]] + base
+            anywhere = mixed(doc[known].astype(np.int64).view(np.uint64) ^ run.astype(np.uint64))
+            none = np.zeros(len(known), np.int64)
             raw = data.tobytes()
-            everything = np.concatenate([rest, known])
-            blank = np.arange(len(everything)) >= len(rest)
+            both = [np.concatenate(x) for x in ((g[rest], anywhere), (doc[rest], doc[known]), (tie[rest], tie[known]), (place[rest], run),
+                                                ((a - p)[rest], none), ((b - p)[rest], until - a[known]), (left[rest], none))]
+            text = [raw[p[i] - left[i]: p[i] + right[i]] for i in rest.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g[everything].view(np.int64)), pa.array(doc[everything], pa.int64()), pa.array(tie[everything], pa.int32()),
-                 pa.array(place[everything], pa.int64()), pa.array((a - p)[everything], pa.int32()), pa.array((b - p)[everything], pa.int32()),
-                 pa.array(left[everything], pa.int32()),
-                 pa.array([None if z else raw[p[i] - left[i]: p[i] + right[i]] for i, z in zip(everything.tolist(), blank.tolist(), strict=True)], pa.binary())],
-                _FIELDS)
+                [pa.array(both[0].view(np.int64)), pa.array(both[1], pa.int64()), pa.array(both[2], pa.int32()), pa.array(both[3], pa.int64()),
+                 *[pa.array(x, pa.int32()) for x in both[4:]], pa.array(text + [None] * len(known), pa.binary())], _FIELDS)
 
     return map_arrow(rows.select("doc", "tie", "text"), cut, _STRETCH)
 
@@ -193,70 +200,104 @@ def _named(keys: list[np.ndarray]) -> np.ndarray:
 def prefix_names(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Names of the ``LENGTH``-byte prefixes at the ``wanted`` (row, column) places of a matrix of bytes.
 
-    ``wanted`` is a boolean matrix of columns up to ``REACH``. Places of one residue modulo
-    3 have comparable names: smaller name, smaller prefix; equal name, equal prefix.
-    Other places get 0.
+    ``wanted`` is a boolean matrix of the first columns; ``text`` may end before a prefix does
+    and counts as zeros there. Places of one residue modulo 3 have comparable names: smaller
+    name, smaller prefix; equal name, equal prefix. Other places get 0.
     """
-    rows = len(text)
-    wide = np.zeros((rows, WIDTH + 3 + 24), np.uint64)
-    wide[:, :WIDTH] = text
-    words = wide[:, : WIDTH + 3 + 16].copy()  # the 8 bytes from each column as one number
-    for k in range(1, 8):
-        words = words << np.uint64(8) | wide[:, k: k + WIDTH + 3 + 16]
-    need = np.zeros((rows, REACH + 2), bool)  # sampled columns whose 99 bytes need a name
-    need[:, : REACH + 1] = wanted
-    need[:, 1:] |= wanted  # the suffix behind one of residue 0
-    need[:, np.arange(REACH + 2) % 3 == 0] = False
+    rows, columns = wanted.shape
     steps = (0, 24, 48, 72, 75)  # 3 blocks of 24 bytes, then 27 bytes as two that overlap
-    sample = np.zeros((rows, REACH + 2 + 75), bool)
+    span = columns + 1 + steps[-1]
+    wide = np.zeros((rows, span + 24), np.uint8)
+    wide[:, : text.shape[1]] = text[:, : span + 24]
+    # The 8 bytes from each place as one number, without a copy.
+    words = np.ndarray((max(0, wide.size - 7),), ">u8", wide, strides=(1,))
+    need = np.zeros((rows, columns + 1), bool)  # sampled columns whose 99 bytes need a name
+    need[:, :columns] = wanted
+    need[:, 1:] |= wanted  # the suffix behind one of residue 0
+    need[:, ::3] = False
+    sample = np.zeros((rows, span), bool)
     for s in steps:
-        sample[:, s: s + REACH + 2] |= need
-    r, c = np.nonzero(sample)
-    names24 = np.zeros(sample.shape, np.uint64)
-    names24[r, c] = _named([words[r, c], words[r, c + 8], words[r, c + 16]])
-    r, c = np.nonzero(need)
-    shift = np.uint64(21) if max(names24.max(initial=np.uint64(0)), len(r)) < 1 << 21 else None
+        sample[:, s: s + columns + 1] |= need
+    at = np.flatnonzero(sample)
+    del sample
+    byte = at + at // span * 24
+    names24 = np.zeros(rows * span, np.uint32)
+    names24[at] = _named([words[byte + k].astype(np.uint64) for k in (0, 8, 16)])
+    del at, byte
+    place = np.flatnonzero(need)
+    at = place + place // (columns + 1) * steps[-1]
+    shift = np.uint64(21) if max(names24.max(initial=0), len(at)) < 1 << 21 else None
 
     def joined(parts: list[np.ndarray]) -> np.ndarray:
         if shift is None:
             return _named(parts)
         return _named([parts[0] << shift << shift | parts[1] << shift | parts[2]])
 
-    names72 = joined([names24[r, c], names24[r, c + 24], names24[r, c + 48]])
-    names99 = np.zeros(need.shape, np.uint64)
-    names99[r, c] = joined([names72, names24[r, c + 72], names24[r, c + 75]])
+    def of(k: int) -> np.ndarray:
+        return names24[at + k].astype(np.uint64)
+
+    names72 = joined([of(0), of(24), of(48)])
+    names99 = np.zeros(rows * (columns + 1), np.uint64)
+    names99[place] = joined([names72, of(72), of(75)])
+    names99 = names99.reshape(rows, columns + 1)
     # 100 bytes: of the sample, 99 and the last byte; of the rest, the first byte and the next 99.
     out = np.zeros(wanted.shape, np.uint64)
     r, c = np.nonzero(wanted)
     in_sample = c % 3 != 0
     out[r[in_sample], c[in_sample]] = names99[r[in_sample], c[in_sample]] << np.uint64(8) | wide[r[in_sample], c[in_sample] + LENGTH - 1]
     r, c = r[~in_sample], c[~in_sample]
-    out[r, c] = wide[r, c] << np.uint64(48) | names99[r, c + 1]
+    out[r, c] = wide[r, c].astype(np.uint64) << np.uint64(48) | names99[r, c + 1]
     return out
 
 
+def _matrix(raw: list[bytes], left: np.ndarray) -> np.ndarray:
+    """The stretches as rows of ``WIDTH`` bytes, anchors at ``REACH``, zeros around."""
+    text = np.zeros((len(raw), WIDTH), np.uint8)
+    flat = text.reshape(-1)
+    for a in range(0, len(raw), CHUNK):
+        part = raw[a: a + CHUNK]
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        ends = np.cumsum(sizes)
+        starts = np.arange(a, a + len(part)) * WIDTH + REACH - left[a: a + CHUNK]
+        flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])] = np.frombuffer(b"".join(part), np.uint8)
+    return text
+
+
+def _bands(rows: int) -> list[tuple[int, int]]:
+    """Ranges of columns, from multiples of 3, that hold for so many rows about as many places
+    as all columns do for ``CHUNK`` rows."""
+    step = max(3, (REACH + 1) * CHUNK // max(1, rows) // 3 * 3)
+    return [(a, min(a + step, REACH + 1)) for a in range(0, REACH + 1, step)]
+
+
 def _repeats(gram: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, raw: list[bytes],
-             doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, start relative to the anchor) of strings that also start earlier.
+             doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(stretch, start relative to the anchor plus ``REACH``) of strings that also start earlier, as a boolean matrix.
 
-    Stretches come ordered by gram and place in the corpus.
+    Stretches come ordered by gram and place in the corpus. Equal strings of one gram start
+    equally far from it, so many stretches are compared in some columns at a time.
     """
-    text = np.zeros((len(raw), WIDTH), np.uint8)
-    for i, x in enumerate(raw):
-        text[i, REACH - left[i]: REACH - left[i] + len(x)] = np.frombuffer(x, np.uint8)
-    column = np.arange(REACH + 1)
-    wanted = (column >= REACH + low[:, None]) & (column <= REACH + high[:, None])
-    names = prefix_names(text, wanted)
-    r, c = np.nonzero(wanted)
+    text = _matrix(raw, left)
     group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
-    key = names[r, c]
-    order = np.lexsort((r, key, c, group[r]))
-    r, c, key = r[order], c[order], key[order]
-    same = np.zeros(len(r), bool)
-    same[1:] = (key[1:] == key[:-1]) & (c[1:] == c[:-1]) & (group[r[1:]] == group[r[:-1]])
-    first = r[np.maximum.accumulate(np.where(same, 0, np.arange(len(r))))] if len(r) else r
-    same &= (doc[r] != doc[first]) | (tie[r] != tie[first]) | (place[r] != place[first])
-    return r[same], c[same] - REACH
+    late = np.zeros((len(raw), REACH + 1), bool)
+    for a, z in _bands(len(raw)):
+        rows = np.flatnonzero((REACH + low < z) & (REACH + high >= a))  # these own strings here
+        if not len(rows):
+            continue
+        column = np.arange(a, z)
+        wanted = (column >= REACH + low[rows, None]) & (column <= REACH + high[rows, None])
+        names = prefix_names(text[rows, a: z + LENGTH], wanted)
+        r, c = np.nonzero(wanted)
+        key, r = names[r, c], rows[r]
+        column = group[r] * (z - a) + c
+        order = np.lexsort((key, column))  # stable: earlier stretches first
+        r, c, key, column = r[order], c[order], key[order], column[order]
+        same = np.zeros(len(r), bool)
+        same[1:] = (key[1:] == key[:-1]) & (column[1:] == column[:-1])
+        first = r[np.maximum.accumulate(np.where(same, 0, np.arange(len(r))))]
+        same &= (doc[r] != doc[first]) | (tie[r] != tie[first]) | (place[r] != place[first])
+        late[r[same], c[same] + a] = True
+    return late
 
 
 def _marks(stretches: DataFrame, hot: int = HOT) -> DataFrame:
@@ -288,14 +329,11 @@ def _marks(stretches: DataFrame, hot: int = HOT) -> DataFrame:
             return batch_of(*[np.zeros(0, np.int64)] * 4)
         cols = {k: v[met] for k, v in cols.items()}
         raw = table.column("bytes").filter(pa.array(met)).to_pylist()
-        r, c = _repeats(*[cols[k] for k in ("gram", "low", "high", "left")], raw, *[cols[k] for k in ("doc", "tie", "place")])
-        o = np.lexsort((c, r))
-        r, c = r[o], c[o]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1)
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(r)) - 1
-        return batch_of(cols["doc"][r[a]], cols["tie"][r[a]], cols["place"][r[a]] + c[a], cols["place"][r[a]] + c[z])
+        late = _repeats(*[cols[k] for k in ("gram", "low", "high", "left")], raw, *[cols[k] for k in ("doc", "tie", "place")])
+        edge = np.diff(late.view(np.int8), axis=1, prepend=np.int8(0), append=np.int8(0))
+        r, a = np.nonzero(edge == 1)
+        z = np.nonzero(edge == -1)[1] - 1
+        return batch_of(cols["doc"][r], cols["tie"][r], cols["place"][r] + a - REACH, cols["place"][r] + z - REACH)
 
     def dealt_out(table: pa.Table):
         for part in table.to_batches(max_chunksize=2000):
@@ -375,6 +413,7 @@ def removed_spans(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[at].tolist(), reach[end].tolist(), strict=True))
 
 
+@lean_workers()
 def suffix_dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, spans, n_removed, kept_sha256`` and, if
     ``with_text``, ``kept`` (the remaining bytes).

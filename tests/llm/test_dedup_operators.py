@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from decantry.llm.components import components
 from decantry.llm.exact_dedup import exact_dedup
 from decantry.llm.line_dedup import line_dedup
 from decantry.llm.ngram_join import Bands, _dealt, ngram_join, shingle_sets, sketch_keys, thin_bands
-from decantry.llm.suffix_dedup import suffix_dedup
+from decantry.llm.suffix_dedup import _repeats, suffix_dedup
 
 CLASH = ("n_bytes", "class", "keep_id", "n_lines", "h", "key", "id", "doc", "n", "spans")
 
@@ -202,6 +203,44 @@ def test_suffix_dedup_brute(docs_of, hot, monkeypatch):
     assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == _cut(rows)
 
 
+def _around_one_gram(n, seed):
+    """Arguments of ``_repeats``: ``n`` stretches around one gram, all strings owned."""
+    rng = np.random.default_rng(seed)
+    sides = [rng.integers(97, 99, 68, np.uint8).tobytes() for _ in range(max(3, n // 20))]
+    raw = [sides[a] + b"q" * 32 + sides[b] for a, b in rng.integers(0, len(sides), (n, 2))]
+    left = rng.integers(0, 69, n)
+    raw = [x[68 - k:] for x, k in zip(raw, left, strict=True)]
+    zero = np.zeros(n, np.int64)
+    return zero, -left, zero, left, raw, np.arange(n) // 2, zero, np.arange(n) % 2 * 500
+
+
+def test_suffix_dedup_memory_of_one_gram():
+    """A gram met by many stretches takes bounded memory to sort, however many they are."""
+    def peak(n):
+        own = _around_one_gram(n, n)
+        tracemalloc.start()
+        try:
+            _repeats(*own)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(60_000) < 2 * peak(15_000)
+
+
+@pytest.mark.parametrize("chunk", [1, 20, 100, 6000])
+def test_suffix_dedup_one_gram_in_bands(chunk, monkeypatch):
+    monkeypatch.setattr("decantry.llm.suffix_dedup.CHUNK", chunk)
+    own = _around_one_gram(300, chunk)
+    seen, want = {}, set()
+    for i, (low, left, x, doc, place) in enumerate(zip(own[1], own[3], own[4], own[5], own[7], strict=True)):
+        for k in range(low, 1):
+            if seen.setdefault((k, x[left + k: left + k + 100]), (doc, place)) != (doc, place):
+                want.add((i, k + 68))
+    assert len(want) > 100
+    assert {(int(i), int(k)) for i, k in zip(*np.nonzero(_repeats(*own)), strict=True)} == want
+
+
 def test_suffix_dedup_very_long_text(docs_of):
     rng = random.Random(4)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
